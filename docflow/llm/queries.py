@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, packing, pii, warc
+from . import jaccard, langid, licenses, lm, mixing, packing, pii, warc
 from .common import fold, shared_dir
 
 
@@ -30,17 +30,42 @@ def op2_pii_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(pii.find_pii(_table(spark, sf_dir, "documents")))
 
 
+def op3_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_table(spark, sf_dir, "documents"), order=2, folds=7, held_out=2)
+
+
 def op4_language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = fold(F.col("doc_id"), 5) == 0
-    got = langid.identify(docs.select("doc_id", "text", "lang"), ~held_out)
+    profiles = langid.learn(docs.where(~held_out))
+    got = langid.predict(docs.select("doc_id", "text"), profiles)
     return got.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def mix_levels() -> tuple[dict, dict]:
+    """The query's tree (domain from the source's number, language, source) and its target weights."""
+    number = F.regexp_extract(F.coalesce("source", F.lit("")), r"([0-9]{1,9})$", 1)
+    domain = F.concat(F.lit("d"), F.pmod(F.when(number != "", number).otherwise("0").cast("int"), F.lit(4)).cast("string"))
+    weights = {
+        "domain": F.when(F.col("mix_domain") == "d0", 4.0).otherwise(2.0),
+        "lang": F.when(F.col("mix_lang") == "en", 4.0).when(F.col("mix_lang") == "de", 3.0).otherwise(2.0),
+    }
+    return {"domain": domain, "lang": F.col("lang"), "source": F.col("source")}, weights
+
+
+def op6_mixing_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    levels, weights = mix_levels()
+    return mixing.mix(_table(spark, sf_dir, "documents"), levels, share=0.7, weights=weights, max_epochs=3, seed=17, whole_rows=False)
+
+
 def op7_tiered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), _tokenizer())
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(_table(spark, sf_dir, "documents"), k=3, num=9, den=10)
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
@@ -48,8 +73,11 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_warc_revisits": op1_warc_revisits,
     "op2_pii_contexts": op2_pii_contexts,
+    "op3_deleted_interpolation": op3_deleted_interpolation,
     "op4_language_profiles": op4_language_profiles,
+    "op6_mixing_budgets": op6_mixing_budgets,
     "op7_tiered_packing": op7_tiered_packing,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_license_scan": op9_license_scan,
 }
 
@@ -61,4 +89,36 @@ ORACLES = {
         o AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS original FROM d)
         SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id <> original THEN original END AS refers_to, true AS intact FROM o""",
+    "op6_mixing_budgets": """
+        WITH d AS (SELECT doc_id, 'd' || CAST(CAST(CASE WHEN regexp_extract(coalesce(source, ''), '([0-9]{1,9})$', 1) <> '' THEN regexp_extract(coalesce(source, ''), '([0-9]{1,9})$', 1) ELSE '0' END AS INT) % 4 AS VARCHAR) AS mix_domain,
+              coalesce(lang, '') AS mix_lang, coalesce(source, '') AS mix_source,
+              CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS tokens FROM documents),
+        leaf AS (SELECT mix_domain, mix_lang, mix_source, count(*) AS docs, sum(tokens) AS t, CAST(sum(tokens) * 3 AS DOUBLE) AS cap FROM d GROUP BY ALL),
+        n1 AS (SELECT mix_domain, sum(cap) AS cap, CASE WHEN mix_domain = 'd0' THEN 4.0::DOUBLE ELSE 2.0::DOUBLE END AS w,
+              (SELECT least(sum(t) * 0.7::DOUBLE, sum(cap)) FROM leaf) AS b FROM leaf GROUP BY mix_domain),
+        f1 AS (SELECT *, cap * sum(w) OVER (ORDER BY cap / w, mix_domain ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+              <= w * (b - coalesce(sum(cap) OVER (ORDER BY cap / w, mix_domain ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS full_ FROM n1),
+        g1 AS (SELECT mix_domain, CASE WHEN full_ THEN cap ELSE least(cap, w * (b - sum(CASE WHEN full_ THEN cap ELSE 0 END) OVER ()) / sum(CASE WHEN full_ THEN 0 ELSE w END) OVER ()) END AS b FROM f1),
+        n2 AS (SELECT mix_domain, mix_lang, sum(cap) AS cap, CASE mix_lang WHEN 'en' THEN 4.0::DOUBLE WHEN 'de' THEN 3.0::DOUBLE ELSE 2.0::DOUBLE END AS w, any_value(b) AS b FROM leaf JOIN g1 USING (mix_domain) GROUP BY mix_domain, mix_lang),
+        f2 AS (SELECT *, cap * sum(w) OVER (PARTITION BY mix_domain ORDER BY cap / w, mix_lang ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+              <= w * (b - coalesce(sum(cap) OVER (PARTITION BY mix_domain ORDER BY cap / w, mix_lang ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS full_ FROM n2),
+        g2 AS (SELECT mix_domain, mix_lang, CASE WHEN full_ THEN cap ELSE least(cap, w * (b - sum(CASE WHEN full_ THEN cap ELSE 0 END) OVER (PARTITION BY mix_domain)) / sum(CASE WHEN full_ THEN 0 ELSE w END) OVER (PARTITION BY mix_domain)) END AS b FROM f2),
+        n3 AS (SELECT leaf.*, 1.0::DOUBLE AS w, b FROM leaf JOIN g2 USING (mix_domain, mix_lang)),
+        f3 AS (SELECT *, cap * sum(w) OVER (PARTITION BY mix_domain, mix_lang ORDER BY cap / w, mix_source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+              <= w * (b - coalesce(sum(cap) OVER (PARTITION BY mix_domain, mix_lang ORDER BY cap / w, mix_source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS full_ FROM n3),
+        g3 AS (SELECT mix_domain, mix_lang, mix_source, t, CAST(floor(CASE WHEN full_ THEN cap ELSE least(cap, w * (b - sum(CASE WHEN full_ THEN cap ELSE 0 END) OVER (PARTITION BY mix_domain, mix_lang)) / sum(CASE WHEN full_ THEN 0 ELSE w END) OVER (PARTITION BY mix_domain, mix_lang)) END + 1e-6) AS BIGINT) AS leaf_budget FROM f3),
+        e AS (SELECT *, CASE WHEN t > 0 THEN leaf_budget // t ELSE 0 END AS epochs FROM g3),
+        o AS (SELECT d.*, leaf_budget, epochs, leaf_budget - epochs * t AS rest,
+              ('0x' || substr(md5('17:' || CAST(epochs AS VARCHAR) || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15))::BIGINT AS place FROM d JOIN e USING (mix_domain, mix_lang, mix_source)),
+        c AS (SELECT *, CAST(epochs AS BIGINT) + CASE WHEN rest > 0 AND sum(tokens) OVER (PARTITION BY mix_domain, mix_lang, mix_source ORDER BY place, doc_id) <= rest THEN 1 ELSE 0 END AS copies FROM o)
+        SELECT doc_id, mix_domain, mix_lang, mix_source, tokens, leaf_budget, copies FROM c WHERE copies > 0""",
+    "op8_ngram_jaccard": """
+        WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]) END AS s FROM w),
+        x AS (SELECT doc_id, unnest(s) AS g FROM s),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        l AS (SELECT a, b FROM p JOIN s sa ON sa.doc_id = a JOIN s sb ON sb.doc_id = b WHERE 100 * n >= 90 * (len(sa.s) + len(sb.s) - n)),
+        r AS (SELECT doc_id AS id, doc_id AS root FROM s),
+        reach AS (WITH RECURSIVE t(id, root) AS (SELECT id, root FROM r UNION SELECT l.b, t.root FROM t JOIN l ON l.a = t.id WHERE t.root < l.b) SELECT id, min(root) AS root FROM t GROUP BY id)
+        SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, root AS component_id FROM s JOIN reach ON reach.id = s.doc_id""",
 }
