@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, langid, licenses, lm, mixing, packing, pii, warc
+from . import collisions, jaccard, langid, licenses, lm, media, mixing, packing, pii, warc
 from .common import fold, shared_dir
 
 
@@ -42,6 +42,10 @@ def op4_language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op5_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collisions.near_duplicates(_table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
 def mix_levels() -> tuple[dict, dict]:
     """The query's tree (domain from the source's number, language, source) and its target weights."""
     number = F.regexp_extract(F.coalesce("source", F.lit("")), r"([0-9]{1,9})$", 1)
@@ -70,15 +74,22 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+def op10_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no images: Spark renders one from each vector (see ``media.rendered``)."""
+    return media.copies(media.rendered(_table(spark, sf_dir, "embeddings")))
+
+
 QUERIES = {
     "op1_warc_revisits": op1_warc_revisits,
     "op2_pii_contexts": op2_pii_contexts,
     "op3_deleted_interpolation": op3_deleted_interpolation,
     "op4_language_profiles": op4_language_profiles,
+    "op5_collision_counting": op5_collision_counting,
     "op6_mixing_budgets": op6_mixing_budgets,
     "op7_tiered_packing": op7_tiered_packing,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_license_scan": op9_license_scan,
+    "op10_media_copies": op10_media_copies,
 }
 
 ORACLES = {
@@ -89,6 +100,11 @@ ORACLES = {
         o AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS original FROM d)
         SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id <> original THEN original END AS refers_to, true AS intact FROM o""",
+    "op5_collision_counting": """
+        WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.9),
+        reach AS (WITH RECURSIVE t(id, root) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, t.root FROM t JOIN l ON l.a = t.id WHERE t.root < l.b) SELECT id, min(root) AS root FROM t GROUP BY id)
+        SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = vec_id) AS n_links, root AS component_id, root = vec_id AS kept FROM embeddings JOIN reach ON id = vec_id""",
     "op6_mixing_budgets": """
         WITH d AS (SELECT doc_id, 'd' || CAST(CAST(CASE WHEN regexp_extract(coalesce(source, ''), '([0-9]{1,9})$', 1) <> '' THEN regexp_extract(coalesce(source, ''), '([0-9]{1,9})$', 1) ELSE '0' END AS INT) % 4 AS VARCHAR) AS mix_domain,
               coalesce(lang, '') AS mix_lang, coalesce(source, '') AS mix_source,
