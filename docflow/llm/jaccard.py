@@ -269,3 +269,17 @@ def verified(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, k: int, num
     both = pairs.join(left, "a").join(right, "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.where(shared * F.lit(den) >= (F.size("sa") + F.size("sb") - shared) * F.lit(num)).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+
+
+def deduplicated(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10) -> DataFrame:
+    """``docs`` with one document of each group: the one with the smallest doc_id; rows with a null id all stay.
+
+    Of rows that repeat a doc_id one stays.
+    """
+    found = stored(jaccard_components(docs, k, num, den).select("doc_id", "component_id"), "jaccard-components")
+    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti")
+    twice = stored(found.where("component_id = doc_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "jaccard-repeated")
+    if twice.isEmpty():
+        return kept.select(*docs.columns)
+    return kept.join(twice, "doc_id", "left_anti").unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
