@@ -4,59 +4,104 @@ Every language has a profile: its most frequent character n-grams in rank order.
 each by out-of-place distance: the sum, over the document's n-grams, of how far the rank is off, or the profile length
 where the language lacks the n-gram.  The nearest language wins; ties go to the smaller name.
 
-Words are maximal runs of letters, lower-cased, padded with ``_``.  Null texts and texts without a letter are ``und`` with
-score 0.  Rows without a language teach nothing.  With no labelled row at all every document is ``und``.  Repeated rows
-get equal answers; extra columns are ignored; an empty table gives an empty result.
+Words are maximal runs of letters, lower-cased, padded with ``_``; n-grams of one to three characters lie within a padded
+word.  Null texts and texts without a letter are ``und`` with score 0.  Rows without a language teach nothing.  With no
+labelled row at all every document is ``und``.  Repeated rows get equal answers; extra columns are ignored; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import sys
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SIZE, ORDERS, MAX_LABELS = 300, (1, 2, 3), 10_000
-_FLUSH = 200_000
+SIZE, MAX_LABELS = 300, 10_000
+PAD = ord("_")
+_FLUSH = 1 << 23  # characters whose n-grams are counted at once
 
 
-def _words(token: str) -> list[str]:
-    """Lower-cased runs of letters of a white-space token, padded."""
-    low = token.lower()
-    if low.isalpha():
-        return [f"_{low}_"]
-    return [f"_{w}_" for w in "".join(c if c.isalpha() else " " for c in low).split()]
+@lru_cache(1)
+def _letters() -> np.ndarray:
+    """Every code point as itself if it is a letter, else the pad."""
+    return np.array([c if chr(c).isalpha() else PAD for c in range(sys.maxunicode + 1)], dtype=np.int64)
 
 
-def _grams(token: str, orders: tuple[int, ...]) -> list[str]:
-    return [w[i : i + n] for w in _words(token) for n in orders for i in range(len(w) - n + 1) if w[i : i + n] != "_"]
+def _padded(text: str) -> np.ndarray:
+    """Code points of the lower-cased letters, one pad around each word."""
+    points = _letters()[np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), "<u4")]
+    gap = points == PAD
+    return points[~(gap & np.concatenate([[False], gap[:-1]]))]
 
 
-def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", size: int = SIZE, orders: tuple[int, ...] = ORDERS) -> DataFrame:
+def _grams(points: np.ndarray) -> np.ndarray:
+    """The n-grams of padded words as numbers of 3 x 21 bits, in the order of the strings."""
+    two, three = points[:-1] << 42 | points[1:] << 21, points[:-2] << 42 | points[1:-1] << 21 | points[2:]
+    return np.concatenate([points[points != PAD] << 42, two, three[points[1:-1] != PAD]])
+
+
+def _string(gram: int) -> str:
+    return "".join(chr(c) for c in (gram >> 42, gram >> 21 & 0x1FFFFF, gram & 0x1FFFFF) if c)
+
+
+def _number(gram: str) -> int:
+    return sum(ord(c) << (42 - 21 * i) for i, c in enumerate(gram))
+
+
+def _counted(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    grams = np.sort(grams)
+    first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+    return grams[first], np.diff(np.append(first, len(grams)))
+
+
+def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", size: int = SIZE) -> DataFrame:
     """Profiles ``(lang, rank, gram, n)``, ranks from 0, of all labelled rows; ties in n-gram order."""
 
     def count(batches):
-        tokens: dict[str, Counter] = {}
-        held = 0
+        held: dict[str, list[np.ndarray]] = {}
+        alphabet, index = np.array([PAD], np.int64), np.full(sys.maxunicode + 1, -1, np.int32)
+        index[PAD] = 0
 
         def out():
-            for lang, c in tokens.items():
-                grams: Counter = Counter()
-                for token, n in c.items():
-                    for g in _grams(token, orders):
-                        grams[g] += n
-                if grams:
-                    yield pa.RecordBatch.from_pydict({"lang": [lang] * len(grams), "gram": list(grams), "n": list(grams.values())}, schema=pa.schema([("lang", pa.string()), ("gram", pa.string()), ("n", pa.int64())]))
+            nonlocal alphabet
+            for lang, parts in held.items():
+                points = np.concatenate(parts)
+                at = index[points]
+                if (at < 0).any():
+                    fresh = np.unique(points[at < 0])
+                    index[fresh] = len(alphabet) + np.arange(len(fresh), dtype=np.int32)
+                    alphabet = np.concatenate([alphabet, fresh])
+                    at = index[points]
+                if len(alphabet) <= 160:  # few letters: count by position in a table of all n-grams
+                    a, at = len(alphabet), at.astype(np.int64)
+                    three = np.bincount(((at[:-2] * a + at[1:-1]) * a + at[2:])[at[1:-1] > 0], minlength=a**3).reshape(a, a, a)
+                    two = np.bincount(at[:-1] * a + at[1:], minlength=a * a).reshape(a, a)
+                    one = np.bincount(at, minlength=a)
+                    one[0] = 0
+                    keys, n = [], []
+                    for table in (one, two, three):
+                        where = np.nonzero(table)
+                        keys.append(sum(alphabet[w] << (42 - 21 * i) for i, w in enumerate(where)))
+                        n.append(table[where])
+                    keys, n = np.concatenate(keys), np.concatenate(n)
+                    own = keys != PAD << 42 | PAD << 21  # two pads meet only between documents
+                    keys, n = keys[own], n[own]
+                else:
+                    grams = _grams(points)
+                    keys, n = _counted(grams[grams != PAD << 42 | PAD << 21])
+                if len(keys):
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array([_string(int(k)) for k in keys]), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
 
         for b in batches:
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                tokens.setdefault(lang, Counter()).update(text.split())
-            held = sum(map(len, tokens.values()))
-            if held > _FLUSH:
+                held.setdefault(lang, []).append(_padded(text))
+            if sum(len(p) for parts in held.values() for p in parts) > _FLUSH:
                 yield from out()
-                tokens.clear()
+                held.clear()
         yield from out()
 
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
@@ -65,83 +110,45 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", size:
     return sums.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < size).select("lang", "rank", "gram", "n")
 
 
-def predict(docs: DataFrame, profiles: DataFrame, text_col: str = "text", size: int = SIZE, orders: tuple[int, ...] = ORDERS) -> DataFrame:
+def predict(docs: DataFrame, profiles: DataFrame, text_col: str = "text", size: int = SIZE) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` (1 less the distance over the largest possible distance).
 
     Profiles are ``size`` rows a language, of at most MAX_LABELS languages; more labels than that are an error.
     """
-    learned: dict[str, dict[str, int]] = {}
+    learned: dict[str, list[tuple[int, int]]] = {}
     for r in profiles.limit(MAX_LABELS * size + 1).collect():
-        learned.setdefault(r.lang, {})[r.gram] = r.rank
+        learned.setdefault(r.lang, []).append((_number(r.gram), r.rank))
     if len(learned) > MAX_LABELS:
         raise ValueError(f"more than {MAX_LABELS} language labels")
+    langs = sorted(learned)
+    known = np.array(sorted({g for rows in learned.values() for g, _ in rows}), np.int64)
+    ranks = np.full((len(langs), len(known) + 1), -1, np.int32)  # the last column: n-grams that no profile has
+    for i, lang in enumerate(langs):
+        for g, rank in learned[lang]:
+            ranks[i, np.searchsorted(known, g)] = rank
     at = docs.columns.index(text_col)
     schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
 
+    def judged(text: str | None) -> tuple[str, float]:
+        points = _padded(text) if text and langs else ()
+        if len(points) < 2:
+            return "und", 0.0
+        grams, n = _counted(_grams(points))
+        top = grams[np.argsort(-n, kind="stable")[:size]]
+        k = np.searchsorted(known, top)
+        rank = ranks[:, np.where(known[np.minimum(k, len(known) - 1)] == top, k, len(known))]
+        far = np.where(rank < 0, size, np.abs(rank - np.arange(len(top)))).sum(axis=1)
+        best = int(far.argmin())
+        return langs[best], float(1 - far[best] / (size * len(top)))
+
     def judge(batches):
-        scorer = _Scorer(learned, size, orders)
         for b in batches:
-            got = [scorer(t) for t in b.column(at).to_pylist()]
+            got = [judged(t) for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
 
     return docs.mapInArrow(judge, schema)
 
 
-class _Scorer:
-    """Scores texts against profiles; remembers the n-gram numbers of tokens, up to a bound."""
-
-    def __init__(self, learned: dict[str, dict[str, int]], size: int, orders: tuple[int, ...]):
-        self.langs, self.size, self.orders = sorted(learned), size, orders
-        self.learned = learned
-        self.reset()
-
-    def reset(self) -> None:
-        self.tokens: dict[str, np.ndarray] = {}
-        self.number: dict[str, int] = {}
-        self.order = np.zeros(1024, dtype=object)
-        self.rank = np.full((len(self.langs), 1024), -1, dtype=np.int32)
-
-    def grams(self, token: str) -> np.ndarray:
-        ids = self.tokens.get(token)
-        if ids is None:
-            ids = np.array([self.add(g) for g in _grams(token, self.orders)], dtype=np.int64)
-            self.tokens[token] = ids
-        return ids
-
-    def add(self, gram: str) -> int:
-        k = self.number.get(gram)
-        if k is None:
-            k = self.number[gram] = len(self.number)
-            if k >= len(self.order):
-                self.order = np.concatenate([self.order, np.zeros(k, dtype=object)])
-                self.rank = np.concatenate([self.rank, np.full((len(self.langs), k), -1, dtype=np.int32)], axis=1)
-            self.order[k] = gram
-            for i, lang in enumerate(self.langs):
-                self.rank[i, k] = self.learned[lang].get(gram, -1)
-        return k
-
-    def __call__(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.langs:
-            return "und", 0.0
-        if len(self.tokens) > _FLUSH:
-            self.reset()
-        counts = Counter(text.split())
-        parts = [self.grams(t) for t in counts]
-        ids = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        if not len(ids):
-            return "und", 0.0
-        n = np.bincount(ids, np.repeat(np.fromiter(counts.values(), np.int64, len(counts)), [len(p) for p in parts]))
-        seen = np.flatnonzero(n)
-        if len(seen) > self.size:
-            least = np.partition(n[seen], len(seen) - self.size)[len(seen) - self.size]
-            seen = seen[n[seen] >= least]
-        top = sorted(seen.tolist(), key=lambda k: (-n[k], self.order[k]))[: self.size]
-        rank = self.rank[:, top]
-        far = np.where(rank < 0, self.size, np.abs(rank - np.arange(len(top)))).sum(axis=1)
-        best = int(far.argmin())
-        return self.langs[best], float(1 - far[best] / (self.size * len(top)))
-
-
-def identify(docs: DataFrame, teach: Column, text_col: str = "text", lang_col: str = "lang", size: int = SIZE, orders: tuple[int, ...] = ORDERS) -> DataFrame:
+def identify(docs: DataFrame, teach: Column, text_col: str = "text", lang_col: str = "lang", size: int = SIZE) -> DataFrame:
     """Learn profiles from the rows where ``teach`` holds, then predict every row."""
-    return predict(docs, learn(docs.where(teach), text_col, lang_col, size, orders), text_col, size, orders)
+    return predict(docs, learn(docs.where(teach), text_col, lang_col, size), text_col, size)
