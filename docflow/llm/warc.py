@@ -70,10 +70,11 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0, max_file: int = MAX_F
     """
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     p = p.select("*", base32_sha1(F.col("html")).alias("payload_digest"), F.octet_length("html").cast("long").alias("payload_bytes"))
-    typed = resolve(p.select("page_id", "payload_digest", "payload_bytes"), min_bytes).select("page_id", "record_type", "refers_to").where("record_type = 'revisit'").distinct()
+    typed = resolve(p.select("page_id", "payload_digest", "payload_bytes"), min_bytes).select("page_id", "record_type", "refers_to").where("record_type = 'revisit'")
     total = pages.select(F.sum(F.octet_length(F.coalesce("html", F.lit(""))) + 500)).first()[0] or 0
-    dealt = p.repartition(max(1, -(-total // max_file)), "page_id")
-    full = dealt.join(typed, "page_id", "left").withColumn("record_type", F.coalesce("record_type", F.lit("response")))
+    files = max(1, -(-total // max_file))
+    # both sides are dealt alike, so the payloads are shuffled once
+    full = p.repartition(files, "page_id").join(typed.repartition(files, "page_id").dropDuplicates(["page_id"]), "page_id", "left").withColumn("record_type", F.coalesce("record_type", F.lit("response")))
     full.select(records(full).alias("value")).write.option("lineSep", EOL + EOL).option("compression", "gzip").text(path)
 
 
