@@ -26,14 +26,13 @@ from pyspark.sql import functions as F
 from .common import components, stored
 from .tokens import Hasher, mixed, runs
 
-DIMS, LEAF = 64, 32
+DIMS, LEAF, LEAD = 64, 32, 8
 
 
-def shingles(words: list[int], k: int) -> np.ndarray:
-    """Sorted distinct hashes of the k-word shingles (of the whole sequence where it is shorter)."""
-    if not words:
-        return np.zeros(0, np.uint64)
-    w = np.array(words, np.uint64)
+def shingles(w: np.ndarray, k: int) -> np.ndarray:
+    """Sorted distinct hashes of the k-word shingles (of the whole sequence where it is shorter) of hashed words."""
+    if not len(w):
+        return w
     n = max(1, len(w) - k + 1)
     grams = w[:n]
     for i in range(1, min(k, len(w))):
@@ -83,7 +82,22 @@ def points(s: np.ndarray, dims: int = DIMS) -> np.ndarray:
     return np.bincount(((s >> np.uint64(40)) % np.uint64(dims)).astype(np.int64), minlength=dims)
 
 
-SETS = "doc_id bigint, n_shingles bigint, set_id bigint, point binary, cells binary"
+def leads(keys: np.ndarray) -> tuple[bytes, bytes]:
+    """The first LEAD cells of a set, in its own class and in the one below, as 32 bits each; zeros where there are fewer."""
+    upper = (keys & np.uint64(1)).astype(bool)
+    out = []
+    for own in (keys[~upper], keys[upper]):
+        first = np.zeros(LEAD, "<u4")
+        first[: min(LEAD, len(own))] = short(own[:LEAD])
+        out.append(first.tobytes())
+    return out[0], out[1]
+
+
+def short(keys: np.ndarray) -> np.ndarray:
+    return (keys >> np.uint64(32)).astype("<u4") | np.uint32(1)
+
+
+SETS = "doc_id bigint, n_shingles bigint, set_id bigint, point binary, cells binary, lead binary, lead_low binary"
 
 
 def shingle_sets(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
@@ -94,14 +108,19 @@ def shingle_sets(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_
         for b in batches:
             for i in range(0, b.num_rows, 1000):
                 part = b.slice(i, 1000)
-                n, ids, pts, cel = [], [], [], []
-                for t in part.column(1).to_pylist():
-                    s = shingles(hasher(t), k)
+                n, ids, pts, cel, low, high = [], [], [], [], [], []
+                words, many = hasher(part.column(1).to_pylist())
+                for w in np.split(words, np.cumsum(many)[:-1]):
+                    s = shingles(w, k)
                     n.append(len(s))
                     ids.append(_set_id(s))
                     pts.append(points(s).astype("<u2" if len(s) < 1 << 16 else "<u4").tobytes() if len(s) else None)
-                    cel.append(cells(s, classes).tobytes() if len(s) else None)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(pts, pa.binary()), pa.array(cel, pa.binary())], names=["doc_id", "n_shingles", "set_id", "point", "cells"])
+                    keys = cells(s, classes) if len(s) else None
+                    cel.append(keys.tobytes() if len(s) else None)
+                    a, b_ = leads(keys) if len(s) else (None, None)
+                    high.append(a)
+                    low.append(b_)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), *(pa.array(x, pa.binary()) for x in (pts, cel, high, low))], names=["doc_id", "n_shingles", "set_id", "point", "cells", "lead", "lead_low"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SETS)
 
@@ -129,10 +148,17 @@ def _exploded(sets: DataFrame) -> DataFrame:
     return sets.where("cells is not null").select("set_id", "cells").mapInArrow(run, "cell bigint, set_id bigint, upper boolean")
 
 
-def search(n: np.ndarray, p: np.ndarray, upper: np.ndarray, side: np.ndarray | None, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+def first_here(a: np.ndarray, b: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    """Whether no leading cell that both share comes before this one: a pair is emitted by its first leading cell alone."""
+    same = (a == b) & (a != 0)
+    first = np.take_along_axis(a, same.argmax(axis=-1)[..., None], axis=-1)[..., 0]
+    return ~same.any(axis=-1) | (first == cell)
+
+
+def search(n: np.ndarray, p: np.ndarray, upper: np.ndarray, lead: np.ndarray, cell: np.uint32, side: np.ndarray | None, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of one subtree's points that pass the bound; ``side`` (0 or 1) restricts pairs to those across."""
     order = np.lexsort((p[:, 1], p[:, 0], n))
-    n, p, upper, side = n[order], p[order], upper[order], None if side is None else side[order]
+    n, p, upper, lead, side = n[order], p[order], upper[order], lead[order], None if side is None else side[order]
     edge = np.arange(0, len(n), LEAF)
     high, low_n, high_n = np.maximum.reduceat(p, edge), n[edge], np.maximum.reduceat(n, edge)
     out_a, out_b = [], []
@@ -152,6 +178,8 @@ def search(n: np.ndarray, p: np.ndarray, upper: np.ndarray, side: np.ndarray | N
             if side is not None:
                 ok &= side[rows, None] != side[None, cols]
             x, y = np.nonzero(ok)
+            own = first_here(lead[a + x], lead[b + y], cell)
+            x, y = x[own], y[own]
             out_a.append(order[a + x])
             out_b.append(order[b + y])
     none = np.zeros(0, np.int64)
@@ -161,7 +189,7 @@ def search(n: np.ndarray, p: np.ndarray, upper: np.ndarray, side: np.ndarray | N
 def candidates(rows: DataFrame, num: int, den: int, tiled: bool) -> DataFrame:
     """Candidate pairs (a, b) of ``rows (cell[, tile, side], set_id, upper, n_shingles, point)``, each cell searched as a subtree."""
     key = ["cell", "tile"] if tiled else ["cell"]
-    names = [*key, "set_id", "upper", "n_shingles", "point", *(["side"] if tiled else [])]
+    names = [*key, "set_id", "upper", "n_shingles", "point", "lead", *(["side"] if tiled else [])]
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -177,17 +205,19 @@ def candidates(rows: DataFrame, num: int, den: int, tiled: bool) -> DataFrame:
             upper = t.column("upper").to_numpy(zero_copy_only=False)
             side = t.column("side").to_numpy() if tiled else None
             p = np.stack([np.frombuffer(x, "<u2" if len(x) == 2 * DIMS else "<u4") for x in t.column("point").to_pylist()]).astype(np.int32)
+            lead = np.frombuffer(b"".join(t.column("lead").to_pylist()), "<u4").reshape(-1, LEAD)
+            brief = short(cell.view(np.uint64))
             a, b = [], []
             size = np.diff(edge)
             two = edge[:-1][size == 2]
             if len(two) and not tiled:
                 over = np.minimum(p[two], p[two + 1]).sum(axis=1)
-                ok = (over * (num + den) >= num * (n[two] + n[two + 1])) & ~(upper[two] & upper[two + 1])
+                ok = (over * (num + den) >= num * (n[two] + n[two + 1])) & ~(upper[two] & upper[two + 1]) & first_here(lead[two], lead[two + 1], brief[two])
                 a.append(ids[two[ok]]), b.append(ids[two[ok] + 1])
             for s, k in zip(edge[:-1], size):
                 if k > 2 or (tiled and k > 1):
                     e = slice(s, s + k)
-                    x, y = search(n[e], p[e], upper[e], side[e] if tiled and side[e].any() else None, num, den)
+                    x, y = search(n[e], p[e], upper[e], lead[e], brief[s], side[e] if tiled and side[e].any() else None, num, den)
                     a.append(ids[e][x]), b.append(ids[e][y])
             if a:
                 a, b = np.concatenate(a), np.concatenate(b)
@@ -221,7 +251,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10,
     """
     sets = stored(shingle_sets(docs, k, num, den, id_col, text_col), "jaccard-sets")
     own = sets.where("set_id is not null and doc_id is not null")
-    distinct = stored(own.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("point").alias("point")), "jaccard-distinct")
+    distinct = stored(own.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), *(F.first(c).alias(c) for c in ("point", "lead", "lead_low"))), "jaccard-distinct")
     entries = _exploded(own)
     live = stored(entries.groupBy("cell").agg(F.count("*").alias("n"), F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).where("lo <> hi").select("cell", "n"), "jaccard-cells")
     total = own.select(F.sum(F.length("cells") / 8)).first()[0] or 0
@@ -231,14 +261,16 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10,
     cold = live.where(F.col("n") <= hot_from).select("cell")
     normal = entries.join(F.broadcast(hot.select("cell")), "cell", "left_anti") if is_hot else entries
     members = normal.join(cold, "cell", "left_semi").distinct()
-    points_of = distinct.select("set_id", "n_shingles", "point")
-    pairs = candidates(members.join(points_of, "set_id"), num, den, False)
+    points_of = distinct.select("set_id", "n_shingles", "point", F.col("lead").alias("lead_own"), "lead_low")
+    lead = F.when(F.col("upper"), F.col("lead_low")).otherwise(F.col("lead_own")).alias("lead")
+    with_points = lambda d: d.join(points_of, "set_id").select("*", lead)
+    pairs = candidates(with_points(members), num, den, False)
     if is_hot:
         many = F.ceil(F.col("n") / F.lit(tile // 2)).cast("int")
         big = entries.join(F.broadcast(hot), "cell").distinct().withColumn("leaf", F.pmod(F.xxhash64("set_id"), many).cast("int"))
         other = F.explode(F.sequence(F.lit(0), many - 1)).alias("other")
         big = big.select("cell", "set_id", "upper", "leaf", other).withColumn("tile", F.least("leaf", "other") * F.lit(1 << 20).cast("long") + F.greatest("leaf", "other")).withColumn("side", F.when(F.col("leaf") > F.col("other"), 1).otherwise(0))
-        pairs = pairs.union(candidates(big.join(points_of, "set_id"), num, den, True)).distinct()
+        pairs = pairs.union(candidates(with_points(big), num, den, True)).distinct()
     pairs = stored(pairs, "jaccard-pairs")
     links = verified(docs, distinct, pairs, k, num, den, id_col, text_col)
     linked = components(links)
@@ -260,8 +292,11 @@ def verified(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, k: int, num
     def run(batches):
         hasher = Hasher()
         for b in batches:
-            got = [shingles(hasher(t), k).view(np.int64) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("set_id"), b.column("doc_id"), pa.array(got, pa.list_(pa.int64()))], names=["set_id", "doc_id", "s"])
+            for i in range(0, b.num_rows, 1000):
+                part = b.slice(i, 1000)
+                words, many = hasher(part.column("text").to_pylist())
+                got = [shingles(w, k).view(np.int64) for w in np.split(words, np.cumsum(many)[:-1])]
+                yield pa.RecordBatch.from_arrays([part.column("set_id"), part.column("doc_id"), pa.array(got, pa.list_(pa.int64()))], names=["set_id", "doc_id", "s"])
 
     full = stored(texts.mapInArrow(run, "set_id bigint, doc_id bigint, s array<bigint>").dropDuplicates(["set_id"]), "jaccard-full")
     left = full.select(F.col("set_id").alias("a"), F.col("doc_id").alias("ra"), F.col("s").alias("sa"))

@@ -4,14 +4,15 @@ Maximum-likelihood estimates of every order come from the counts of all training
 bucket (powers of two) are learned by expectation-maximisation on one fold of the training rows, whose counts are deleted
 from the estimates meanwhile.
 
-How it runs: rows are dealt into blocks of bounded size, each within one fold.  A block sends its distinct n-grams with their
-counts, as arrays, to buckets of n-gram hashes; a bucket adds up and sends back to each block only the totals that differ
-from the block's own counts.  A block then scores its texts with its own counts and those totals.  So what moves is the
-distinct n-grams of blocks, nothing is broadcast, and no group is larger than a block or a bucket.
-
-Null texts count as empty: one token, the end.  Rows with a null id belong to the fold of the text ``null``.
-Repeated rows each count and each get a score.  With no training row the model is uniform.  An empty table gives an empty
-result; extra columns are ignored.
+How it runs: rows are dealt into blocks of bounded size, each within one fold.  A first pass over the texts sends the n-grams
+of blocks with their counts, as arrays, to buckets of n-gram hashes.  A bucket adds up and tells each block, by a bit for
+each of its n-grams, which totals differ from the block's own counts, and those totals.  A block then scores its texts
+with its own counts and the totals told.  So what moves is the distinct n-grams of blocks, nothing is broadcast, and no
+group is larger than a block or a bucket.
+
+Single words go by hashes of 64 bits, longer n-grams by 48 bits.  Null texts count as empty: one token, the end.  Rows with a
+null id belong to the fold of the text ``null``.  Repeated rows each count and each get a score.  With no training row the
+model is uniform.  An empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,62 +24,82 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold, stored
-from .tokens import Hasher, mixed, runs
+from .tokens import Hasher, mixed, numbered
 
-START, END = (xxhash.xxh3_64_intdigest(x) for x in (b" start", b" end"))  # words hold no spaces
-BUCKET_KEYS, STEPS, LEVELS = 1_000_000, 8, 40
+START, END = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b" start", b" end"))  # words hold no spaces
+BUCKET_KEYS, STEPS, LEVELS, HELD_BYTES = 2_000_000, 8, 40, 40 << 20
 SCORES = "n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+FAMILIES = ("one", "more")  # single words; longer n-grams
+_SENT = "bucket bigint, block bigint, one binary, one_n binary, more binary, more_n binary"
+_TOLD = "block bigint, bucket bigint, v bigint, n bigint, nd bigint, one binary, one_t binary, one_d binary, more binary, more_t binary, more_d binary"
 
 
 class Block:
-    """The n-grams of a block's texts: for each order the key at every token, and of its context."""
-
-    def __init__(self, texts: list[str | None], order: int):
-        hasher, pads = Hasher(), order - 1
-        stream: list[int] = []
-        self.tokens = []
-        for t in texts:
-            words = hasher(t)
-            stream += [START] * max(pads, 1)
-            stream += words
-            stream.append(END)
-            self.tokens.append(len(words) + 1)
-        self.starts = np.concatenate([[0], np.cumsum(self.tokens)]).astype(np.int64)
-        one = np.array(stream, dtype=np.uint64)
-        real = np.ones(len(one), bool)
-        at = self.starts[:-1] + np.arange(len(texts)) * max(pads, 1)
-        for k in range(max(pads, 1)):
-            real[at + k] = False
-        self.at = np.flatnonzero(real)
-        first = at + max(pads, 1) - 1  # the last pad of each text stands for the empty context
-        self.keys, self.inner = [], []
-        grams = one
+    """The n-grams of texts: the distinct keys of each family, sorted, and for each order the place of every token's n-gram."""
+
+    def __init__(self, texts: list[str | None], order: int, hasher: Hasher):
+        words, many = hasher(texts)
+        pads = max(order - 1, 1)
+        size = many + pads + 1
+        start = np.cumsum(size) - size
+        stream = np.full(int(size.sum()), START, np.uint64)
+        stream[np.repeat(start + pads - (np.cumsum(many) - many), many) + np.arange(len(words))] = words
+        stream[start + size - 1] = END
+        real = np.ones(len(stream), bool)
+        for k in range(pads):
+            real[start + k] = False
+        inner = real.copy()
+        inner[start + pads - 1] = True  # the last pad stands for the empty context
+        self.tokens, self.at, self.order = many + 1, np.flatnonzero(real), order
+        self.places, grams, longer = [], stream, []
         for k in range(1, order + 1):
             if k > 1:
-                grams = np.concatenate([grams[:1], mixed(grams[:-1], one[1:])])
-            tagged = (grams & ~np.uint64(7)) | np.uint64(k)
-            self.keys.append(tagged[self.at])
-            self.inner.append(tagged[first] if k < order else tagged[:0])
-        # the context of order k at a token is the (k-1)-gram that ends just before it
-        self.contexts, grams = [], one
+                grams = np.concatenate([grams[:1], mixed(grams[:-1], stream[1:])])
+            where = np.flatnonzero(inner if k < order or k == 1 else real)
+            if k == 1:
+                self.one, place = numbered(grams[where])
+            else:
+                longer.append(grams[where] >> np.uint64(16))
+                place = where
+            full = np.full(len(stream), -1, np.int64)
+            full[where] = place
+            self.places.append(full)
+        self.more, place = numbered(np.concatenate(longer) if longer else np.zeros(0, np.uint64))
+        done = 0
         for k in range(2, order + 1):
-            tagged = (grams & ~np.uint64(7)) | np.uint64(k - 1)
-            self.contexts.append(tagged[self.at - 1])
-            grams = np.concatenate([grams[:1], mixed(grams[:-1], one[1:])])
+            full = self.places[k - 1]
+            where = full >= 0
+            here = int(where.sum())
+            full[where] = place[done : done + here]
+            done += here
+        self.one_n = np.bincount(self.places[0][self.places[0] >= 0], minlength=len(self.one))
+        self.more_n = np.bincount(place, minlength=len(self.more))
 
-    def counted(self) -> tuple[np.ndarray, np.ndarray]:
-        keys = np.sort(np.concatenate([*self.keys, *self.inner]))
-        first = runs(keys)
-        return keys[first], np.diff(np.append(first, len(keys)))
+    def edges(self, family: str, bits: int) -> np.ndarray:
+        width = 64 if family == "one" else 48
+        return np.append(np.searchsorted(getattr(self, family), np.arange(1 << bits, dtype=np.uint64) << np.uint64(width - bits)), len(getattr(self, family)))
 
 
-_START_KEY = (np.uint64(START) & ~np.uint64(7)) | np.uint64(1)
+def _small(x: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes each as the largest needs, after a byte that says how many."""
+    top = int(x.max()) if len(x) else 0
+    width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
+    return bytes([width]) + x.astype(f"<u{width}").tobytes()
 
 
-def _blocks(docs: DataFrame, folds: int, block_bytes: int) -> DataFrame:
-    total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    many = max(1, -(-total // (folds * block_bytes)))
-    return docs.withColumn("block", (F.col("fold") + folds * F.pmod(F.xxhash64("doc_id", "text"), F.lit(many))).cast("long")), total
+def _wide(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.uint64)
+
+
+def _packed(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences."""
+    return _small(np.diff(keys, prepend=np.uint64(0))[1:]) + (keys[0].tobytes() if len(keys) else b"")
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    if len(raw) == 1:
+        return np.zeros(0, np.uint64)
+    return np.cumsum(np.concatenate([np.frombuffer(raw[-8:], "<u8"), _wide(raw[:-8])]), dtype=np.uint64)
 
 
 def score(docs: DataFrame, order: int = 2, folds: int = 7, held_out: int = 2, deleted: int = 3, block_bytes: int = 12 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -89,96 +110,123 @@ def score(docs: DataFrame, order: int = 2, folds: int = 7, held_out: int = 2, de
     driver sees.
     """
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), fold(F.col(id_col), folds).cast("int").alias("fold"))
-    d, total = _blocks(d, folds, block_bytes)
-    bits = max(8, int(np.ceil(np.log2(max(1, order * total / 6 / BUCKET_KEYS)))))
-
-    def send(t: pa.Table) -> pa.Table:
-        keys, counts = Block(t.column("text").to_pylist(), order).counted()
-        edge = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).tolist() + [len(keys)]
-        used = [i for i in range(1 << bits) if edge[i] < edge[i + 1]]
-        return pa.table({
-            "bucket": pa.array(used, pa.int64()), "block": pa.array([t.column("block")[0].as_py()] * len(used), pa.int64()),
-            "keys": pa.array([keys[edge[i] : edge[i + 1]].tobytes() for i in used], pa.binary()),
-            "counts": pa.array([counts[edge[i] : edge[i + 1]].astype("<u4").tobytes() for i in used], pa.binary()),
-        })
+    total = d.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    many = max(1, -(-total // (folds * block_bytes)))
+    d = d.withColumn("block", (F.col("fold") + folds * F.pmod(F.xxhash64("doc_id", "text"), F.lit(many))).cast("long"))
+    bits = min(20, max(8, int(np.ceil(np.log2(max(1, order * total / 6 / BUCKET_KEYS))))))
+
+    def send(batches):
+        hasher = Hasher()
+        held: dict[int, list[str]] = {}
+        size = 0
+
+        def out():
+            for number, texts in held.items():
+                b = Block(texts, order, hasher)
+                one, more = b.edges("one", bits).tolist(), b.edges("more", bits).tolist()
+                used = [i for i in range(1 << bits) if one[i] < one[i + 1] or more[i] < more[i + 1]]
+                cut = lambda x, e, f: pa.array([f(x[e[i] : e[i + 1]]) for i in used], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([number] * len(used), pa.int64()), cut(b.one, one, _packed), cut(b.one_n, one, _small), cut(b.more, more, _packed), cut(b.more_n, more, _small)], names=["bucket", "block", "one", "one_n", "more", "more_n"])
+
+        for batch in batches:
+            for number, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held.setdefault(number, []).append(text)
+                size += len(text)
+            if size > HELD_BYTES:
+                yield from out()
+                held.clear()
+                size = 0
+        yield from out()
 
     def add(t: pa.Table) -> pa.Table:
-        blocks = t.column("block").to_pylist()
-        keys = [np.frombuffer(x, "<u8") for x in t.column("keys").to_pylist()]
-        counts = [np.frombuffer(x, "<u4").astype(np.int64) for x in t.column("counts").to_pylist()]
-        every, at = np.unique(np.concatenate(keys), return_inverse=True)
-        own_t = np.concatenate([c if b % folds != held_out else c * 0 for b, c in zip(blocks, counts)])
-        own_d = np.concatenate([c if b % folds == deleted else c * 0 for b, c in zip(blocks, counts)])
-        all_t, all_d = (np.bincount(at, x, len(every)).astype(np.int64) for x in (own_t, own_d))
-        words = (every & np.uint64(7) == 1) & (every != _START_KEY)
-        out = [(-1, int((words & (all_t > 0)).sum()), int(all_t[words].sum()), int(all_d[words].sum()), None, None, None)]
-        edge = np.cumsum([0, *map(len, keys)])
-        tell = (all_t[at] != own_t) | (all_d[at] != own_d)
-        for i, b in enumerate(blocks):
-            here = np.flatnonzero(tell[edge[i] : edge[i + 1]])
-            if len(here):
-                k = at[edge[i] : edge[i + 1]][here]
-                out.append((b, None, None, None, every[k].tobytes(), all_t[k].astype("<u4" if all_t[k].max() < 1 << 32 else "<u8").tobytes(), all_d[k].astype("<u4" if all_t[k].max() < 1 << 32 else "<u8").tobytes()))
-        cols = list(zip(*out))
-        return pa.table({n: pa.array(c, k) for n, c, k in zip(("block", "v", "n", "nd", "keys", "t", "d"), cols, [pa.int64()] * 4 + [pa.binary()] * 3)})
-
-    sent = d.select("block", "text").groupBy("block").applyInArrow(send, "bucket bigint, block bigint, keys binary, counts binary")
-    back = stored(sent.groupBy("bucket").applyInArrow(add, "block bigint, v bigint, n bigint, nd bigint, keys binary, t binary, d binary"), "lm-counts")
+        blocks, back = np.unique(t.column("block").to_numpy(), return_inverse=True)
+        bucket = t.column("bucket")[0].as_py()
+        told = {int(b): [int(b), bucket, None, None, None] for b in blocks}
+        facts = [-1, bucket, 0, 0, 0] + [None] * 6
+        for family in FAMILIES:
+            keys = [_unpacked(x) for x in t.column(family).to_pylist()]
+            counts = np.concatenate([_wide(x) for x in t.column(f"{family}_n").to_pylist()]).astype(np.int64)
+            every, at = numbered(np.concatenate(keys))
+            # sums of each block's own counts: a block's rows come from several tasks
+            pair, place = numbered((np.repeat(back, [len(k) for k in keys]) * max(len(every), 1) + at).astype(np.uint64))
+            own = np.bincount(place, counts, len(pair)).astype(np.int64)
+            block, key = (pair // max(len(every), 1)).astype(np.int64), (pair % max(len(every), 1)).astype(np.int64)
+            own_t, own_d = np.where(blocks[block] % folds != held_out, own, 0), np.where(blocks[block] % folds == deleted, own, 0)
+            all_t, all_d = (np.bincount(key, x, len(every)).astype(np.int64) for x in (own_t, own_d))
+            if family == "one":
+                words = every != START
+                facts[2:5] = [int((words & (all_t > 0)).sum()), int(all_t[words].sum()), int(all_d[words].sum())]
+            tell = (all_t[key] != own_t) | (all_d[key] != own_d)
+            edge = np.searchsorted(block, np.arange(len(blocks) + 1))
+            for i, b in enumerate(blocks.tolist()):
+                e = slice(edge[i], edge[i + 1])
+                k = key[e][tell[e]]
+                told[b] += [np.packbits(tell[e]).tobytes(), _small(all_t[k]), _small(all_d[k])]
+        cols = list(zip(facts, *told.values()))
+        names = [x.split()[0] for x in _TOLD.split(", ")]
+        return pa.table({n: pa.array(c, pa.int64() if i < 5 else pa.binary()) for i, (n, c) in enumerate(zip(names, cols))})
+
+    sent = d.select("block", "text").mapInArrow(send, _SENT)
+    back = stored(sent.groupBy("bucket").applyInArrow(add, _TOLD), "lm-counts")
     v, n, nd = (x or 0 for x in back.where("block = -1").agg(F.sum("v"), F.sum("n"), F.sum("nd")).first())
-    slices = back.where("block >= 0").select("block", "keys", "t", "d")
+    slices = back.where("block >= 0").drop("v", "n", "nd")
 
     def bins(texts: pa.Table, counts: pa.Table) -> pa.Table:
-        b = _Counts(texts, counts, order, folds, held_out, deleted)
-        ps, seen = b.estimates(n - nd, v, without_deleted=True)
-        q = [np.where(p > 0, np.clip(np.round(-np.log2(np.where(p > 0, p, 1)) * STEPS), 0, LEVELS * STEPS - 1), -1).astype(np.int64) for p in ps[1:]]
+        if not texts.num_rows:
+            return pa.table({"code": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
+        ps, seen = _Counts(texts, counts, order, folds, held_out, deleted, bits).estimates(n - nd, v, without_deleted=True)
         code = _bucket(seen)
-        for x in q:
-            code = code * (LEVELS * STEPS + 1) + x + 1
-        code, many = np.unique(code, return_counts=True)
-        return pa.table({"code": pa.array(code, pa.int64()), "n": pa.array(many, pa.int64())})
+        for p in ps[1:]:
+            q = np.where(p > 0, np.clip(np.round(-np.log2(np.where(p > 0, p, 1)) * STEPS), 0, LEVELS * STEPS - 1), -1).astype(np.int64)
+            code = code * (LEVELS * STEPS + 1) + q + 1
+        code, times = np.unique(code, return_counts=True)
+        return pa.table({"code": pa.array(code, pa.int64()), "n": pa.array(times, pa.int64())})
 
     held = d.where(F.col("fold") == deleted).select("block", "text").groupBy("block")
     got = held.cogroup(slices.where(F.pmod("block", F.lit(folds)) == deleted).groupBy("block")).applyInArrow(bins, "code bigint, n bigint")
     rows = got.groupBy("code").agg(F.sum("n").alias("n")).toPandas()
     weights = maximised(rows["code"].to_numpy(np.int64), rows["n"].to_numpy(float), order, 1 / (v + 1))
+    key = d.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {key}, held_out boolean, {SCORES}"
 
     def judge(texts: pa.Table, counts: pa.Table) -> pa.Table:
-        b = _Counts(texts, counts, order, folds, held_out, deleted)
-        ps, seen = b.estimates(n, v)
-        p = (weights[_bucket(seen)] * np.stack(ps, axis=1)).sum(axis=1)
-        base = np.log10((b.count[0] + 1) / (n + v + 1))
-        at = b.block.starts[:-1]
+        c = _Counts(texts, counts, order, folds, held_out, deleted, bits)
+        ps, seen = c.estimates(n, v)
+        w = weights[_bucket(seen)]
+        p = sum(w[:, k] * x for k, x in enumerate(ps))
+        base = np.log10((c.count[0] + 1) / (n + v + 1))
+        at = np.cumsum(c.block.tokens) - c.block.tokens
         add_up = lambda x: np.add.reduceat(x, at) if len(at) else x
-        tokens = np.array(b.block.tokens, np.int64)
         return pa.table({
             "doc_id": texts.column("doc_id"), "held_out": pa.array([x == held_out for x in texts.column("fold").to_pylist()], pa.bool_()),
-            "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(add_up((b.count[0] > 0).astype(np.int64)), pa.int64()),
-            "train_tokens": pa.array(np.full(len(tokens), n), pa.int64()), "base_score": pa.array(add_up(base), pa.float64()), "score": pa.array(add_up(np.log10(p)), pa.float64()),
+            "n_tokens": pa.array(c.block.tokens, pa.int64()), "n_known": pa.array(add_up((c.count[0] > 0).astype(np.int64)), pa.int64()),
+            "train_tokens": pa.array(np.full(len(at), n), pa.int64()), "base_score": pa.array(add_up(base), pa.float64()), "score": pa.array(add_up(np.log10(p)), pa.float64()),
         })
 
-    key = d.schema["doc_id"].dataType.simpleString()
-    return d.groupBy("block").cogroup(slices.groupBy("block")).applyInArrow(judge, f"doc_id {key}, held_out boolean, {SCORES}")
+    return d.groupBy("block").cogroup(slices.groupBy("block")).applyInArrow(judge, schema)
 
 
 class _Counts:
-    """A block with the totals of its n-grams: its own counts where nothing came back."""
+    """A block with the totals of its n-grams: its own counts where nothing was told."""
 
-    def __init__(self, texts: pa.Table, counts: pa.Table, order: int, folds: int, held_out: int, deleted: int):
-        self.block = b = Block(texts.column("text").to_pylist(), order)
+    def __init__(self, texts: pa.Table, counts: pa.Table, order: int, folds: int, held_out: int, deleted: int, bits: int):
+        self.block = b = Block(texts.column("text").to_pylist(), order, Hasher())
         self.order = order
         mine = texts.column("block")[0].as_py() % folds if texts.num_rows else held_out
-        keys, own = b.counted()
-        total, gone = (own if mine != held_out else own * 0), (own if mine == deleted else own * 0)
-        if counts.num_rows:
-            told = [np.concatenate([np.frombuffer(x, "<u8" if name == "keys" or len(x) == len(k) else "<u4") for x, k in zip(counts.column(name).to_pylist(), counts.column("keys").to_pylist())]) for name in ("keys", "t", "d")]
-            at = np.searchsorted(keys, told[0])
-            total, gone = total.copy(), gone.copy()
-            total[at], gone[at] = told[1], told[2]
-        find = lambda x: np.searchsorted(keys, x)
-        self.count = [total[find(k)] for k in b.keys]
-        self.gone = [gone[find(k)] for k in b.keys]
-        self.context = [total[find(k)] for k in b.contexts]
-        self.context_gone = [gone[find(k)] for k in b.contexts]
+        total, gone = {}, {}
+        for family in FAMILIES:
+            own = getattr(b, f"{family}_n")
+            total[family], gone[family] = (own.copy() if mine != held_out else own * 0), (own.copy() if mine == deleted else own * 0)
+            edge = b.edges(family, bits)
+            for bucket, mask, t, d in zip(*(counts.column(x).to_pylist() for x in ("bucket", family, f"{family}_t", f"{family}_d"))):
+                at = edge[bucket] + np.flatnonzero(np.unpackbits(np.frombuffer(mask, np.uint8), count=int(edge[bucket + 1] - edge[bucket])))
+                total[family][at], gone[family][at] = _wide(t), _wide(d)
+        here, before = [p[b.at] for p in b.places], [p[b.at - 1] for p in b.places]
+        name = lambda k: FAMILIES[k > 1]
+        self.count = [total[name(k)][here[k - 1]] for k in range(1, order + 1)]
+        self.gone = [gone[name(k)][here[k - 1]] for k in range(1, order + 1)]
+        self.context = [total[name(k - 1)][before[k - 2]] for k in range(2, order + 1)]
+        self.context_gone = [gone[name(k - 1)][before[k - 2]] for k in range(2, order + 1)]
 
     def estimates(self, n: int, v: int, without_deleted: bool = False):
         """Per order, from 0 (uniform), the estimate at each token; and how often the longest context was seen."""

@@ -13,6 +13,7 @@ once for each row.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 import zlib
 from functools import lru_cache
 
@@ -22,42 +23,126 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import LOWER
+
+_STOP = re.compile(rb"([a-z0-9])([.,])(?=[\x20\x09-\x0D])")
 TIERS = (2048, 1024, 512, 256)
 FIELDS = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, tier bigint, step_group bigint"
 
 
 @lru_cache(2)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
+def _encoder(path: str) -> "Encoder":
+    """One for each worker process: what it remembers serves its later tasks."""
+    return Encoder(path)
+
+
+class _Numbers(dict):
+    """Numbers words as they are first asked for."""
 
-    return Tokenizer.from_file(path)
+    def __init__(self):
+        super().__init__()
+        self.next, self.fresh = 1, []
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = self.next
+        self.next += 1
+        self.fresh.append(word)
+        return n
 
 
 class Encoder:
-    """Ids of texts.  This tokenizer drops white space, so words are encoded once and remembered, up to a bound."""
+    """Ids of texts.  This tokenizer drops white space, so words are encoded once and remembered, up to a bound.
+
+    An unknown word is cut behind its leading letters where an ASCII character follows (always a border of the
+    tokenizer's own pre-tokens), and its parts, in lower case, are remembered too.  Remembered ids lie in one flat
+    array, so that texts are put together by gathering.
+    """
+
+    def __init__(self, path: str, end: int = 1, bound: int = 400_000):
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.end, self.bound = Tokenizer.from_file(path), end, bound
+        vocab = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocab.values()) + 1, bool)
+        self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.parts: dict[str, list[int]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = _Numbers()
+        self.flat, self.size = np.array([self.end], "<u4"), np.array([1], np.int64)  # place 0 is the end token
+        self.start = np.array([0], np.int64)
+
+    @staticmethod
+    def _words(text: str | None) -> list[bytes]:
+        """White-space words in lower case; a full stop or comma behind an ASCII letter or digit is a word of its own."""
+        raw = (text or "").encode("utf-8", "surrogatepass")
+        if b"<|" in raw:
+            return raw.split()
+        return _STOP.sub(rb"\1 \2", raw.translate(LOWER)).split()
+
+    def _cut(self, word: bytes) -> tuple[str, ...]:
+        w = word.decode("utf-8", "surrogatepass")
+        if "<|" in w:  # may be a special token, which is matched as written
+            return (w,)
+        low = w.lower() if w.isascii() else w
+        if low.isalpha():
+            return (low,)
+        n = 0
+        while low[n].isalpha():
+            n += 1
+        return (low[:n], low[n:]) if n and low[n].isascii() else (low,)
 
-    def __init__(self, path: str, end: int = 1, bound: int = 200_000):
-        self.tokenizer, self.end, self.bound, self.known = _tokenizer(path), end, bound, {}
+    def _encode(self, parts: list[str]) -> None:
+        plain = [p for p in parts if p.isalpha()]
+        for i in range(0, len(plain), 20_000):  # runs of letters are one pre-token each: one call, cut behind closing ids
+            some = plain[i : i + 20_000]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, np.int64)
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) == len(some):
+                flat, at = ids.tolist(), 0
+                for p, e in zip(some, ends.tolist()):
+                    self.parts[p] = flat[at:e]
+                    at = e
+        left = [p for p in parts if p not in self.parts]
+        for i in range(0, len(left), 20_000):
+            some = left[i : i + 20_000]
+            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                self.parts[p] = e.ids
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.known) > self.bound:
-            self.known.clear()
+            self._forget()
+        if len(self.parts) > self.bound:
+            self.parts.clear()
         known = self.known
-        split = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-        fresh = list({w for words in split for w in words if w not in known})
-        long = {}
-        for i in range(0, len(fresh), 50_000):
-            part = fresh[i : i + 50_000]
-            for w, e in zip(part, self.tokenizer.encode_batch([w.decode("utf-8", "surrogatepass") for w in part], add_special_tokens=False)):
-                (known if len(w) <= 64 else long)[w] = e.ids
-        out = []
-        for words in split:
-            ids: list[int] = []
-            for w in words:
-                ids += known[w] if w in known else long[w]
-            ids.append(self.end)
-            out.append(np.array(ids, dtype="<u4"))
-        return out
+        place: list[int] = []
+        for t in texts:
+            place += map(known.__getitem__, self._words(t))
+            place.append(0)
+        fresh, known.fresh = known.fresh, []
+        cut = [self._cut(w) for w in fresh]
+        self._encode(list({p for ps in cut for p in ps if p not in self.parts}))
+        ids: list[int] = []
+        sizes = []
+        for ps in cut:
+            before = len(ids)
+            for p in ps:
+                ids += self.parts[p]
+            sizes.append(len(ids) - before)
+        self.flat = np.concatenate([self.flat, np.array(ids, "<u4")])
+        self.size = np.concatenate([self.size, np.array(sizes, np.int64)])
+        self.start = np.cumsum(self.size) - self.size
+        at = np.array(place, np.int64)
+        size = self.size[at]
+        ends = np.cumsum(size)
+        whole = self.flat[np.repeat(self.start[at] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+        stops = ends[np.flatnonzero(at == 0)]
+        for w in [w for w in fresh if len(w) > 256]:
+            del known[w]
+        for p in [p for ps in cut for p in ps if len(p) > 256]:
+            self.parts.pop(p, None)
+        return np.split(whole, stops[:-1])
 
 
 def pack(lengths: list[int], tiers: tuple[int, ...] = TIERS) -> list[tuple[int, list[tuple[int, int, int]]]]:
@@ -136,7 +221,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     names = [f.split()[0] for f in FIELDS.split(", ")]
 
     def run(batches):
-        encode, part = Encoder(tokenizer), TaskContext.get().partitionId()
+        encode, part = _encoder(tokenizer), TaskContext.get().partitionId()
         keys, ids, held, sequence, group = [], [], 0, 0, 0
 
         def out():

@@ -11,24 +11,28 @@ _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.ui
 
 
 class Hasher:
-    """Hashes of a text's lower-cased (A-Z) words; remembers words, up to a bound."""
+    """Hashes of texts' lower-cased (A-Z) words; remembers words, up to a bound."""
 
     def __init__(self, bound: int = 300_000):
-        self.known: dict[bytes, int] = {}
         self.bound = bound
+        self.known: dict[bytes, int] = {}
+        self.table = np.zeros(0, np.uint64)
 
-    def __call__(self, text: str | None) -> list[int]:
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of all words of all texts, one after the other, and the number of words of each text."""
+        if len(self.known) > self.bound:
+            self.known.clear()
+            self.table = np.zeros(0, np.uint64)
         known = self.known
-        if len(known) > self.bound:
-            known.clear()
-        words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
-        try:
-            return [known[w] for w in words]
-        except KeyError:
-            for w in words:
-                if w not in known:
-                    known[w] = xxhash.xxh3_64_intdigest(w)
-            return [known[w] for w in words]
+        split = [(t or "").encode("utf-8", "surrogatepass").translate(LOWER).split() for t in texts]
+        fresh = list({w for words in split for w in words if w not in known})
+        if fresh:
+            known.update(zip(fresh, range(len(self.table), len(self.table) + len(fresh))))
+            self.table = np.concatenate([self.table, np.array([xxhash.xxh3_64_intdigest(w) for w in fresh], np.uint64)])
+        at: list[int] = []
+        for words in split:
+            at += [known[w] for w in words]
+        return self.table[np.array(at, np.int64)] if at else np.zeros(0, np.uint64), np.array([len(w) for w in split], np.int64)
 
 
 def mixed(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -44,3 +48,14 @@ def runs(sorted_keys: np.ndarray) -> np.ndarray:
     if not len(sorted_keys):
         return np.zeros(0, np.int64)
     return np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]]))
+
+
+def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys, and for each key its place among them."""
+    order = np.argsort(keys)
+    sorted_keys = keys[order]
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = sorted_keys[1:] != sorted_keys[:-1]
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.cumsum(fresh) - 1
+    return sorted_keys[fresh], place
