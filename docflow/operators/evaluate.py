@@ -21,14 +21,17 @@ def normalized(c: Column, keep_diacritics: bool) -> Column:
 def similarity(a: Column, b: Column) -> Column:
     """1 less the edit distance over the larger length; two empty strings are equal."""
     longest = F.greatest(F.length(a), F.length(b))
-    return F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longest)
+    return F.when(a == b, 1.0).otherwise(1 - F.levenshtein(a, b) / longest)
 
 
 def score_accuracy(hypothesis: DataFrame, truth: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
     """Join ``hypothesis (keys, text, by)`` with ``truth (keys, text)`` → ``(by, n, raw, folded)``: mean similarities."""
     j = hypothesis.withColumnRenamed("text", "h").join(truth.select(*keys, F.col("text").alias("t")), keys)
-    for name, keep in (("raw", True), ("folded", False)):
-        j = j.withColumn(name, similarity(normalized(F.col("h"), keep), normalized(F.col("t"), keep)))
+    for side in ("h", "t"):
+        j = j.withColumn(f"{side}_raw", normalized(F.col(side), True)).withColumn(f"{side}_folded", normalized(F.col(side), False))
+    j = j.withColumn("raw", similarity(F.col("h_raw"), F.col("t_raw")))
+    same = (F.col("h_raw") == F.col("h_folded")) & (F.col("t_raw") == F.col("t_folded"))  # nothing to fold: measure once
+    j = j.withColumn("folded", F.when(same, F.col("raw")).otherwise(similarity(F.col("h_folded"), F.col("t_folded"))))
     return j.groupBy(*by).agg(F.count("*").alias("n"), F.avg("raw").alias("raw"), F.avg("folded").alias("folded"))
 
 

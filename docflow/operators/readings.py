@@ -149,7 +149,8 @@ def logical_order(lines: DataFrame, keys: str = LINE) -> DataFrame:
         k AS (SELECT *, c rlike r'{strong}' AS ltr FROM c),
         j AS (SELECT *, ltr OR (c rlike '[.,:/+ -]' AND coalesce(lag(ltr) OVER w, false) AND coalesce(lead(ltr) OVER w, false)) AS inside FROM k WINDOW w AS (PARTITION BY {keys} ORDER BY pos)),
         i AS (SELECT *, sum(CASE WHEN inside THEN 0 ELSE 1 END) OVER (PARTITION BY {keys} ORDER BY pos) AS island FROM j),
-        r AS (SELECT {keys}, CASE WHEN inside THEN min(pos) OVER w + max(pos) OVER w - pos ELSE pos END AS pos, c FROM i WINDOW w AS (PARTITION BY {keys}, inside, island))
+        e AS (SELECT *, min(pos) OVER (PARTITION BY {keys}, inside, island) AS lo, max(pos) OVER (PARTITION BY {keys}, inside, island) AS hi FROM i),
+        r AS (SELECT {keys}, CASE WHEN inside THEN lo + hi - pos ELSE pos END AS pos, c FROM e)
         SELECT {keys}, array_join(transform(array_sort(collect_list(struct(pos, c))), s -> s.c), '') AS text FROM r GROUP BY {keys}
         UNION ALL SELECT {keys}, text FROM {{lines}} WHERE NOT text rlike r'{RTL}'
         """,

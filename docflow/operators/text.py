@@ -113,7 +113,7 @@ def suggest_titles(docs: DataFrame) -> DataFrame:
         x AS (SELECT doc_id, pos, i, word FROM b LATERAL VIEW posexplode(words) e AS i, word WHERE pos = -1 OR have < 3),
         f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(word) ORDER BY pos, i) AS seen FROM x),
         r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos, i) AS nth FROM f WHERE seen = 1),
-        j AS (SELECT doc_id, array_join(transform(array_sort(collect_list(struct(nth, CASE WHEN word rlike r'\p{Lu}' THEN word ELSE concat(upper(substring(word, 1, 1)), substring(word, 2)) END AS w))), s -> s.w), ' ') AS name
+        j AS (SELECT doc_id, array_join(transform(array_sort(collect_list(struct(nth, CASE WHEN word rlike r'\p{Lu}' THEN word ELSE concat(CASE WHEN startswith(word, 'ß') THEN 'ẞ' ELSE upper(substring(word, 1, 1)) END, substring(word, 2)) END AS w))), s -> s.w), ' ') AS name
               FROM r WHERE nth <= 4 GROUP BY doc_id)
         SELECT d.doc_id, CASE WHEN name IS NULL OR name = '' THEN 'Scanned Document' WHEN length(name) <= 60 THEN name ELSE trim(regexp_replace(substring(name, 1, 60), ' [^ ]*$', '')) END AS title
         FROM (SELECT DISTINCT doc_id FROM {docs}) d LEFT JOIN j ON j.doc_id = d.doc_id

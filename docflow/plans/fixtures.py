@@ -68,8 +68,8 @@ VIEWS: dict[str, str | tuple[str, str]] = {
         "SELECT 1 AS unused",
     ),
     "md_docs": (
-        r"""SELECT l_orderkey AS doc_id, concat('# Order ', CAST(l_orderkey AS STRING), '\n\nDue **now**\n\n| Part | Qty |\n| --- | --- |\n', listagg(concat('| **', CAST(l_partkey AS STRING), '** | ', CAST(CAST(l_quantity AS BIGINT) AS STRING), ' |'), '\n') WITHIN GROUP (ORDER BY l_linenumber, l_partkey), '\n\n- [x] paid\n1. thanks\n') AS text FROM lineitem GROUP BY l_orderkey""",
-        """SELECT l_orderkey AS doc_id, concat('# Order ', CAST(l_orderkey AS VARCHAR), chr(10)||chr(10)||'Due **now**'||chr(10)||chr(10)||'| Part | Qty |'||chr(10)||'| --- | --- |'||chr(10), string_agg(concat('| **', CAST(l_partkey AS VARCHAR), '** | ', CAST(CAST(l_quantity AS BIGINT) AS VARCHAR), ' |'), chr(10) ORDER BY l_linenumber, l_partkey), chr(10)||chr(10)||'- [x] paid'||chr(10)||'1. thanks'||chr(10)) AS text FROM lineitem GROUP BY l_orderkey""",
+        r"""SELECT l_orderkey AS doc_id, concat('# Order ', CAST(l_orderkey AS STRING), '\n\nDue **now**\n\n| Part | Qty |\n| --- | --- |\n', listagg(concat('| **', CAST(l_partkey AS STRING), '** | ', CAST(CAST(l_quantity AS BIGINT) AS STRING), ' |'), '\n') WITHIN GROUP (ORDER BY l_linenumber, l_partkey, l_quantity), '\n\n- [x] paid\n1. thanks\n') AS text FROM lineitem GROUP BY l_orderkey""",
+        """SELECT l_orderkey AS doc_id, concat('# Order ', CAST(l_orderkey AS VARCHAR), chr(10)||chr(10)||'Due **now**'||chr(10)||chr(10)||'| Part | Qty |'||chr(10)||'| --- | --- |'||chr(10), string_agg(concat('| **', CAST(l_partkey AS VARCHAR), '** | ', CAST(CAST(l_quantity AS BIGINT) AS VARCHAR), ' |'), chr(10) ORDER BY l_linenumber, l_partkey, l_quantity), chr(10)||chr(10)||'- [x] paid'||chr(10)||'1. thanks'||chr(10)) AS text FROM lineitem GROUP BY l_orderkey""",
     ),
     "chunks": "SELECT conv_id AS response_id, turn AS seq, CASE WHEN turn=0 THEN 'data: <think>plan</think>' WHEN turn=5 THEN 'data: [DONE]' WHEN turn=2 THEN ': keep-alive' ELSE concat('data: ', text) END AS payload FROM conversations",
     "history": "SELECT source AS owner, CAST(doc_id AS VARCHAR(20)) AS id, text, doc_id*1000 AS ts_ms FROM documents",

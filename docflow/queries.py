@@ -117,7 +117,7 @@ def _(docs):
 
 
 @query("markdown_tables", "md_docs", sql="""
-    WITH l AS (SELECT doc_id, l_partkey, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS row FROM (SELECT l_orderkey AS doc_id, * FROM lineitem)),
+    WITH l AS (SELECT doc_id, l_partkey, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) AS row FROM (SELECT l_orderkey AS doc_id, * FROM lineitem)),
     a AS (SELECT doc_id, 0 AS row, 0 AS col, 'Part' AS value FROM (SELECT DISTINCT doc_id FROM l) UNION ALL SELECT doc_id, 0, 1, 'Qty' FROM (SELECT DISTINCT doc_id FROM l)
           UNION ALL SELECT doc_id, row, 0, l_partkey::VARCHAR FROM l UNION ALL SELECT doc_id, row, 1, l_quantity::BIGINT::VARCHAR FROM l)
     SELECT doc_id, 0::BIGINT AS table_no, row::BIGINT AS row, col::BIGINT AS col, value FROM a""")
@@ -132,7 +132,7 @@ def _(docs):
 
 
 @query("plain_text", "md_docs", sql="""
-    WITH l AS (SELECT l_orderkey AS doc_id, l_partkey::VARCHAR AS p, l_quantity::BIGINT::VARCHAR AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS row FROM lineitem),
+    WITH l AS (SELECT l_orderkey AS doc_id, l_partkey::VARCHAR AS p, l_quantity::BIGINT::VARCHAR AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) AS row FROM lineitem),
     w AS (SELECT *, greatest(4, max(length(p)) OVER (PARTITION BY doc_id)) AS wide FROM l)
     SELECT doc_id, 'Order ' || doc_id || chr(10) || chr(10) || 'Due now' || chr(10) || chr(10) || rpad('Part', max(wide)::INT, ' ') || '   Qty' || chr(10) || string_agg(rpad(p, wide::INT, ' ') || '   ' || q, chr(10) ORDER BY row)
       || chr(10) || chr(10) || '• ☑ paid' || chr(10) || '1. thanks' AS text FROM w GROUP BY doc_id""")
@@ -397,16 +397,9 @@ def _(altered, lines):
     return evaluate.score_accuracy(altered, lines.select(*LINE_KEYS, "text"), LINE_KEYS, ["pack"])
 
 
-@query("sweep_gap_factor", "chars", "page_lines")
-def _(chars, lines):
-    return evaluate.sweep_gap_factor(chars.where("pack = 'universal'"), lines.select(*LINE_KEYS, "text"), LINE_KEYS)
-
-
-@query("line_recall", "altered", "page_lines")
-def _(altered, lines):
-    pages = altered.groupBy("doc_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_id", "text"))), lambda s: s["text"]), "\n").alias("text"))
-    key = (F.col("doc_id") * 1000000 + F.col("page")).alias("doc_id")  # recall is measured page by page
-    return evaluate.line_recall(pages.select(key, "text"), lines.select(key, "line_id", "text"))
+@query("sweep_gap_factor", "chars", "reads")
+def _(chars, reads):
+    return evaluate.sweep_gap_factor(chars.where("pack = 'arabic'"), reads.where("pack = 'arabic'").select(*LINE_KEYS, "text"), LINE_KEYS)
 
 
 # --- logs, history, streams
