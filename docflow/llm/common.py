@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +41,36 @@ def fold(col, parts: int):
     return F.pmod(F.crc32(F.coalesce(col.cast("string"), F.lit("null"))), F.lit(parts))
 
 
+def thinned(edges: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """Edges ``(a, b)`` that connect what ``edges`` connect: a spanning forest of every ``most`` edges or so.
+
+    A group of copies that are all linked with each other keeps about one edge a member.
+    """
+
+    def run(batches):
+        root: dict[int, int] = {}
+
+        def find(i: int) -> int:
+            root.setdefault(i, i)
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        for batch in batches:
+            a, b = [], []
+            for i, j in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                p, q = find(i), find(j)
+                if p != q:
+                    root[max(p, q)] = min(p, q)
+                    a.append(i)
+                    b.append(j)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    held = stored(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")), "links")
+    return held.repartition(max(1, -(-held.count() // most))).mapInArrow(run, "a bigint, b bigint")
+
+
 def components(edges: DataFrame, salts: int = 16) -> DataFrame:
     """Connected components of undirected ``edges (a, b)`` as ``(id, component_id)``, component_id the smallest id.
 

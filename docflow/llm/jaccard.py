@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, stored
+from .common import components, stored, thinned
 from .tokens import Hasher, mixed, runs
 
 DIMS, LEAF, LEAD = 64, 32, 8
@@ -272,8 +272,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10,
         big = big.select("cell", "set_id", "upper", "leaf", other).withColumn("tile", F.least("leaf", "other") * F.lit(1 << 20).cast("long") + F.greatest("leaf", "other")).withColumn("side", F.when(F.col("leaf") > F.col("other"), 1).otherwise(0))
         pairs = pairs.union(candidates(with_points(big), num, den, True)).distinct()
     pairs = stored(pairs, "jaccard-pairs")
-    links = verified(docs, distinct, pairs, k, num, den, id_col, text_col)
-    linked = components(links)
+    linked = components(thinned(verified(docs, distinct, pairs, k, num, den, id_col, text_col)))
     whole = distinct.select("set_id", "rep", "copies").join(linked, F.col("rep") == F.col("id"), "left").select("set_id", "copies", F.coalesce("component_id", "rep").alias("component_id"), "rep")
     spread = F.explode(F.sequence(F.lit(0), F.lit(63))).alias("salt")
     moved = whole.where("copies > 1 or component_id <> rep").select("set_id", "component_id", spread)
