@@ -82,8 +82,10 @@ def merge_script_runs(primary: DataFrame, latin: DataFrame) -> DataFrame:
     return run_sql(
         f"""
         WITH c AS (SELECT {LINE}, ord, x, text, confidence, x - lag(x) OVER (PARTITION BY {LINE} ORDER BY ord) AS step FROM {{latin}} WHERE trim(text) <> '' AND {_latin('text')} AND confidence >= 0.4),
-        p AS (SELECT *, array_sort(collect_list(step) OVER w) AS steps, count(*) OVER w AS n FROM c WINDOW w AS (PARTITION BY {LINE})),
-        g AS (SELECT *, sum(CASE WHEN step > greatest({GAP}D, {PITCHES} * try_element_at(steps, CAST(floor(size(steps) / 2) AS INT) + 1)) THEN 1 ELSE 0 END) OVER (PARTITION BY {LINE} ORDER BY ord) AS run FROM p WHERE n >= 2),
+        a AS (SELECT {LINE}, array_sort(collect_list(step)) AS steps, count(*) AS n FROM c GROUP BY {LINE}),
+        m AS (SELECT {LINE}, n, try_element_at(steps, CAST(floor(size(steps) / 2) AS INT) + 1) AS pitch FROM a),
+        p AS (SELECT * FROM c JOIN m USING ({LINE})),
+        g AS (SELECT *, sum(CASE WHEN step > greatest({GAP}D, {PITCHES} * pitch) THEN 1 ELSE 0 END) OVER (PARTITION BY {LINE} ORDER BY ord) AS run FROM p WHERE n >= 2),
         r AS (SELECT {LINE}, run, min(x) AS lo, max(x) AS hi, avg(confidence) AS confidence FROM g GROUP BY {LINE}, run HAVING count(*) >= 2 AND avg(confidence) >= {RUN_MEAN}),
         u AS (SELECT r.{LINE.replace(', ', ', r.')}, r.run, r.lo, r.hi, r.confidence, count(p.x) AS under, count_if(p.text rlike r'[^\\x{{0}}-\\x{{58F}}]' AND p.confidence >= {SURE}) AS sure
               FROM r LEFT JOIN (SELECT * FROM {{primary}} WHERE trim(text) <> '') p ON r.doc_id = p.doc_id AND r.page = p.page AND r.line_id = p.line_id AND p.x BETWEEN r.lo - {GAP / 2}D AND r.hi + {GAP / 2}D
@@ -126,8 +128,10 @@ def recover_spaces(chars: DataFrame, factor: float = 2.3, keys: str = LINE) -> D
     return run_sql(
         f"""
         WITH s AS (SELECT {keys}, ord, x, text, x - lag(x) OVER w AS step, lag(text) OVER w AS before FROM {{chars}} WINDOW w AS (PARTITION BY {keys} ORDER BY x, ord)),
-        p AS (SELECT *, array_sort(collect_list(CASE WHEN step > 0 THEN step END) OVER w) AS steps, count(*) OVER w AS n FROM s WINDOW w AS (PARTITION BY {keys})),
-        t AS (SELECT {keys}, ord, x, n, size(steps) AS many, CASE WHEN step > try_element_at(steps, CAST(floor(size(steps) / 2) AS INT) + 1) * {factor}D AND text {arabic} AND before {arabic} THEN concat(' ', text) ELSE text END AS part, text FROM p)
+        a AS (SELECT {keys}, array_sort(collect_list(CASE WHEN step > 0 THEN step END)) AS steps, count(*) AS n FROM s GROUP BY {keys}),
+        m AS (SELECT {keys}, n, size(steps) AS many, try_element_at(steps, CAST(floor(size(steps) / 2) AS INT) + 1) AS pitch FROM a),
+        p AS (SELECT * FROM s JOIN m USING ({keys})),
+        t AS (SELECT {keys}, ord, x, n, many, CASE WHEN step > pitch * {factor}D AND text {arabic} AND before {arabic} THEN concat(' ', text) ELSE text END AS part, text FROM p)
         SELECT {keys}, CASE WHEN max(n) < 3 OR max(many) = 0 THEN array_join(transform(array_sort(collect_list(struct(ord, text))), s -> s.text), '')
           ELSE regexp_replace(array_join(transform(array_sort(collect_list(struct(x, ord, part))), s -> s.part), ''), ' {{2,}}', ' ') END AS text
         FROM t GROUP BY {keys}

@@ -374,8 +374,8 @@ def _(chars):
 
 @query("recover_spaces", "chars", sql="""
     WITH c AS (SELECT * FROM chars WHERE pack = 'arabic'), s AS (SELECT *, x - lag(x) OVER w AS step, lag(text) OVER w AS before, count(*) OVER (PARTITION BY doc_id, page, line_id) AS n FROM c WINDOW w AS (PARTITION BY doc_id, page, line_id ORDER BY x, ord)),
-    p AS (SELECT *, list_sort(list(step) FILTER (step > 0) OVER (PARTITION BY doc_id, page, line_id)) AS steps FROM s)
-    SELECT doc_id, page, line_id, CASE WHEN max(n) < 3 THEN string_agg(text, '' ORDER BY ord) ELSE regexp_replace(string_agg(CASE WHEN step > steps[len(steps) // 2 + 1] * 2.3 AND regexp_matches(text, '^[\\x{600}-\\x{6FF}]+$') AND regexp_matches(before, '^[\\x{600}-\\x{6FF}]+$') THEN ' ' || text ELSE text END, '' ORDER BY x, ord), ' {2,}', ' ', 'g') END AS text
+    m AS (SELECT doc_id, page, line_id, list_sort(list(step) FILTER (step > 0)) AS steps FROM s GROUP BY ALL), p AS (SELECT s.*, steps[len(steps) // 2 + 1] AS pitch FROM s JOIN m USING (doc_id, page, line_id))
+    SELECT doc_id, page, line_id, CASE WHEN max(n) < 3 THEN string_agg(text, '' ORDER BY ord) ELSE regexp_replace(string_agg(CASE WHEN step > pitch * 2.3 AND regexp_matches(text, '^[\\x{600}-\\x{6FF}]+$') AND regexp_matches(before, '^[\\x{600}-\\x{6FF}]+$') THEN ' ' || text ELSE text END, '' ORDER BY x, ord), ' {2,}', ' ', 'g') END AS text
     FROM p GROUP BY doc_id, page, line_id""")
 def _(chars):
     return readings.recover_spaces(chars.where("pack = 'arabic'"))
