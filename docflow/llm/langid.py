@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 SIZE, MAX_LABELS = 300, 10_000
 PAD = ord("_")
-_FLUSH = 1 << 23  # characters whose n-grams are counted at once
+_FLUSH = 1 << 22  # characters whose n-grams are counted at once
 
 
 @lru_cache(1)
@@ -63,6 +63,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", size:
 
     def count(batches):
         held: dict[str, list[np.ndarray]] = {}
+        size = 0
         alphabet, index = np.array([PAD], np.int64), np.full(sys.maxunicode + 1, -1, np.int32)
         index[PAD] = 0
 
@@ -91,17 +92,21 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", size:
                     own = keys != PAD << 42 | PAD << 21  # two pads meet only between documents
                     keys, n = keys[own], n[own]
                 else:
-                    grams = _grams(points)
+                    grams = _grams(points.astype(np.int64))
                     keys, n = _counted(grams[grams != PAD << 42 | PAD << 21])
                 if len(keys):
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array([_string(int(k)) for k in keys]), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
 
         for b in batches:
-            for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                held.setdefault(lang, []).append(_padded(text))
-            if sum(len(p) for parts in held.values() for p in parts) > _FLUSH:
-                yield from out()
-                held.clear()
+            for i in range(0, b.num_rows, 500):
+                some = b.slice(i, 500)
+                for text, lang in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
+                    held.setdefault(lang, []).append(_padded(text).astype(np.int32))
+                    size += len(held[lang][-1])
+                if size > _FLUSH:
+                    yield from out()
+                    held.clear()
+                    size = 0
         yield from out()
 
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
@@ -142,7 +147,7 @@ def predict(docs: DataFrame, profiles: DataFrame, text_col: str = "text", size:
         return langs[best], float(1 - far[best] / (size * len(top)))
 
     def judge(batches):
-        for b in batches:
+        for b in (batch.slice(i, 1000) for batch in batches for i in range(0, batch.num_rows, 1000)):
             got = [judged(t) for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
 

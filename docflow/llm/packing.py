@@ -30,10 +30,12 @@ TIERS = (2048, 1024, 512, 256)
 FIELDS = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, tier bigint, step_group bigint"
 
 
-@lru_cache(2)
-def _encoder(path: str) -> "Encoder":
-    """One for each worker process: what it remembers serves its later tasks."""
-    return Encoder(path)
+@lru_cache(1)
+def _tokenizer(path: str):
+    """One for each worker process; what an Encoder remembers of texts goes with its task."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
 
 
 class _Numbers(dict):
@@ -59,9 +61,7 @@ class Encoder:
     """
 
     def __init__(self, path: str, end: int = 1, bound: int = 400_000):
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.end, self.bound = Tokenizer.from_file(path), end, bound
+        self.tokenizer, self.end, self.bound = _tokenizer(path), end, bound
         vocab = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocab.values()) + 1, bool)
         self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -221,7 +221,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     names = [f.split()[0] for f in FIELDS.split(", ")]
 
     def run(batches):
-        encode, part = _encoder(tokenizer), TaskContext.get().partitionId()
+        encode, part = Encoder(tokenizer), TaskContext.get().partitionId()
         keys, ids, held, sequence, group = [], [], 0, 0, 0
 
         def out():
