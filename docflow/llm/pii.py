@@ -110,7 +110,7 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         words = F.lower(F.regexp_extract(c["left"], r"(?:^|[\s])([^\s]+\s+[^\s]+)\s*$", 1))
         return F.struct(
             c["start"].alias("start"), c["end"].alias("end"),
-            F.regexp_replace(F.lower(c["value"]), r"^[^a-z0-9+@]+|[^a-z0-9]+$", "").alias("value"),
+            F.regexp_replace(F.lower(F.coalesce(seed["value"], c["value"])), r"^[^a-z0-9+@]+|[^a-z0-9]+$", "").alias("value"),
             F.regexp_replace(F.regexp_replace(words, r"\s+", " "), "[^\\p{L}\\p{N} :#=]", "").alias("pattern"),
             seed["kind"].alias("seed"),
             F.exists("base", lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"])).alias("touched"),
