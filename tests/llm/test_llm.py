@@ -158,6 +158,34 @@ def test_jaccard_hot_cells(spark):
     assert key(jaccard.jaccard_components(d)) == key(jaccard.jaccard_components(d, tile=16, hot_share=0.0))
 
 
+def test_pipeline_near_copies_at_five_words_and_four_fifths(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(8)
+    texts = []
+    for base in range(12):
+        w = [f"b{base}w{i}" for i in range(int(rng.integers(4, 160)))]
+        texts.append(list(w))
+        for _ in range(5):
+            t = list(w)
+            for at in rng.integers(0, len(t), int(rng.integers(0, 5))):
+                t[at] = f"z{rng.integers(1000)}"
+            texts.append(t)
+    w = [f"once{i}" for i in range(50)]
+    texts += [w, w[:25] + ["other"] + w[26:]]  # 41 of 51 five-word shingles, but 45 of 51 three-word ones
+    sets = [{tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))} for t in texts]
+    root = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            if root[a] != root[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    d = spark.createDataFrame([(i, " ".join(t), "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    stage = dict(corpus_pipeline.STAGES)["ngram_jaccard"]
+    got = {r.doc_id for r in stage(spark, d, "").collect()}
+    assert got == {i for i, r in enumerate(root) if i == r} and len(texts) - 2 in got and len(texts) - 1 not in got
+
+
 def test_licences():
     a = licenses._automaton()
     s = licenses.scan_text("Apache License, Version 2.0\nThe MIT license. mit license\n// SPDX-License-Identifier: (MIT OR GPL-2.0-only WITH Classpath-exception-2.0) AND BSD-3-Clause", a)
