@@ -203,6 +203,21 @@ def test_media(spark):
     assert sum(got[12 + i] == i for i in range(12)) >= 8 and all(got[i] == i for i in range(12)) and got[50] == 50
 
 
+def test_media_entries_meet_in_full(spark):
+    rng = np.random.default_rng(6)
+    one = rng.integers(0, 256, 16, np.uint8).tobytes()
+    place = int(media._place(np.array([0]), np.array([30.0]), np.array([30.0]), np.array([0.0]))[0])
+    found = spark.createDataFrame([(i, place, bytearray(one)) for i in range(70)], media.FEATURE)
+    bits = media.tables(70)
+    rows = media.entries(found, bits)
+    pairs = lambda d: {(r.a, r.b) for r in d.select("a", "b").distinct().collect()}
+    every = {(a, b) for b in range(70) for a in range(b)}
+    assert pairs(media.meetings(rows, bits, False)) == every
+    x = rows.withColumn("leaf", (F.col("media_id") % 3).cast("int")).withColumn("other", F.explode(F.array(*(F.lit(i) for i in range(3)))))
+    x = x.withColumn("tile", F.least("leaf", "other").cast("long") * (1 << 20) + F.greatest("leaf", "other")).withColumn("side", (F.col("leaf") > F.col("other")).cast("int")).drop("leaf", "other")
+    assert pairs(media.meetings(x, bits, True)) == every
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert pii.find_pii(empty).count() == 0 and lm.score(empty).count() == 0 and jaccard.jaccard_components(empty).count() == 0
