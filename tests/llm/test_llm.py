@@ -218,6 +218,25 @@ def test_media_entries_meet_in_full(spark):
     assert pairs(media.meetings(x, bits, True)) == every
 
 
+def test_media_tables_find_pairs_at_the_distance():
+    rng = np.random.default_rng(7)
+    for n in (1000, 1_000_000):
+        on = media.tables(n)
+        flipped = np.stack([np.isin(np.arange(128), rng.permutation(128)[: media.DISTANCE]) for _ in range(2000)])
+        assert (~flipped[:, on]).all(axis=2).any(axis=1).mean() >= 0.87
+
+
+def test_media_crops(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(10):
+        whole = media._box(np.kron(rng.integers(20, 236, (60, 60)), np.ones((7, 7)))[None], 2)[0]
+        top, left = rng.integers(0, 300, 2)
+        rows += [(j, *v.shape, bytearray(v.astype(np.uint8).tobytes())) for j, v in ((i, whole), (100 + i, whole[top : top + 120, left : left + 120] * 0.9 + 9))]
+    got = {r.media_id: r.component_id for r in media.copies(spark.createDataFrame(rows, "media_id long, height int, width int, pixels binary")).collect()}
+    assert sum(got[100 + i] == i for i in range(10)) >= 9 and all(got[i] == i for i in range(10))
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert pii.find_pii(empty).count() == 0 and lm.score(empty).count() == 0 and jaccard.jaccard_components(empty).count() == 0
