@@ -3,7 +3,7 @@
 ``find_pii`` takes the four base kinds by pattern (leftmost, non-overlapping, checked afterwards, no retries), then runs a
 bootstrapped contextual extraction: the base matches are seeds, the words left of a seed are its lexical pattern, the
 bipartite graph of patterns and identifier-like tokens is scored in rounds, and patterns of high confidence contribute
-tokens that no base pattern matched.
+tokens that no base pattern matched.  These are seeds of further patterns, until nothing new is found.
 
 Offsets are code points, ends exclusive.  Null texts count as empty.  A null id is kept as it is.  Repeated rows each get
 the same answer.  Extra columns of the input are ignored.  An empty table gives an empty result.
@@ -31,6 +31,8 @@ PATTERNS = {
 HINTS = {"email": r"@", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"[0-9][ -]?+[0-9][ -]?+[0-9][ -]?+[0-9][ -]?+[0-9][ -]?+[0-9][ -]?+[0-9][ -]?+[0-9]", "phone": r"\+[0-9]"}
 #: identifier-like tokens: words with a digit or an at sign
 TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+#: what may be added and become a seed
+IDENTIFIER = "(value like '%@%' or length(regexp_replace(value, '[^0-9]', '')) >= 5)"
 SPAN = "array<struct<kind:string,start:bigint,end:bigint,value:string>>"
 
 
@@ -123,24 +125,33 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def confident_patterns(found: DataFrame, rounds: int = 3, least_seeds: int = 3, confidence: float = 0.6, salts: int = 16) -> DataFrame:
     """``(pattern, kind, score)`` of the patterns that the graph of ``found (pattern, value, seed)`` makes credible.
 
-    A pattern scores the share of its distinct instances that are believed, an instance the noisy-or of its patterns;
-    seeds stay at 1.  Only patterns with at least ``least_seeds`` distinct seed values start, and a pattern keeps the kind
-    most of its seeds have (first by name on ties).  Joins on a pattern are salted by instance.
+    A pattern scores the share of its distinct instances that are believed, an instance the noisy-or of its patterns, in
+    ``rounds`` scorings; seeds stay at 1.  Only patterns with at least ``least_seeds`` distinct seed values start, and a pattern
+    keeps the kind most of its seeds have (first by name on ties).  Instances of credible patterns then become seeds, of the
+    kind of their best pattern, and patterns start anew from all seeds, until no instance is new.  Joins on a pattern are
+    salted by instance.
     """
     edges = found.groupBy("pattern", "value").agg(F.min("seed").alias("seed"))
-    edges = edges.withColumn("salt", F.pmod(F.xxhash64("value"), F.lit(salts)).cast("int"))
-    votes = edges.where("seed is not null").groupBy("pattern", "seed").agg(F.count("*").alias("n"))
-    start = votes.groupBy("pattern").agg(F.sum("n").alias("seeds"), F.max_by("seed", F.struct("n", F.expr("-ascii(seed)"))).alias("kind")).where(F.col("seeds") >= least_seeds)
+    edges = stored(edges.withColumn("salt", F.pmod(F.xxhash64("value"), F.lit(salts)).cast("int")), "pii-edges")
     spread = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
-    live = stored(edges.join(start.select("pattern", "kind", spread), ["pattern", "salt"]), "pii-graph")
-    belief = live.select("pattern", "kind", "value", F.when(F.col("seed").isNotNull(), 1.0).otherwise(0.0).alias("belief"))
-    scores = belief.groupBy("pattern", "kind").agg((F.sum("belief") / (F.count("*") + F.lit(1.0))).alias("score"))
-    for _ in range(rounds - 1):
-        scored = live.join(scores.select("pattern", "score", spread), ["pattern", "salt"])
-        doubt = scored.groupBy("value").agg((F.lit(1.0) - F.exp(F.sum(F.log(F.lit(1.000001) - F.col("score"))))).alias("hope"))
-        belief = live.join(doubt, "value").select("pattern", "kind", F.when(F.col("seed").isNotNull(), 1.0).otherwise(F.col("hope") * F.col("hope")).alias("belief"))
-        scores = stored(belief.groupBy("pattern", "kind").agg((F.sum("belief") / (F.count("*") + F.lit(1.0))).alias("score")), "pii-scores")
-    return scores.where(F.col("score") >= confidence)
+    told = edges
+    while True:
+        votes = told.where("seed is not null").groupBy("pattern", "seed").agg(F.count("*").alias("n"))
+        start = votes.groupBy("pattern").agg(F.sum("n").alias("seeds"), F.max_by("seed", F.struct("n", F.expr("-ascii(seed)"))).alias("kind")).where(F.col("seeds") >= least_seeds)
+        live = stored(told.join(start.select("pattern", "kind", spread), ["pattern", "salt"]), "pii-graph")
+        belief = live.select("pattern", "kind", "value", F.when(F.col("seed").isNotNull(), 1.0).otherwise(0.0).alias("belief"))
+        scores = belief.groupBy("pattern", "kind").agg((F.sum("belief") / (F.count("*") + F.lit(1.0))).alias("score"))
+        for _ in range(rounds - 1):
+            scored = live.join(scores.select("pattern", "score", spread), ["pattern", "salt"])
+            doubt = scored.groupBy("value").agg((F.lit(1.0) - F.exp(F.sum(F.log(F.lit(1.000001) - F.col("score"))))).alias("hope"))
+            belief = live.join(doubt, "value").select("pattern", "kind", F.when(F.col("seed").isNotNull(), 1.0).otherwise(F.col("hope") * F.col("hope")).alias("belief"))
+            scores = stored(belief.groupBy("pattern", "kind").agg((F.sum("belief") / (F.count("*") + F.lit(1.0))).alias("score")), "pii-scores")
+        good = stored(scores.where(F.col("score") >= confidence), "pii-good")
+        fresh = live.drop("kind").where("seed is null").where(IDENTIFIER).join(good.select("pattern", "kind", "score", spread), ["pattern", "salt"])
+        fresh = stored(fresh.groupBy("value").agg(F.max_by("kind", F.struct("score", F.expr("-ascii(kind)"))).alias("new")), "pii-fresh")
+        if fresh.isEmpty():
+            return good
+        told = stored(told.join(fresh, "value", "left").select("pattern", "value", F.coalesce("seed", "new").alias("seed"), "salt"), "pii-edges")
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3, least_seeds: int = 3, confidence: float = 0.6) -> DataFrame:
@@ -152,7 +163,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ro
     found = d.select("doc_id", "text_hash", F.explode("found").alias("c")).select("doc_id", "text_hash", "c.*")
     good = confident_patterns(found, rounds, least_seeds, confidence)
     spread = F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt")
-    fresh = found.where("seed is null and (value like '%@%' or length(regexp_replace(value, '[^0-9]', '')) >= 5)")
+    fresh = found.where("seed is null").where(IDENTIFIER)
     fresh = fresh.withColumn("salt", F.pmod(F.xxhash64("value"), F.lit(16)).cast("int")).join(good.select("pattern", "kind", spread), ["pattern", "salt"])
     fresh = fresh.select("doc_id", "text_hash", F.struct(F.concat(F.lit("ctx_"), "kind").alias("kind"), "start", "end", "value").alias("s"))
     added = fresh.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("s")).alias("added"))

@@ -60,6 +60,14 @@ def test_pii_contexts_find_unseen(spark):
     assert got[8] == got[9] == 1 and sum(got.values()) == 2
 
 
+def test_pii_contexts_reach_over_two_hops(spark):
+    new = [f"77001{i}" for i in range(5)]
+    rows = [f"please call me {'+1 555 010 99' + str(10 + i)} today" for i in range(16)] + [f"please call me {v} today" for v in new]
+    rows += [f"member account number {v} was closed" for v in [*new, "990017"]] + ["they sold about 123456 of them"]
+    got = {r.doc_id: r.n_added for r in pii.report(pii.find_pii(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))).collect()}
+    assert {d for d, n in got.items() if n} == set(range(16, 27)) and max(got.values()) == 1
+
+
 @pytest.mark.parametrize("order", [2, 3])
 def test_lm_base_score(spark, docs, order):
     train = collections.Counter()
