@@ -1,9 +1,9 @@
 """Personal data: four kinds found by their form, more found by the company they keep.  DataFrame functions only.
 
 ``find_pii`` takes the four base kinds by pattern (leftmost, non-overlapping, checked afterwards, no retries), then runs a
-bootstrapped contextual extraction: the base matches are seeds, the words left of a seed are its lexical pattern, the
-bipartite graph of patterns and identifier-like tokens is scored in rounds, and patterns of high confidence contribute
-tokens that no base pattern matched.  These are seeds of further patterns, until nothing new is found.
+bootstrapped contextual extraction: the base matches are seeds, the words around a seed are its lexical patterns, the
+bipartite graph of patterns and identifier-like spans is scored in rounds, and patterns of high confidence contribute
+spans that no base pattern matched.  These are seeds of further patterns, until nothing new is found.
 
 Offsets are code points, ends exclusive.  Null texts count as empty.  A null id is kept as it is.  Repeated rows each get
 the same answer.  Extra columns of the input are ignored.  An empty table gives an empty result.
@@ -29,8 +29,13 @@ PATTERNS = {
 }
 #: cheap tests that spare most texts the pattern
 HINTS = {"email": r"@", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"[0-9][ -]?+[0-9][ -]?+[0-9][ -]?+[0-9][ -]?+[0-9][ -]?+[0-9][ -]?+[0-9][ -]?+[0-9]", "phone": r"\+[0-9]"}
-#: identifier-like tokens: words with a digit or an at sign
-TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+#: identifier-like spans of a text whose base spans are overlaid with the character 1: such a span, digit groups one space
+#: apart, or a word with a digit or an at sign
+TOKEN = (
+    r"\x01++"
+    r"|(?<![^\x20\x09-\x0D\x01,;:=<\[])[(+]*+[0-9][0-9().+/-]*+(?:\x20[(+]*+[0-9][0-9().+/-]*+)*+(?![^\x20\x09-\x0D\x01,;:!?>\]])"
+    r"|(?<![^\x20\x09-\x0D\x01])[^\x20\x09-\x0D0-9@\x01]*+[0-9@][^\x20\x09-\x0D\x01]*+"
+)
 #: what may be added and become a seed
 IDENTIFIER = "(value like '%@%' or length(regexp_replace(value, '[^0-9]', '')) >= 5)"
 SPAN = "array<struct<kind:string,start:bigint,end:bigint,value:string>>"
@@ -84,54 +89,69 @@ def _joined(spans: Column) -> Column:
 
 
 def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, hash of the text, base spans, and candidate tokens with their pattern (the two words to their left).
+    """Per row: id, hash of the text, base spans, and candidates with their patterns.
 
-    A candidate carries the kind of the base span that starts inside it (then it is a seed); tokens that otherwise
-    touch a base span are no candidates.
+    A candidate is a base span (then it is a seed, of the kind of the one that starts there) or a TOKEN beside them.  Its
+    patterns are the last one, two and three words to its left, and the last with the first to its right; digits in them
+    are one sign, and the text's ends are words.  ``near`` is the last word.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     d = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
     d = d.select("doc_id", F.xxhash64("text").alias("text_hash"), "text", base_spans().alias("base"))
+    masked = F.expr(r"aggregate(base, translate(text, '\u0001', ' '), (t, b) -> overlay(t placing repeat('\u0001', cast(b.end - b.start as int)) from cast(b.start + 1 as int)))")
+    d = d.withColumn("masked", F.when(F.size("base") > 0, masked).otherwise(F.translate("text", "\x01", " ")))
+    kind = "array<struct<start:bigint,end:bigint,value:string,left:string,right:string>>"
+    d = d.withColumn("gaps", F.when(F.col("masked").rlike(r"[0-9@\x01]"), F.expr(f"split(masked, {_q(TOKEN)}, -1)"))).withColumn("hits", F.when(F.col("gaps").isNotNull(), F.expr(f"regexp_extract_all(masked, {_q(TOKEN)}, 0)")))
     found = F.when(
-        F.col("text").rlike("[0-9@]"),
+        F.col("gaps").isNotNull(),
         F.expr(
             f"""aggregate(
-              arrays_zip(split(text, {_q(TOKEN)}, -1), regexp_extract_all(text, {_q(TOKEN)}, 0)),
-              named_struct('at', 0L, 'out', cast(array() as array<struct<start:bigint,end:bigint,value:string,left:string>>)),
+              arrays_zip(gaps, hits, slice(gaps, 2, size(gaps)), slice(hits, 2, size(gaps))),
+              named_struct('at', 0L, 'tail', '', 'out', cast(array() as {kind})),
               (s, x) -> named_struct(
-                'at', s.at + length(x.`0`) + coalesce(length(x.`1`), 0),
-                'out', if(x.`1` is null, s.out, concat(s.out, array(named_struct('start', s.at + length(x.`0`),
-                  'end', s.at + length(x.`0`) + length(x.`1`), 'value', x.`1`, 'left', right(x.`0`, 80)))))),
+                'at', s.at + length(x.gaps) + coalesce(length(x.hits), 0),
+                'tail', right(concat(s.tail, x.gaps, coalesce(x.hits, '')), 160),
+                'out', if(x.hits is null, s.out, concat(s.out, array(named_struct('start', s.at + length(x.gaps),
+                  'end', s.at + length(x.gaps) + length(x.hits), 'value', x.hits, 'left', right(concat(s.tail, x.gaps), 160),
+                  'right', left(concat(x.`2`, coalesce(x.`3`, '')), 80)))))),
               s -> s.out)"""
         ),
-    ).otherwise(F.expr("cast(array() as array<struct<start:bigint,end:bigint,value:string,left:string>>)"))
+    ).otherwise(F.expr(f"cast(array() as {kind})"))
     d = d.select("doc_id", "text_hash", "base", found.alias("found"))
 
+    def plain(c: Column) -> Column:
+        signs = F.regexp_replace(F.regexp_replace(F.lower(c), r"[0-9\x01][^\x20\x09-\x0D]*", "#"), r"[^\p{L} :#=\x09-\x0D]", "")
+        return F.filter(F.split(signs, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
     def candidate(c: Column) -> Column:
-        seed = F.try_element_at(F.filter("base", lambda b: (b["start"] >= c["start"]) & (b["start"] < c["end"])), F.lit(1))
-        words = F.lower(F.regexp_extract(c["left"], r"(?:^|[\s])([^\s]+\s+[^\s]+)\s*$", 1))
+        seed = F.when(c["value"].startswith("\x01"), F.try_element_at(F.filter("base", lambda b: b["start"] == c["start"]), F.lit(1)))
         return F.struct(
             c["start"].alias("start"), c["end"].alias("end"),
             F.regexp_replace(F.lower(F.coalesce(seed["value"], c["value"])), r"^[^a-z0-9+@]+|[^a-z0-9]+$", "").alias("value"),
-            F.regexp_replace(F.regexp_replace(words, r"\s+", " "), "[^\\p{L}\\p{N} :#=]", "").alias("pattern"),
+            F.slice(F.concat(F.array(*[F.lit("^")] * 3), plain(c["left"])), -3, 3).alias("words"),
+            F.coalesce(F.try_element_at(plain(c["right"]), F.lit(1)), F.lit("$")).alias("next"),
             seed["kind"].alias("seed"),
-            F.exists("base", lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"])).alias("touched"),
         )
 
-    kept = F.filter(F.transform("found", candidate), lambda c: (c["pattern"] != "") & (c["value"] != "") & (c["seed"].isNotNull() | ~c["touched"]))
+    def patterned(c: Column) -> Column:
+        w = [F.element_at(c["words"], k) for k in (1, 2, 3)]
+        patterns = F.array(w[2], F.concat_ws(" ", w[1], w[2]), F.concat_ws(" ", *w), F.concat_ws(" ", w[2], F.lit("_"), c["next"]))
+        return F.struct(*(c[n].alias(n) for n in ("start", "end", "value", "seed")), w[2].alias("near"), patterns.alias("patterns"))
+
+    kept = F.transform(F.filter(F.transform("found", candidate), lambda c: (c["value"] != "")), patterned)
     return d.select("doc_id", "text_hash", "base", F.when(F.size("found") > 0, kept).alias("found"))
 
 
 def confident_patterns(found: DataFrame, rounds: int = 3, least_seeds: int = 3, confidence: float = 0.6, salts: int = 16) -> DataFrame:
-    """``(pattern, kind, score)`` of the patterns that the graph of ``found (pattern, value, seed)`` makes credible.
+    """``(pattern, kind, score)`` of the patterns that the graph of ``found (pattern, near, value, seed)`` makes credible.
 
-    A pattern scores the share of its distinct instances that are believed, an instance the noisy-or of its patterns, in
-    ``rounds`` scorings; seeds stay at 1.  Only patterns with at least ``least_seeds`` distinct seed values start, and a pattern
+    A pattern scores the share of its distinct instances that are believed, an instance the noisy-or of its patterns (of
+    those that end in one word, the best: they are one context), in ``rounds`` scorings; seeds stay at 1.  Only patterns with at least ``least_seeds`` distinct seed values start, and a pattern
     keeps the kind most of its seeds have (first by name on ties).  Instances of credible patterns then become seeds, of the
     kind of their best pattern, and patterns start anew from all seeds, until no instance is new.  Joins on a pattern are
     salted by instance.
     """
-    edges = found.groupBy("pattern", "value").agg(F.min("seed").alias("seed"))
+    edges = found.groupBy("pattern", "near", "value").agg(F.min("seed").alias("seed"))
     edges = stored(edges.withColumn("salt", F.pmod(F.xxhash64("value"), F.lit(salts)).cast("int")), "pii-edges")
     spread = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
     told = edges
@@ -143,7 +163,7 @@ def confident_patterns(found: DataFrame, rounds: int = 3, least_seeds: int = 3,
         scores = belief.groupBy("pattern", "kind").agg((F.sum("belief") / (F.count("*") + F.lit(1.0))).alias("score"))
         for _ in range(rounds - 1):
             scored = live.join(scores.select("pattern", "score", spread), ["pattern", "salt"])
-            doubt = scored.groupBy("value").agg((F.lit(1.0) - F.exp(F.sum(F.log(F.lit(1.000001) - F.col("score"))))).alias("hope"))
+            doubt = scored.groupBy("value", "near").agg(F.max("score").alias("score")).groupBy("value").agg((F.lit(1.0) - F.exp(F.sum(F.log(F.lit(1.000001) - F.col("score"))))).alias("hope"))
             belief = live.join(doubt, "value").select("pattern", "kind", F.when(F.col("seed").isNotNull(), 1.0).otherwise(F.col("hope") * F.col("hope")).alias("belief"))
             scores = stored(belief.groupBy("pattern", "kind").agg((F.sum("belief") / (F.count("*") + F.lit(1.0))).alias("score")), "pii-scores")
         good = stored(scores.where(F.col("score") >= confidence), "pii-good")
@@ -151,20 +171,22 @@ def confident_patterns(found: DataFrame, rounds: int = 3, least_seeds: int = 3,
         fresh = stored(fresh.groupBy("value").agg(F.max_by("kind", F.struct("score", F.expr("-ascii(kind)"))).alias("new")), "pii-fresh")
         if fresh.isEmpty():
             return good
-        told = stored(told.join(fresh, "value", "left").select("pattern", "value", F.coalesce("seed", "new").alias("seed"), "salt"), "pii-edges")
+        told = stored(told.join(fresh, "value", "left").select("pattern", "near", "value", F.coalesce("seed", "new").alias("seed"), "salt"), "pii-edges")
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3, least_seeds: int = 3, confidence: float = 0.6) -> DataFrame:
     """``(doc_id, text_hash, base, added)``: spans as arrays of (kind, start, end, value); added kinds are ``ctx_<kind>``.
 
-    An added token has at least five digits or an at sign; it never overlaps a base span.
+    An added span has at least five digits or an at sign; it never overlaps a base span.
     """
     d = stored(scanned(docs, id_col, text_col), "pii-scan")
     found = d.select("doc_id", "text_hash", F.explode("found").alias("c")).select("doc_id", "text_hash", "c.*")
+    found = stored(found.withColumn("pattern", F.explode("patterns")).drop("patterns"), "pii-found")
     good = confident_patterns(found, rounds, least_seeds, confidence)
     spread = F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt")
     fresh = found.where("seed is null").where(IDENTIFIER)
-    fresh = fresh.withColumn("salt", F.pmod(F.xxhash64("value"), F.lit(16)).cast("int")).join(good.select("pattern", "kind", spread), ["pattern", "salt"])
+    fresh = fresh.withColumn("salt", F.pmod(F.xxhash64("value"), F.lit(16)).cast("int")).join(good.select("pattern", "kind", "score", spread), ["pattern", "salt"])
+    fresh = fresh.groupBy("doc_id", "text_hash", "start", "end", "value").agg(F.max_by("kind", F.struct("score", F.expr("-ascii(kind)"))).alias("kind"))
     fresh = fresh.select("doc_id", "text_hash", F.struct(F.concat(F.lit("ctx_"), "kind").alias("kind"), "start", "end", "value").alias("s"))
     added = fresh.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("s")).alias("added"))
     same = F.col("d.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("d.text_hash") == F.col("a.text_hash"))

@@ -68,6 +68,18 @@ def test_pii_contexts_reach_over_two_hops(spark):
     assert {d for d, n in got.items() if n} == set(range(16, 27)) and max(got.values()) == 1
 
 
+def test_pii_contexts_find_spaced_spans_after_short_labels(spark):
+    lead = ["", "now ", "she wrote ", "in may 2019 "]
+    rows = [f"{lead[i % 4]}Phone: +1 555 010 99{10 + i} {'soon' if i % 2 else ''}" for i in range(16)]
+    fresh = ["(555) 010-9999", "555 010 9998", "555-0101"]
+    rows += [f"{lead[i]}Phone: {v}" for i, v in enumerate(fresh)] + ["Phone: 555-0101, 555-0102", "it has 120 345 678 parts"]
+    got = {r.doc_id: [s.value for s in r.added] for r in pii.find_pii(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert [got[16 + i] for i in range(3)] == [["555) 010-9999"], ["555 010 9998"], ["555-0101"]] and "555-0101" in got[19]
+    assert not any(got[i] for i in [*range(16), 20])
+    clean = [r.text for r in pii.redact(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert clean[16:19] == ["Phone: [CTX_PHONE]", "now Phone: [CTX_PHONE]", "she wrote Phone: [CTX_PHONE]"] and clean[20] == rows[20]
+
+
 @pytest.mark.parametrize("order", [2, 3])
 def test_lm_base_score(spark, docs, order):
     train = collections.Counter()
