@@ -449,9 +449,7 @@ def _(items):
 
 @query("read_history", "history", sql="SELECT owner, count(*) AS n, min(ts_ms) AS first_ms, max(ts_ms) AS last_ms FROM history GROUP BY owner")
 def _(items):
-    item = F.struct("id", "text", F.lit("").alias("imageUri"), F.col("ts_ms").alias("timestamp"))
-    files = items.groupBy("owner").agg(F.to_json(F.collect_list(item)).alias("value"))
-    good, _bad = history_files.parse_history(files)
+    good, _bad = history_files.parse_history(history_files.history_files(items))
     return good.groupBy("owner").agg(F.count("*").alias("n"), F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms"))
 
 

@@ -24,6 +24,14 @@ def parse_history(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return history, parsed.where(F.coalesce(bad, F.lit(True))).select("owner", "value")
 
 
+def history_files(items: DataFrame, most: int = 4 << 20) -> DataFrame:
+    """``items (owner, id, text, ts_ms)`` → ``files (owner, value)`` of about ``most`` bytes each, several for a large owner."""
+    size = items.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + F.lit(100))).first()[0] or 0
+    chunk = F.pmod(F.xxhash64("id", "ts_ms", "text"), F.lit(-(-size // most) or 1)).alias("chunk")
+    item = F.struct("id", "text", F.lit("").alias("imageUri"), F.col("ts_ms").alias("timestamp"))
+    return items.groupBy("owner", chunk).agg(F.to_json(F.collect_list(item)).alias("value")).select("owner", "value")
+
+
 def read_history(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Every file under ``path`` is one owner's history, named by the file."""
     files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.json)?$", 1).alias("owner"), "value")

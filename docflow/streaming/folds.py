@@ -1,7 +1,10 @@
-"""Batch forms of the keyed stream operators: a fold over each key's sorted events, for histories that fit a row."""
+"""Batch forms of the keyed stream operators: each key's sorted events pass through a state of constant size."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,23 +12,67 @@ from pyspark.sql import functions as F
 MATCHES, PAUSE_MS, QUOTA, COOLDOWN_S = 2, 100, 5, 300
 
 
+def _folded(rows: DataFrame, key: str, order: list[str], begin: Callable[[], Callable], told: str | None, keep: list[str]) -> DataFrame:
+    """Rows in ``order`` through a new ``begin()`` for each key; it answers None for rows to drop, else the value of ``told``."""
+
+    def run(batches):
+        last, step = (), None
+        for b in batches:
+            at, said = [], []
+            for n, (k, *x) in enumerate(zip(*(b.column(c).to_pylist() for c in (key, *order)))):
+                if (k,) != last:
+                    last, step = (k,), begin()
+                if (got := step(*x)) is not None:
+                    at.append(n)
+                    said.append(got)
+            out = b.select(keep).take(pa.array(at, pa.int64()))
+            yield out if told is None else pa.RecordBatch.from_arrays([*out.columns, pa.array(said, pa.bool_())], names=[*keep, told])
+
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep) + (f", {told} boolean" if told else "")
+    return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+
+
+def _detections() -> Callable:
+    last, n, till = [], 0, None
+
+    def step(t_ms, frame_id, codes):
+        nonlocal last, n, till
+        if till is not None and t_ms is not None and t_ms < till:
+            return None
+        n = 0 if not codes else n + 1 if codes == last else 1
+        hit = bool(codes) and codes == last and n >= MATCHES
+        last = codes
+        if hit:
+            till = None if t_ms is None else t_ms + PAUSE_MS
+        return True if hit else None
+
+    return step
+
+
+def _admissions() -> Callable:
+    n, since = 0, None
+
+    def step(t_s, event_id, kind):
+        nonlocal n, since
+        if kind == "grant":
+            n, since = QUOTA - 1, None
+            return None
+        if since is not None and t_s is not None and t_s - since < COOLDOWN_S:
+            return False
+        n, since = (1, None) if since is not None else (n + 1, t_s if n + 1 >= QUOTA else None)
+        return True
+
+    return step
+
+
 def stable_detections(frames: DataFrame) -> DataFrame:
     """``frames (camera_id, frame_id, t_ms, raw)`` → ``(camera_id, frame_id, t_ms, codes)`` of confirmed frames.
 
     An empty frame resets; the same set as before counts on, another starts at 1; from 2 on a frame is confirmed, and frames
     less than 100 ms after are ignored (they change nothing).
     """
-    f = frames.groupBy("camera_id", "frame_id").agg(F.min("t_ms").alias("t_ms"), F.array_sort(F.collect_set("raw")).alias("codes"))
-    f = f.groupBy("camera_id").agg(F.array_sort(F.collect_list(F.struct("t_ms", "frame_id", "codes"))).alias("held"))
-    folded = F.expr(
-        f"""aggregate(held, named_struct('last', cast(array() as array<string>), 'n', 0, 'till', cast(null as bigint), 'out', cast(array() as array<struct<t_ms:bigint,frame_id:bigint,codes:array<string>>>)),
-        (s, x) -> CASE WHEN x.t_ms < s.till THEN s
-          WHEN size(x.codes) = 0 THEN named_struct('last', x.codes, 'n', 0, 'till', s.till, 'out', s.out)
-          WHEN x.codes = s.last AND s.n + 1 >= {MATCHES} THEN named_struct('last', s.last, 'n', s.n + 1, 'till', x.t_ms + {PAUSE_MS}, 'out', array_append(s.out, named_struct('t_ms', x.t_ms, 'frame_id', x.frame_id, 'codes', x.codes)))
-          ELSE named_struct('last', x.codes, 'n', CASE WHEN x.codes = s.last THEN s.n + 1 ELSE 1 END, 'till', s.till, 'out', s.out) END,
-        s -> s.out)"""
-    )
-    return f.select("camera_id", F.inline(folded)).select("camera_id", "frame_id", "t_ms", "codes")
+    f = frames.groupBy("camera_id", "frame_id").agg(F.min("t_ms").cast("long").alias("t_ms"), F.array_sort(F.collect_set("raw")).alias("codes"))
+    return _folded(f, "camera_id", ["t_ms", "frame_id", "codes"], _detections, None, ["camera_id", "frame_id", "t_ms", "codes"])
 
 
 def admit_requests(requests: DataFrame) -> DataFrame:
@@ -37,14 +84,7 @@ def admit_requests(requests: DataFrame) -> DataFrame:
     for name, default in (("kind", "request"), ("own_key", False)):
         if name not in requests.columns:
             requests = requests.withColumn(name, F.lit(default))
-    r = requests.where("not own_key").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("t_s", "event_id", "kind"))).alias("held"))
-    folded = F.expr(
-        f"""aggregate(held, named_struct('n', 0, 'since', cast(null as bigint), 'out', cast(array() as array<struct<event_id:bigint,t_s:bigint,admitted:boolean>>)),
-        (s, x) -> CASE WHEN x.kind = 'grant' THEN named_struct('n', {QUOTA - 1}, 'since', cast(null as bigint), 'out', s.out)
-          WHEN s.since IS NOT NULL AND x.t_s - s.since < {COOLDOWN_S} THEN named_struct('n', s.n, 'since', s.since, 'out', array_append(s.out, named_struct('event_id', x.event_id, 't_s', x.t_s, 'admitted', false)))
-          ELSE named_struct('n', CASE WHEN s.since IS NOT NULL THEN 1 ELSE s.n + 1 END, 'since', CASE WHEN s.since IS NULL AND s.n + 1 >= {QUOTA} THEN x.t_s END, 'out', array_append(s.out, named_struct('event_id', x.event_id, 't_s', x.t_s, 'admitted', true))) END,
-        s -> s.out)"""
-    )
-    held = r.select("user_id", F.inline(folded)).select("user_id", "event_id", "t_s", "admitted")
+    r = requests.where("not own_key").select("user_id", F.col("event_id").cast("long").alias("event_id"), F.col("t_s").cast("long").alias("t_s"), "kind")
+    held = _folded(r, "user_id", ["t_s", "event_id", "kind"], _admissions, "admitted", ["user_id", "event_id", "t_s"])
     free = requests.where("own_key and kind <> 'grant'").select("user_id", "event_id", F.col("t_s").cast("long").alias("t_s"), F.lit(True).alias("admitted"))
     return held.unionByName(free)

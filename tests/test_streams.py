@@ -36,3 +36,41 @@ def test_admissions_match_fold(spark):
     s = s.select("user_id", F.timestamp_millis(F.col("t_s") * 1000).alias("event_time"), "event_id", F.lit("request").alias("kind"))
     got = {(r.event_id, r.admitted) for r in run(spark, s, lambda d: streams.admissions(d, "1 hour"), "adm") if r.event_id >= 0}
     assert got == want
+
+
+def test_folds_hold_no_key_in_one_row(spark):
+    frames = spark.range(4000).selectExpr("id AS frame_id", "0L AS camera_id", "id * 60 AS t_ms", "CASE WHEN id % 7 < 5 THEN concat('c', id div 7 % 2) END AS raw")
+    till, last, n, want = -1, None, 0, set()
+    for i in range(4000):
+        if i * 60 < till:
+            continue
+        code = f"c{i // 7 % 2}" if i % 7 < 5 else None
+        n = 0 if code is None else n + 1 if code == last else 1
+        last = code
+        if n >= 2:
+            till = i * 60 + 100
+            want.add(i)
+    found = folds.stable_detections(frames)
+    admitted = folds.admit_requests(spark.range(4000).selectExpr("id AS event_id", "0L AS user_id", "id * 10 AS t_s"))
+    assert {r.frame_id for r in found.collect()} == want and want
+    # five are admitted, the fifth closes for 30 requests; the next opens a count of 1
+    n, since, passed = 0, None, set()
+    for i in range(4000):
+        if since is not None and i * 10 - since < 300:
+            continue
+        n, since = (1, None) if since is not None else (n + 1, i * 10 if n == 4 else None)
+        passed.add(i)
+    got = admitted.collect()
+    assert len(got) == 4000 and {r.event_id for r in got if r.admitted} == passed
+    for d in (found, admitted):
+        assert "collect_list" not in d._jdf.queryExecution().toString()
+
+
+def test_history_files_are_of_bounded_size(spark):
+    from docflow.sources import history
+
+    items = spark.range(2000).selectExpr("'one' AS owner", "cast(id AS string) AS id", "repeat('x', 500) AS text", "id AS ts_ms")
+    files = history.history_files(items, most=50_000)
+    assert files.selectExpr("max(length(value)) AS n").first().n < 100_000 and files.count() > 10
+    good, bad = history.parse_history(files)
+    assert good.count() == good.select("id").distinct().count() == 2000 and bad.count() == 0
