@@ -2,7 +2,8 @@
 
 Words are as the contract has them.  The automaton finds notice phrases and the identifier tag at word boundaries; the
 expression after a tag is parsed by shunting-yard (``with`` binds closest, then ``and``, then ``or``) and evaluated: its
-identifiers become labels, and it is permitted if a choice of its alternatives is allowed by the policy.
+identifiers become labels, and it is permitted if a choice of its alternatives is allowed by the policy.  An expression
+with an open operator or bracket at a line's end goes on in the next line.
 
 Null texts count as empty: no words, no labels, null word places, score 0.  Broken expressions give the labels of the
 identifiers before the fault and are not permitted.  Repeated rows get equal answers; an empty table an empty result.
@@ -33,6 +34,7 @@ PERMISSIVE = frozenset({"mit", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "is
 _BREAKS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 _EXPRESSION = re.compile(r"spdx[^a-z0-9\n]license[^a-z0-9\n]identifier[ \t]*:?[ \t]*([^\n\r]*)", re.I)
 _PART = re.compile(r"\(|\)|[A-Za-z0-9][A-Za-z0-9.+-]*")
+_COMMENT = re.compile(r"[ \t]*(?://+|/?\*+|#+|--+|;+|%+|\"+|'+)?[ \t]*([^\n\r]*)")
 _STRENGTH = {"or": 1, "and": 2, "with": 3}
 
 
@@ -69,6 +71,41 @@ def parse(expression: str) -> list[str] | None:
     return out + stack[::-1]
 
 
+def identifiers(expression: str) -> list[str]:
+    """The identifiers before the fault of an expression that is broken."""
+    out, operand = [], True
+    for m in re.finditer(r"\S+", expression):
+        gap = _PART.sub("", m[0])
+        for part in _PART.findall(m[0]):
+            low = part.lower()
+            if low in _STRENGTH and not operand:
+                operand = True
+            elif operand and low not in _STRENGTH and low not in "()":
+                out.append(low.rstrip(".-"))
+                operand = False
+            elif low not in "()" or (low == "(") != operand:
+                return out
+        if gap:
+            break
+    return out
+
+
+def expression_at(text: str, m: re.Match) -> str:
+    """The expression of a tag; while an operator or a bracket is open at a line's end, the next line (without its comment sign) belongs to it."""
+    got, end = m[1], m.end()
+    while True:
+        parts = [p.lower() for p in _PART.findall(got)]
+        bare = re.sub(r"[ \t]*(?:\*+/|-->)?[ \t]*$", "", got)
+        whole = not re.sub(r"\s", "", _PART.sub("", bare))
+        if not (whole and parts and (parts[-1] in _STRENGTH or parts.count("(") > parts.count(")"))) or bare != got.rstrip(" \t"):
+            return got
+        line = re.compile(r"\r\n|\n|\r").match(text, end)
+        more = line and _COMMENT.match(text, line.end())
+        if not more or not _PART.match(more[1]):
+            return got
+        got, end = f"{bare} {more[1]}", more.end()
+
+
 def evaluate(rpn: list[str], allowed: frozenset[str] = PERMISSIVE) -> tuple[set[str], bool]:
     """Labels of the expression, and whether the policy permits some choice of its alternatives."""
     stack: list[tuple[set[str], bool]] = []
@@ -111,7 +148,9 @@ def scan_text(text: str | None, automaton, allowed: frozenset[str] = PERMISSIVE)
     permitted, doubt = None, 1.0
     if tagged:
         for m in _EXPRESSION.finditer(text):
-            if (rpn := parse(m[1])) is None:
+            expression = expression_at(text, m)
+            if (rpn := parse(expression)) is None:
+                more.update(identifiers(expression))
                 permitted = False
                 continue
             found, ok = evaluate(rpn, allowed)

@@ -214,6 +214,17 @@ def test_licences():
     assert licenses.parse("mit and (apache-2.0 or x)") == ["mit", "apache-2.0", "x", "or", "and"] and licenses.parse("and mit") is None
 
 
+def test_licences_of_broken_and_wrapped_expressions():
+    a = licenses._automaton()
+    tag = "SPDX-License-Identifier: "
+    scanned = lambda t: licenses.scan_text(t, a)[5:7]
+    assert scanned(f" * {tag}MIT OR\n * Apache-2.0\n * more words") == ("apache-2.0,mit", True)
+    assert scanned(f"// {tag}(MIT AND\r\n// (GPL-2.0-only OR\r\n// ISC))\r\ncode") == ("gpl-2.0-only,isc,mit", True)
+    assert scanned(f"{tag}(MIT OR Apache-2.0") == ("apache-2.0,mit", False)
+    assert scanned(f"{tag}MIT OR") == ("mit", False) and scanned(f"{tag}MIT AND AND ISC") == ("mit", False)
+    assert scanned(f"{tag}MIT\nApache-2.0") == ("mit", True) and scanned(f"{tag}") == ("", False)
+
+
 def test_media(spark):
     rng = np.random.default_rng(4)
     v = rng.standard_normal((12, 64))
