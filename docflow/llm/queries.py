@@ -31,7 +31,7 @@ def op2_pii_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score(_table(spark, sf_dir, "documents"), order=2, folds=7, held_out=2)
+    return lm.score(_table(spark, sf_dir, "documents"), order=3, folds=7, held_out=2)
 
 
 def op4_language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:

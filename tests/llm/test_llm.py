@@ -98,6 +98,12 @@ def test_lm_base_score(spark, docs, order):
         assert (r.n_tokens, r.train_tokens, r.n_known) == (len(toks), n, sum(train[t] > 0 for t in toks)) and r.score < 0
 
 
+def test_lm_query_counts_trigrams(spark, docs, tmp_path):
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    rounded = lambda d: sorted((str(r.doc_id), round(r.score, 6)) for r in d.collect())
+    assert rounded(queries.op3_deleted_interpolation(spark, str(tmp_path))) == rounded(lm.score(docs, order=3)) != rounded(lm.score(docs, order=2))
+
+
 def test_language(spark, docs):
     got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs, langid.learn(docs)).collect()}
     assert got[5][0] == "de" and got[3][0] == "en" and all(got[i] == ("und", 0.0) for i in (7, 8, 9, 12)) and all(0 <= s <= 1 for _, s in got.values())
