@@ -5,26 +5,34 @@ of their coordinates, and the overlap of two boxes of points at most the summed
 whole nodes whose bound is below the required overlap are dropped; surviving pairs are verified on the sets.
 
 The root of the tree is a fan-out that Spark can shuffle: with at most ``r`` shingles in which a linked pair of a size class
-can differ, ``r + 1`` groups leave at least one group without a difference, so a pair shares a (class, group, group content)
-cell.  Each cell is a subtree: its points are packed into leaves by size and coordinates, and searched by the bounds
-above.  (One tree over all points prunes little: count vectors of unrelated texts of one size lie close together in most
-coordinates, and splits run out before dimensions do.)
+can differ, ``r + 1 + s`` groups leave at least ``s + 1`` groups without a difference, so a pair shares a (class, group, group
+content) cell, or at least ``s + 1`` empty groups, which have cells of their own.  Each cell is a subtree: its points are
+packed into leaves by size and coordinates, and searched by the bounds above.  (One tree over all points prunes little: count
+vectors of unrelated texts of one size lie close together in most coordinates, and splits run out before dimensions do.)
+
+Exact copies are one point.  Every set is first verified against the leader of its cells alone; only sets that are then
+still apart are paired, so a group of near copies doesn't make all its pairs.  Cells that hold more than ``tile`` such
+entries are split into leaf pairs over tasks.
 
-Exact copies are one point.  Cells that hold more than a set share of all entries are split into leaf pairs over tasks.
 Null texts and texts without a word have no shingles and link with nothing; texts with fewer words than a shingle are one
-shingle.  Rows with a null id link with nothing and have a null component.  An empty table gives an empty result;
-extra columns are ignored.
+shingle.  Rows with a null id link with nothing and have a null component; rows that repeat an id are one document with
+several texts.  An empty table gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import ceil, comb, exp
+
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, stored, thinned
-from .tokens import Hasher, mixed, runs
+from .common import components, returned, stored, thinned
+from .meeting import KEY_BITS, apart, beside, dealt, parents, shared_keys, tiles
+from .tokens import Hasher, mixed, narrow, runs
 
 DIMS, LEAF, LEAD = 64, 32, 8
 
@@ -41,13 +49,14 @@ def shingles(w: np.ndarray, k: int) -> np.ndarray:
 
 
 class Classes:
-    """Size classes: neighbours in ratio ``level``; a linked pair is in one class or in two next to each other."""
+    """Size classes of ratio ``(den / num)^2``; a linked pair is in one class or in two next to each other."""
 
     def __init__(self, num: int, den: int, top: int = 1 << 40):
         self.num, self.den, lows = num, den, [1]
         while lows[-1] < top:
-            lows.append(max(lows[-1] + 1, lows[-1] * den // num + 1))
+            lows.append(max(lows[-1] + 1, lows[-1] * den * den // (num * num) + 1))
         self.lows = np.array(lows, np.int64)
+        self.shapes: dict[int, tuple[int, int]] = {}
 
     def of(self, n: np.ndarray | int):
         return np.searchsorted(self.lows, n, "right") - 1
@@ -60,44 +69,55 @@ class Classes:
         small = int(self.lows[c + 1]) - 1
         return (small + small * self.den // self.num) * (self.den - self.num) // (self.den + self.num)
 
+    def groups(self, c: int) -> tuple[int, int]:
+        """The number of groups of class ``c``, and ``s``: about twice as many groups as a small set of it leaves empty."""
+        if c not in self.shapes:
+            r, s = self.differences(c), 0
+            while s < 2 + 2 * (r + 1 + s) * exp(-int(self.lows[c]) / (r + 1 + s)) and s < r + 8:
+                s += 1
+            self.shapes[c] = r + 1 + s, s
+        return self.shapes[c]
 
-def cells(s: np.ndarray, classes: Classes) -> tuple[np.ndarray, np.ndarray]:
-    """Cell keys of a set in its own class and in the one below; the lowest bit says that the set is the larger kind."""
-    own, out = int(classes.of(len(s))), []
+
+def cells(s: np.ndarray, classes: Classes) -> tuple[np.ndarray, bytes, bytes]:
+    """Cell keys of a set in its own class and, if its partners reach there, in the one below (lowest bit 1); its leading cells in both."""
+    own, out, leads = int(classes.of(len(s))), [], []
     for c in (own, own - 1):
-        if c < 0:
-            continue
-        groups = classes.differences(c) + 1
-        at = (s % np.uint64(groups)).astype(np.int64)
-        order = np.argsort(at, kind="stable")
-        first = runs(at[order])
-        content = np.zeros(groups, np.uint64)
-        content[at[order][first]] = np.add.reduceat((s[order] ^ (s[order] >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15), first)
-        key = mixed(content, np.arange(groups, dtype=np.uint64) * np.uint64(4099) + np.uint64(c))
-        out.append((key & ~np.uint64(1)) | np.uint64(c != own))
-    return np.concatenate(out)
+        first = np.zeros(LEAD, "<u4")
+        if c == own or c >= 0 and -(-len(s) * classes.num // classes.den) < classes.lows[own]:
+            groups, spare = classes.groups(c)
+            at = (s % np.uint64(groups)).astype(np.int64)
+            order = np.argsort(at, kind="stable")
+            start = runs(at[order])
+            used = at[order][start]
+            content = np.add.reduceat((s[order] ^ (s[order] >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15), start)
+            key = mixed(content, used.astype(np.uint64) * np.uint64(4099) + np.uint64(c)) >> np.uint64(64 - KEY_BITS)
+            lead = used < LEAD
+            first[used[lead]] = short(key[lead] >> np.uint64(1))
+            if groups - len(used) > spare:
+                key = np.concatenate([key, _empties(c, groups, spare, used)])
+            out.append((key & ~np.uint64(1)) | np.uint64(c != own))
+        leads.append(first.tobytes())
+    return np.concatenate(out), *leads
+
+
+def _empties(c: int, groups: int, spare: int, used: np.ndarray) -> np.ndarray:
+    """Cells of a set that leaves more than ``spare`` groups empty: one for each choice of ``spare + 1`` of them, or one for all where a class has many choices."""
+    names = [b""]
+    if comb(groups, spare + 1) <= 1000:
+        names = [bytes(x) for x in combinations(np.setdiff1d(np.arange(groups), used).tolist(), spare + 1)]
+    return np.array([xxhash.xxh3_64_intdigest(x, seed=c + 1) for x in names], np.uint64) >> np.uint64(64 - KEY_BITS)
 
 
 def points(s: np.ndarray, dims: int = DIMS) -> np.ndarray:
     return np.bincount(((s >> np.uint64(40)) % np.uint64(dims)).astype(np.int64), minlength=dims)
 
 
-def leads(keys: np.ndarray) -> tuple[bytes, bytes]:
-    """The first LEAD cells of a set, in its own class and in the one below, as 32 bits each; zeros where there are fewer."""
-    upper = (keys & np.uint64(1)).astype(bool)
-    out = []
-    for own in (keys[~upper], keys[upper]):
-        first = np.zeros(LEAD, "<u4")
-        first[: min(LEAD, len(own))] = short(own[:LEAD])
-        out.append(first.tobytes())
-    return out[0], out[1]
-
-
-def short(keys: np.ndarray) -> np.ndarray:
-    return (keys >> np.uint64(32)).astype("<u4") | np.uint32(1)
+def short(cell: np.ndarray) -> np.ndarray:
+    return (cell & np.uint64(0xFFFFFFFF)).astype("<u4") | np.uint32(1)
 
 
-SETS = "doc_id bigint, n_shingles bigint, set_id bigint, point binary, cells binary, lead binary, lead_low binary"
+SETS = "doc_id bigint, text_hash bigint, n_shingles bigint, set_id bigint, point binary, cells binary, n_cells bigint, lead binary, lead_low binary"
 
 
 def shingle_sets(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
@@ -105,49 +125,32 @@ def shingle_sets(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_
 
     def run(batches):
         hasher, classes = Hasher(), Classes(num, den)
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
         for b in batches:
             for i in range(0, b.num_rows, 1000):
                 part = b.slice(i, 1000)
-                n, ids, pts, cel, low, high = [], [], [], [], [], []
+                rows = []
                 words, many = hasher(part.column(1).to_pylist())
                 for w in np.split(words, np.cumsum(many)[:-1]):
                     s = shingles(w, k)
-                    n.append(len(s))
-                    ids.append(_set_id(s))
-                    pts.append(points(s).astype("<u2" if len(s) < 1 << 16 else "<u4").tobytes() if len(s) else None)
-                    keys = cells(s, classes) if len(s) else None
-                    cel.append(keys.tobytes() if len(s) else None)
-                    a, b_ = leads(keys) if len(s) else (None, None)
-                    high.append(a)
-                    low.append(b_)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), *(pa.array(x, pa.binary()) for x in (pts, cel, high, low))], names=["doc_id", "n_shingles", "set_id", "point", "cells", "lead", "lead_low"])
+                    if len(s):
+                        p, (keys, high, low) = points(s), cells(s, classes)
+                        rows.append((len(s), _set_id(s), p.astype(f"<u{1 if p.max() < 256 else 4}").tobytes(), narrow(keys), len(keys), high, low))
+                    else:
+                        rows.append((0, None, None, None, 0, None, None))
+                cols = [pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *cols], names=[f.split()[0] for f in SETS.split(", ")])
+        del hasher
+        returned()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SETS)
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return d.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, SETS)
 
 
 def _set_id(s: np.ndarray) -> int | None:
-    import xxhash
-
     return xxhash.xxh3_64_intdigest(s.tobytes(), seed=7) - (1 << 63) if len(s) else None
 
 
-def _exploded(sets: DataFrame) -> DataFrame:
-    """Rows (cell, set_id, upper) of the sets' cells."""
-
-    def run(batches):
-        for b in batches:
-            for i in range(0, b.num_rows, 500):
-                part = b.slice(i, 500)
-                raw = [np.frombuffer(x, "<u8") for x in part.column("cells").to_pylist()]
-                if not raw:
-                    continue
-                key = np.concatenate(raw)
-                ids = np.repeat(part.column("set_id").to_numpy(zero_copy_only=False), [len(x) for x in raw])
-                yield pa.RecordBatch.from_arrays([pa.array((key & ~np.uint64(1)).view(np.int64)), pa.array(ids, pa.int64()), pa.array((key & np.uint64(1)).astype(bool))], names=["cell", "set_id", "upper"])
-
-    return sets.where("cells is not null").select("set_id", "cells").mapInArrow(run, "cell bigint, set_id bigint, upper boolean")
-
-
 def first_here(a: np.ndarray, b: np.ndarray, cell: np.ndarray) -> np.ndarray:
     """Whether no leading cell that both share comes before this one: a pair is emitted by its first leading cell alone."""
     same = (a == b) & (a != 0)
@@ -155,10 +158,10 @@ def first_here(a: np.ndarray, b: np.ndarray, cell: np.ndarray) -> np.ndarray:
     return ~same.any(axis=-1) | (first == cell)
 
 
-def search(n: np.ndarray, p: np.ndarray, upper: np.ndarray, lead: np.ndarray, cell: np.uint32, side: np.ndarray | None, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of one subtree's points that pass the bound; ``side`` (0 or 1) restricts pairs to those across."""
+def search(n: np.ndarray, p: np.ndarray, upper: np.ndarray, lead: np.ndarray, label: np.ndarray, cell: np.uint32, side: np.ndarray | None, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of different labels of one subtree's points that pass the bound; ``side`` (0 or 1) restricts pairs to those across."""
     order = np.lexsort((p[:, 1], p[:, 0], n))
-    n, p, upper, lead, side = n[order], p[order], upper[order], lead[order], None if side is None else side[order]
+    n, p, upper, lead, label, side = n[order], p[order], upper[order], lead[order], label[order], None if side is None else side[order]
     edge = np.arange(0, len(n), LEAF)
     high, low_n, high_n = np.maximum.reduceat(p, edge), n[edge], np.maximum.reduceat(n, edge)
     out_a, out_b = [], []
@@ -170,13 +173,16 @@ def search(n: np.ndarray, p: np.ndarray, upper: np.ndarray, lead: np.ndarray, ce
         for j in near:
             b = edge[j]
             rows, cols = slice(a, min(a + LEAF, len(n))), slice(b, min(b + LEAF, len(n)))
-            over = np.minimum(p[rows, None, :], p[None, cols, :]).sum(axis=2)
-            ok = over * (num + den) >= num * (n[rows, None] + n[None, cols])
+            ok = label[rows, None] != label[None, cols]
             ok &= ~(upper[rows, None] & upper[None, cols])
             if i == j:
                 ok &= np.triu(np.ones_like(ok), 1)
             if side is not None:
                 ok &= side[rows, None] != side[None, cols]
+            if not ok.any():
+                continue
+            over = np.minimum(p[rows, None, :], p[None, cols, :]).sum(axis=2)
+            ok &= over * (num + den) >= num * (n[rows, None] + n[None, cols])
             x, y = np.nonzero(ok)
             own = first_here(lead[a + x], lead[b + y], cell)
             x, y = x[own], y[own]
@@ -187,9 +193,9 @@ def search(n: np.ndarray, p: np.ndarray, upper: np.ndarray, lead: np.ndarray, ce
 
 
 def candidates(rows: DataFrame, num: int, den: int, tiled: bool) -> DataFrame:
-    """Candidate pairs (a, b) of ``rows (cell[, tile, side], set_id, upper, n_shingles, point)``, each cell searched as a subtree."""
+    """Candidate pairs (a, b) of ``rows (cell[, tile, side], id, flag, label, n_shingles, point, lead)``, each cell searched as a subtree."""
     key = ["cell", "tile"] if tiled else ["cell"]
-    names = [*key, "set_id", "upper", "n_shingles", "point", "lead", *(["side"] if tiled else [])]
+    names = [*key, "id", "flag", "label", "n_shingles", "point", "lead", *(["side"] if tiled else [])]
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -201,10 +207,10 @@ def candidates(rows: DataFrame, num: int, den: int, tiled: bool) -> DataFrame:
                 tile = t.column("tile").to_numpy()
                 change |= tile[1:] != tile[:-1]
             edge = np.concatenate([[0], np.flatnonzero(change) + 1, [len(cell)]])
-            ids, n = t.column("set_id").to_numpy(), t.column("n_shingles").to_numpy()
-            upper = t.column("upper").to_numpy(zero_copy_only=False)
+            ids, n, label = (t.column(c).to_numpy() for c in ("id", "n_shingles", "label"))
+            upper = t.column("flag").to_numpy(zero_copy_only=False)
             side = t.column("side").to_numpy() if tiled else None
-            p = np.stack([np.frombuffer(x, "<u2" if len(x) == 2 * DIMS else "<u4") for x in t.column("point").to_pylist()]).astype(np.int32)
+            p = np.stack([np.frombuffer(x, np.uint8 if len(x) == DIMS else "<u4") for x in t.column("point").to_pylist()]).astype(np.int32)
             lead = np.frombuffer(b"".join(t.column("lead").to_pylist()), "<u4").reshape(-1, LEAD)
             brief = short(cell.view(np.uint64))
             a, b = [], []
@@ -212,12 +218,12 @@ def candidates(rows: DataFrame, num: int, den: int, tiled: bool) -> DataFrame:
             two = edge[:-1][size == 2]
             if len(two) and not tiled:
                 over = np.minimum(p[two], p[two + 1]).sum(axis=1)
-                ok = (over * (num + den) >= num * (n[two] + n[two + 1])) & ~(upper[two] & upper[two + 1]) & first_here(lead[two], lead[two + 1], brief[two])
+                ok = (over * (num + den) >= num * (n[two] + n[two + 1])) & ~(upper[two] & upper[two + 1]) & (label[two] != label[two + 1]) & first_here(lead[two], lead[two + 1], brief[two])
                 a.append(ids[two[ok]]), b.append(ids[two[ok] + 1])
             for s, k in zip(edge[:-1], size):
                 if k > 2 or (tiled and k > 1):
                     e = slice(s, s + k)
-                    x, y = search(n[e], p[e], upper[e], lead[e], brief[s], side[e] if tiled and side[e].any() else None, num, den)
+                    x, y = search(n[e], p[e], upper[e], lead[e], label[e], brief[s], side[e] if tiled and side[e].any() else None, num, den)
                     a.append(ids[e][x]), b.append(ids[e][y])
             if a:
                 a, b = np.concatenate(a), np.concatenate(b)
@@ -238,42 +244,35 @@ def candidates(rows: DataFrame, num: int, den: int, tiled: bool) -> DataFrame:
             held = t.slice(last).to_batches()
         if held:
             yield from out(pa.Table.from_batches(held))
+        held = []
+        returned()
 
-    dealt = rows.select(*names).repartition(*key).sortWithinPartitions(*key)
-    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
-
+    return rows.select(*names).repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a bigint, b bigint").distinct()
 
-def jaccard_components(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10, id_col: str = "doc_id", text_col: str = "text", hot_share: float = 2e-5, tile: int = 4096) -> DataFrame:
-    """``(doc_id, n_shingles, component_id)``: documents link where intersection * den >= union * num.
 
-    A cell is hot beyond ``tile`` entries and ``hot_share`` of all entries, so at most 1 / hot_share cells are; those
-    keys are broadcast.
-    """
+def jaccard_components(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10, id_col: str = "doc_id", text_col: str = "text", tile: int = 4096) -> DataFrame:
+    """``(doc_id, n_shingles, component_id)``: documents link where intersection * den >= union * num."""
     sets = stored(shingle_sets(docs, k, num, den, id_col, text_col), "jaccard-sets")
     own = sets.where("set_id is not null and doc_id is not null")
-    distinct = stored(own.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), *(F.first(c).alias(c) for c in ("point", "lead", "lead_low"))), "jaccard-distinct")
-    entries = _exploded(own)
-    live = stored(entries.groupBy("cell").agg(F.count("*").alias("n"), F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).where("lo <> hi").select("cell", "n"), "jaccard-cells")
-    total = own.select(F.sum(F.length("cells") / 8)).first()[0] or 0
-    hot_from = int(max(tile, total * hot_share))
-    hot = live.where(F.col("n") > hot_from)
-    is_hot = not hot.isEmpty()
-    cold = live.where(F.col("n") <= hot_from).select("cell")
-    normal = entries.join(F.broadcast(hot.select("cell")), "cell", "left_anti") if is_hot else entries
-    members = normal.join(cold, "cell", "left_semi").distinct()
-    points_of = distinct.select("set_id", "n_shingles", "point", F.col("lead").alias("lead_own"), "lead_low")
-    lead = F.when(F.col("upper"), F.col("lead_low")).otherwise(F.col("lead_own")).alias("lead")
-    with_points = lambda d: d.join(points_of, "set_id").select("*", lead)
-    pairs = candidates(with_points(members), num, den, False)
-    if is_hot:
-        many = F.ceil(F.col("n") / F.lit(tile // 2)).cast("int")
-        big = entries.join(F.broadcast(hot), "cell").distinct().withColumn("leaf", F.pmod(F.xxhash64("set_id"), many).cast("int"))
-        other = F.explode(F.sequence(F.lit(0), many - 1)).alias("other")
-        big = big.select("cell", "set_id", "upper", "leaf", other).withColumn("tile", F.least("leaf", "other") * F.lit(1 << 20).cast("long") + F.greatest("leaf", "other")).withColumn("side", F.when(F.col("leaf") > F.col("other"), 1).otherwise(0))
-        pairs = pairs.union(candidates(with_points(big), num, den, True)).distinct()
-    pairs = stored(pairs, "jaccard-pairs")
-    linked = components(thinned(verified(docs, distinct, pairs, k, num, den, id_col, text_col)))
-    whole = distinct.select("set_id", "rep", "copies").join(linked, F.col("rep") == F.col("id"), "left").select("set_id", "copies", F.coalesce("component_id", "rep").alias("component_id"), "rep")
+    first = F.min(F.struct("doc_id", "text_hash")).alias("rep")
+    distinct = own.groupBy("set_id").agg(first, F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("n_shingles", "point", "lead", "lead_low")))
+    distinct = stored(distinct.select(F.col("set_id").alias("id"), "rep.doc_id", "rep.text_hash", "copies", "n_shingles", "point", "lead", "lead_low"), "jaccard-distinct")
+    total = own.select(F.sum("n_cells")).first()[0] or 0
+    members = stored(shared_keys(own.select(F.col("set_id").alias("id"), F.col("cells").alias("keys")), total), "jaccard-members")
+
+    sizes = distinct.select("id", "n_shingles")
+    led = parents(members).join(sizes.withColumnRenamed("id", "a").withColumnRenamed("n_shingles", "na"), "a").join(sizes.withColumnRenamed("id", "b").withColumnRenamed("n_shingles", "nb"), "b")
+    led = stored(led.where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num).select("a", "b"), "jaccard-led")
+    near = stored(verified(docs, distinct, led, k, num, den, id_col, text_col), "jaccard-near")
+    labels = components(near.select("a", "b")).select("id", F.col("component_id").alias("label"))
+    lead = F.when(F.col("flag"), F.col("lead_low")).otherwise(F.col("lead_own")).alias("lead")
+    rest = apart(members, labels).join(distinct.select("id", "n_shingles", "point", F.col("lead").alias("lead_own"), "lead_low"), "id").select("*", lead).drop("lead_own", "lead_low")
+    rest = stored(rest, "jaccard-apart")
+    pairs = candidates(rest.where(F.col("n") <= tile), num, den, False).union(candidates(tiles(rest.where(F.col("n") > tile), tile), num, den, True)).distinct()
+    far = verified(docs, distinct, stored(pairs, "jaccard-pairs"), k, num, den, id_col, text_col)
+
+    linked = components(thinned(near.select("doc_a", "doc_b").union(far.select("doc_a", "doc_b")).toDF("a", "b")))
+    whole = distinct.select(F.col("id").alias("set_id"), F.col("doc_id").alias("rep"), "copies").join(linked, F.col("rep") == F.col("id"), "left").select("set_id", "copies", F.coalesce("component_id", "rep").alias("component_id"), "rep")
     spread = F.explode(F.sequence(F.lit(0), F.lit(63))).alias("salt")
     moved = whole.where("copies > 1 or component_id <> rep").select("set_id", "component_id", spread)
     salted = sets.select("doc_id", "n_shingles", "set_id", F.pmod(F.xxhash64("doc_id"), F.lit(64)).cast("int").alias("salt"))
@@ -281,31 +280,44 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10,
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
-def verified(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str, small: int = 2_000_000) -> DataFrame:
-    """Links (a, b) between representatives, decided on the shingle sets of the texts themselves."""
-    named = pairs.select(F.col("a").alias("set_id")).union(pairs.select(F.col("b").alias("set_id"))).distinct()
-    reps = stored(named.join(distinct, "set_id").select("set_id", F.col("rep").alias("doc_id")), "jaccard-reps")
-    wanted = F.broadcast(reps) if reps.count() <= small else reps
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(wanted, "doc_id")
+def verified(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str, small: int = 500_000) -> DataFrame:
+    """Links ``(a, b, doc_a, doc_b)`` among pairs of sets, decided on the shingle sets of their texts.
+
+    The roles of the pairs (30 bytes each) are broadcast to the texts up to ``small`` of them; beyond that both sides are shuffled.
+    """
+    roles = stored(dealt(pairs).join(distinct.select("id", "doc_id", "text_hash"), "id"), "jaccard-roles")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    full = texts.join(F.broadcast(roles) if roles.count() <= small else roles, ["doc_id", "text_hash"]).select("key", "salt", "tail", "id", "doc_id", "text")
 
     def run(batches):
         hasher = Hasher()
+        place, head, head_doc = None, None, None
         for b in batches:
             for i in range(0, b.num_rows, 1000):
                 part = b.slice(i, 1000)
                 words, many = hasher(part.column("text").to_pylist())
-                got = [shingles(w, k).view(np.int64) for w in np.split(words, np.cumsum(many)[:-1])]
-                yield pa.RecordBatch.from_arrays([part.column("set_id"), part.column("doc_id"), pa.array(got, pa.list_(pa.int64()))], names=["set_id", "doc_id", "s"])
-
-    full = stored(texts.mapInArrow(run, "set_id bigint, doc_id bigint, s array<bigint>").dropDuplicates(["set_id"]), "jaccard-full")
-    left = full.select(F.col("set_id").alias("a"), F.col("doc_id").alias("ra"), F.col("s").alias("sa"))
-    right = full.select(F.col("set_id").alias("b"), F.col("doc_id").alias("rb"), F.col("s").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return both.where(shared * F.lit(den) >= (F.size("sa") + F.size("sb") - shared) * F.lit(num)).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-
-
-def deduplicated(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10) -> DataFrame:
+                out = []
+                for w, key, salt, tail, one, doc in zip(np.split(words, np.cumsum(many)[:-1]), *(part.column(c).to_pylist() for c in ("key", "salt", "tail", "id", "doc_id"))):
+                    s = shingles(w, k)
+                    if _set_id(s) != one:  # another row that repeats the id
+                        continue
+                    if not tail:
+                        place, head, head_doc = (key, salt), s, doc
+                    elif place == (key, salt):
+                        both = np.concatenate([head, s])
+                        both.sort(kind="stable")
+                        shared = int((both[1:] == both[:-1]).sum())
+                        if shared * den >= (len(both) - shared) * num:
+                            out.append((key, one, head_doc, doc))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b", "doc_a", "doc_b"])
+        del hasher
+        returned()
+
+    return beside(full).mapInArrow(run, "a bigint, b bigint, doc_a bigint, doc_b bigint")
+
+
+def deduplicated(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """``docs`` with one document of each group: the one with the smallest doc_id; rows with a null id all stay.
 
     Of rows that repeat a doc_id one stays.

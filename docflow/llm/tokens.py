@@ -59,3 +59,31 @@ def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     place = np.empty(len(keys), np.int64)
     place[order] = np.cumsum(fresh) - 1
     return sorted_keys[fresh], place
+
+
+def narrow(x: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes each as the largest needs, after a byte that says how many."""
+    width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    if width in (1, 2, 4, 8):
+        return bytes([width]) + x.astype(f"<u{width}").tobytes()
+    return bytes([width]) + np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def widened(raw: bytes) -> np.ndarray:
+    width = raw[0]
+    if width in (1, 2, 4, 8):
+        return np.frombuffer(raw, f"<u{width}", offset=1).astype(np.uint64)
+    full = np.zeros(((len(raw) - 1) // width, 8), np.uint8)
+    full[:, :width] = np.frombuffer(raw, np.uint8, offset=1).reshape(-1, width)
+    return full.view("<u8").ravel()
+
+
+def gaps(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences, the first key after them."""
+    return narrow(np.diff(keys)) + (keys[0].tobytes() if len(keys) else b"")
+
+
+def ungapped(raw: bytes) -> np.ndarray:
+    if len(raw) == 1:
+        return np.zeros(0, np.uint64)
+    return np.cumsum(np.concatenate([np.frombuffer(raw[-8:], "<u8"), widened(raw[:-8])]), dtype=np.uint64)

@@ -167,7 +167,7 @@ def test_jaccard_against_brute_force(spark, docs):
     assert len(got) == len(rows)
     for r in got:
         assert r.n_shingles == len(sets[r.doc_id]) and r.component_id == root.get(r.doc_id)
-    assert {r.doc_id for r in jaccard.deduplicated(docs).collect()} == {d for d, c in root.items() if c == d} | {None}
+    assert {r.doc_id for r in jaccard.deduplicated(docs, 3, 9, 10).collect()} == {d for d, c in root.items() if c == d} | {None}
 
 
 def test_jaccard_hot_cells(spark):
@@ -181,7 +181,7 @@ def test_jaccard_hot_cells(spark):
         rows.append((i, " ".join(t)))
     d = spark.createDataFrame(rows, "doc_id long, text string")
     key = lambda q: sorted((r.doc_id, r.component_id) for r in q.collect())
-    assert key(jaccard.jaccard_components(d)) == key(jaccard.jaccard_components(d, tile=16, hot_share=0.0))
+    assert key(jaccard.jaccard_components(d)) == key(jaccard.jaccard_components(d, tile=16))
 
 
 def test_pipeline_near_copies_at_five_words_and_four_fifths(spark):
