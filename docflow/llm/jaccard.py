@@ -250,7 +250,7 @@ def candidates(rows: DataFrame, num: int, den: int, tiled: bool) -> DataFrame:
     return rows.select(*names).repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def jaccard_components(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10, id_col: str = "doc_id", text_col: str = "text", tile: int = 4096) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10, id_col: str = "doc_id", text_col: str = "text", tile: int = 1024) -> DataFrame:
     """``(doc_id, n_shingles, component_id)``: documents link where intersection * den >= union * num."""
     sets = stored(shingle_sets(docs, k, num, den, id_col, text_col), "jaccard-sets")
     own = sets.where("set_id is not null and doc_id is not null")
