@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from docflow.llm import collisions, jaccard, langid, licenses, lm, media, mixing, packing, pii, queries, warc
 from docflow.llm.common import components, shared_dir, thinned
+from docflow.llm.meeting import tiles
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, block string, tokens string"
 BASE_TEXT = "the quick brown fox jumps over the lazy dog and runs away from the big bad wolf near the old river bank every single day"
@@ -240,27 +241,25 @@ def test_media(spark):
     assert sum(got[12 + i] == i for i in range(12)) >= 8 and all(got[i] == i for i in range(12)) and got[50] == 50
 
 
-def test_media_entries_meet_in_full(spark):
-    rng = np.random.default_rng(6)
-    one = rng.integers(0, 256, 16, np.uint8).tobytes()
-    place = int(media._place(np.array([0]), np.array([30.0]), np.array([30.0]), np.array([0.0]))[0])
-    found = spark.createDataFrame([(i, place, bytearray(one)) for i in range(70)], media.FEATURE)
-    bits = media.tables(70)
-    rows = media.entries(found, bits)
-    pairs = lambda d: {(r.a, r.b) for r in d.select("a", "b").distinct().collect()}
-    every = {(a, b) for b in range(70) for a in range(b)}
-    assert pairs(media.meetings(rows, bits, False)) == every
-    x = rows.withColumn("leaf", (F.col("media_id") % 3).cast("int")).withColumn("other", F.explode(F.array(*(F.lit(i) for i in range(3)))))
-    x = x.withColumn("tile", F.least("leaf", "other").cast("long") * (1 << 20) + F.greatest("leaf", "other")).withColumn("side", (F.col("leaf") > F.col("other")).cast("int")).drop("leaf", "other")
-    assert pairs(media.meetings(x, bits, True)) == every
+def test_media_images_that_are_apart_meet_in_full(spark):
+    rows = spark.createDataFrame([(7, i, i % 30, 60) for i in range(60)] + [(8, i, i, 2) for i in (3, 4)], "cell long, id long, label long, n long")
+    every = {(a, b) for b in range(60) for a in range(b) if b - a != 30}
+    for got in (media.met_pairs(rows, False), media.met_pairs(tiles(rows, 16), True)):
+        n = {(r.a, r.b): r.s for r in got.groupBy("a", "b").agg(F.sum("n").alias("s")).collect()}
+        assert set(n) == every and n[(3, 4)] == 2 and n[(3, 5)] == 1
 
 
-def test_media_tables_find_pairs_at_the_distance():
+def test_media_tables_find_pairs_with_corners_in_common():
     rng = np.random.default_rng(7)
+    sample = rng.integers(0, 2, (3000, 40)).repeat(4, axis=1)[:, :128]  # bits that hang together
     for n in (1000, 1_000_000):
-        on = media.tables(n)
-        flipped = np.stack([np.isin(np.arange(128), rng.permutation(128)[: media.DISTANCE]) for _ in range(2000)])
-        assert (~flipped[:, on]).all(axis=2).any(axis=1).mean() >= 0.87
+        on = media.tables(n, sample)
+        met = np.zeros(400, int)
+        for _ in range(media.COMMON):
+            flipped = np.stack([np.isin(np.arange(128), rng.permutation(128)[: media.FLIPS]) for _ in range(400)])
+            met += (~flipped[:, on]).all(axis=2).sum(axis=1)
+        assert (met >= media.MEETINGS).mean() >= 0.9
+        assert len(media.tables(n)[0]) < len(on[0])
 
 
 def test_media_crops(spark):
