@@ -10,7 +10,7 @@ each of its n-grams, which totals differ from the block's own counts, and those
 with its own counts and the totals told.  So what moves is the distinct n-grams of blocks, nothing is broadcast, and no
 group is larger than a block or a bucket.
 
-Single words go by hashes of 64 bits, longer n-grams by 48 bits.  Null texts count as empty: one token, the end.  Rows with a
+Single words go by hashes of 64 bits, longer n-grams by as many bits (48 at most) as keep a chance meeting rarer than one in 4096.  Null texts count as empty: one token, the end.  Rows with a
 null id belong to the fold of the text ``null``.  Repeated rows each count and each get a score.  With no training row the
 model is uniform.  An empty table gives an empty result; extra columns are ignored.
 """
@@ -23,11 +23,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, stored
-from .tokens import Hasher, mixed, numbered
+from .common import fold, returned, stored
+from .tokens import Hasher, gaps, mixed, narrow, numbered, ungapped, widened
 
 START, END = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b" start", b" end"))  # words hold no spaces
-BUCKET_KEYS, STEPS, LEVELS, HELD_BYTES = 2_000_000, 8, 40, 40 << 20
+BUCKET_KEYS, STEPS, LEVELS, HELD_BYTES = 2_000_000, 4, 40, 40 << 20
 SCORES = "n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 FAMILIES = ("one", "more")  # single words; longer n-grams
 _SENT = "bucket bigint, block bigint, one binary, one_n binary, more binary, more_n binary"
@@ -37,7 +37,8 @@ _TOLD = "block bigint, bucket bigint, v bigint, n bigint, nd bigint, one binary,
 class Block:
     """The n-grams of texts: the distinct keys of each family, sorted, and for each order the place of every token's n-gram."""
 
-    def __init__(self, texts: list[str | None], order: int, hasher: Hasher):
+    def __init__(self, texts: list[str | None], order: int, hasher: Hasher, width: int):
+        self.width = {"one": 64, "more": width}
         words, many = hasher(texts)
         pads = max(order - 1, 1)
         size = many + pads + 1
@@ -59,9 +60,9 @@ class Block:
             if k == 1:
                 self.one, place = numbered(grams[where])
             else:
-                longer.append(grams[where] >> np.uint64(16))
+                longer.append(grams[where] >> np.uint64(64 - width))
                 place = where
-            full = np.full(len(stream), -1, np.int64)
+            full = np.full(len(stream), -1, np.int32)
             full[where] = place
             self.places.append(full)
         self.more, place = numbered(np.concatenate(longer) if longer else np.zeros(0, np.uint64))
@@ -75,45 +76,38 @@ class Block:
         self.one_n = np.bincount(self.places[0][self.places[0] >= 0], minlength=len(self.one))
         self.more_n = np.bincount(place, minlength=len(self.more))
 
-    def edges(self, family: str, bits: int) -> np.ndarray:
-        width = 64 if family == "one" else 48
-        return np.append(np.searchsorted(getattr(self, family), np.arange(1 << bits, dtype=np.uint64) << np.uint64(width - bits)), len(getattr(self, family)))
+    def buckets(self, family: str, bits: int) -> np.ndarray:
+        """The bucket of each key: its first bits."""
+        return (getattr(self, family) >> np.uint64(self.width[family] - bits)).astype(np.int64)
 
 
 def _small(x: np.ndarray) -> bytes:
-    """Whole numbers in as few bytes each as the largest needs, after a byte that says how many."""
-    top = int(x.max()) if len(x) else 0
-    width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
-    return bytes([width]) + x.astype(f"<u{width}").tobytes()
+    """Counts as one byte each; those of 255 and more follow in full."""
+    low = np.minimum(x, 255).astype(np.uint8)
+    return len(low).to_bytes(4, "little") + low.tobytes() + narrow(x[low == 255])
 
 
 def _wide(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.uint64)
+    n = int.from_bytes(raw[:4], "little")
+    out = np.frombuffer(raw, np.uint8, n, 4).astype(np.uint64)
+    out[out == 255] = widened(raw[4 + n :])
+    return out
 
 
-def _packed(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences."""
-    return _small(np.diff(keys, prepend=np.uint64(0))[1:]) + (keys[0].tobytes() if len(keys) else b"")
-
-
-def _unpacked(raw: bytes) -> np.ndarray:
-    if len(raw) == 1:
-        return np.zeros(0, np.uint64)
-    return np.cumsum(np.concatenate([np.frombuffer(raw[-8:], "<u8"), _wide(raw[:-8])]), dtype=np.uint64)
-
-
-def score(docs: DataFrame, order: int = 2, folds: int = 7, held_out: int = 2, deleted: int = 3, block_bytes: int = 12 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, order: int = 2, folds: int = 7, held_out: int = 2, deleted: int = 3, block_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, held_out and SCORES; learned from the rows whose crc32(id as text) mod ``folds`` is not ``held_out``.
 
-    ``base_score`` is add-one unigram, ``score`` the interpolated model; both log10.  The bins that carry the
-    expectation-maximisation are at most LEVELS * STEPS values an order and a bucket: they, and the weights, are all that the
-    driver sees.
+    ``base_score`` is add-one unigram, ``score`` the interpolated model; both log10.  The expectation-maximisation of a bucket of
+    contexts runs on bins of its estimates, (LEVELS * STEPS + 1) ** order of 16 bytes at most, in one task a bucket; the
+    driver sees the weights alone.
     """
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), fold(F.col(id_col), folds).cast("int").alias("fold"))
     total = d.select(F.sum(F.octet_length("text"))).first()[0] or 0
     many = max(1, -(-total // (folds * block_bytes)))
     d = d.withColumn("block", (F.col("fold") + folds * F.pmod(F.xxhash64("doc_id", "text"), F.lit(many))).cast("long"))
-    bits = min(20, max(8, int(np.ceil(np.log2(max(1, order * total / 6 / BUCKET_KEYS))))))
+    keys = max(1, order * total / 6)
+    bits = min(32, max(6, int(np.ceil(np.log2(keys / BUCKET_KEYS)))))
+    width = min(48, max(32, int(np.ceil(np.log2(keys))) + 12))
 
     def send(batches):
         hasher = Hasher()
@@ -122,11 +116,12 @@ def score(docs: DataFrame, order: int = 2, folds: int = 7, held_out: int = 2, de
 
         def out():
             for number, texts in held.items():
-                b = Block(texts, order, hasher)
-                one, more = b.edges("one", bits).tolist(), b.edges("more", bits).tolist()
-                used = [i for i in range(1 << bits) if one[i] < one[i + 1] or more[i] < more[i + 1]]
-                cut = lambda x, e, f: pa.array([f(x[e[i] : e[i + 1]]) for i in used], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([number] * len(used), pa.int64()), cut(b.one, one, _packed), cut(b.one_n, one, _small), cut(b.more, more, _packed), cut(b.more_n, more, _small)], names=["bucket", "block", "one", "one_n", "more", "more_n"])
+                b = Block(texts, order, hasher, width)
+                own = {f: b.buckets(f, bits) for f in FAMILIES}
+                used = np.unique(np.concatenate(list(own.values())))
+                edge = {f: list(zip(np.searchsorted(own[f], used, "left").tolist(), np.searchsorted(own[f], used, "right").tolist())) for f in FAMILIES}
+                cut = lambda x, f, g: pa.array([g(x[i:j]) for i, j in edge[f]], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([number] * len(used), pa.int64()), cut(b.one, "one", gaps), cut(b.one_n, "one", _small), cut(b.more, "more", gaps), cut(b.more_n, "more", _small)], names=["bucket", "block", "one", "one_n", "more", "more_n"])
 
         for batch in batches:
             for number, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -137,6 +132,9 @@ def score(docs: DataFrame, order: int = 2, folds: int = 7, held_out: int = 2, de
                 held.clear()
                 size = 0
         yield from out()
+        held.clear()
+        del hasher
+        returned()
 
     def add(t: pa.Table) -> pa.Table:
         blocks, back = np.unique(t.column("block").to_numpy(), return_inverse=True)
@@ -144,7 +142,7 @@ def score(docs: DataFrame, order: int = 2, folds: int = 7, held_out: int = 2, de
         told = {int(b): [int(b), bucket, None, None, None] for b in blocks}
         facts = [-1, bucket, 0, 0, 0] + [None] * 6
         for family in FAMILIES:
-            keys = [_unpacked(x) for x in t.column(family).to_pylist()]
+            keys = [ungapped(x) for x in t.column(family).to_pylist()]
             counts = np.concatenate([_wide(x) for x in t.column(f"{family}_n").to_pylist()]).astype(np.int64)
             every, at = numbered(np.concatenate(keys))
             # sums of each block's own counts: a block's rows come from several tasks
@@ -156,12 +154,12 @@ def score(docs: DataFrame, order: int = 2, folds: int = 7, held_out: int = 2, de
             if family == "one":
                 words = every != START
                 facts[2:5] = [int((words & (all_t > 0)).sum()), int(all_t[words].sum()), int(all_d[words].sum())]
-            tell = (all_t[key] != own_t) | (all_d[key] != own_d)
+            tell = (all_t[key] != own_t) | ((all_d[key] != own_d) & (blocks[block] % folds == deleted))
             edge = np.searchsorted(block, np.arange(len(blocks) + 1))
             for i, b in enumerate(blocks.tolist()):
                 e = slice(edge[i], edge[i + 1])
                 k = key[e][tell[e]]
-                told[b] += [np.packbits(tell[e]).tobytes(), _small(all_t[k]), _small(all_d[k])]
+                told[b] += [np.packbits(tell[e]).tobytes(), _small(all_t[k]), _small(all_d[k]) if b % folds == deleted else None]
         cols = list(zip(facts, *told.values()))
         names = [x.split()[0] for x in _TOLD.split(", ")]
         return pa.table({n: pa.array(c, pa.int64() if i < 5 else pa.binary()) for i, (n, c) in enumerate(zip(names, cols))})
@@ -173,30 +171,38 @@ def score(docs: DataFrame, order: int = 2, folds: int = 7, held_out: int = 2, de
 
     def bins(texts: pa.Table, counts: pa.Table) -> pa.Table:
         if not texts.num_rows:
-            return pa.table({"code": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
-        ps, seen = _Counts(texts, counts, order, folds, held_out, deleted, bits).estimates(n - nd, v, without_deleted=True)
+            return pa.table({"bucket": pa.array([], pa.int64()), "code": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
+        ps, seen = _Counts(texts, counts, order, folds, held_out, deleted, bits, width).estimates(n - nd, v, without_deleted=True)
         code = _bucket(seen)
         for p in ps[1:]:
             q = np.where(p > 0, np.clip(np.round(-np.log2(np.where(p > 0, p, 1)) * STEPS), 0, LEVELS * STEPS - 1), -1).astype(np.int64)
             code = code * (LEVELS * STEPS + 1) + q + 1
         code, times = np.unique(code, return_counts=True)
-        return pa.table({"code": pa.array(code, pa.int64()), "n": pa.array(times, pa.int64())})
+        own = (LEVELS * STEPS + 1) ** order
+        returned()
+        return pa.table({"bucket": pa.array(code // own), "code": pa.array(code % own), "n": pa.array(times, pa.int64())})
+
+    def learn(t: pa.Table) -> pa.Table:
+        w = maximised(t.column("code").to_numpy(), t.column("n").to_numpy().astype(float), order, 1 / (v + 1))
+        return pa.table({"bucket": t.column("bucket")[:1], "w": pa.array([w.tolist()], pa.list_(pa.float64()))})
 
     held = d.where(F.col("fold") == deleted).select("block", "text").groupBy("block")
-    got = held.cogroup(slices.where(F.pmod("block", F.lit(folds)) == deleted).groupBy("block")).applyInArrow(bins, "code bigint, n bigint")
-    rows = got.groupBy("code").agg(F.sum("n").alias("n")).toPandas()
-    weights = maximised(rows["code"].to_numpy(np.int64), rows["n"].to_numpy(float), order, 1 / (v + 1))
+    got = held.cogroup(slices.where(F.pmod("block", F.lit(folds)) == deleted).groupBy("block")).applyInArrow(bins, "bucket bigint, code bigint, n bigint")
+    weights = np.full((64, order + 1), 1 / (order + 1))  # a bucket without data stays even
+    for r in got.groupBy("bucket", "code").agg(F.sum("n").alias("n")).groupBy("bucket").applyInArrow(learn, "bucket bigint, w array<double>").collect():
+        weights[r.bucket] = r.w
     key = d.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {key}, held_out boolean, {SCORES}"
 
     def judge(texts: pa.Table, counts: pa.Table) -> pa.Table:
-        c = _Counts(texts, counts, order, folds, held_out, deleted, bits)
+        c = _Counts(texts, counts, order, folds, held_out, deleted, bits, width)
         ps, seen = c.estimates(n, v)
         w = weights[_bucket(seen)]
         p = sum(w[:, k] * x for k, x in enumerate(ps))
         base = np.log10((c.count[0] + 1) / (n + v + 1))
         at = np.cumsum(c.block.tokens) - c.block.tokens
         add_up = lambda x: np.add.reduceat(x, at) if len(at) else x
+        returned()
         return pa.table({
             "doc_id": texts.column("doc_id"), "held_out": pa.array([x == held_out for x in texts.column("fold").to_pylist()], pa.bool_()),
             "n_tokens": pa.array(c.block.tokens, pa.int64()), "n_known": pa.array(add_up((c.count[0] > 0).astype(np.int64)), pa.int64()),
@@ -209,18 +215,21 @@ def score(docs: DataFrame, order: int = 2, folds: int = 7, held_out: int = 2, de
 class _Counts:
     """A block with the totals of its n-grams: its own counts where nothing was told."""
 
-    def __init__(self, texts: pa.Table, counts: pa.Table, order: int, folds: int, held_out: int, deleted: int, bits: int):
-        self.block = b = Block(texts.column("text").to_pylist(), order, Hasher())
+    def __init__(self, texts: pa.Table, counts: pa.Table, order: int, folds: int, held_out: int, deleted: int, bits: int, width: int):
+        self.block = b = Block(texts.column("text").to_pylist(), order, Hasher(), width)
         self.order = order
         mine = texts.column("block")[0].as_py() % folds if texts.num_rows else held_out
         total, gone = {}, {}
         for family in FAMILIES:
             own = getattr(b, f"{family}_n")
             total[family], gone[family] = (own.copy() if mine != held_out else own * 0), (own.copy() if mine == deleted else own * 0)
-            edge = b.edges(family, bits)
-            for bucket, mask, t, d in zip(*(counts.column(x).to_pylist() for x in ("bucket", family, f"{family}_t", f"{family}_d"))):
-                at = edge[bucket] + np.flatnonzero(np.unpackbits(np.frombuffer(mask, np.uint8), count=int(edge[bucket + 1] - edge[bucket])))
-                total[family][at], gone[family][at] = _wide(t), _wide(d)
+            place, buckets = b.buckets(family, bits), counts.column("bucket").to_numpy()
+            start, end = np.searchsorted(place, buckets, "left").tolist(), np.searchsorted(place, buckets, "right").tolist()
+            for i, j, mask, t, d in zip(start, end, *(counts.column(x).to_pylist() for x in (family, f"{family}_t", f"{family}_d"))):
+                at = i + np.flatnonzero(np.unpackbits(np.frombuffer(mask, np.uint8), count=j - i))
+                total[family][at] = _wide(t)
+                if d is not None:
+                    gone[family][at] = _wide(d)
         here, before = [p[b.at] for p in b.places], [p[b.at - 1] for p in b.places]
         name = lambda k: FAMILIES[k > 1]
         self.count = [total[name(k)][here[k - 1]] for k in range(1, order + 1)]
@@ -243,24 +252,20 @@ def _bucket(seen: np.ndarray) -> np.ndarray:
 
 
 def maximised(code: np.ndarray, n: np.ndarray, order: int, uniform: float, rounds: int = 40) -> np.ndarray:
-    """Mixture weights (64 buckets by order + 1) from binned held-out estimates; a bucket without data stays even.
+    """The order + 1 mixture weights of one bucket from its binned held-out estimates.
 
     Every order keeps a weight of at least 1e-6, so that no text has probability 0.
     """
-    w = np.full((64, order + 1), 1 / (order + 1))
-    ps, rest = [], code
+    ps = []
     for _ in range(order):
-        q = rest % (LEVELS * STEPS + 1) - 1
+        q = code % (LEVELS * STEPS + 1) - 1
         ps.append(np.where(q < 0, 0.0, 2.0 ** (-q / STEPS)))
-        rest = rest // (LEVELS * STEPS + 1)
-    p = np.stack([np.full(len(code), uniform), *ps[::-1]], axis=1)
+        code = code // (LEVELS * STEPS + 1)
+    p = np.stack([np.full(len(n), uniform), *ps[::-1]], axis=1)
+    w = np.full(order + 1, 1 / (order + 1))
     for _ in range(rounds):
-        share = w[rest] * p
-        share *= (n / share.sum(axis=1))[:, None]
-        gain = np.zeros_like(w)
-        np.add.at(gain, rest, share)
-        some = gain.sum(axis=1) > 0
-        w[some] = gain[some] / gain[some].sum(axis=1, keepdims=True)
-        w = np.maximum(w, 1e-6)
-        w /= w.sum(axis=1, keepdims=True)
+        share = p * w
+        gain = (n / share.sum(axis=1)) @ share
+        w = np.maximum(gain / gain.sum(), 1e-6)
+        w /= w.sum()
     return w
