@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold, returned, stored
-from .tokens import Hasher, gaps, mixed, narrow, numbered, ungapped, widened
+from .tokens import Hasher, counted, gaps, mixed, narrow, numbered, runs, ungapped, widened
 
 START, END = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b" start", b" end"))  # words hold no spaces
 BUCKET_KEYS, STEPS, LEVELS, HELD_BYTES = 2_000_000, 4, 40, 40 << 20
@@ -35,9 +35,9 @@ _TOLD = "block bigint, bucket bigint, v bigint, n bigint, nd bigint, one binary,
 
 
 class Block:
-    """The n-grams of texts: the distinct keys of each family, sorted, and for each order the place of every token's n-gram."""
+    """The n-grams of texts: the distinct keys of each family, sorted, and for each order the place of every token's n-gram (unless ``placed`` is false)."""
 
-    def __init__(self, texts: list[str | None], order: int, hasher: Hasher, width: int):
+    def __init__(self, texts: list[str | None], order: int, hasher: Hasher, width: int, placed: bool = True):
         self.width = {"one": 64, "more": width}
         words, many = hasher(texts)
         pads = max(order - 1, 1)
@@ -57,14 +57,22 @@ class Block:
             if k > 1:
                 grams = np.concatenate([grams[:1], mixed(grams[:-1], stream[1:])])
             where = np.flatnonzero(inner if k < order or k == 1 else real)
+            if k == 1 and not placed:
+                self.one, self.one_n = counted(grams[where])
+                continue
             if k == 1:
                 self.one, place = numbered(grams[where])
             else:
                 longer.append(grams[where] >> np.uint64(64 - width))
                 place = where
+            if not placed:
+                continue
             full = np.full(len(stream), -1, np.int32)
             full[where] = place
             self.places.append(full)
+        if not placed:
+            self.more, self.more_n = counted(np.concatenate(longer) if longer else np.zeros(0, np.uint64))
+            return
         self.more, place = numbered(np.concatenate(longer) if longer else np.zeros(0, np.uint64))
         done = 0
         for k in range(2, order + 1):
@@ -116,7 +124,7 @@ def score(docs: DataFrame, order: int = 2, folds: int = 7, held_out: int = 2, de
 
         def out():
             for number, texts in held.items():
-                b = Block(texts, order, hasher, width)
+                b = Block(texts, order, hasher, width, placed=False)
                 own = {f: b.buckets(f, bits) for f in FAMILIES}
                 used = np.unique(np.concatenate(list(own.values())))
                 edge = {f: list(zip(np.searchsorted(own[f], used, "left").tolist(), np.searchsorted(own[f], used, "right").tolist())) for f in FAMILIES}
@@ -144,21 +152,20 @@ def score(docs: DataFrame, order: int = 2, folds: int = 7, held_out: int = 2, de
         for family in FAMILIES:
             keys = [ungapped(x) for x in t.column(family).to_pylist()]
             counts = np.concatenate([_wide(x) for x in t.column(f"{family}_n").to_pylist()]).astype(np.int64)
-            every, at = numbered(np.concatenate(keys))
-            # sums of each block's own counts: a block's rows come from several tasks
-            pair, place = numbered((np.repeat(back, [len(k) for k in keys]) * max(len(every), 1) + at).astype(np.uint64))
-            own = np.bincount(place, counts, len(pair)).astype(np.int64)
-            block, key = (pair // max(len(every), 1)).astype(np.int64), (pair % max(len(every), 1)).astype(np.int64)
+            pair, own = _summed(np.concatenate(keys), np.repeat(back.astype(np.uint64), [len(k) for k in keys]), counts, (64 if family == "one" else width) - bits)
+            every, key, block = pair
             own_t, own_d = np.where(blocks[block] % folds != held_out, own, 0), np.where(blocks[block] % folds == deleted, own, 0)
-            all_t, all_d = (np.bincount(key, x, len(every)).astype(np.int64) for x in (own_t, own_d))
+            first = runs(key)
+            all_t, all_d = np.add.reduceat(own_t, first), np.add.reduceat(own_d, first)
             if family == "one":
                 words = every != START
                 facts[2:5] = [int((words & (all_t > 0)).sum()), int(all_t[words].sum()), int(all_d[words].sum())]
             tell = (all_t[key] != own_t) | ((all_d[key] != own_d) & (blocks[block] % folds == deleted))
-            edge = np.searchsorted(block, np.arange(len(blocks) + 1))
+            order_ = np.argsort(block.astype(np.uint16) if len(blocks) < 1 << 16 else block, kind="stable")  # by block, then key
+            edge = np.searchsorted(block[order_], np.arange(len(blocks) + 1))
             for i, b in enumerate(blocks.tolist()):
-                e = slice(edge[i], edge[i + 1])
-                k = key[e][tell[e]]
+                e = order_[edge[i] : edge[i + 1]]
+                k = key[e[tell[e]]]
                 told[b] += [np.packbits(tell[e]).tobytes(), _small(all_t[k]), _small(all_d[k]) if b % folds == deleted else None]
         cols = list(zip(facts, *told.values()))
         names = [x.split()[0] for x in _TOLD.split(", ")]
@@ -212,6 +219,27 @@ def score(docs: DataFrame, order: int = 2, folds: int = 7, held_out: int = 2, de
     return d.groupBy("block").cogroup(slices.groupBy("block")).applyInArrow(judge, schema)
 
 
+def _summed(keys: np.ndarray, block: np.ndarray, counts: np.ndarray, span: int) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    """``(distinct keys, (key number, block) of each pair in order), counts`` summed for each pair of key and block.
+
+    A block's rows come from several tasks.  Keys agree in all but their last ``span`` bits.
+    """
+    many = int(block.max()).bit_length() if len(block) else 0
+    if span + many <= 64:
+        both = keys << np.uint64(many) | block  # bits that all keys share go lost
+        order = np.argsort(both)
+        start = runs(both[order])
+        keys, block = keys[order[start]], block[order[start]]
+    else:
+        order = np.lexsort((block, keys))
+        start = np.flatnonzero(np.concatenate([[True], (np.diff(keys[order]) != 0) | (np.diff(block[order]) != 0)])) if len(keys) else np.zeros(0, np.int64)
+        keys, block = keys[order[start]], block[order[start]]
+    own = np.add.reduceat(counts[order], start) if len(start) else counts
+    first = np.ones(len(keys), bool)
+    first[1:] = keys[1:] != keys[:-1]
+    return (keys[first], np.cumsum(first) - 1, block.astype(np.int64)), own
+
+
 class _Counts:
     """A block with the totals of its n-grams: its own counts where nothing was told."""
 

@@ -10,29 +10,43 @@ from .common import LOWER
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
+class _Places(dict):
+    """Numbers words as they are first asked for."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        self.fresh.append(word)
+        return n
+
+
 class Hasher:
     """Hashes of texts' lower-cased (A-Z) words; remembers words, up to a bound."""
 
-    def __init__(self, bound: int = 300_000):
+    def __init__(self, bound: int = 200_000):
         self.bound = bound
-        self.known: dict[bytes, int] = {}
+        self.known = _Places()
         self.table = np.zeros(0, np.uint64)
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The hashes of all words of all texts, one after the other, and the number of words of each text."""
         if len(self.known) > self.bound:
-            self.known.clear()
+            self.known = _Places()
             self.table = np.zeros(0, np.uint64)
-        known = self.known
-        split = [(t or "").encode("utf-8", "surrogatepass").translate(LOWER).split() for t in texts]
-        fresh = list({w for words in split for w in words if w not in known})
+        place = self.known.__getitem__
+        at: list[int] = []
+        many = []
+        for t in texts:
+            before = len(at)
+            at += map(place, (t or "").encode("utf-8", "surrogatepass").translate(LOWER).split())
+            many.append(len(at) - before)
+        fresh, self.known.fresh = self.known.fresh, []
         if fresh:
-            known.update(zip(fresh, range(len(self.table), len(self.table) + len(fresh))))
             self.table = np.concatenate([self.table, np.array([xxhash.xxh3_64_intdigest(w) for w in fresh], np.uint64)])
-        at: list[int] = []
-        for words in split:
-            at += [known[w] for w in words]
-        return self.table[np.array(at, np.int64)] if at else np.zeros(0, np.uint64), np.array([len(w) for w in split], np.int64)
+        return self.table[np.array(at, np.int64)] if at else np.zeros(0, np.uint64), np.array(many, np.int64)
 
 
 def mixed(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -87,3 +101,10 @@ def ungapped(raw: bytes) -> np.ndarray:
     if len(raw) == 1:
         return np.zeros(0, np.uint64)
     return np.cumsum(np.concatenate([np.frombuffer(raw[-8:], "<u8"), widened(raw[:-8])]), dtype=np.uint64)
+
+
+def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and how often each occurs."""
+    keys = np.sort(keys)
+    start = runs(keys)
+    return keys[start], np.diff(np.append(start, len(keys)))
