@@ -12,8 +12,8 @@ from docflow.llm.queries import mix_levels, tokenizer_path
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learn rank-order profiles from the labelled rows; texts without a language go, missing labels are filled."""
-    got = langid.predict(docs, langid.learn(docs)).where("lang_pred <> 'und'")
-    return got.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    got = langid.predict(docs, langid.learn(docs), names=("__lang_pred", "__score")).where("__lang_pred <> 'und'")
+    return got.withColumn("lang", F.coalesce("lang", "__lang_pred")).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +29,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Nine tenths of the tokens, shared among sources by target weights; a document stands once for each epoch it is in."""
     levels, weights = mix_levels()
-    return mixing.repeated(mixing.mix(docs, levels, share=0.9, weights=weights, max_epochs=2, seed=17), docs.columns)
+    return mixing.repeated(docs, levels, share=0.9, weights=weights, max_epochs=2, seed=17)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

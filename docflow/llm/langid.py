@@ -6,8 +6,9 @@ where the language lacks the n-gram.  The nearest language wins; ties go to the
 
 Words are maximal runs of letters, lower-cased, padded with ``_``; n-grams of one to three characters lie within a padded
 word.  Null texts and texts without a letter are ``und`` with score 0.  Rows without a language teach nothing.  With no
-labelled row at all every document is ``und``.  Repeated rows get equal answers; extra columns are ignored; an empty
-table gives an empty result.
+labelled row at all every document is ``und``.  Repeated rows get equal answers; extra columns are kept, but those that are named
+like a result column give way to it (as in ``withColumn``); an empty table gives an empty result.  A text is read whole
+and its n-grams are counted in memory that grows with its length alone.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import returned
+
 SIZE, MAX_LABELS = 300, 10_000
 PAD = ord("_")
 _FLUSH = 1 << 22  # characters whose n-grams are counted at once
@@ -108,6 +111,8 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", size:
                     held.clear()
                     size = 0
         yield from out()
+        held.clear()
+        returned()
 
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     sums = rows.mapInArrow(count, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -115,10 +120,11 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", size:
     return sums.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < size).select("lang", "rank", "gram", "n")
 
 
-def predict(docs: DataFrame, profiles: DataFrame, text_col: str = "text", size: int = SIZE) -> DataFrame:
+def predict(docs: DataFrame, profiles: DataFrame, text_col: str = "text", size: int = SIZE, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` (1 less the distance over the largest possible distance).
 
-    Profiles are ``size`` rows a language, of at most MAX_LABELS languages; more labels than that are an error.
+    Profiles are ``size`` rows a language and go to every task; more than MAX_LABELS labels (300 rows of 40 bytes each) are an error,
+    as they are no languages any more.
     """
     learned: dict[str, list[tuple[int, int]]] = {}
     for r in profiles.limit(MAX_LABELS * size + 1).collect():
@@ -131,8 +137,9 @@ def predict(docs: DataFrame, profiles: DataFrame, text_col: str = "text", size:
     for i, lang in enumerate(langs):
         for g, rank in learned[lang]:
             ranks[i, np.searchsorted(known, g)] = rank
-    at = docs.columns.index(text_col)
-    schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
+    text = F.col(text_col).alias("__text")
+    docs = docs.select(text, "*").drop(*(c for c in docs.columns if c.lower() in {n.lower() for n in names}))
+    schema = docs.drop("__text").select("*", F.lit("").alias(names[0]), F.lit(0.0).alias(names[1])).schema
 
     def judged(text: str | None) -> tuple[str, float]:
         points = _padded(text) if text and langs else ()
@@ -148,8 +155,9 @@ def predict(docs: DataFrame, profiles: DataFrame, text_col: str = "text", size:
 
     def judge(batches):
         for b in (batch.slice(i, 1000) for batch in batches for i in range(0, batch.num_rows, 1000)):
-            got = [judged(t) for t in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
+            got = [judged(t) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], names=[*b.schema.names[1:], *names])
+        returned()
 
     return docs.mapInArrow(judge, schema)
 

@@ -8,7 +8,8 @@ order of a seeded hash while their tokens fit.
 
 Tokens are white-space words of the text (null: none).  Null level values are one group of their own, named ``""``; null
 ids hash as the text ``null``.  Documents of equal id are together in the order: they all enter a prefix or
-none does.  Documents that get no copy are left out.  An empty table gives an empty result.
+none does.  Documents that get no copy are left out.  An empty table gives an empty result.  Extra columns are kept; in
+``mix`` those that are named like a result column give way to it (as in ``withColumn``), ``repeated`` keeps all.
 """
 
 from __future__ import annotations
@@ -93,23 +94,30 @@ def _with_leaf(docs: DataFrame, per_leaf: DataFrame, levels: list[str], salts: i
     return salted.join(spread, [*levels, "__salt"]).drop("__salt")
 
 
+def _mixed(docs: DataFrame, levels: dict[str, Column], share: float, weights: dict[str, Column] | None, max_epochs: int, seed: int, row: Column | None) -> DataFrame:
+    """``(row, doc_id, levels, tokens, leaf_budget, copies)``; without ``row`` texts are read once."""
+    names = [f"mix_{k}" for k in levels]
+    named = docs.select(*([row.alias("row")] if row is not None else []), "doc_id", *(F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in zip(names, levels.values())), n_words(F.col("text")).alias("tokens"))
+    small = stored(named.select("doc_id", *names, "tokens"), "mix-docs")
+    cuts = plan(small, names, share, {f"mix_{k}": v for k, v in (weights or {}).items()}, max_epochs, seed)
+    got = _with_leaf(named if row is not None else small, cuts.select(*names, "leaf_budget", "epochs", "rest", "below", "last"), names).withColumn("place", _place(seed))
+    upto = F.coalesce((F.col("place") < F.col("below")) | (F.struct("place", "doc_id") <= F.col("last")), F.col("place") < F.col("below"), F.lit(False))
+    got = got.withColumn("copies", F.col("epochs") + F.when((F.col("rest") > 0) & upto, 1).otherwise(0))
+    return got.where("copies > 0").select(*(["row"] if row is not None else []), "doc_id", *names, "tokens", "leaf_budget", "copies")
+
+
 def mix(docs: DataFrame, levels: dict[str, Column], share: float, weights: dict[str, Column] | None = None, max_epochs: int = 4, seed: int = 17, whole_rows: bool = True) -> DataFrame:
     """``docs`` that get a copy, with the level columns (prefixed ``mix_``), ``tokens``, ``leaf_budget`` and ``copies``.
 
     Without ``whole_rows`` only doc_id is kept of the documents' columns, and their texts are read once.
     """
-    names = [f"mix_{k}" for k in levels]
-    named = docs.select("*", *(F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in zip(names, levels.values())))
-    small = stored(named.select("doc_id", *names, n_words(F.col("text")).alias("tokens")), "mix-docs")
-    cuts = plan(small, names, share, {f"mix_{k}": v for k, v in (weights or {}).items()}, max_epochs, seed)
-    named = named.withColumn("tokens", n_words(F.col("text"))) if whole_rows else small
-    got = _with_leaf(named, cuts.select(*names, "leaf_budget", "epochs", "rest", "below", "last"), names).withColumn("place", _place(seed))
-    upto = F.coalesce((F.col("place") < F.col("below")) | (F.struct("place", "doc_id") <= F.col("last")), F.col("place") < F.col("below"), F.lit(False))
-    got = got.withColumn("copies", F.col("epochs") + F.when((F.col("rest") > 0) & upto, 1).otherwise(0))
-    kept = [c for c in docs.columns if c in named.columns]
-    return got.where("copies > 0").select(*kept, *names, "tokens", "leaf_budget", "copies")
+    new = [*(f"mix_{k}" for k in levels), "tokens", "leaf_budget", "copies"]
+    kept = [c for c in docs.columns if c.lower() not in {n.lower() for n in new}] if whole_rows else ["doc_id"]
+    got = _mixed(docs, levels, share, weights, max_epochs, seed, F.struct(*kept) if whole_rows else None)
+    return got.select(*([f"row.{c}" for c in kept] if whole_rows else kept), *new)
 
 
-def repeated(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """Each document once for each copy."""
-    return mixed.withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*columns)
+def repeated(docs: DataFrame, levels: dict[str, Column], share: float, weights: dict[str, Column] | None = None, max_epochs: int = 4, seed: int = 17) -> DataFrame:
+    """The rows of ``docs`` that get a copy, each once for each copy."""
+    got = _mixed(docs, levels, share, weights, max_epochs, seed, F.struct("*"))
+    return got.withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

@@ -23,7 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER
+from .common import LOWER, returned
+from .tokens import Places
 
 _STOP = re.compile(rb"([a-z0-9])([.,])(?=[\x20\x09-\x0D])")
 TIERS = (2048, 1024, 512, 256)
@@ -38,26 +39,13 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-class _Numbers(dict):
-    """Numbers words as they are first asked for."""
-
-    def __init__(self):
-        super().__init__()
-        self.next, self.fresh = 1, []
-
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = self.next
-        self.next += 1
-        self.fresh.append(word)
-        return n
-
-
 class Encoder:
     """Ids of texts.  This tokenizer drops white space, so words are encoded once and remembered, up to a bound.
 
-    An unknown word is cut behind its leading letters where an ASCII character follows (always a border of the
-    tokenizer's own pre-tokens), and its parts, in lower case, are remembered too.  Remembered ids lie in one flat
-    array, so that texts are put together by gathering.
+    A word that ends in a full stop or comma behind an ASCII letter or digit is two (always a border of the tokenizer's own
+    pre-tokens), and any other word is cut behind its leading letters where an ASCII character follows (another such
+    border); such parts, in lower case, are remembered too.  Remembered ids lie in one flat array, so that texts are put
+    together by gathering.
     """
 
     def __init__(self, path: str, end: int = 1, bound: int = 400_000):
@@ -69,60 +57,57 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known = _Numbers()
-        self.flat, self.size = np.array([self.end], "<u4"), np.array([1], np.int64)  # place 0 is the end token
-        self.start = np.array([0], np.int64)
+        self.known = Places({b"": 0})  # place 0 is the end token; no word is empty
+        self.flat, self.size, self.start = [np.array([self.end], "<u4")], [np.array([1], np.int64)], [np.array([0], np.int64)]
+        self.held = 1
 
     @staticmethod
     def _words(text: str | None) -> list[bytes]:
-        """White-space words in lower case; a full stop or comma behind an ASCII letter or digit is a word of its own."""
         raw = (text or "").encode("utf-8", "surrogatepass")
-        if b"<|" in raw:
+        if b"<|" in raw:  # a special token is matched as written
             return raw.split()
         return _STOP.sub(rb"\1 \2", raw.translate(LOWER)).split()
 
-    def _cut(self, word: bytes) -> tuple[str, ...]:
-        w = word.decode("utf-8", "surrogatepass")
-        if "<|" in w:  # may be a special token, which is matched as written
+    @staticmethod
+    def _cut(w: str) -> tuple[str, ...]:
+        if "<|" in w:
             return (w,)
+        if len(w) > 1 and w[-1] in ".," and w[-2].isascii() and w[-2].isalnum():
+            return (*Encoder._cut(w[:-1]), w[-1])
         low = w.lower() if w.isascii() else w
-        if low.isalpha():
-            return (low,)
         n = 0
-        while low[n].isalpha():
+        while n < len(low) and low[n].isalpha():
             n += 1
-        return (low[:n], low[n:]) if n and low[n].isascii() else (low,)
-
-    def _encode(self, parts: list[str]) -> None:
-        plain = [p for p in parts if p.isalpha()]
-        for i in range(0, len(plain), 20_000):  # runs of letters are one pre-token each: one call, cut behind closing ids
-            some = plain[i : i + 20_000]
+        return (low[:n], low[n:]) if 0 < n < len(low) and low[n].isascii() else (low,)
+
+    def _keep(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Remember ids of words that follow each other; their starts."""
+        start = np.cumsum(sizes) - sizes + self.held
+        self.flat.append(ids.astype("<u4"))
+        self.held += len(ids)
+        return start
+
+    def _learn(self, fresh: list[bytes]) -> None:
+        """Encode new words: letters, and letters before a stop, in few calls that are cut behind closing ids; others by their parts."""
+        size, start = np.zeros(len(fresh), np.int64), np.zeros(len(fresh), np.int64)
+        words = [w.decode("utf-8", "surrogatepass") for w in fresh]
+        plain = [(i, w, 1) if w.isalpha() else (i, f"{w[:-1]} {w[-1]}", 2) for i, w in enumerate(words) if w.isalpha() or (w[-1] in ".," and w[-2:-1].isascii() and w[:-1].isalpha())]
+        done = np.zeros(len(fresh), bool)
+        for s in range(0, len(plain), 20_000):
+            at, some, many = zip(*plain[s : s + 20_000])
             ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, np.int64)
             ends = np.flatnonzero(self.closes[ids]) + 1
-            if len(ends) == len(some):
-                flat, at = ids.tolist(), 0
-                for p, e in zip(some, ends.tolist()):
-                    self.parts[p] = flat[at:e]
-                    at = e
-        left = [p for p in parts if p not in self.parts]
-        for i in range(0, len(left), 20_000):
-            some = left[i : i + 20_000]
+            last = np.cumsum(many) - 1
+            if len(ends) == last[-1] + 1:
+                at, sizes = np.array(at), np.diff(ends[last], prepend=0)
+                size[at], start[at], done[at] = sizes, self._keep(ids, sizes), True
+        left = np.flatnonzero(~done)
+        cut = [self._cut(words[i]) for i in left.tolist()]
+        new = list({p for ps in cut for p in ps if p not in self.parts})
+        for s in range(0, len(new), 20_000):
+            some = new[s : s + 20_000]
             for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
                 self.parts[p] = e.ids
-
-    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self.known) > self.bound:
-            self._forget()
-        if len(self.parts) > self.bound:
-            self.parts.clear()
-        known = self.known
-        place: list[int] = []
-        for t in texts:
-            place += map(known.__getitem__, self._words(t))
-            place.append(0)
-        fresh, known.fresh = known.fresh, []
-        cut = [self._cut(w) for w in fresh]
-        self._encode(list({p for ps in cut for p in ps if p not in self.parts}))
         ids: list[int] = []
         sizes = []
         for ps in cut:
@@ -130,18 +115,34 @@ class Encoder:
             for p in ps:
                 ids += self.parts[p]
             sizes.append(len(ids) - before)
-        self.flat = np.concatenate([self.flat, np.array(ids, "<u4")])
-        self.size = np.concatenate([self.size, np.array(sizes, np.int64)])
-        self.start = np.cumsum(self.size) - self.size
-        at = np.array(place, np.int64)
-        size = self.size[at]
+        sizes = np.array(sizes, np.int64)
+        size[left], start[left] = sizes, self._keep(np.array(ids, np.int64), sizes)
+        self.size.append(size)
+        self.start.append(start)
+        for p in [p for p in new if len(p) > 256]:
+            del self.parts[p]
+
+    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
+        if len(self.known) > self.bound:
+            self._forget()
+        if len(self.parts) > self.bound:
+            self.parts.clear()
+        place = self.known.__getitem__
+        at: list[int] = []
+        for t in texts:
+            at += map(place, self._words(t))
+            at.append(0)
+        fresh, self.known.fresh = self.known.fresh, []
+        if fresh:
+            self._learn(fresh)
+        for held in (self.flat, self.size, self.start):
+            if len(held) > 1:
+                held[:] = [np.concatenate(held)]
+        at = np.array(at, np.int64)
+        size, start = self.size[0][at], self.start[0][at]
         ends = np.cumsum(size)
-        whole = self.flat[np.repeat(self.start[at] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+        whole = self.flat[0][np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
         stops = ends[np.flatnonzero(at == 0)]
-        for w in [w for w in fresh if len(w) > 256]:
-            del known[w]
-        for p in [p for ps in cut for p in ps if len(p) > 256]:
-            self.parts.pop(p, None)
         return np.split(whole, stops[:-1])
 
 
@@ -216,7 +217,7 @@ def step_groups(windows: list, step_tokens: int) -> list[int]:
     return groups
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", tiers: tuple[int, ...] = TIERS, block_tokens: int = 4_000_000, step_tokens: int = 32_768) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", tiers: tuple[int, ...] = TIERS, block_tokens: int = 1_000_000, step_tokens: int = 32_768) -> DataFrame:
     """One row per piece: the document's id and FIELDS.  One pass over the partitions, no shuffle."""
     names = [f.split()[0] for f in FIELDS.split(", ")]
 
@@ -258,6 +259,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
                         held = 0
         if ids:
             yield from out()
+        keys.clear(), ids.clear()
+        del encode
+        returned()
 
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, {FIELDS}")

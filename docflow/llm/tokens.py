@@ -10,11 +10,11 @@ from .common import LOWER
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
-class _Places(dict):
+class Places(dict):
     """Numbers words as they are first asked for."""
 
-    def __init__(self):
-        super().__init__()
+    def __init__(self, known: dict[bytes, int] | None = None):
+        super().__init__(known or {})
         self.fresh: list[bytes] = []
 
     def __missing__(self, word: bytes) -> int:
@@ -28,13 +28,13 @@ class Hasher:
 
     def __init__(self, bound: int = 200_000):
         self.bound = bound
-        self.known = _Places()
+        self.known = Places()
         self.table = np.zeros(0, np.uint64)
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The hashes of all words of all texts, one after the other, and the number of words of each text."""
         if len(self.known) > self.bound:
-            self.known = _Places()
+            self.known = Places()
             self.table = np.zeros(0, np.uint64)
         place = self.known.__getitem__
         at: list[int] = []
