@@ -80,7 +80,7 @@ class Classes:
 
 
 def cells(s: np.ndarray, classes: Classes) -> tuple[np.ndarray, bytes, bytes]:
-    """Cell keys of a set in its own class and, if its partners reach there, in the one below (lowest bit 1); its leading cells in both."""
+    """Cell keys of a set in its own class and, if its partners reach there, in the one below (lowest bit 1), the bit above marks leading cells; the leading cells of both."""
     own, out, leads = int(classes.of(len(s))), [], []
     for c in (own, own - 1):
         first = np.zeros(LEAD, "<u4")
@@ -93,10 +93,11 @@ def cells(s: np.ndarray, classes: Classes) -> tuple[np.ndarray, bytes, bytes]:
             content = np.add.reduceat((s[order] ^ (s[order] >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15), start)
             key = mixed(content, used.astype(np.uint64) * np.uint64(4099) + np.uint64(c)) >> np.uint64(64 - KEY_BITS)
             lead = used < LEAD
-            first[used[lead]] = short(key[lead] >> np.uint64(1))
+            first[used[lead]] = short(key[lead] >> np.uint64(2))
+            key = (key & ~np.uint64(3)) | (lead.astype(np.uint64) << np.uint64(1))
             if groups - len(used) > spare:
-                key = np.concatenate([key, _empties(c, groups, spare, used)])
-            out.append((key & ~np.uint64(1)) | np.uint64(c != own))
+                key = np.concatenate([key, _empties(c, groups, spare, used) & ~np.uint64(3)])
+            out.append(key | np.uint64(c != own))
         leads.append(first.tobytes())
     return np.concatenate(out), *leads
 
@@ -266,9 +267,9 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10,
     near = stored(verified(docs, distinct, led, k, num, den, id_col, text_col), "jaccard-near")
     labels = components(near.select("a", "b")).select("id", F.col("component_id").alias("label"))
     lead = F.when(F.col("flag"), F.col("lead_low")).otherwise(F.col("lead_own")).alias("lead")
-    rest = apart(members, labels).join(distinct.select("id", "n_shingles", "point", F.col("lead").alias("lead_own"), "lead_low"), "id").select("*", lead).drop("lead_own", "lead_low")
-    rest = stored(rest, "jaccard-apart")
-    pairs = candidates(rest.where(F.col("n") <= tile), num, den, False).union(candidates(tiles(rest.where(F.col("n") > tile), tile), num, den, True)).distinct()
+    points_of = distinct.select("id", "n_shingles", "point", F.col("lead").alias("lead_own"), "lead_low")
+    few, many = (rest.join(points_of, "id").select("*", lead).drop("lead_own", "lead_low") for rest in apart(members, labels, tile))
+    pairs = candidates(few, num, den, False).union(candidates(tiles(many, tile), num, den, True)).distinct()
     far = verified(docs, distinct, stored(pairs, "jaccard-pairs"), k, num, den, id_col, text_col)
 
     linked = components(thinned(near.select("doc_a", "doc_b").union(far.select("doc_a", "doc_b")).toDF("a", "b")))

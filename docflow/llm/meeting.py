@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import returned
+from .common import returned, stored
 from .tokens import gaps, narrow, runs, ungapped, widened
 
 KEY_BITS = 48
@@ -19,9 +19,10 @@ _SENT = "bucket bigint, keys binary, ids binary, met binary"
 
 
 def shared_keys(rows: DataFrame, total: int, per_bucket: int = 400_000, buffer: int = 2_000_000) -> DataFrame:
-    """Distinct ``(cell, id, flag)`` of the entries of ``rows (id, keys)`` whose cell at least two different ids hold.
+    """``(cell, id, flag, lead)`` of the entries of ``rows (id, keys)`` whose cell at least two different ids hold; some may come twice.
 
-    ``keys`` holds ``total`` numbers of KEY_BITS bits altogether, by ``narrow``; their lowest bit is the flag, the rest the cell.
+    ``keys`` holds ``total`` numbers of KEY_BITS bits altogether, by ``narrow``; their two lowest bits are lead and flag, the rest
+    the cell.
     Tasks send what they hold as arrays to buckets of cells: a cell in which two ids meet inside a task is known to be
     shared, its entries go on as they are, and the bucket only hears of it once; so a bucket gets at most one entry of a
     cell from each task's buffer, however many rows hold it.
@@ -39,12 +40,17 @@ def shared_keys(rows: DataFrame, total: int, per_bucket: int = 400_000, buffer:
             key, ids = np.concatenate(held_k), np.concatenate(held_i)
             order = np.argsort(key)
             key, ids = key[order], ids[order]
-            start = runs(key >> np.uint64(1))
+            start = runs(key >> np.uint64(2))
             low, high = np.minimum.reduceat(ids, start), np.maximum.reduceat(ids, start)
             met = low != high
             rows = []
             inside = np.repeat(met, np.diff(np.append(start, len(key))))
             k, i = key[inside], ids[inside]
+            order = np.lexsort((i, k))
+            k, i = k[order], i[order]
+            fresh = np.ones(len(k), bool)
+            fresh[1:] = (k[1:] != k[:-1]) | (i[1:] != i[:-1])
+            k, i = k[fresh], i[fresh]
             for s in range(0, len(k), 100_000):
                 rows.append((buckets + int(k[s] ^ i[s].view(np.uint64)) % max(buckets, 64), gaps(k[s : s + 100_000]), i[s : s + 100_000].tobytes(), b""))
             k = key[start]
@@ -78,34 +84,73 @@ def shared_keys(rows: DataFrame, total: int, per_bucket: int = 400_000, buffer:
             met = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=len(k)) for m, k in zip(t.column("met").to_pylist(), many)]).astype(bool)
             order = np.argsort(key)
             key, ids, met = key[order], ids[order], met[order]
-            start = runs(key >> np.uint64(1))
+            start = runs(key >> np.uint64(2))
             shared = (np.minimum.reduceat(ids, start) != np.maximum.reduceat(ids, start)) | np.logical_or.reduceat(met, start)
             own = np.repeat(shared, np.diff(np.append(start, len(key)))) & ~met
             key, ids = key[own], ids[own]
-        return pa.table({"cell": pa.array((key >> np.uint64(1)).view(np.int64)), "id": pa.array(ids), "flag": pa.array((key & np.uint64(1)).astype(bool))})
+        return pa.table({"cell": pa.array((key >> np.uint64(2)).view(np.int64)), "id": pa.array(ids), "flag": pa.array((key & np.uint64(1)).astype(bool)), "lead": pa.array((key & np.uint64(2)).astype(bool))})
 
     sent = rows.select("id", "keys").where("id is not null and keys is not null").mapInArrow(send, _SENT)
-    return sent.groupBy("bucket").applyInArrow(meet, "cell bigint, id bigint, flag boolean").distinct()
+    return sent.groupBy("bucket").applyInArrow(meet, "cell bigint, id bigint, flag boolean, lead boolean")
 
 
 def parents(members: DataFrame) -> DataFrame:
-    """``(a, b)``: for each id ``b`` of ``members (cell, id)`` the leader ``a`` that it meets, if it isn't one itself.
+    """``(a, b)``: for each id ``b`` of ``members (cell, id, lead)`` the leader ``a`` that it meets in a leading cell, if it isn't one itself.
 
     A cell's leader is the id that meets others in the most cells (the larger on ties): the original of a group of edited copies
     shares every cell with some of them.  An id follows the best leader of its cells.
     """
-    m = members.select("cell", "id")
+    m = members.where("lead").select("cell", "id")
     met = m.groupBy("id").agg(F.count("*").alias("met"))
     leader = m.join(met, "id").groupBy("cell").agg(F.max(F.struct("met", "id")).alias("top"))
     best = m.join(leader, "cell").groupBy("id").agg(F.max("top").alias("top"))
     return best.where(F.col("top.id") != F.col("id")).select(F.col("top.id").alias("a"), F.col("id").alias("b"))
 
 
-def apart(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """``members`` with ``label`` (of ``labels (id, label)``, else the id) in the cells where different labels meet; ``n`` is such a cell's size."""
-    named = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    mixed = named.groupBy("cell").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("cell", "n")
-    return named.join(mixed, "cell")
+def small_enough(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``most`` (narrow) rows; else joins shuffle both sides."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def apart(members: DataFrame, labels: DataFrame, tile: int) -> tuple[DataFrame, DataFrame]:
+    """The distinct ``(cell, id, flag, label)`` of cells in which different labels (of ``labels (id, label)``, else the id) meet: those
+    of cells of at most ``tile`` entries, and those of larger cells, with their size ``n``."""
+    sizes = members.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > tile)
+    sizes = small_enough(stored(sizes, "meeting-sizes"))
+    named = members.select("cell", "id", "flag").join(small_enough(labels), "id", "left").withColumn("label", F.coalesce("label", "id")).select("cell", "id", "flag", "label")
+
+    def run(batches):
+        held: list[pa.Table] = []
+
+        def out(t: pa.Table):
+            cell, ids, label = (t.column(c).to_numpy() for c in ("cell", "id", "label"))
+            start = runs(cell)
+            mixed = np.repeat(np.minimum.reduceat(label, start) != np.maximum.reduceat(label, start), np.diff(np.append(start, len(cell))))
+            mixed[1:] &= (cell[1:] != cell[:-1]) | (ids[1:] != ids[:-1])
+            yield from t.filter(pa.array(mixed)).to_batches(max_chunksize=50_000)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(pa.Table.from_batches([batch]))
+            if sum(h.num_rows for h in held) < 50_000:
+                continue
+            t = pa.concat_tables(held)
+            cell = t.column("cell").to_numpy()
+            last = int(np.searchsorted(cell, cell[-1]))
+            if last:
+                yield from out(t.slice(0, last))
+            held = [t.slice(last)]
+        if held:
+            yield from out(pa.concat_tables(held))
+        held = []
+        returned()
+
+    few = named.join(sizes.select("cell"), "cell", "left_anti").select("cell", "id", "flag", "label")
+    few = few.repartition("cell").sortWithinPartitions("cell", "id").mapInArrow(run, "cell bigint, id bigint, flag boolean, label bigint")
+    many = named.join(sizes, "cell").distinct()
+    mixed = many.groupBy("cell").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("cell")
+    return few, many.join(mixed, "cell")
 
 
 def tiles(hot: DataFrame, tile: int) -> DataFrame:

@@ -290,3 +290,20 @@ def test_pipeline_stages_keep_columns(spark, docs):
         assert out.columns == d.columns
         d = out
     assert all(c is not None for c in (r.text for r in d.collect()))
+
+
+def test_jaccard_group_whose_members_link_only_through_the_original(spark):
+    """Every copy links with the original alone, and cells of unlinked copies are split into tiles."""
+    w = [f"w{i}" for i in range(200)]
+    rows = [(1000, " ".join(w))]
+    for i in range(60):
+        t = list(w)
+        for p in range(3):
+            t[(i * 3 + p * 67) % 200] = f"z{i}x{p}"
+        rows.append((i, " ".join(t)))
+    sets = [{tuple(t.split()[j : j + 3]) for j in range(198)} for _, t in rows]
+    linked = [[10 * len(a & b) >= 9 * len(a | b) for b in sets] for a in sets]
+    assert all(linked[0]) and sum(linked[a][b] for a in range(1, 61) for b in range(1, a)) < 300
+    for tile in (1024, 8):
+        got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), tile=tile).collect()}
+        assert set(got.values()) == {0} and len(got) == 61
