@@ -49,6 +49,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a written table that nothing reads any more, and let Spark clear the shuffles of finished jobs: those that the driver
+    has forgotten, which it notices when it collects its garbage."""
+    import gc
+
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def fold(col, parts: int):
     """crc32 of the column as text, modulo ``parts``; null ids count as the text ``null``."""
     return F.pmod(F.crc32(F.coalesce(col.cast("string"), F.lit("null"))), F.lit(parts))

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, returned, stored, thinned
+from .common import components, removed, returned, shared_dir, stored, thinned
 from .meeting import KEY_BITS, apart, beside, dealt, parents, shared_keys, tiles
 from .tokens import Hasher, mixed, narrow, runs
 
@@ -253,13 +253,17 @@ def candidates(rows: DataFrame, num: int, den: int, tiled: bool) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10, id_col: str = "doc_id", text_col: str = "text", tile: int = 1024) -> DataFrame:
     """``(doc_id, n_shingles, component_id)``: documents link where intersection * den >= union * num."""
-    sets = stored(shingle_sets(docs, k, num, den, id_col, text_col), "jaccard-sets")
+    spark, path = docs.sparkSession, shared_dir(docs.sparkSession, "jaccard-cells")
+    shingle_sets(docs, k, num, den, id_col, text_col).write.parquet(path)
+    celled = spark.read.schema(SETS).parquet(path)
+    sets = stored(celled.drop("cells"), "jaccard-sets")
     own = sets.where("set_id is not null and doc_id is not null")
     first = F.min(F.struct("doc_id", "text_hash")).alias("rep")
     distinct = own.groupBy("set_id").agg(first, F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("n_shingles", "point", "lead", "lead_low")))
     distinct = stored(distinct.select(F.col("set_id").alias("id"), "rep.doc_id", "rep.text_hash", "copies", "n_shingles", "point", "lead", "lead_low"), "jaccard-distinct")
     total = own.select(F.sum("n_cells")).first()[0] or 0
-    members = stored(shared_keys(own.select(F.col("set_id").alias("id"), F.col("cells").alias("keys")), total), "jaccard-members")
+    members = stored(shared_keys(celled.where("set_id is not null and doc_id is not null").select(F.col("set_id").alias("id"), F.col("cells").alias("keys")), total, tile), "jaccard-members")
+    removed(spark, path)
 
     sizes = distinct.select("id", "n_shingles")
     led = parents(members).join(sizes.withColumnRenamed("id", "a").withColumnRenamed("n_shingles", "na"), "a").join(sizes.withColumnRenamed("id", "b").withColumnRenamed("n_shingles", "nb"), "b")
@@ -268,7 +272,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10,
     labels = components(near.select("a", "b")).select("id", F.col("component_id").alias("label"))
     lead = F.when(F.col("flag"), F.col("lead_low")).otherwise(F.col("lead_own")).alias("lead")
     points_of = distinct.select("id", "n_shingles", "point", F.col("lead").alias("lead_own"), "lead_low")
-    few, many = (rest.join(points_of, "id").select("*", lead).drop("lead_own", "lead_low") for rest in apart(members, labels, tile))
+    few, many = (rest.join(points_of, "id").select("*", lead).drop("lead_own", "lead_low") for rest in apart(members, labels))
     pairs = candidates(few, num, den, False).union(candidates(tiles(many, tile), num, den, True)).distinct()
     far = verified(docs, distinct, stored(pairs, "jaccard-pairs"), k, num, den, id_col, text_col)
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,11 +16,12 @@ from .common import returned, stored
 from .tokens import gaps, narrow, runs, ungapped, widened
 
 KEY_BITS = 48
-_SENT = "bucket bigint, keys binary, ids binary, met binary"
+_SENT = "bucket bigint, keys binary, ids binary, met binary, many binary"
 
 
-def shared_keys(rows: DataFrame, total: int, per_bucket: int = 400_000, buffer: int = 2_000_000) -> DataFrame:
+def shared_keys(rows: DataFrame, total: int, tile: int, per_bucket: int = 400_000, buffer: int = 2_000_000) -> DataFrame:
     """``(cell, id, flag, lead)`` of the entries of ``rows (id, keys)`` whose cell at least two different ids hold; some may come twice.
+    For cells with more than ``tile`` entries there is one more row, without an id.
 
     ``keys`` holds ``total`` numbers of KEY_BITS bits altogether, by ``narrow``; their two lowest bits are lead and flag, the rest
     the cell.
@@ -52,15 +54,15 @@ def shared_keys(rows: DataFrame, total: int, per_bucket: int = 400_000, buffer:
             fresh[1:] = (k[1:] != k[:-1]) | (i[1:] != i[:-1])
             k, i = k[fresh], i[fresh]
             for s in range(0, len(k), 100_000):
-                rows.append((buckets + int(k[s] ^ i[s].view(np.uint64)) % max(buckets, 64), gaps(k[s : s + 100_000]), i[s : s + 100_000].tobytes(), b""))
-            k = key[start]
+                rows.append((buckets + int(k[s] ^ i[s].view(np.uint64)) % max(buckets, 64), gaps(k[s : s + 100_000]), i[s : s + 100_000].tobytes(), b"", b""))
+            k, many = key[start], np.diff(np.append(start, len(key)))
             edge = np.searchsorted(k >> shift, np.arange(buckets + 1, dtype=np.uint64)).tolist()
             for b in range(buckets):
                 e = slice(edge[b], edge[b + 1])
                 if e.start < e.stop:
-                    rows.append((b, gaps(k[e]), low[e].tobytes(), np.packbits(met[e]).tobytes()))
+                    rows.append((b, gaps(k[e]), low[e].tobytes(), np.packbits(met[e]).tobytes(), narrow(many[e])))
             cols = list(zip(*rows))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["bucket", "keys", "ids", "met"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["bucket", "keys", "ids", "met", "many"])
 
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
@@ -80,15 +82,19 @@ def shared_keys(rows: DataFrame, total: int, per_bucket: int = 400_000, buffer:
     def meet(t: pa.Table) -> pa.Table:
         many = [ungapped(x) for x in t.column("keys").to_pylist()]
         key, ids = np.concatenate(many), np.frombuffer(b"".join(t.column("ids").to_pylist()), "<i8")
+        hot = np.zeros(0, np.uint64)
         if t.column("bucket")[0].as_py() < buckets:
+            count = np.concatenate([widened(x) for x in t.column("many").to_pylist()]).astype(np.int64)
             met = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=len(k)) for m, k in zip(t.column("met").to_pylist(), many)]).astype(bool)
             order = np.argsort(key)
             key, ids, met = key[order], ids[order], met[order]
             start = runs(key >> np.uint64(2))
             shared = (np.minimum.reduceat(ids, start) != np.maximum.reduceat(ids, start)) | np.logical_or.reduceat(met, start)
+            size = np.add.reduceat(count[order], start)
+            hot = key[start[(size > tile) & shared]] & ~np.uint64(3)
             own = np.repeat(shared, np.diff(np.append(start, len(key)))) & ~met
-            key, ids = key[own], ids[own]
-        return pa.table({"cell": pa.array((key >> np.uint64(2)).view(np.int64)), "id": pa.array(ids), "flag": pa.array((key & np.uint64(1)).astype(bool)), "lead": pa.array((key & np.uint64(2)).astype(bool))})
+            key, ids = np.concatenate([key[own], hot]), ids[own]
+        return pa.table({"cell": pa.array((key >> np.uint64(2)).view(np.int64)), "id": pa.concat_arrays([pa.array(ids), pa.nulls(len(hot), pa.int64())]), "flag": pa.array((key & np.uint64(1)).astype(bool)), "lead": pa.array((key & np.uint64(2)).astype(bool))})
 
     sent = rows.select("id", "keys").where("id is not null and keys is not null").mapInArrow(send, _SENT)
     return sent.groupBy("bucket").applyInArrow(meet, "cell bigint, id bigint, flag boolean, lead boolean")
@@ -112,31 +118,33 @@ def small_enough(df: DataFrame, most: int = 500_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def apart(members: DataFrame, labels: DataFrame, tile: int) -> tuple[DataFrame, DataFrame]:
+def apart(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The distinct ``(cell, id, flag, label)`` of cells in which different labels (of ``labels (id, label)``, else the id) meet: those
-    of cells of at most ``tile`` entries, and those of larger cells, with their size ``n``."""
-    sizes = members.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > tile)
-    sizes = small_enough(stored(sizes, "meeting-sizes"))
-    named = members.select("cell", "id", "flag").join(small_enough(labels), "id", "left").withColumn("label", F.coalesce("label", "id")).select("cell", "id", "flag", "label")
+    of ordinary cells, and those of cells marked as large, with their size ``n``."""
+    large = small_enough(stored(members.where("id is null").select("cell").distinct(), "meeting-large"))
+    named = members.where("id is not null").join(small_enough(labels), "id", "left").select((F.col("cell") * 2 + F.col("flag").cast("long")).alias("entry"), "cell", "id", "label")
 
     def run(batches):
         held: list[pa.Table] = []
 
         def out(t: pa.Table):
-            cell, ids, label = (t.column(c).to_numpy() for c in ("cell", "id", "label"))
+            entry, ids, label = (t.column(c).to_numpy() for c in ("entry", "id", "label"))
+            cell = entry >> 1
             start = runs(cell)
             mixed = np.repeat(np.minimum.reduceat(label, start) != np.maximum.reduceat(label, start), np.diff(np.append(start, len(cell))))
             mixed[1:] &= (cell[1:] != cell[:-1]) | (ids[1:] != ids[:-1])
-            yield from t.filter(pa.array(mixed)).to_batches(max_chunksize=50_000)
+            got = pa.table({"cell": pa.array(cell[mixed]), "id": pa.array(ids[mixed]), "flag": pa.array((entry[mixed] & 1).astype(bool)), "label": pa.array(label[mixed])})
+            yield from got.to_batches(max_chunksize=50_000)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held.append(pa.Table.from_batches([batch]))
+            label = pc.coalesce(batch.column(2), batch.column(1))
+            held.append(pa.table([batch.column(0), batch.column(1), label], names=["entry", "id", "label"]))
             if sum(h.num_rows for h in held) < 50_000:
                 continue
             t = pa.concat_tables(held)
-            cell = t.column("cell").to_numpy()
+            cell = t.column("entry").to_numpy() >> 1
             last = int(np.searchsorted(cell, cell[-1]))
             if last:
                 yield from out(t.slice(0, last))
@@ -146,10 +154,10 @@ def apart(members: DataFrame, labels: DataFrame, tile: int) -> tuple[DataFrame,
         held = []
         returned()
 
-    few = named.join(sizes.select("cell"), "cell", "left_anti").select("cell", "id", "flag", "label")
-    few = few.repartition("cell").sortWithinPartitions("cell", "id").mapInArrow(run, "cell bigint, id bigint, flag boolean, label bigint")
-    many = named.join(sizes, "cell").distinct()
-    mixed = many.groupBy("cell").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("cell")
+    few = named.join(large, "cell", "left_anti").select("entry", "id", "label")
+    few = few.repartition(F.expr("entry div 2")).sortWithinPartitions("entry", "id").mapInArrow(run, "cell bigint, id bigint, flag boolean, label bigint")
+    many = named.join(large, "cell").select("cell", "id", (F.col("entry") % 2 == 1).alias("flag"), F.coalesce("label", "id").alias("label")).distinct()
+    mixed = many.groupBy("cell").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("cell", "n")
     return few, many.join(mixed, "cell")
 
 
