@@ -4,6 +4,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from docflow import queries
 from docflow.operators import actions, evaluate, history, layout, markdown, readings, text
@@ -55,8 +56,16 @@ def test_markdown_blocks_and_plain_text(spark):
     assert markdown.plain_text(blocks).first().text.startswith("A b c\n\n| x |\n\nq\nr\n\np1\np2\n\n\n• ☑ done\n1. n\na   b\n1")
 
 
-def test_inline_marks():
-    assert markdown._inline("**a** *b* ~~c~~ `d*` [e](f) 5 * 3 \\* **open") == "a b c d* e 5 * 3 * **open"
+def test_inline_marks(spark):
+    want = {
+        "**a** *b* ~~c~~ `d*` [e](f) 5 * 3 \\* **open": "a b c d* e 5 * 3 * **open", "plain **bold** *it* `code` ~~out~~ <u>u</u>": "plain bold it code out u", "*it*": "it",
+        "5 * 3 = 15": "5 * 3 = 15", "5*3=15": "5*3=15", "Use *asterisk for footnotes": "Use *asterisk for footnotes", "a ** b": "a ** b", "open ~~strike": "open ~~strike", "a <u> b": "a <u> b",
+        "\\- not a bullet": "- not a bullet", "5 \\* 3": "5 * 3", "C:\\temp\\file": "C:\\temp\\file", "5\\|10": "5|10", "see [docs](https://x.dev/a_b*c) here": "see docs here", "***both*** <U>x</U>": "both x",
+        "`a\\*b` and `*c": "a\\*b and `*c", "\\\\*x*": "\\x", "[a **b** c](d) [e] (f)": "a **b** c [e] (f)", "": "",
+    }
+    rows = spark.createDataFrame([(k, v) for k, v in want.items()] + [(None, None)], "x string, want string")
+    got = rows.select("x", "want", markdown.inline_plain(F.col("x")).alias("got")).collect()
+    assert [(r.x, r.got) for r in got] == [(r.x, r.want) for r in got]
 
 
 def test_payload_escapes(spark):
