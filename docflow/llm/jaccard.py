@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import components, removed, returned, shared_dir, stored, thinned
 from .meeting import KEY_BITS, apart, beside, dealt, parents, shared_keys, tiles
-from .tokens import Hasher, mixed, narrow, runs
+from .tokens import Hasher, mixed, narrow, runs, widened
 
 DIMS, LEAF, LEAD = 64, 32, 8
 
@@ -110,10 +110,37 @@ def _empties(c: int, groups: int, spare: int, used: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(x, seed=c + 1) for x in names], np.uint64) >> np.uint64(64 - KEY_BITS)
 
 
-def points(s: np.ndarray, dims: int = DIMS) -> np.ndarray:
+def points(s: np.ndarray) -> np.ndarray:
+    """Group counts of a set: DIMS of them, four times as many for each five times of size from 800 on, or large sets would all lie close together."""
+    dims = DIMS
+    while len(s) >= 800 * (dims // DIMS) ** 1.161:  # 4 ** 1.161 is 5
+        dims *= 4
     return np.bincount(((s >> np.uint64(40)) % np.uint64(dims)).astype(np.int64), minlength=dims)
 
 
+def folded(raw: list[bytes]) -> np.ndarray:
+    """Points (by ``narrow``) as rows of DIMS coordinates."""
+    kind = np.array([len(x) << 4 | x[0] for x in raw], np.int64)
+    out = np.empty((len(raw), DIMS), np.int32)
+    for k in np.unique(kind).tolist():
+        at = np.flatnonzero(kind == k)
+        counts = np.concatenate([widened(raw[i]) for i in at.tolist()]).reshape(len(at), -1, DIMS)
+        out[at] = counts.sum(axis=1)
+    return out
+
+
+def finer(raw: list[bytes], n: np.ndarray, x: np.ndarray, y: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which pairs (x, y) also pass the bound on the smaller point's own coordinates."""
+    ok = np.ones(len(x), bool)
+    for k, (i, j) in enumerate(zip(x.tolist(), y.tolist())):
+        if min(len(raw[i]), len(raw[j])) > 2 * DIMS:
+            a, b = widened(raw[i]), widened(raw[j])
+            dims = min(len(a), len(b))
+            over = int(np.minimum(a.reshape(-1, dims).sum(axis=0), b.reshape(-1, dims).sum(axis=0)).sum())
+            ok[k] = over * (num + den) >= num * int(n[i] + n[j])
+    return ok
+
+
 def short(cell: np.ndarray) -> np.ndarray:
     return (cell & np.uint64(0xFFFFFFFF)).astype("<u4") | np.uint32(1)
 
@@ -136,7 +163,7 @@ def shingle_sets(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_
                     s = shingles(w, k)
                     if len(s):
                         p, (keys, high, low) = points(s), cells(s, classes)
-                        rows.append((len(s), _set_id(s), p.astype(f"<u{1 if p.max() < 256 else 4}").tobytes(), narrow(keys), len(keys), high, low))
+                        rows.append((len(s), _set_id(s), narrow(p), narrow(keys), len(keys), high, low))
                     else:
                         rows.append((0, None, None, None, 0, None, None))
                 cols = [pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)]
@@ -211,7 +238,8 @@ def candidates(rows: DataFrame, num: int, den: int, tiled: bool) -> DataFrame:
             ids, n, label = (t.column(c).to_numpy() for c in ("id", "n_shingles", "label"))
             upper = t.column("flag").to_numpy(zero_copy_only=False)
             side = t.column("side").to_numpy() if tiled else None
-            p = np.stack([np.frombuffer(x, np.uint8 if len(x) == DIMS else "<u4") for x in t.column("point").to_pylist()]).astype(np.int32)
+            raw = t.column("point").to_pylist()
+            p = folded(raw)
             lead = np.frombuffer(b"".join(t.column("lead").to_pylist()), "<u4").reshape(-1, LEAD)
             brief = short(cell.view(np.uint64))
             a, b = [], []
@@ -220,14 +248,16 @@ def candidates(rows: DataFrame, num: int, den: int, tiled: bool) -> DataFrame:
             if len(two) and not tiled:
                 over = np.minimum(p[two], p[two + 1]).sum(axis=1)
                 ok = (over * (num + den) >= num * (n[two] + n[two + 1])) & ~(upper[two] & upper[two + 1]) & (label[two] != label[two + 1]) & first_here(lead[two], lead[two + 1], brief[two])
-                a.append(ids[two[ok]]), b.append(ids[two[ok] + 1])
+                a.append(two[ok]), b.append(two[ok] + 1)
             for s, k in zip(edge[:-1], size):
                 if k > 2 or (tiled and k > 1):
                     e = slice(s, s + k)
                     x, y = search(n[e], p[e], upper[e], lead[e], label[e], brief[s], side[e] if tiled and side[e].any() else None, num, den)
-                    a.append(ids[e][x]), b.append(ids[e][y])
+                    a.append(x + s), b.append(y + s)
             if a:
                 a, b = np.concatenate(a), np.concatenate(b)
+                ok = finer(raw, n, a, b, num, den)
+                a, b = ids[a[ok]], ids[b[ok]]
                 pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
