@@ -41,18 +41,33 @@ IDENTIFIER = "(value like '%@%' or length(regexp_replace(value, '[^0-9]', '')) >
 SPAN = "array<struct<kind:string,start:bigint,end:bigint,value:string>>"
 
 
+def _chunked(items: str, zero: dict[str, str], step: str) -> str:
+    """SQL of the arrays ``out`` that a fold over ``items`` gathers, one for each run of about sqrt(n) items.
+
+    ``step`` is a lambda of a state with the fields of ``zero`` (among them ``out``, empty) and an item.  Each run starts with the state that
+    the one before it left, but gathers into an array of its own: n items copy n * sqrt(n) entries, not n * n.
+    """
+    first = ", ".join(f"'{n}', {v}" for n, v in zero.items())
+    again = ", ".join(f"'{n}', {zero[n] if n == 'out' else f'element_at(runs, -1).{n}'}" for n in zero)
+    width = "greatest(1, cast(sqrt(size(p)) as int))"
+    return f"""element_at(transform(array({items}), p -> aggregate(
+          transform(sequence(0, greatest(size(p) - 1, 0), {width}), i -> slice(p, i + 1, {width})),
+          array(named_struct({first})),
+          (runs, run) -> concat(runs, array(aggregate(run, named_struct({again}), {step}))),
+          runs -> transform(runs, z -> z.out))), 1)"""
+
+
 def _places(text: Column, pattern: str, kind: str) -> Column:
     """Matches of ``pattern`` with offsets: the pieces between matches and the matches alternate, so lengths add up."""
-    return F.expr(
-        f"""aggregate(
-          arrays_zip(split({text}, {_q(pattern)}, -1), regexp_extract_all({text}, {_q(pattern)}, 0)),
-          named_struct('at', 0L, 'out', cast(array() as {SPAN})),
-          (s, x) -> named_struct(
+    runs = _chunked(
+        f"arrays_zip(split({text}, {_q(pattern)}, -1), regexp_extract_all({text}, {_q(pattern)}, 0))",
+        {"at": "0L", "out": f"cast(array() as {SPAN})"},
+        f"""(s, x) -> named_struct(
             'at', s.at + length(x.`0`) + coalesce(length(x.`1`), 0),
             'out', if(x.`1` is null, s.out, concat(s.out, array(named_struct('kind', '{kind}', 'start', s.at + length(x.`0`),
-              'end', s.at + length(x.`0`) + length(x.`1`), 'value', x.`1`))))),
-          s -> s.out)"""
+              'end', s.at + length(x.`0`) + length(x.`1`), 'value', x.`1`)))))""",
     )
+    return F.expr(f"flatten({runs})")
 
 
 def _q(pattern: str) -> str:
@@ -84,6 +99,32 @@ def base_spans(text: str = "text") -> Column:
     return F.concat(*(F.when(F.col(text).rlike(HINTS[k]), F.filter(_places(text, PATTERNS[k], k), _valid)).otherwise(none) for k in BASE))
 
 
+def _replaced(text: str, spans: Column, fill) -> Column:
+    """The text column with each of ``spans`` (sorted by start) replaced by ``fill(span, at)``; ``at`` is where the span before
+    it ended.  What a span covers of a later one is not replaced twice; a span inside an earlier one is passed over.
+
+    Runs of about sqrt(n) spans work on their own piece of the text, so that no span copies or counts through all of it.
+    """
+    width = F.greatest(F.lit(1), F.sqrt(F.size(spans)).cast("int"))
+
+    def step(s: Column, x: Column) -> Column:
+        gap = F.substring(s["piece"], (s["at"] - s["base"] + 1).cast("int"), F.greatest(F.lit(0), x["start"] - s["at"]).cast("int"))
+        out = F.when(x["end"] > s["at"], F.concat(s["out"], gap, fill(x, s["at"]))).otherwise(s["out"])
+        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), out.alias("out"), s["piece"].alias("piece"), s["base"].alias("base"))
+
+    def run(s: Column, part: Column) -> Column:
+        reach = F.array_max(F.transform(part, lambda x: x["end"]))
+        piece = F.substring(s["rest"], F.lit(1), F.greatest(F.lit(0), reach - s["at"]).cast("int"))
+        start = F.struct(s["at"].alias("at"), F.lit("").alias("out"), piece.alias("piece"), s["at"].alias("base"))
+        new = F.concat(s["out"], F.aggregate(part, start, step, lambda e: e["out"]))
+        left = F.substring(s["rest"], (F.greatest(F.lit(0), reach - s["at"]) + 1).cast("int"), F.length(s["rest"]))
+        return F.struct(F.greatest(s["at"], reach).alias("at"), new.alias("out"), left.alias("rest"))
+
+    parts = F.transform(F.sequence(F.lit(1), F.size(spans), width), lambda i: F.slice(spans, i, width))
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"), F.col(text).alias("rest"))
+    return F.when(F.size(spans) > 0, F.aggregate(parts, zero, run, lambda e: F.concat(e["out"], e["rest"]))).otherwise(F.col(text))
+
+
 def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
@@ -98,33 +139,29 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     text = F.coalesce(F.col(text_col), F.lit(""))
     d = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
     d = d.select("doc_id", F.xxhash64("text").alias("text_hash"), "text", base_spans().alias("base"))
-    masked = F.expr(r"aggregate(base, translate(text, '\u0001', ' '), (t, b) -> overlay(t placing repeat('\u0001', cast(b.end - b.start as int)) from cast(b.start + 1 as int)))")
-    d = d.withColumn("masked", F.when(F.size("base") > 0, masked).otherwise(F.translate("text", "\x01", " ")))
+    d = d.withColumn("bare", F.translate("text", "\x01", " ")).withColumn("sorted", F.array_sort(F.transform("base", lambda b: F.struct(b["start"], b["end"]))))
+    d = d.withColumn("masked", _replaced("bare", F.col("sorted"), lambda x, at: F.repeat(F.lit("\x01"), (x["end"] - F.greatest(x["start"], at)).cast("int"))))
     kind = "array<struct<start:bigint,end:bigint,value:string,left:string,right:string>>"
     d = d.withColumn("gaps", F.when(F.col("masked").rlike(r"[0-9@\x01]"), F.expr(f"split(masked, {_q(TOKEN)}, -1)"))).withColumn("hits", F.when(F.col("gaps").isNotNull(), F.expr(f"regexp_extract_all(masked, {_q(TOKEN)}, 0)")))
-    found = F.when(
-        F.col("gaps").isNotNull(),
-        F.expr(
-            f"""aggregate(
-              arrays_zip(gaps, hits, slice(gaps, 2, size(gaps)), slice(hits, 2, size(gaps))),
-              named_struct('at', 0L, 'tail', '', 'out', cast(array() as {kind})),
-              (s, x) -> named_struct(
-                'at', s.at + length(x.gaps) + coalesce(length(x.hits), 0),
-                'tail', right(concat(s.tail, x.gaps, coalesce(x.hits, '')), 160),
-                'out', if(x.hits is null, s.out, concat(s.out, array(named_struct('start', s.at + length(x.gaps),
-                  'end', s.at + length(x.gaps) + length(x.hits), 'value', x.hits, 'left', right(concat(s.tail, x.gaps), 160),
-                  'right', left(concat(x.`2`, coalesce(x.`3`, '')), 80)))))),
-              s -> s.out)"""
-        ),
-    ).otherwise(F.expr(f"cast(array() as {kind})"))
+    runs = _chunked(
+        "arrays_zip(gaps, hits, slice(gaps, 2, size(gaps)), slice(hits, 2, size(gaps)))",
+        {"at": "0L", "tail": "''", "out": f"cast(array() as {kind})"},
+        """(s, x) -> named_struct(
+            'at', s.at + length(x.gaps) + coalesce(length(x.hits), 0),
+            'tail', right(concat(s.tail, x.gaps, coalesce(x.hits, '')), 160),
+            'out', if(x.hits is null, s.out, concat(s.out, array(named_struct('start', s.at + length(x.gaps),
+              'end', s.at + length(x.gaps) + length(x.hits), 'value', x.hits, 'left', right(concat(s.tail, x.gaps), 160),
+              'right', left(concat(x.`2`, coalesce(x.`3`, '')), 80))))))""",
+    )
+    found = F.when(F.col("gaps").isNotNull(), F.expr(runs)).otherwise(F.expr(f"cast(array() as array<{kind}>)"))
     d = d.select("doc_id", "text_hash", "base", found.alias("found"))
 
     def plain(c: Column) -> Column:
         signs = F.regexp_replace(F.regexp_replace(F.lower(c), r"[0-9\x01][^\x20\x09-\x0D]*", "#"), r"[^\p{L} :#=\x09-\x0D]", "")
         return F.filter(F.split(signs, r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
-    def candidate(c: Column) -> Column:
-        seed = F.when(c["value"].startswith("\x01"), F.try_element_at(F.filter("base", lambda b: b["start"] == c["start"]), F.lit(1)))
+    def candidate(c: Column, base: Column) -> Column:
+        seed = F.when(c["value"].startswith("\x01"), F.try_element_at(F.filter(base, lambda b: b["start"] == c["start"]), F.lit(1)))
         return F.struct(
             c["start"].alias("start"), c["end"].alias("end"),
             F.regexp_replace(F.lower(F.coalesce(seed["value"], c["value"])), r"^[^a-z0-9+@]+|[^a-z0-9]+$", "").alias("value"),
@@ -138,7 +175,12 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         patterns = F.array(w[2], F.concat_ws(" ", w[1], w[2]), F.concat_ws(" ", *w), F.concat_ws(" ", w[2], F.lit("_"), c["next"]))
         return F.struct(*(c[n].alias(n) for n in ("start", "end", "value", "seed")), w[2].alias("near"), patterns.alias("patterns"))
 
-    kept = F.transform(F.filter(F.transform("found", candidate), lambda c: (c["value"] != "")), patterned)
+    def seeded(run: Column) -> Column:
+        """The candidates of a run; only the base spans that start within it are searched for theirs."""
+        near = F.filter("base", lambda b: (b["start"] >= F.get(run, F.lit(0))["start"]) & (b["start"] <= F.try_element_at(run, F.lit(-1))["start"]))
+        return F.get(F.transform(F.array(near), lambda base: F.transform(run, lambda c: candidate(c, base))), F.lit(0))
+
+    kept = F.transform(F.filter(F.flatten(F.transform("found", seeded)), lambda c: (c["value"] != "")), patterned)
     return d.select("doc_id", "text_hash", "base", F.when(F.size("found") > 0, kept).alias("found"))
 
 
@@ -207,20 +249,16 @@ def report(found: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with every found span of ``text`` replaced by its kind in brackets; null texts stay null.
 
-    Of overlapping spans the one that starts first (the longer on ties) is replaced.  ``n_chars`` follows the new text.
+    Of overlapping spans the one that starts first (the longer on ties) gives the mark, which stands for all that they cover.  ``n_chars`` follows the new text.
     """
     found = find_pii(docs, **options).select("doc_id", "text_hash", F.concat("base", "added").alias("pii_spans")).where(F.size("pii_spans") > 0).dropDuplicates(["doc_id", "text_hash"])
     same = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.xxhash64(F.coalesce(F.col("d.text"), F.lit(""))) == F.col("f.text_hash"))
     d = docs.alias("d").join(found.alias("f"), same, "left")
     ordered = F.array_sort("f.pii_spans", lambda a, b: F.when(a["start"] != b["start"], F.when(a["start"] < b["start"], -1).otherwise(1)).when(a["end"] > b["end"], -1).when(a["end"] < b["end"], 1).otherwise(0))
 
-    def step(s: Column, x: Column) -> Column:
-        out = F.concat(s["out"], F.substring(F.col("d.text"), (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int")), F.lit("["), F.upper(x["kind"]), F.lit("]"))
-        return F.when(x["start"] < s["at"], s).otherwise(F.struct(x["end"].alias("at"), out.alias("out")))
-
-    clean = F.aggregate(ordered, F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), step,
-                        lambda s: F.concat(s["out"], F.substring(F.col("d.text"), (s["at"] + 1).cast("int"), F.length(F.col("d.text")))))
-    text = F.when(F.col("f.pii_spans").isNull(), F.col("d.text")).otherwise(clean)
+    d = d.withColumn("__spans", ordered)
+    mark = lambda x, at: F.when(x["start"] >= at, F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]"))).otherwise("")
+    text = F.when(F.col("f.pii_spans").isNull(), F.col("d.text")).otherwise(_replaced("d.text", F.col("__spans"), mark))
     cols = [F.col(f"d.{c}") for c in docs.columns]
     new = d.select(*cols, text.alias("__clean"), F.col("f.pii_spans").isNotNull().alias("__hit"))
     new = new.withColumn("text", F.col("__clean"))
