@@ -3,26 +3,29 @@
 ``resolve`` shuffles only headers (id, digest, length) by payload digest: the smallest id of each digest is the original,
 the others are revisits of it.  ``write`` makes archives of response and revisit records with fresh headers through
 Spark's text sink (a record is followed by the record separator CRLF CRLF), so that any store that Spark writes can hold
-them.  ``read`` parses archives by their Content-Length, whatever the payload holds.
+them.  ``read`` parses archives by their Content-Length, whatever the payload holds.  ``dereferenced`` gives revisit records
+the payload of their original, and ``rewrite`` makes fresh archives of archives that already hold revisits.
 
 A null page counts as an empty payload, a null url as the empty url.  Records of equal payloads below ``min_bytes`` are all
 responses.  Ids should be unique; rows repeated as a whole are written once for each row and refer to the same
-original (a repeated original is a response each time).  Rows with a null id are responses of their own.  An empty table
-gives an empty archive and an empty result.
+original (a repeated original is a response each time); a record id is the page id, with a number from the second row of a
+page id on.  Rows with a null id are responses of their own, spread by their content.  Extra columns are ignored, whatever
+their names.  An empty table gives an empty archive and an empty result.
 """
 
 from __future__ import annotations
 
 import base64
+import datetime
 import hashlib
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 EOL = "\r\n"
 MAX_FILE = 32 << 20
-RECORD = "page_id bigint, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to bigint, payload string, intact boolean"
+RECORD = "page_id bigint, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to bigint, payload string, intact boolean, record string, date timestamp"
 
 
 def base32_sha1(text: Column) -> Column:
@@ -47,58 +50,105 @@ def resolve(headers: DataFrame, min_bytes: int = 0, salts: int = 64) -> DataFram
     return h.select(*headers.columns, F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("original")).alias("refers_to"))
 
 
-def records(pages: DataFrame) -> Column:
-    """The text of one WARC record without the separator after it; ``pages`` has the columns of ``resolve`` and ``html``."""
+def records(date: Column) -> Column:
+    """The text of one WARC record without the separator after it, of rows with the columns of ``resolve``, ``record``, ``url``
+    and ``html``; ``date`` is the timestamp of the capture."""
     revisit = F.col("record_type") == "revisit"
-    urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
+    urn = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{EOL}Content-Type: text/html; charset=utf-8{EOL}Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(EOL + EOL))
     body = F.when(revisit, F.lit("")).otherwise(F.col("html"))
     size = F.octet_length(http) + F.octet_length(body)
     url = F.translate(F.col("url"), "\r\n", "")
     return F.concat(
-        F.lit(f"WARC/1.1{EOL}WARC-Type: "), F.col("record_type"), F.lit(f"{EOL}WARC-Record-ID: "), urn(F.col("page_id")),
+        F.lit(f"WARC/1.1{EOL}WARC-Type: "), F.col("record_type"), F.lit(f"{EOL}WARC-Record-ID: "), urn(F.col("record")),
+        F.lit(f"{EOL}WARC-Date: "), F.date_format(F.to_utc_timestamp(date, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'"),
         F.lit(f"{EOL}WARC-Target-URI: "), url, F.lit(f"{EOL}WARC-Payload-Digest: sha1:"), F.col("payload_digest"),
         F.when(revisit, F.concat(F.lit(f"{EOL}WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest{EOL}WARC-Refers-To: "), urn(F.col("refers_to")))).otherwise(F.lit("")),
         F.lit(f"{EOL}Content-Type: application/http; msgtype=response{EOL}Content-Length: "), size.cast("string"), F.lit(EOL + EOL), http, body,
     )
 
 
-def write(pages: DataFrame, path: str, min_bytes: int = 0, max_file: int = MAX_FILE) -> None:
+def write(pages: DataFrame, path: str, min_bytes: int = 0, max_file: int = MAX_FILE, date: Column | None = None) -> None:
     """Write deduplicated archives of ``pages (page_id, url, html)`` under ``path``, gzip files of about ``max_file`` bytes.
 
-    Headers alone are shuffled by digest; the payloads meet their record type by page id.
+    Headers alone are shuffled by digest; the payloads meet their record type by page id.  ``date`` (of ``pages``) is the time
+    of the captures, now if not given.
     """
-    p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
+    p = pages.select(
+        F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"),
+        F.coalesce(F.current_timestamp() if date is None else date.cast("timestamp"), F.current_timestamp()).alias("date"),
+    )
     p = p.select("*", base32_sha1(F.col("html")).alias("payload_digest"), F.octet_length("html").cast("long").alias("payload_bytes"))
     typed = resolve(p.select("page_id", "payload_digest", "payload_bytes"), min_bytes).select("page_id", "record_type", "refers_to").where("record_type = 'revisit'")
+    typed = typed.select(F.lit(False).alias("anonymous"), F.col("page_id").alias("key"), "record_type", "refers_to")
+    p = p.select("*", F.col("page_id").isNull().alias("anonymous"), F.coalesce("page_id", F.xxhash64("url", "html")).alias("key"))
     total = pages.select(F.sum(F.octet_length(F.coalesce("html", F.lit(""))) + 500)).first()[0] or 0
     files = max(1, -(-total // max_file))
     # both sides are dealt alike, so the payloads are shuffled once
-    full = p.repartition(files, "page_id").join(typed.repartition(files, "page_id").dropDuplicates(["page_id"]), "page_id", "left").withColumn("record_type", F.coalesce("record_type", F.lit("response")))
-    full.select(records(full).alias("value")).write.option("lineSep", EOL + EOL).option("compression", "gzip").text(path)
+    by = ["anonymous", "key"]
+    full = p.repartition(files, *by).join(typed.repartition(files, *by).dropDuplicates(by), by, "left").withColumn("record_type", F.coalesce("record_type", F.lit("response")))
+    nth = F.row_number().over(Window.partitionBy(*by).orderBy(*by))
+    record = F.concat(F.when(F.col("anonymous"), F.concat(F.lit(":"), F.hex("key"), F.lit("."))).otherwise(F.col("page_id").cast("string")), F.when(F.col("anonymous"), F.col("nth").cast("string")).when(F.col("nth") > 1, F.concat(F.lit(":"), F.col("nth").cast("string"))).otherwise(""))
+    full = full.withColumn("nth", nth).withColumn("record", record)
+    full.select(records(F.col("date")).alias("value")).write.option("lineSep", EOL + EOL).option("compression", "gzip").text(path)
+
+
+def dereferenced(found: DataFrame, least: int = 100_000) -> DataFrame:
+    """``read``'s rows with each revisit's ``payload`` taken from the response (the least page id) of its digest.
+
+    Revisits whose response is not there keep a null payload.  Only digests and counts of the revisits are gathered; a
+    response is sent once for each ``least`` revisits of it, and those are spread over as many tasks.
+    """
+    revisit = F.col("record_type") == "revisit"
+    asked = found.where(revisit).groupBy("payload_digest").agg(F.ceil(F.count("*") / F.lit(least)).cast("int").alias("parts"))
+    firsts = found.where(~revisit & F.col("intact")).join(asked, "payload_digest").groupBy("payload_digest", "parts")
+    firsts = firsts.agg(F.min_by(F.struct("payload"), F.struct(F.col("page_id").isNull(), "page_id")).alias("original"))
+    firsts = firsts.select("payload_digest", "parts", "original", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    dealt = found.where(revisit).join(asked, "payload_digest").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.col("parts")).cast("int"))
+    got = dealt.join(firsts.drop("parts"), ["payload_digest", "part"], "left").withColumn("payload", F.col("original.payload"))
+    return found.where(~revisit).unionByName(got.select(*found.columns))
+
+
+def rewrite(spark: SparkSession, source: str, path: str, min_bytes: int = 0) -> None:
+    """Fresh archives under ``path`` of those under ``source``, whose own revisits are resolved first; all payloads are
+    deduplicated over all archives.  Revisits without their response anywhere are an error: there is nothing to write."""
+    pages = dereferenced(read(spark, source))
+    lost = pages.where("payload is null").count()
+    if lost:
+        raise ValueError(f"{lost} revisit records have no response in these archives")
+    write(pages.select("page_id", "url", F.col("payload").alias("html"), "date"), path, min_bytes, date=F.col("date"))
 
 
 def parse(data: bytes):
-    """The records of one archive: ``(page_id, url, type, bytes, digest, refers_to, payload, intact)``."""
+    """The response and revisit records of one archive, as RECORD; other types are passed over."""
     at, end = 0, len(data)
-    page = lambda v: int(v[10:-1]) if v and v[10:-1].lstrip("-").isdigit() else None
+
+    def page(urn: str | None) -> int | None:
+        number = (urn or "").removeprefix("<urn:page:").rstrip(">").split(":")[0]
+        return int(number) if number.lstrip("-").isdigit() else None
+
     while at < end:
         stop = data.index(b"\r\n\r\n", at)
         head = dict(h.split(": ", 1) for h in data[at:stop].decode("utf-8").split(EOL)[1:])
         size = int(head["Content-Length"])
         block = data[stop + 4 : stop + 4 + size]
         at = stop + 4 + size + 4
+        kind = head["WARC-Type"]
+        if kind not in ("response", "revisit"):
+            continue
         http, _, payload = block.partition(b"\r\n\r\n")
-        length = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
-        digest, kind = head["WARC-Payload-Digest"].removeprefix("sha1:"), head["WARC-Type"]
+        length = next((int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), len(payload))
         own = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+        digest = head.get("WARC-Payload-Digest", f"sha1:{own}").removeprefix("sha1:")
+        date = datetime.datetime.fromisoformat(head["WARC-Date"]) if "WARC-Date" in head else None
         intact = length == len(payload) and own == digest if kind == "response" else not payload
-        yield page(head["WARC-Record-ID"]), head["WARC-Target-URI"], kind, length, digest, page(head.get("WARC-Refers-To")), payload.decode("utf-8") if kind == "response" else None, intact
+        text = payload.decode("utf-8", "replace") if kind == "response" else None
+        yield page(head["WARC-Record-ID"]), head.get("WARC-Target-URI", ""), kind, length, digest, page(head.get("WARC-Refers-To")), text, intact, head["WARC-Record-ID"], date
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """RECORD rows of the archives under ``path`` (gzip or plain), a file at a time; files are as ``write`` bounds them."""
-    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.string()), ("intact", pa.bool_())])
+    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.string()), ("intact", pa.bool_()), ("record", pa.string()), ("date", pa.timestamp("us", "UTC"))])
 
     def run(batches):
         import zlib
