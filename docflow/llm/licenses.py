@@ -2,7 +2,7 @@
 
 Words are as the contract has them.  The automaton finds notice phrases and the identifier tag at word boundaries; the
 expression after a tag is parsed by shunting-yard (``with`` binds closest, then ``and``, then ``or``) and evaluated: its
-identifiers become labels, and it is permitted if a choice of its alternatives is allowed by the policy.  An expression
+identifiers (words of an identifier's form) become labels, and it is permitted if a choice of its alternatives is allowed by the policy.  An expression
 with an open operator or bracket at a line's end goes on in the next line.
 
 Null texts count as empty: no words, no labels, null word places, score 0.  Broken expressions give the labels of the
@@ -31,6 +31,11 @@ NOTICES = {
 }
 TAG = "spdx license identifier"
 PERMISSIVE = frozenset({"mit", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "isc", "cc0-1.0", "cc-by-4.0", "unlicense", "zlib"})
+# Licence identifiers that are plain words; all others hold a digit, a hyphen or a plus sign.
+PLAIN = frozenset({
+    "beerware", "curl", "fair", "ftl", "hpnd", "icu", "ijg", "imagemagick", "intel", "ipa", "isc", "json", "libpng", "libtiff", "mit", "mitnfa", "multics", "naumen",
+    "ncsa", "netcdf", "ntp", "openssl", "plexus", "postgresql", "qhull", "ruby", "sendmail", "sissl", "sleepycat", "tcl", "unlicense", "vim", "wtfpl", "xnet", "zed", "zlib",
+})
 _BREAKS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 _EXPRESSION = re.compile(r"spdx[^a-z0-9\n]license[^a-z0-9\n]identifier[ \t]*:?[ \t]*([^\n\r]*)", re.I)
 _PART = re.compile(r"\(|\)|[A-Za-z0-9][A-Za-z0-9.+-]*")
@@ -38,8 +43,14 @@ _COMMENT = re.compile(r"[ \t]*(?://+|/?\*+|#+|--+|;+|%+|\"+|'+)?[ \t]*([^\n\r]*)
 _STRENGTH = {"or": 1, "and": 2, "with": 3}
 
 
-def parse(expression: str) -> list[str] | None:
-    """Reverse Polish form of the longest expression that the text starts with; None without one."""
+def is_identifier(part: str) -> bool:
+    """Whether a lower-case word has the form of a licence identifier; ``see`` has not."""
+    return part in PLAIN or bool(re.search(r"[a-z]", part) and re.search(r"[0-9+-]", part))
+
+
+def parse(expression: str, is_operand=bool) -> list[str] | None:
+    """Reverse Polish form of the longest expression that the text starts with; None without one.  ``is_operand`` tells which
+    (lower-case) words may be identifiers: any, unless given."""
     out: list[str] = []
     stack: list[str] = []
     operand = True
@@ -58,7 +69,7 @@ def parse(expression: str) -> list[str] | None:
                     out.append(stack.pop())
                 stack.append(low)
                 operand = True
-            elif operand and low not in _STRENGTH and low not in "()":
+            elif operand and low not in _STRENGTH and low not in "()" and is_operand(low.rstrip(".-")):
                 out.append(low.rstrip(".-"))
                 operand = False
             else:
@@ -71,7 +82,7 @@ def parse(expression: str) -> list[str] | None:
     return out + stack[::-1]
 
 
-def identifiers(expression: str) -> list[str]:
+def identifiers(expression: str, is_operand=bool) -> list[str]:
     """The identifiers before the fault of an expression that is broken."""
     out, operand = [], True
     for m in re.finditer(r"\S+", expression):
@@ -80,10 +91,10 @@ def identifiers(expression: str) -> list[str]:
             low = part.lower()
             if low in _STRENGTH and not operand:
                 operand = True
-            elif operand and low not in _STRENGTH and low not in "()":
+            elif operand and low not in _STRENGTH and low not in "()" and is_operand(low.rstrip(".-")):
                 out.append(low.rstrip(".-"))
                 operand = False
-            elif low not in "()" or (low == "(") != operand:
+            elif low not in ("(", ")") or (low == "(") != operand:
                 return out
         if gap:
             break
@@ -137,9 +148,13 @@ def scan_text(text: str | None, automaton, allowed: frozenset[str] = PERMISSIVE)
     words = [w for w in words if w]
     line = f" {b' '.join(words).decode('utf-8', 'surrogatepass')} "
     places, base, more, tagged = [], set(), set(), False
+    at = word = 0
     for end, phrase in automaton.iter(line):
         if phrase in BASE:
-            places.append(line.count(" ", 0, end - len(phrase) - 1))
+            start = end - len(phrase) - 1
+            word += line.count(" ", at, start) - line.count(" ", start, at)
+            at = start
+            places.append(word)
             base.add(BASE[phrase])
         elif phrase == TAG:
             tagged = True
@@ -149,8 +164,8 @@ def scan_text(text: str | None, automaton, allowed: frozenset[str] = PERMISSIVE)
     if tagged:
         for m in _EXPRESSION.finditer(text):
             expression = expression_at(text, m)
-            if (rpn := parse(expression)) is None:
-                more.update(identifiers(expression))
+            if (rpn := parse(expression, is_identifier)) is None:
+                more.update(identifiers(expression, is_identifier))
                 permitted = False
                 continue
             found, ok = evaluate(rpn, allowed)
