@@ -307,3 +307,92 @@ def test_jaccard_group_whose_members_link_only_through_the_original(spark):
     for tile in (1024, 8):
         got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), tile=tile).collect()}
         assert set(got.values()) == {0} and len(got) == 61
+
+
+def test_warc_headers_and_archives_with_revisits(spark, tmp_path):
+    rows = [(3, "u", "same"), (1, "v", "same"), (1, "v", "same"), (2, "w", None), (None, "n", "same"), (None, "m", ""), (7, "x", "own"), (8, "y", "same")]
+    pages = spark.createDataFrame([(*r, "clash", "clash") for r in rows], "page_id long, url string, html string, record string, key string")
+    path, again = shared_dir(spark, "t"), shared_dir(spark, "t")
+    warc.write(pages, path)
+    first = warc.read(spark, path).collect()
+    assert len({r.record for r in first}) == len(rows) and all(r.intact and r.date for r in first)
+    whole = warc.dereferenced(warc.read(spark, path), least=1).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted(((r.page_id, r.url, r.payload) for r in whole), key=key) == sorted(((i, u, h or "") for i, u, h in rows), key=key)
+    warc.rewrite(spark, path, again)
+    second = warc.read(spark, again).collect()
+    facts = lambda got: sorted(((r.page_id, r.url, r.record_type, r.refers_to, r.payload_digest, r.date) for r in got), key=str)
+    assert facts(first) == facts(second)
+    raw = "WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:0>\r\nContent-Length: 2\r\n\r\nhi\r\n\r\n"
+    assert list(warc.parse(raw.encode())) == []
+    for r in (pages.limit(0),):
+        warc.write(r, shared_dir(spark, "t"))
+
+
+def brute_spans(text):
+    """The contract's base spans, by backtracking regular expressions."""
+    kinds = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+        "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    }
+    out = []
+    for kind, pattern in kinds.items():
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub("[^0-9]", "", m[0])
+            luhn = sum(int(d) if i % 2 == 0 else (int(d) * 2 - 9 if int(d) > 4 else int(d) * 2) for i, d in enumerate(digits[::-1])) % 10 == 0
+            fine = {"email": True, "ip": kind != "ip" or all(int(p) <= 255 for p in m[0].split(".")), "card": 16 <= len(digits) <= 19 and luhn, "phone": 8 <= len(digits) <= 15}[kind]
+            if fine:
+                out.append(f"{kind}:{m.start()}:{m.end()}")
+    return out
+
+
+HOSTILE = [
+    "é 4111 1111 1111 1111 +4111 1111 1111 1111 a@b.c a@b..c x@y-.z@w.v 1.2.3.4.5.6.7.8", "+1 (555) 010-9999+1 5550109999 999.1.1.1 0255.0.0.01", "a.b@c.d,e@f.g.h",
+    "4111-1111-1111-1111-4111-1111-1111-1111", "\x01 1.1.1.1\x01 😀 +49 30 1234567 ", "@", "+", "1" * 40, "+1" + "2" * 30, "a@b", None, "", " . ",
+]
+
+
+def test_pii_base_spans_against_brute_force(spark):
+    import hashlib
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()}
+    texts |= {-1 - i: t for i, t in enumerate(HOSTILE)}
+    got = pii.report(pii.find_pii(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        spans = brute_spans(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(",".join(spans).encode()).hexdigest(), texts[r.doc_id]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s.startswith(k) for s in spans) for k in pii.BASE]
+
+
+def test_pii_long_texts_of_numbers(spark):
+    """Time that grows with the square of the spans would not end here."""
+    text = " ".join(f"10.0.{i % 256}.{i // 256} {i} user{i}@host.example" for i in range(12_000))
+    df = spark.createDataFrame([(1, text), (2, "x")], "doc_id long, text string")
+    r = pii.report(pii.find_pii(df)).where("doc_id = 1").first()
+    assert (r.n_email, r.n_ip) == (12_000, 12_000)
+    clean = pii.redact(df).where("doc_id = 1").first().text
+    assert clean.startswith("[IP] 0 [EMAIL] [IP] 1 [EMAIL]") and clean.count("[IP]") == clean.count("[EMAIL]") == 12_000
+
+
+def test_license_words_and_places_against_brute_force(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()}
+    extra = ["MIT License mit license\x00MIT-LICENSE, cc by cc by", "gnu general public license version 2, or the Apache License, mit", "émit license", None, "", "Cc BY NC 4.0", "mit license " * 5000]
+    texts |= {-1 - i: t for i, t in enumerate(extra)}
+    got = licenses.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), texts[r.doc_id] or "")
+        found = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+        places = [(i, label) for phrase, label in licenses.BASE.items() for i in range(len(found)) if found[i : i + len(phrase.split())] == phrase.split()]
+        want = (len(found), len(places), min((p for p, _ in places), default=None), max((p for p, _ in places), default=None), ",".join(sorted({b for _, b in places})))
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == want
+        assert {b for _, b in places} <= set(r.labels.split(",")) | {""} and 0 <= r.score <= 1
+
+
+def test_license_operands_have_the_form_of_identifiers():
+    a = licenses._automaton()
+    labels = lambda t: licenses.scan_text(t, a)[5:7]
+    assert labels("SPDX-License-Identifier: see below") == ("", False)
+    assert labels("SPDX-License-Identifier: ISC or later terms") == ("isc", False)
+    assert labels("SPDX-License-Identifier: (MIT OR GPL-2.0-only WITH Classpath-exception-2.0)") == ("gpl-2.0-only,gpl-2.0-only-with-classpath-exception-2.0,mit", True)
