@@ -29,6 +29,20 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def frugal() -> None:
+    """Called where a task begins: what it frees from then on goes back to the system at once, also after ``returned``, when the
+    task's own arrays and batches go.  Arrow takes its memory from malloc, and blocks beyond 1 MB are mapped one by one."""
+    import ctypes
+
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD; set by hand, it stays
+        libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def returned() -> None:
     """Give freed memory back to the system: workers are used again, and what one task has held adds to the next one's."""
     import ctypes

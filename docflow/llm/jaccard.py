@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, removed, returned, shared_dir, stored, thinned
+from .common import components, frugal, removed, returned, shared_dir, stored, thinned
 from .meeting import KEY_BITS, apart, beside, dealt, parents, shared_keys, tiles
 from .tokens import Hasher, mixed, narrow, runs, widened
 
@@ -152,6 +152,7 @@ def shingle_sets(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_
     """A row a document: the size and hash of its set, its point, and its cells."""
 
     def run(batches):
+        frugal()
         hasher, classes = Hasher(), Classes(num, den)
         kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
         for b in batches:
@@ -226,6 +227,7 @@ def candidates(rows: DataFrame, num: int, den: int, tiled: bool) -> DataFrame:
     names = [*key, "id", "flag", "label", "n_shingles", "point", "lead", *(["side"] if tiled else [])]
 
     def run(batches):
+        frugal()
         held: list[pa.RecordBatch] = []
 
         def out(t: pa.Table):
@@ -325,6 +327,7 @@ def verified(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, k: int, num
     full = texts.join(F.broadcast(roles) if roles.count() <= small else roles, ["doc_id", "text_hash"]).select("key", "salt", "tail", "id", "doc_id", "text")
 
     def run(batches):
+        frugal()
         hasher = Hasher()
         place, head, head_doc = None, None, None
         for b in batches:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import returned
+from .common import frugal, returned
 
 SIZE, MAX_LABELS = 300, 10_000
 PAD = ord("_")
@@ -65,6 +65,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", size:
     """Profiles ``(lang, rank, gram, n)``, ranks from 0, of all labelled rows; ties in n-gram order."""
 
     def count(batches):
+        frugal()
         held: dict[str, list[np.ndarray]] = {}
         size = 0
         alphabet, index = np.array([PAD], np.int64), np.full(sys.maxunicode + 1, -1, np.int32)
@@ -154,6 +155,7 @@ def predict(docs: DataFrame, profiles: DataFrame, text_col: str = "text", size:
         return langs[best], float(1 - far[best] / (size * len(top)))
 
     def judge(batches):
+        frugal()
         for b in (batch.slice(i, 1000) for batch in batches for i in range(0, batch.num_rows, 1000)):
             got = [judged(t) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], names=[*b.schema.names[1:], *names])

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, returned, stored
+from .common import fold, frugal, returned, stored
 from .tokens import Hasher, counted, gaps, mixed, narrow, numbered, runs, ungapped, widened
 
 START, END = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b" start", b" end"))  # words hold no spaces
@@ -118,6 +118,7 @@ def score(docs: DataFrame, order: int = 2, folds: int = 7, held_out: int = 2, de
     width = min(48, max(32, int(np.ceil(np.log2(keys))) + 12))
 
     def send(batches):
+        frugal()
         hasher = Hasher()
         held: dict[int, list[str]] = {}
         size = 0
@@ -177,6 +178,7 @@ def score(docs: DataFrame, order: int = 2, folds: int = 7, held_out: int = 2, de
     slices = back.where("block >= 0").drop("v", "n", "nd")
 
     def bins(texts: pa.Table, counts: pa.Table) -> pa.Table:
+        frugal()
         if not texts.num_rows:
             return pa.table({"bucket": pa.array([], pa.int64()), "code": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
         ps, seen = _Counts(texts, counts, order, folds, held_out, deleted, bits, width).estimates(n - nd, v, without_deleted=True)
@@ -202,6 +204,7 @@ def score(docs: DataFrame, order: int = 2, folds: int = 7, held_out: int = 2, de
     schema = f"doc_id {key}, held_out boolean, {SCORES}"
 
     def judge(texts: pa.Table, counts: pa.Table) -> pa.Table:
+        frugal()
         c = _Counts(texts, counts, order, folds, held_out, deleted, bits, width)
         ps, seen = c.estimates(n, v)
         w = weights[_bucket(seen)]

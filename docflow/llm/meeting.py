@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import returned, stored
+from .common import frugal, returned, stored
 from .tokens import gaps, narrow, runs, ungapped, widened
 
 KEY_BITS = 48
@@ -34,6 +34,7 @@ def shared_keys(rows: DataFrame, total: int, tile: int, per_bucket: int = 400_00
     shift = np.uint64(KEY_BITS - bits)
 
     def send(batches):
+        frugal()
         held_k: list[np.ndarray] = []
         held_i: list[np.ndarray] = []
         size = 0
@@ -125,6 +126,7 @@ def apart(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     named = members.where("id is not null").join(small_enough(labels), "id", "left").select((F.col("cell") * 2 + F.col("flag").cast("long")).alias("entry"), "cell", "id", "label")
 
     def run(batches):
+        frugal()
         held: list[pa.Table] = []
 
         def out(t: pa.Table):

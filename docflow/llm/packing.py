@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, returned
+from .common import LOWER, frugal, returned
 from .tokens import Places
 
 _STOP = re.compile(rb"([a-z0-9])([.,])(?=[\x20\x09-\x0D])")
@@ -222,6 +222,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     names = [f.split()[0] for f in FIELDS.split(", ")]
 
     def run(batches):
+        frugal()
         encode, part = Encoder(tokenizer), TaskContext.get().partitionId()
         keys, ids, held, sequence, group = [], [], 0, 0, 0
 
