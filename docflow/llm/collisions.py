@@ -12,7 +12,9 @@ each member's window is found in the sorted order.  A pair is counted in the fir
 
 Equal vectors are one class with its number of copies.  Cells with more than ``tile`` members are split into pairs of leaves
 over tasks.  Vectors that are null, zero, or hold null or non-finite components link with nothing; vectors of different length
-do not link.  Rows with a null id link with nothing.  Repeated ids are not expected; an empty table gives an empty result.
+do not link.  Rows with a null id link with nothing.  Rows that repeat an id are vectors of their
+own, each with a row in the result and its own count of links.  Extra columns are ignored, whatever their names.  An empty table
+gives an empty result.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ identifiers (words of an identifier's form) become labels, and it is permitted i
 with an open operator or bracket at a line's end goes on in the next line.
 
 Null texts count as empty: no words, no labels, null word places, score 0.  Broken expressions give the labels of the
-identifiers before the fault and are not permitted.  Repeated rows get equal answers; an empty table an empty result.
+identifiers before the fault and are not permitted.  Repeated rows and rows with null ids get their own answers; an empty
+table gives an empty result.  Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ token counts, in snake order of their attention cost.
 
 Blocks are runs of rows of one partition, of ``block_tokens`` tokens or one document; sequence ids are
 ``partition << 40 | number``.  Null texts are empty documents: only the end token.  Repeated rows are packed
-once for each row.  An empty table gives an empty result.
+once for each row, also those with null ids.  Extra columns are ignored, whatever their names.  An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
