@@ -19,7 +19,7 @@ def page_json(page_lines: DataFrame, docs: DataFrame) -> DataFrame:
     plain = plain.groupBy("doc_id", "page_ord", "page").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", F.struct("text").alias("l")))), lambda s: s["l"]).alias("lines"))
     plain = plain.groupBy("doc_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("page_ord", F.struct("page", "lines").alias("p")))), lambda s: s["p"])).alias("pages"))
     every = boxed.unionByName(plain)
-    d = docs.select("doc_id", F.to_json(F.struct("text")).alias("head")).join(every, "doc_id", "left")
+    d = docs.select("doc_id", F.to_json(F.struct("text"), {"ignoreNullFields": "false"}).alias("head")).join(every, "doc_id", "left")
     return d.select("doc_id", F.concat(F.expr("substring(head, 1, length(head) - 1)"), F.lit(',"pages":'), F.coalesce("pages", F.lit("[]")), F.lit("}")).alias("json"))
 
 

@@ -9,7 +9,9 @@ from docflow.streaming import folds, streams
 
 def run(spark, df, op, name):
     src, ck = tempfile.mkdtemp(prefix="spark-", dir="/tmp"), tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    df.repartition(3).write.mode("overwrite").parquet(src)
+    end = F.unix_timestamp("event_time") > 5000  # the sentinel comes last, or what comes after it is late
+    df.where(~end).repartition(3).write.mode("overwrite").parquet(src)
+    df.where(end).coalesce(1).write.mode("append").parquet(src)
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
     q = op(stream).writeStream.format("memory").queryName(name).option("checkpointLocation", ck).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(60)
@@ -74,3 +76,33 @@ def test_history_files_are_of_bounded_size(spark):
     assert files.selectExpr("max(length(value)) AS n").first().n < 100_000 and files.count() > 10
     good, bad = history.parse_history(files)
     assert good.count() == good.select("id").distinct().count() == 2000 and bad.count() == 0
+
+
+def test_live_responses(spark):
+    said = [(1, 0, 0, "data: Hel"), (1, 50, 1, "data: lo"), (1, 60, 2, ": a comment"), (1, 120, 3, "data: <think>x</think>"), (1, 130, 4, "data: !"), (1, 140, 5, "data: [DONE]"), (1, 300, 6, "data: late")]
+    said += [(2, 10, 0, "data: a"), (2, 105, 1, "data: b"), (2, 110, 2, "data: c"), (2, 400, 3, None), (9, 10_000_000, 0, "data: end")]
+    s = spark.createDataFrame(said, "response_id long, t_ms long, seq long, payload string").withColumn("event_time", F.timestamp_millis(F.col("t_ms") + 1000)).drop("t_ms")
+    got = {tuple(r) for r in run(spark, s, lambda d: streams.live_responses(d, "1 hour"), "live") if r.response_id != 9}
+    assert got == {(1, 0, "Hel", False), (1, 3, "Hello<think>x</think>", False), (1, 5, "Hello!", True), (2, 0, "a", False), (2, 2, "abc", False)}
+
+
+def test_maintained_history_is_that_of_all_changes(spark):
+    from docflow.operators.history import apply_changes
+
+    schema = "owner string, seq long, op string, id string, text string, image_uri string, ts_ms long"
+    batches = [
+        [("a", i, "insert", f"i{i}", f"t{i}", "", i) for i in range(40)] + [("b", 1, "insert", "x", "gone", "", 1)],
+        [("a", 100, "update", "i3", "edited", None, None), ("a", 101, "delete", "i4", None, None, None), ("a", 102, "update", "none", "n", None, None), ("a", 103, "update", " ", "n", None, None), ("b", 2, "clear", None, None, None, None)],
+        [("b", 3, "insert", "y", "stays", "u", 5)] + [("c", i, "insert", f"c{i}", "t", "", i) for i in range(70)],
+    ]
+    src, path, ck = (tempfile.mkdtemp(prefix="spark-", dir="/tmp") for _ in range(3))
+    for rows in batches:  # a run of the query for each arrival
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        q = streams.maintain_history(spark.readStream.schema(schema).parquet(src), path, ck)
+        q.awaitTermination(60)
+        q.stop()
+    got = {tuple(r) for r in streams.newest(spark, path).select("owner", "id", "text", "image_uri", "ts_ms").collect()}
+    every = spark.createDataFrame([r for rows in batches for r in rows], schema)
+    want = {tuple(r) for r in apply_changes(spark.createDataFrame([], streams.HISTORY), every).select("owner", "id", "text", "image_uri", "ts_ms").collect()}
+    assert got == want and len(got) == 39 + 1 + 50 and ("a", "i3", "edited", "", 3) in got and {x[1] for x in got if x[0] == "b"} == {"y"}
+    assert len([x for x in got if x[0] == "c" and x[4] >= 20]) == 50
