@@ -80,14 +80,14 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0, max_file: int = MAX_F
     )
     p = p.select("*", base32_sha1(F.col("html")).alias("payload_digest"), F.octet_length("html").cast("long").alias("payload_bytes"))
     typed = resolve(p.select("page_id", "payload_digest", "payload_bytes"), min_bytes).select("page_id", "record_type", "refers_to").where("record_type = 'revisit'")
-    typed = typed.select(F.lit(False).alias("anonymous"), F.col("page_id").alias("key"), "record_type", "refers_to")
+    typed = typed.select(F.col("page_id").alias("key"), "record_type", "refers_to")
     p = p.select("*", F.col("page_id").isNull().alias("anonymous"), F.coalesce("page_id", F.xxhash64("url", "html")).alias("key"))
     total = pages.select(F.sum(F.octet_length(F.coalesce("html", F.lit(""))) + 500)).first()[0] or 0
     files = max(1, -(-total // max_file))
-    # both sides are dealt alike, so the payloads are shuffled once
-    by = ["anonymous", "key"]
-    full = p.repartition(files, *by).join(typed.repartition(files, *by).dropDuplicates(by), by, "left").withColumn("record_type", F.coalesce("record_type", F.lit("response")))
-    nth = F.row_number().over(Window.partitionBy(*by).orderBy(*by))
+    # both sides and the window are dealt by the key alone, so the payloads are shuffled once; a row without an id may share its key with a page
+    full = p.repartition(files, "key").join(typed.repartition(files, "key").dropDuplicates(["key"]), "key", "left")
+    full = full.withColumn("record_type", F.when(F.col("anonymous"), "response").otherwise(F.coalesce("record_type", F.lit("response")))).withColumn("refers_to", F.when(~F.col("anonymous"), F.col("refers_to")))
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("anonymous"))
     record = F.concat(F.when(F.col("anonymous"), F.concat(F.lit(":"), F.hex("key"), F.lit("."))).otherwise(F.col("page_id").cast("string")), F.when(F.col("anonymous"), F.col("nth").cast("string")).when(F.col("nth") > 1, F.concat(F.lit(":"), F.col("nth").cast("string"))).otherwise(""))
     full = full.withColumn("nth", nth).withColumn("record", record)
     full.select(records(F.col("date")).alias("value")).write.option("lineSep", EOL + EOL).option("compression", "gzip").text(path)
