@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -137,3 +138,37 @@ def components(edges: DataFrame, salts: int = 16) -> DataFrame:
         if step.where("old <> label").isEmpty():
             return step.select("id", F.col("label").alias("component_id"))
         labels = step.select("id", "label")
+
+
+def runs_of(batches, *keys: str):
+    """Batches sorted by ``keys`` as one table for each run of rows with equal keys; holds one run and one batch."""
+    held: list = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [b.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        change = np.zeros(b.num_rows - 1, bool)
+        for c in cols:
+            change |= c[1:] != c[:-1]
+        edge = [0, *(np.flatnonzero(change) + 1).tolist(), b.num_rows]
+        for s, e in zip(edge[:-1], edge[1:]):
+            now = tuple(c[s] for c in cols)
+            if held and now != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(s, e - s))
+            last = now
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def blocks(rows: DataFrame, size: int, column: str, *by: str) -> tuple[DataFrame, int]:
+    """``rows`` with a ``column`` that deals them by the hash of ``by`` into so many blocks that one holds ``size`` rows or so."""
+    many = max(1, -(-rows.count() // size))
+    return rows.withColumn(column, F.pmod(F.xxhash64(*by), F.lit(many)).cast("int")), many
+
+
+def every_block(rows: DataFrame, column: str, many: int) -> DataFrame:
+    """``rows`` once for each of ``many`` blocks of the other side."""
+    return rows.withColumn(column, F.explode(F.sequence(F.lit(0), F.lit(many - 1))))

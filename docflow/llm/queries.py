@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collisions, jaccard, langid, licenses, lm, media, mixing, packing, pii, warc
+from . import collisions, jaccard, langid, licenses, lm, media, mixing, negatives, packing, pii, warc
 from .common import fold, shared_dir
 
 
@@ -79,6 +79,11 @@ def op10_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.copies(media.rendered(_table(spark, sf_dir, "embeddings")))
 
 
+def op13_secondary_sort_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
 QUERIES = {
     "op1_warc_revisits": op1_warc_revisits,
     "op2_pii_contexts": op2_pii_contexts,
@@ -90,6 +95,7 @@ QUERIES = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_license_scan": op9_license_scan,
     "op10_media_copies": op10_media_copies,
+    "op13_secondary_sort_negatives": op13_secondary_sort_negatives,
 }
 
 ORACLES = {
@@ -137,4 +143,12 @@ ORACLES = {
         r AS (SELECT doc_id AS id, doc_id AS root FROM s),
         reach AS (WITH RECURSIVE t(id, root) AS (SELECT id, root FROM r UNION SELECT l.b, t.root FROM t JOIN l ON l.a = t.id WHERE t.root < l.b) SELECT id, min(root) AS root FROM t GROUP BY id)
         SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, root AS component_id FROM s JOIN reach ON reach.id = s.doc_id""",
+    "op13_secondary_sort_negatives": """
+        WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+                   WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM e a JOIN e b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.vec_id % 100 = 0),
+        p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5),
+        n AS (SELECT p.anchor_id, p.other AS positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.other ORDER BY s.score DESC, s.other) AS rank, s.other AS negative_id, p.score AS positive_score, s.score AS negative_score
+              FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score)
+        SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5""",
 }
