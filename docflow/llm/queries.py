@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collisions, jaccard, langid, licenses, lm, media, mixing, negatives, packing, pii, warc
+from . import collisions, graphs, jaccard, langid, licenses, lm, media, mixing, negatives, packing, pii, ranked, warc
 from .common import fold, shared_dir
 
 
@@ -79,6 +79,14 @@ def op10_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.copies(media.rendered(_table(spark, sf_dir, "embeddings")))
 
 
+def op11_graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graphs.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op12_term_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op13_secondary_sort_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return negatives.mine(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
@@ -95,6 +103,8 @@ QUERIES = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_license_scan": op9_license_scan,
     "op10_media_copies": op10_media_copies,
+    "op11_graph_neighbours": op11_graph_neighbours,
+    "op12_term_pipeline": op12_term_pipeline,
     "op13_secondary_sort_negatives": op13_secondary_sort_negatives,
 }
 
@@ -143,6 +153,16 @@ ORACLES = {
         r AS (SELECT doc_id AS id, doc_id AS root FROM s),
         reach AS (WITH RECURSIVE t(id, root) AS (SELECT id, root FROM r UNION SELECT l.b, t.root FROM t JOIN l ON l.a = t.id WHERE t.root < l.b) SELECT id, min(root) AS root FROM t GROUP BY id)
         SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, root AS component_id FROM s JOIN reach ON reach.id = s.doc_id""",
+    "op12_term_pipeline": r"""
+        WITH t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+        q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+        g AS (SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM t WHERE len(w) > 0),
+        f AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM t) GROUP BY ALL),
+        w AS (SELECT term, CAST(floor(1000 * ln((2 * (SELECT n FROM g) + 2) / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM f WHERE term IN (SELECT term FROM q) GROUP BY term),
+        m AS (SELECT r, doc_id, 100 - 90 + (90 * CAST(len(w) AS BIGINT) * (SELECT n FROM g)) // (SELECT l FROM g) AS m FROM t WHERE len(w) > 0),
+        s AS (SELECT q.item_id, f.r, CAST(sum(w.w * ((1000000000 * f.tf) // (1000 * f.tf + 8 * m.m))) AS BIGINT) AS score FROM q JOIN w USING (term) JOIN f USING (term) JOIN m USING (r) GROUP BY q.item_id, f.r),
+        o AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s JOIN m USING (r) WHERE score > 0)
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM o WHERE rank <= 10""",
     "op13_secondary_sort_negatives": """
         WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
                    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
