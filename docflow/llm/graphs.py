@@ -44,8 +44,8 @@ class Level:
     def search(self, queries: np.ndarray, entry: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
         """For each query the ``most`` best places found from its ``entry`` places, best first (-1 for none), and their products."""
         n, q = len(self.points), len(queries)
-        seen = np.zeros((q, n + 1), bool)
-        seen[:, n] = True
+        seen = np.zeros(q * (n + 1), np.int32)  # 0, or 1 and more after a node was met
+        seen[n :: n + 1] = 1
         ids = np.full((q, most), n, np.int32)
         score = np.full((q, most), -np.inf, np.float32)
         done = np.ones((q, most), bool)
@@ -53,9 +53,12 @@ class Level:
         active = np.arange(q)
         while len(active):
             key = (active[:, None] * (n + 1) + fresh).ravel()
-            key = np.unique(key[~seen.ravel()[key]])
-            seen.ravel()[key] = True
-            row, place = key // (n + 1), key % (n + 1)
+            key = key[seen[key] == 0]
+            turns = np.arange(1, len(key) + 1, dtype=np.int32)
+            seen[key] = turns
+            key = key[seen[key] == turns]  # of a query's equal keys one stays
+            row = key // (n + 1)
+            place = key - row * (n + 1)
             product = np.einsum("ij,ij->i", self.points[place], queries[row])
             first = np.searchsorted(row, active)
             many = np.searchsorted(row, active, "right") - first
@@ -270,7 +273,7 @@ def _found(top: int, most: int):
 
 
 def nearest(
-    vectors: DataFrame, query: Column, top: int = 20, shard: int = 16384, block: int = 65536, most: int = 128, salts: int = 16,
+    vectors: DataFrame, query: Column, top: int = 20, shard: int = 16384, block: int = 65536, most: int = 192, salts: int = 16,
     id_col: str = "vec_id", vec_col: str = "embedding",
 ) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for the rows that meet ``query`` (a condition on ``vec_id``) the ``top`` nearest found.
