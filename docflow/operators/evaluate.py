@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.strings import WS, run_sql
+from ..functions.edits import Text, distance
+from ..functions.strings import WS
 from .readings import recover_spaces
 
 # Letters folded when diacritics do not count; the gap factors to compare (0 keeps the stored text).
@@ -18,10 +20,25 @@ def normalized(c: Column, keep_diacritics: bool) -> Column:
     return one if keep_diacritics else F.translate(F.regexp_replace(one, r"[\x{64B}-\x{652}\x{640}]", ""), FOLD_FROM, FOLD_TO)
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """1 less the edit distance over the larger length; two empty strings are equal."""
-    longest = F.greatest(F.length(a), F.length(b))
-    return F.when(a == b, 1.0).otherwise(1 - F.levenshtein(a, b) / longest)
+def similarities(pairs: DataFrame, short: int = 4096) -> DataFrame:
+    """``pairs (..., a, b)`` with ``similarity`` in their place: 1 less the edit distance over the larger length, 1 where both are equal.
+
+    Pairs whose lengths' product is above ``short`` go to the bit-parallel form, which leaves out equal ends and steps over 64 cells at a time.
+    """
+    out = [c for c in pairs.columns if c not in ("a", "b")]
+    longest = F.greatest(F.length("a"), F.length("b"))
+    far = F.length("a").cast("long") * F.length("b") > short
+    near = pairs.where(F.coalesce(~far | (F.col("a") == F.col("b")), F.lit(True)))
+    near = near.select(*out, F.when(F.col("a") == F.col("b"), 1.0).otherwise(1 - F.levenshtein("a", "b") / longest).alias("similarity"))
+
+    def run(batches):
+        for t in batches:
+            a, b = t.column("a").to_pylist(), t.column("b").to_pylist()
+            got = pa.array([1 - distance(x, y) / max(len(x), len(y)) for x, y in zip(a, b)], pa.float64())
+            yield pa.RecordBatch.from_arrays([*(t.column(c) for c in out), got], names=[*out, "similarity"])
+
+    schema = ", ".join(f"`{c}` {pairs.schema[c].dataType.simpleString()}" for c in out) + ", similarity double"
+    return near.unionByName(pairs.where(far & (F.col("a") != F.col("b"))).mapInArrow(run, schema))
 
 
 def score_accuracy(hypothesis: DataFrame, truth: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
@@ -29,10 +46,12 @@ def score_accuracy(hypothesis: DataFrame, truth: DataFrame, keys: list[str], by:
     j = hypothesis.withColumnRenamed("text", "h").join(truth.select(*keys, F.col("text").alias("t")), keys)
     for side in ("h", "t"):
         j = j.withColumn(f"{side}_raw", normalized(F.col(side), True)).withColumn(f"{side}_folded", normalized(F.col(side), False))
-    j = j.withColumn("raw", similarity(F.col("h_raw"), F.col("t_raw")))
+    pair = {kind: F.struct(F.lit(kind).alias("kind"), F.col(f"h_{kind}").alias("a"), F.col(f"t_{kind}").alias("b")) for kind in ("raw", "folded")}
+    both = F.struct(F.lit("both").alias("kind"), F.col("h_raw").alias("a"), F.col("t_raw").alias("b"))
     same = (F.col("h_raw") == F.col("h_folded")) & (F.col("t_raw") == F.col("t_folded"))  # nothing to fold: measure once
-    j = j.withColumn("folded", F.when(same, F.col("raw")).otherwise(similarity(F.col("h_folded"), F.col("t_folded"))))
-    return j.groupBy(*by).agg(F.count("*").alias("n"), F.avg("raw").alias("raw"), F.avg("folded").alias("folded"))
+    s = similarities(j.select(*by, F.inline(F.when(same, F.array(both)).otherwise(F.array(*pair.values())))))
+    of = {kind: F.when(F.col("kind").isin(kind, "both"), F.col("similarity")) for kind in pair}
+    return s.groupBy(*by).agg(F.count_if(F.col("kind") != "folded").alias("n"), F.avg(of["raw"]).alias("raw"), F.avg(of["folded"]).alias("folded"))
 
 
 def sweep_gap_factor(chars: DataFrame, truth: DataFrame, keys: list[str], factors: tuple[float, ...] = FACTORS) -> DataFrame:
@@ -46,26 +65,24 @@ def sweep_gap_factor(chars: DataFrame, truth: DataFrame, keys: list[str], factor
     return score_accuracy(every, truth, keys, ["factor"])
 
 
-def line_recall(hypothesis: DataFrame, truth: DataFrame, least: float = 0.8) -> DataFrame:
-    """``(doc_id, hits, lines)``: truth lines (over three characters when normalised) whose best window of their length in the document
-    has similarity of ``least`` or more.
+def line_recall(hypothesis: DataFrame, truth: DataFrame, least: float = 0.8, block: int = 2048) -> DataFrame:
+    """``hypothesis (doc_id, text)``, ``truth (doc_id, line_id, text)`` → ``(doc_id, hits, lines)``: truth lines (over three characters when
+    normalised) whose best window of their length in the document has similarity of ``least`` or more.
 
-    Blocking without loss: a window within e = floor((1 - least) n) edits holds one of e + 1 pieces of the line intact, shifted by at most
-    e, so pieces and document n-grams of equal length join by equality, and only windows around a hit are measured.
+    A document's text is shuffled once, beside blocks of ``block`` of its lines (by ``line_id``, their number); inside a row, windows are sought
+    without loss (``functions.edits.Text``).  Documents without such lines have no row; a missing or null text holds no line.
     """
-    t = truth.select("doc_id", "line_id", normalized(F.col("text"), False).alias("t")).where("length(t) > 3").withColumn("n", F.length("t"))
-    t = t.withColumn("e", F.floor((F.lit(1.0) - least) * F.col("n") + 1e-9).cast("int"))
-    h = hypothesis.select("doc_id", normalized(F.col("text"), False).alias("h"))
-    return run_sql(
-        f"""
-        WITH p AS (SELECT doc_id, line_id, t, n, e, i, CAST(floor(i * n / (e + 1)) AS INT) AS lo, CAST(floor((i + 1) * n / (e + 1)) AS INT) AS hi FROM {{t}} LATERAL VIEW explode(sequence(0, e)) x AS i),
-        q AS (SELECT doc_id, line_id, t, n, e, lo, substring(t, lo + 1, hi - lo) AS piece, hi - lo AS size FROM p WHERE hi > lo),
-        s AS (SELECT DISTINCT doc_id, size FROM q),
-        g AS (SELECT h.doc_id, h.h, s.size, at, substring(h.h, at + 1, s.size) AS piece FROM {{h}} h JOIN s ON h.doc_id = s.doc_id LATERAL VIEW explode(sequence(0, greatest(length(h.h) - s.size, 0))) x AS at),
-        w AS (SELECT DISTINCT q.doc_id, q.line_id, q.t, q.n, g.h, greatest(0, least(g.at - q.lo + d, length(g.h) - q.n)) AS start
-              FROM q JOIN g ON q.doc_id = g.doc_id AND q.size = g.size AND q.piece = g.piece LATERAL VIEW explode(sequence(-q.e, q.e)) x AS d),
-        m AS (SELECT doc_id, line_id, max(1 - levenshtein(substring(h, start + 1, n), t) / greatest(length(substring(h, start + 1, n)), n)) AS best FROM w GROUP BY doc_id, line_id)
-        SELECT t.doc_id, count_if(m.best >= {least} - 1e-9) AS hits, count(*) AS lines FROM {{t}} t LEFT JOIN m ON t.doc_id = m.doc_id AND t.line_id = m.line_id GROUP BY t.doc_id
-        """,
-        t=t, h=h,
-    )
+    t = truth.select("doc_id", "line_id", normalized(F.col("text"), False).alias("t")).where("length(t) > 3")
+    rows = t.groupBy("doc_id", F.expr(f"line_id div {block}").alias("block")).agg(F.collect_list("t").alias("lines"))
+    rows = rows.join(hypothesis.select("doc_id", normalized(F.col("text"), False).alias("h")), "doc_id", "left").select("doc_id", "h", "lines")
+
+    def run(batches):
+        for b in batches:
+            hits = []
+            for h, lines in zip(b.column(1), b.column(2)):
+                text = Text(h.as_py() or "")
+                hits.append(sum(text.near(x, int((1 - least) * len(x) + 1e-9)) for x in lines.as_py()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hits, pa.int64()), pa.array([len(x) for x in b.column(2)], pa.int64())], names=["doc_id", "hits", "lines"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, hits bigint, lines bigint").groupBy("doc_id").agg(F.sum("hits").alias("hits"), F.sum("lines").alias("lines"))

@@ -74,7 +74,8 @@ VIEWS: dict[str, str | tuple[str, str]] = {
     "chunks": "SELECT conv_id AS response_id, turn AS seq, CASE WHEN turn=0 THEN 'data: <think>plan</think>' WHEN turn=5 THEN 'data: [DONE]' WHEN turn=2 THEN ': keep-alive' ELSE concat('data: ', text) END AS payload FROM conversations",
     "history": "SELECT source AS owner, CAST(doc_id AS VARCHAR(20)) AS id, text, doc_id*1000 AS ts_ms FROM documents",
     "page_results": """SELECT doc_id, page, CASE WHEN count(*) % 5 = 0 THEN 'error' ELSE 'success' END AS status, max(text) AS text, CAST(NULL AS VARCHAR(9)) AS markdown FROM page_lines GROUP BY doc_id, page""",
-    "altered": """SELECT doc_id, page, line_id, 'universal' AS pack, translate(text, 'aeo', 'oae') AS text FROM page_lines""",
+    "altered": "SELECT doc_id, page, line_id, pack, CASE pack WHEN 'arabic' THEN translate(text, 'ايب', 'أىت') ELSE translate(text, 'aeo', 'oae') END AS text FROM reads",
+    "rereads": "SELECT doc_id, CASE WHEN doc_id%3=0 THEN translate(text, 'aeo', 'oae') ELSE translate(text, 'eqhz', 'a') END AS text FROM documents",
 }
 
 

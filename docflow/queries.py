@@ -389,12 +389,22 @@ def _(reads):
 # --- evaluation
 
 
-@query("score_accuracy", "altered", "page_lines", sql="""
-    WITH j AS (SELECT h.pack, trim(regexp_replace(h.text, '[\\x{9}-\\x{D}\\x{1C}-\\x{1F}\\p{Z}]+', ' ', 'g')) AS h, trim(regexp_replace(t.text, '[\\x{9}-\\x{D}\\x{1C}-\\x{1F}\\p{Z}]+', ' ', 'g')) AS t FROM altered h JOIN page_lines t USING (doc_id, page, line_id)),
-    s AS (SELECT pack, CASE WHEN length(h) = 0 AND length(t) = 0 THEN 1.0 ELSE 1 - levenshtein(h, t) / greatest(length(h), length(t)) END AS s FROM j)
-    SELECT pack, count(*) AS n, avg(s) AS raw, avg(s) AS folded FROM s GROUP BY pack""")
+_ONE = r"trim(regexp_replace({0}, '[\x{{9}}-\x{{D}}\x{{1C}}-\x{{1F}}\p{{Z}}]+', ' ', 'g'))"
+_FOLD = r"translate(regexp_replace({0}, '[\x{{64B}}-\x{{652}}\x{{640}}]', '', 'g'), 'أإآٱىة', 'اااايه')"
+
+
+@query("score_accuracy", "altered", "reads", sql=f"""
+    WITH j AS (SELECT h.pack, {_ONE.format('h.text')} AS h, {_ONE.format('t.text')} AS t FROM altered h JOIN reads t USING (doc_id, page, line_id, pack)),
+    f AS (SELECT *, {_FOLD.format('h')} AS hf, {_FOLD.format('t')} AS tf FROM j),
+    s AS (SELECT pack, CASE WHEN h = t THEN 1.0 ELSE 1 - levenshtein(h, t) / greatest(length(h), length(t)) END AS raw, CASE WHEN hf = tf THEN 1.0 ELSE 1 - levenshtein(hf, tf) / greatest(length(hf), length(tf)) END AS folded FROM f)
+    SELECT pack, count(*) AS n, avg(raw) AS raw, avg(folded) AS folded FROM s GROUP BY pack""")
 def _(altered, lines):
-    return evaluate.score_accuracy(altered, lines.select(*LINE_KEYS, "text"), LINE_KEYS, ["pack"])
+    return evaluate.score_accuracy(altered, lines.select(*LINE_KEYS, "pack", "text"), [*LINE_KEYS, "pack"], ["pack"])
+
+
+@query("line_recall", "rereads", "page_lines")
+def _(rereads, lines):
+    return evaluate.line_recall(rereads, lines)
 
 
 @query("sweep_gap_factor", "chars", "reads")

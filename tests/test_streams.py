@@ -1,7 +1,10 @@
 """Stream operators against their batch folds; a late sentinel row moves the watermark past the rest."""
 
+import json
+import random
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from docflow.streaming import folds, streams
@@ -68,6 +71,75 @@ def test_folds_hold_no_key_in_one_row(spark):
         assert "collect_list" not in d._jdf.queryExecution().toString()
 
 
+def plain_quota(rows):
+    n, since, out = 0, None, []
+    for t, _, kind in rows:
+        if kind == "grant":
+            n, since = folds.QUOTA - 1, None
+            out.append(None)
+        elif since is not None and t is not None and t - since < folds.COOLDOWN_S:
+            out.append(False)
+        else:
+            n, since = (1, None) if since is not None else (n + 1, t if n + 1 >= folds.QUOTA else None)
+            out.append(True)
+    return out
+
+
+def plain_sightings(rows):
+    last, n, till, out = [], 0, None, []
+    for t, _, codes in rows:
+        if till is not None and t is not None and t < till:
+            out.append(None)
+            continue
+        n = 0 if not codes else n + 1 if codes == last else 1
+        hit, last = bool(codes) and codes == last and n >= folds.MATCHES, codes
+        if hit:
+            till = None if t is None else t + folds.PAUSE_MS
+        out.append(True if hit else None)
+    return out
+
+
+@pytest.mark.parametrize("fold, plain, choices", [(folds.Quota, plain_quota, ["grant"] + ["request"] * 30), (folds.Sightings, plain_sightings, [[], ["a"], ["a", "b"]])])
+def test_summaries_of_chunks_compose(fold, plain, choices):
+    """Whatever the cuts, the states chained through summaries are those of the whole history."""
+    rng = random.Random(1)
+    for _ in range(1500):
+        step, t = rng.choice([1, 5, 20, 80, 200, 400]), 0
+        rows = [(None, k, rng.choice(choices)) for k in range(rng.choice([0, 0, 1, 7]))]
+        for k in range(rng.randint(1, 60)):
+            t += rng.choice([0, step, rng.randint(0, step)])
+            rows.append((t, k, rng.choice(choices)))
+        state, got, at = fold.begin, [], 0
+        while at < len(rows):
+            part = rows[at : at + rng.randint(1, 20)]
+            at += len(part)
+            got += fold.run(state, part)
+            state = fold.passed(json.loads(json.dumps(state)), json.loads(json.dumps(fold.summary(part))))
+        assert got == plain(rows)
+
+
+def test_long_histories_over_many_tasks(spark):
+    """Five keys over sixteen tasks and chunks of 50 rows: the rows of a plain fold, every task with a share."""
+    req = spark.range(4000).selectExpr("id AS event_id", "CASE WHEN id % 3 = 0 THEN 0L ELSE id % 5 END AS user_id", "id * 7 div 2 AS t_s", "CASE WHEN id % 97 = 5 THEN 'grant' ELSE 'request' END AS kind")
+    by: dict = {}
+    for r in req.collect():
+        by.setdefault(r.user_id, []).append((r.t_s, r.event_id, r.kind))
+    want = {(e, x) for rows in by.values() for (_, e, _), x in zip(sorted(rows), plain_quota(sorted(rows))) if x is not None}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = folds.folded(req, folds.Quota, "user_id", ["t_s", "event_id", "kind"], "admitted", ["user_id", "event_id", "t_s"], tasks=16, most=50)
+        shares = [r[0] for r in got.groupBy(F.spark_partition_id()).count().select("count").collect()]
+        assert {(r.event_id, r.admitted) for r in got.collect()} == want and len(shares) >= 12 and max(shares) < 800
+        frames = req.selectExpr("user_id AS camera_id", "event_id AS frame_id", "t_s * 10 AS t_ms", "CASE WHEN event_id % 11 > 2 THEN concat('c', event_id div 40 % 3) END AS raw")
+        by = {}
+        for r in frames.collect():
+            by.setdefault(r.camera_id, []).append((r.t_ms, r.frame_id, [r.raw] if r.raw else []))
+        want = {f for rows in by.values() for (_, f, _), x in zip(sorted(rows), plain_sightings(sorted(rows))) if x}
+        assert {r.frame_id for r in folds.stable_detections(frames, tasks=16).collect()} == want and want
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_history_files_are_of_bounded_size(spark):
     from docflow.sources import history
 
