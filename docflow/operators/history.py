@@ -32,7 +32,7 @@ def apply_changes(history: DataFrame, changes: DataFrame, n: int = NEWEST) -> Da
     return newest_history(
         run_sql(
             """
-            WITH c AS (SELECT *, max(CASE WHEN op = 'clear' THEN seq END) OVER (PARTITION BY owner) AS cleared FROM {changes}),
+            WITH c AS (SELECT c.*, cleared FROM {changes} c LEFT JOIN (SELECT owner, max(seq) AS cleared FROM {changes} WHERE op = 'clear' GROUP BY owner) x ON c.owner = x.owner),
             a AS (SELECT owner, id, text, image_uri, ts_ms, -1L AS seq, 'insert' AS op FROM {history} h LEFT ANTI JOIN (SELECT DISTINCT owner FROM {changes} WHERE op = 'clear') x USING (owner)
                   UNION ALL SELECT owner, id, text, image_uri, ts_ms, seq, op FROM c WHERE op <> 'clear' AND trim(coalesce(id, '')) <> '' AND (cleared IS NULL OR seq > cleared)),
             b AS (SELECT *, max(CASE WHEN op = 'delete' THEN seq END) OVER (PARTITION BY owner, id) AS gone FROM a),

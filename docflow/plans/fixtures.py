@@ -72,6 +72,11 @@ VIEWS: dict[str, str | tuple[str, str]] = {
         """SELECT l_orderkey AS doc_id, concat('# Order ', CAST(l_orderkey AS VARCHAR), chr(10)||chr(10)||'Due **now**'||chr(10)||chr(10)||'| Part | Qty |'||chr(10)||'| --- | --- |'||chr(10), string_agg(concat('| **', CAST(l_partkey AS VARCHAR), '** | ', CAST(CAST(l_quantity AS BIGINT) AS VARCHAR), ' |'), chr(10) ORDER BY l_linenumber, l_partkey, l_quantity), chr(10)||chr(10)||'- [x] paid'||chr(10)||'1. thanks'||chr(10)) AS text FROM lineitem GROUP BY l_orderkey""",
     ),
     "chunks": "SELECT conv_id AS response_id, turn AS seq, CASE WHEN turn=0 THEN 'data: <think>plan</think>' WHEN turn=5 THEN 'data: [DONE]' WHEN turn=2 THEN ': keep-alive' ELSE concat('data: ', text) END AS payload FROM conversations",
+    "changes": """SELECT source AS owner, doc_id*4 AS seq, 'insert' AS op, CAST(doc_id AS VARCHAR(20)) AS id, text, '' AS image_uri, doc_id*1000 AS ts_ms FROM documents
+        UNION ALL SELECT source, doc_id*4+1, 'update', CAST(doc_id AS VARCHAR(20)), concat('edited ', text), NULL, NULL FROM documents WHERE doc_id%5=0
+        UNION ALL SELECT source, doc_id*4+2, 'delete', CAST(doc_id-8 AS VARCHAR(20)), NULL, NULL, NULL FROM documents WHERE doc_id%7=0
+        UNION ALL SELECT source, doc_id*4+3, 'clear', NULL, NULL, NULL, NULL FROM documents WHERE doc_id%157=0
+        UNION ALL SELECT source, doc_id*4+3, 'update', ' ', 'nobody', NULL, NULL FROM documents WHERE doc_id%11=0""",
     "history": "SELECT source AS owner, CAST(doc_id AS VARCHAR(20)) AS id, text, doc_id*1000 AS ts_ms FROM documents",
     "page_results": """SELECT doc_id, page, CASE WHEN count(*) % 5 = 0 THEN 'error' ELSE 'success' END AS status, max(text) AS text, CAST(NULL AS VARCHAR(9)) AS markdown FROM page_lines GROUP BY doc_id, page""",
     "altered": "SELECT doc_id, page, line_id, pack, CASE pack WHEN 'arabic' THEN translate(text, 'ايب', 'أىت') ELSE translate(text, 'aeo', 'oae') END AS text FROM reads",

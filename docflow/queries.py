@@ -11,7 +11,9 @@ from .operators import actions, documents, evaluate, history, layout, markdown,
 from .plans.fixtures import table, with_views
 from .sources import catalogs, exports
 from .sources import history as history_files
-from .streaming import folds
+from .plans.lineage import shared
+from .streaming import folds, streams
+from .streaming.replay import replayed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -431,6 +433,21 @@ def _(chunks):
     return ops_log.assemble_responses(chunks)
 
 
+@query("live_responses", "chunks", sql=r"""
+    WITH d AS (SELECT response_id, seq, trim(payload[6:]) AS piece FROM chunks WHERE starts_with(payload, 'data:')), e AS (SELECT response_id, min(seq) AS done FROM d WHERE piece = '[DONE]' GROUP BY response_id),
+    t AS (SELECT d.response_id, any_value(done) AS done, string_agg(piece, '' ORDER BY seq) AS t, count(*) FILTER (piece <> '') AS n FROM d LEFT JOIN e USING (response_id) WHERE done IS NULL OR seq < done GROUP BY d.response_id),
+    m AS (SELECT response_id, max(seq) AS last FROM chunks GROUP BY response_id),
+    f AS (SELECT response_id, coalesce(done, last) AS seq, done IS NOT NULL AS ended, n AS running, regexp_replace(regexp_replace(t, '(?s)<think>.*?(?:</think>\s*|$)', '', 'g'), '^\s+|\s+$', '', 'g') AS text FROM t JOIN m USING (response_id))
+    SELECT response_id, seq, ended, running, text FROM f WHERE text <> ''""")
+def _(chunks):
+    """Turns come 200 ms apart; a conversation without a sixth turn is a stream that broke off."""
+    rows = chunks.select("response_id", F.timestamp_millis(F.col("seq") * 200 + 1).alias("event_time"), F.col("seq").cast("long").alias("seq"), "payload")
+    told = replayed(rows, "response_id", streams.live_responses)
+    ended = chunks.where("payload = 'data: [DONE]'").select("response_id", F.lit(True).alias("ended")).distinct()
+    final = told.where("final").select("response_id", "seq", "text").join(told.groupBy("response_id").agg(F.count_if(~F.col("final")).alias("running")), "response_id")
+    return final.join(ended, "response_id", "left").select("response_id", "seq", F.coalesce("ended", F.lit(False)).alias("ended"), "running", "text")
+
+
 @query("budget_pages", "page_lines", sql="""
     WITH p AS (SELECT DISTINCT doc_id AS scan_id, page FROM page_lines), n AS (SELECT scan_id, least(count(*), 20) AS total FROM p GROUP BY scan_id),
     c AS (SELECT * FROM (VALUES ('Gemini', 20), ('Mistral OCR', 1), ('OpenRouter', 20), ('Hugging Face', 5), ('NVIDIA', 1), ('Groq', 5), ('Cerebras', 5), ('Cloudflare', 1), ('OpenAI', 20), ('Claude', 20), ('Custom', 1)) AS v(provider, cap))
@@ -457,6 +474,34 @@ def _(items):
     return history.newest_history(items)
 
 
+@query("maintain_history", "changes", "documents", sql="""
+    WITH h0 AS (SELECT NULL::VARCHAR AS owner, NULL::VARCHAR AS id, NULL::VARCHAR AS text, NULL::BIGINT AS ts_ms WHERE false),
+    c1 AS (SELECT c.*, max(CASE WHEN op = 'clear' THEN seq END) OVER (PARTITION BY owner) AS cleared FROM changes c WHERE seq <= (SELECT max(doc_id) * 2 FROM documents)),
+    a1 AS (SELECT owner, id, text, ts_ms, -1 AS seq, 'insert' AS op FROM h0 WHERE owner NOT IN (SELECT owner FROM c1 WHERE op = 'clear')
+          UNION ALL SELECT owner, id, text, ts_ms, seq, op FROM c1 WHERE op <> 'clear' AND trim(id) <> '' AND (cleared IS NULL OR seq > cleared)),
+    g1 AS (SELECT a.*, (SELECT max(seq) FROM a1 x WHERE x.owner = a.owner AND x.id = a.id AND x.op = 'delete') AS gone FROM a1 a),
+    k1 AS (SELECT *, min(CASE WHEN op = 'insert' THEN seq END) OVER (PARTITION BY owner, id) AS born FROM g1 WHERE gone IS NULL OR seq > gone),
+    h1 AS (SELECT * FROM (SELECT owner, id, arg_max(text, seq) FILTER (text IS NOT NULL AND seq >= born) AS text, arg_max(ts_ms, seq) FILTER (op = 'insert') AS ts_ms FROM k1 GROUP BY owner, id HAVING count(*) FILTER (op = 'insert') > 0)
+           QUALIFY row_number() OVER (PARTITION BY owner ORDER BY ts_ms DESC, id) <= 50),
+    c2 AS (SELECT c.*, max(CASE WHEN op = 'clear' THEN seq END) OVER (PARTITION BY owner) AS cleared FROM changes c WHERE seq > (SELECT max(doc_id) * 2 FROM documents)),
+    a2 AS (SELECT owner, id, text, ts_ms, -1 AS seq, 'insert' AS op FROM h1 WHERE owner NOT IN (SELECT owner FROM c2 WHERE op = 'clear')
+          UNION ALL SELECT owner, id, text, ts_ms, seq, op FROM c2 WHERE op <> 'clear' AND trim(id) <> '' AND (cleared IS NULL OR seq > cleared)),
+    g2 AS (SELECT a.*, (SELECT max(seq) FROM a2 x WHERE x.owner = a.owner AND x.id = a.id AND x.op = 'delete') AS gone FROM a2 a),
+    k2 AS (SELECT *, min(CASE WHEN op = 'insert' THEN seq END) OVER (PARTITION BY owner, id) AS born FROM g2 WHERE gone IS NULL OR seq > gone),
+    h2 AS (SELECT * FROM (SELECT owner, id, arg_max(text, seq) FILTER (text IS NOT NULL AND seq >= born) AS text, arg_max(ts_ms, seq) FILTER (op = 'insert') AS ts_ms FROM k2 GROUP BY owner, id HAVING count(*) FILTER (op = 'insert') > 0)
+           QUALIFY row_number() OVER (PARTITION BY owner ORDER BY ts_ms DESC, id) <= 50)
+    SELECT owner, id, text, ts_ms FROM h2""")
+def _(changes, docs):
+    """Two arrivals of changes, the second from the middle of the documents on; the table after both."""
+    spark, path = changes.sparkSession, shared(changes.sparkSession, "history")
+    middle = docs.agg(F.max("doc_id") * 2).first()[0] or 0
+    schema = "owner string, seq long, op string, id string, text string, image_uri string, ts_ms long"
+    for part in (F.col("seq") <= middle, F.col("seq") > middle):
+        changes.where(part).write.mode("append").parquet(f"{path}/changes")
+        streams.maintain_history(spark.readStream.schema(schema).parquet(f"{path}/changes"), f"{path}/table", f"{path}/checkpoint").awaitTermination()
+    return streams.newest(spark, f"{path}/table").select("owner", "id", "text", "ts_ms")
+
+
 @query("read_history", "history", sql="SELECT owner, count(*) AS n, min(ts_ms) AS first_ms, max(ts_ms) AS last_ms FROM history GROUP BY owner")
 def _(items):
     good, _bad = history_files.parse_history(history_files.history_files(items))

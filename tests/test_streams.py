@@ -1,6 +1,8 @@
 """Stream operators against their batch folds; a late sentinel row moves the watermark past the rest."""
 
+import glob
 import json
+import os
 import random
 import tempfile
 
@@ -155,7 +157,62 @@ def test_live_responses(spark):
     said += [(2, 10, 0, "data: a"), (2, 105, 1, "data: b"), (2, 110, 2, "data: c"), (2, 400, 3, None), (9, 10_000_000, 0, "data: end")]
     s = spark.createDataFrame(said, "response_id long, t_ms long, seq long, payload string").withColumn("event_time", F.timestamp_millis(F.col("t_ms") + 1000)).drop("t_ms")
     got = {tuple(r) for r in run(spark, s, lambda d: streams.live_responses(d, "1 hour"), "live") if r.response_id != 9}
-    assert got == {(1, 0, "Hel", False), (1, 3, "Hello<think>x</think>", False), (1, 5, "Hello!", True), (2, 0, "a", False), (2, 2, "abc", False)}
+    assert got == {(1, 0, "Hel", False), (1, 3, "Hello<think>x</think>", False), (1, 5, "Hello!", True), (2, 0, "a", False), (2, 2, "abc", False), (2, 3, "abc", True)}
+
+
+def test_broken_streams_end_and_leave_no_state(spark):
+    """A stream that breaks off gives its text after 90 s of silence; ended and broken keys are gone from state; late rows are counted."""
+    s = 1000
+    said = [(1, 0, 0, "data: part"), (1, 50, 1, "data: ial <think>never closed"), (2, 0, 0, "data: a"), (2, 9, 1, "data: [DONE]"), (3, 0, 0, ": only a comment"), (4, 0, 0, "data: slow"), (4, 80 * s, 1, "data: er"), (4, 160 * s, 2, "data: [DONE]")]
+    arrivals = [said, [(8, 7200 * s, 0, None)], [(1, 60 * s, 2, "data: much too late"), (8, 7300 * s, 1, None)], [(8, 9000 * s, 2, None)]]
+    src, ck = (tempfile.mkdtemp(prefix="spark-", dir="/tmp") for _ in range(2))
+    got, late = [], 0
+    for n, rows in enumerate(arrivals):
+        df = spark.createDataFrame(rows, "response_id long, t_ms long, seq long, payload string").withColumn("event_time", F.timestamp_millis(F.col("t_ms") + 1000)).drop("t_ms")
+        df.coalesce(1).write.mode("append").parquet(src)
+        live = streams.live_responses(spark.readStream.schema(df.schema).parquet(src), "10 seconds")
+        q = live.writeStream.format("parquet").option("path", f"{ck}/out").option("checkpointLocation", f"{ck}/ck").outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination(60)
+        counts = streams.state_counts(q)
+        late += counts["late"]
+    got = {(r.response_id, r.seq, r.text) for r in spark.read.parquet(f"{ck}/out").where("final").collect()}
+    assert got == {(1, 1, "partial"), (2, 1, "a"), (4, 2, "slower")}
+    assert late == 1 and counts["keys"] == 1  # the one key that still speaks
+
+
+def test_history_rewrites_touched_buckets_only(spark):
+    """Bytes written follow the owners of a batch; a batch that runs again gives the same table; vacuum keeps what is named."""
+    schema = "owner string, seq long, op string, id string, text string, image_uri string, ts_ms long"
+    src, path, ck = (tempfile.mkdtemp(prefix="spark-", dir="/tmp") for _ in range(3))
+
+    def arrive(rows, checkpoint):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        streams.maintain_history(spark.readStream.schema(schema).parquet(src), path, checkpoint, buckets=16).awaitTermination(120)
+
+    def table():
+        return {tuple(r) for r in streams.newest(spark, path).collect()}
+
+    def size(version):
+        return sum(os.path.getsize(f) for f in glob.glob(f"{path}/data/v={version}/bucket=*/*.parquet"))
+
+    arrive([(f"o{k}", i, "insert", f"{k}-{i}", "t" * 200, "", i) for k in range(60) for i in range(20)], ck)
+    whole = manifest = streams.manifest(spark, path)
+    assert len(whole) > 10 and len(table()) == 1200
+    arrive([("o1", 30, "update", "1-3", "edited", None, None), ("o1", 31, "delete", "1-4", None, None, None)], ck)
+    manifest = streams.manifest(spark, path)
+    assert sum(manifest[b] != whole[b] for b in whole) == 1 and size(1) < size(0) / 4
+    before = table()
+    assert len(before) == 1199 and ("o1", "1-3", "edited", "", 3) in before
+    arrive([("o2", 40, "clear", None, None, None, None), ("new", 1, "insert", "n", "x", "u", 1)], ck)
+    after = table()
+    assert len(after) == 1199 - 20 + 1 and len(os.listdir(f"{path}/manifest")) >= 3
+    # the last batch runs again, as after a crash between its write and the stream's commit
+    os.remove(f"{ck}/commits/2")
+    for crc in glob.glob(f"{ck}/commits/.2.crc"):
+        os.remove(crc)
+    streams.maintain_history(spark.readStream.schema(schema).parquet(src), path, ck, buckets=16).awaitTermination(120)
+    assert table() == after
+    assert streams.vacuum(spark, path, keep=1) >= 1 and table() == after and streams.vacuum(spark, path, keep=1) == 0
 
 
 def test_maintained_history_is_that_of_all_changes(spark):
