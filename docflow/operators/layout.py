@@ -7,11 +7,14 @@ y0, x1, y1)``, ``cells (doc_id, page, region_id, cell_ord, r, c, row_span, col_s
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.cuts import Sums, banded, divided, islands, widest
 from ..functions.strings import run_sql
-from ..plans.lineage import cut
 
 # The labels of layout regions.
 LABELS = (
@@ -89,30 +92,66 @@ def flow_text(ordered: DataFrame) -> DataFrame:
     return d.groupBy(*PAGE).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("read_pos", "part"))), lambda s: s["part"]), "").alias("text"))
 
 
+def _by_page(rows: DataFrame, places, extra: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` without ``extra``, with ``read_pos``, a row's place on its page, from ``places(page numbers, batch)``: a sort key of numbers for each row.
+
+    One exchange; a task orders whole pages, many at a time.  A page is held in memory, however many there are.
+    """
+    keep = [c for c in rows.columns if c not in extra]
+
+    def told(batch: pa.RecordBatch, page: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((*reversed(places(page, batch)), page))
+        start = np.flatnonzero(np.concatenate([[True], np.diff(page) > 0]))
+        pos = np.empty(len(page), np.int64)
+        pos[order] = np.arange(len(page)) - start[page]
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(pos)], names=[*keep, "read_pos"])
+
+    def run(batches):
+        held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            b = pa.Table.from_batches([*held, b] if held else [b]).combine_chunks().to_batches()[0]
+            keys = list(zip(*(b.column(c).to_pylist() for c in PAGE)))
+            change = np.array([True, *(x != y for x, y in zip(keys[1:], keys[:-1]))])
+            last = int(np.flatnonzero(change)[-1])
+            if last:
+                yield told(b.slice(0, last), np.cumsum(change[:last]) - 1)
+            held = [b.slice(last)]
+        if held:
+            b = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            yield told(b, np.zeros(b.num_rows, np.int64))
+
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
+    return rows.repartition(*PAGE).sortWithinPartitions(*PAGE).mapInArrow(run, f"{schema}, read_pos bigint")
+
+
+def _numbers(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    return [np.nan_to_num(batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64)) for c in names]
+
+
+def _ranks(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return pc.rank(batch.column(name), sort_keys="ascending", tiebreaker="first").to_numpy().astype(np.int64)
+
+
 def region_order(regions: DataFrame) -> DataFrame:
     """``regions`` with ``read_pos`` per page: recursive XY-cut, on every horizontal gap, else on every vertical gap, else by (top, left).
 
-    A loop over levels: a level is one island window per axis on ``(doc_id, page, path)``; it ends when no group splits.
+    A gap begins 8 before the reach of what lies before it.  Missing edges count as 0; ties go by ``region_id``.
     """
-    d = regions.withColumn("path", F.expr("cast(array() as array<int>)")).withColumn("open", F.lit(True))
-    while True:
-        whole = Window.partitionBy(*PAGE, "path")
-
-        def part(low: str, high: str) -> Column:
-            w = whole.orderBy(low, "region_id")
-            reach = F.max(high).over(w.rowsBetween(Window.unboundedPreceding, -1))
-            return F.when(reach.isNull() | (F.col(low) >= reach - OVERLAP_SLACK), 1).otherwise(0)
-
-        d = d.withColumn("fresh_y", part("y0", "y1")).withColumn("fresh_x", part("x0", "x1"))
-        d = d.withColumn("band", F.sum("fresh_y").over(whole.orderBy("y0", "region_id"))).withColumn("column", F.sum("fresh_x").over(whole.orderBy("x0", "region_id")))
-        bands, columns = F.max("band").over(whole), F.max("column").over(whole)
-        step = F.when(bands > 1, F.col("band")).when(columns > 1, F.col("column"))
-        d = d.withColumn("step", F.when(F.col("open"), step)).drop("fresh_y", "fresh_x", "band", "column")
-        d = cut(d.withColumn("open", F.col("step").isNotNull()).withColumn("path", F.when(F.col("step").isNotNull(), F.concat("path", F.array(F.col("step").cast("int")))).otherwise(F.col("path"))).drop("step"))
-        if d.where("open").isEmpty():
-            break
-    order = Window.partitionBy(*PAGE).orderBy("path", "y0", "x0", "region_id")
-    return d.withColumn("read_pos", (F.row_number().over(order) - 1).cast("long")).drop("path", "open")
+
+    def places(page, batch):
+        x0, y0, x1, y1 = _numbers(batch, "x0", "y0", "x1", "y1")
+        tie = _ranks(batch, "region_id")
+
+        def level(rows, group):
+            band, bands = islands(group, y0[rows], y1[rows], tie[rows], OVERLAP_SLACK)
+            column, columns = islands(group, x0[rows], x1[rows], tie[rows], OVERLAP_SLACK)
+            return np.where(bands > 1, band, np.where(columns > 1, column, -1))
+
+        return divided(page, level), y0, x0, tie
+
+    return _by_page(regions, places)
 
 
 def lines_in_regions(page_lines: DataFrame, ordered_regions: DataFrame) -> DataFrame:
@@ -249,47 +288,43 @@ def structure_markdown(page_lines: DataFrame, regions: DataFrame, cells: DataFra
 DEPTH, LEAST_GAP, V_GAP, H_GAP, V_HEIGHT, V_WIDTH, TIE = 14, 6.0, 0.015, 0.02, 0.40, 0.20, 0.02
 
 
-def reading_order(page_lines: DataFrame, rtl: Column | None = None) -> DataFrame:
+def reading_order(page_lines: DataFrame, rtl: Column | None = None, lean: Column | None = None) -> DataFrame:
     """``page_lines`` with ``read_pos`` per page: recursive widest-gap XY-cut to depth 14, leaves banded.
 
-    ``rtl`` says of a page whether the right side of a vertical cut comes first (and bands run from the right).
+    ``rtl`` says of a page whether the right side of a vertical cut comes first and bands run from the right.  Or ``lean``, a line's right-to-left
+    letters less its others, decides both: the sides by the sum over the page, each band by its own.  Missing edges count as 0; ties go by ``line_id``.
     """
-    d = page_lines.withColumn("line_id", F.col("line_id").cast("long")).withColumn("rtl", F.lit(False) if rtl is None else rtl)
-    d = d.withColumn("path", F.expr("cast(array() as array<int>)")).withColumn("open", F.lit(True))
-    for _ in range(DEPTH):
-        whole = Window.partitionBy(*PAGE, "path")
-
-        def gap(d: DataFrame, low: str, high: str, name: str) -> DataFrame:
-            reach = F.max(high).over(whole.orderBy(low, "line_id").rowsBetween(Window.unboundedPreceding, -1))
-            d = d.withColumn("reach", reach).withColumn("wide", F.greatest(F.col(low) - F.col("reach"), F.lit(0.0)))
-            d = d.withColumn(f"{name}_gap", F.coalesce(F.max("wide").over(whole), F.lit(0.0)))
-            at = F.min(F.when((F.col("wide") > 0) & (F.col("wide") == F.col(f"{name}_gap")), (F.col("reach") + F.col(low)) / 2)).over(whole)
-            return d.withColumn(f"{name}_cut", at).drop("reach", "wide")
-
-        d = gap(gap(d, "x0", "x1", "v"), "y0", "y1", "h")
-        right, below = (F.col("x0") + F.col("x1")) / 2 >= F.col("v_cut"), (F.col("y0") + F.col("y1")) / 2 >= F.col("h_cut")
-        d = d.withColumn("right", right).withColumn("below", below)
-        width, height = F.max("x1").over(whole) - F.min("x0").over(whole), F.max("y1").over(whole) - F.min("y0").over(whole)
-        d = d.withColumn("n", F.count("*").over(whole)).withColumn("width", width).withColumn("height", height)
-
-        def side(cond: Column) -> list[Column]:
-            pick = lambda c: F.when(cond, F.col(c))
-            return [F.count(F.when(cond, 1)).over(whole) >= 2, F.max(pick("y1")).over(whole) - F.min(pick("y0")).over(whole) >= V_HEIGHT * F.col("height"), F.max(pick("x1")).over(whole) - F.min(pick("x0")).over(whole) >= V_WIDTH * F.col("width")]
-
-        v = F.col("v_gap") >= F.greatest(F.lit(LEAST_GAP), V_GAP * F.col("width"))
-        for test in side(F.col("right")) + side(~F.col("right")):
-            v = v & F.coalesce(test, F.lit(False))
-        h = (F.col("h_gap") >= F.greatest(F.lit(LEAST_GAP), H_GAP * F.col("height"))) & (F.count(F.when(F.col("below"), 1)).over(whole) > 0) & (F.count(F.when(~F.col("below"), 1)).over(whole) > 0)
-        d = d.withColumn("v", F.coalesce(v, F.lit(False)) & (F.col("n") > 2) & F.col("open")).withColumn("h", F.coalesce(h, F.lit(False)) & (F.col("n") > 2) & F.col("open"))
-        share_v = F.when(F.col("width") > 0, F.col("v_gap") / F.col("width")).otherwise(0.0)
-        share_h = F.when(F.col("height") > 0, F.col("h_gap") / F.col("height")).otherwise(0.0)
-        across = F.col("h") & (~F.col("v") | (F.abs(share_v - share_h) <= TIE) | (share_h > share_v))
-        step = F.when(across, F.col("below").cast("int")).when(F.col("v"), F.when(F.col("rtl"), (~F.col("right")).cast("int")).otherwise(F.col("right").cast("int")))
-        d = d.withColumn("step", step).withColumn("open", F.col("step").isNotNull()).withColumn("path", F.when(F.col("step").isNotNull(), F.concat("path", F.array("step"))).otherwise(F.col("path")))
-        d = cut(d.drop("step", "v_gap", "v_cut", "h_gap", "h_cut", "right", "below", "n", "width", "height", "v", "h"))
-        if d.where("open").isEmpty():
-            break
-    bands = band_rows(d, [*PAGE, "path"])
-    d = d.join(bands, [*PAGE, "path", "line_id"])
-    order = Window.partitionBy(*PAGE).orderBy("path", "band", F.when(F.col("rtl"), -F.col("pos")).otherwise(F.col("pos")))
-    return d.withColumn("read_pos", (F.row_number().over(order) - 1).cast("long")).drop("path", "open", "rtl", "band", "pos")
+    whole = rtl is not None
+    d = page_lines.withColumn("line_id", F.col("line_id").cast("long"))
+    d = d.withColumn("__lean", F.coalesce(F.lit(0) if lean is None else lean, F.lit(0)).cast("long") if rtl is None else F.when(rtl, 1).otherwise(0).cast("long"))
+
+    def places(page, batch):
+        x0, y0, x1, y1, own = _numbers(batch, "x0", "y0", "x1", "y1", "__lean")
+        tie = _ranks(batch, "line_id")
+        turned = np.bincount(page, own)[page] > 0
+
+        def level(rows, group):
+            l, t, r, b = x0[rows], y0[rows], x1[rows], y1[rows]
+            sums = Sums(group)
+            every = np.ones(len(rows), bool)
+            width, height = sums.extent(l, r, every), sums.extent(t, b, every)
+            v_gap, v_cut = widest(group, sums, l, r, tie[rows])
+            h_gap, h_cut = widest(group, sums, t, b, tie[rows])
+            right, below = (l + r) / 2 >= v_cut, (t + b) / 2 >= h_cut
+            v = v_gap >= np.maximum(LEAST_GAP, V_GAP * width)
+            for side in (right, ~right):
+                v &= (sums.count(side) >= 2) & (sums.extent(t, b, side) >= V_HEIGHT * height) & (sums.extent(l, r, side) >= V_WIDTH * width)
+            h = (h_gap >= np.maximum(LEAST_GAP, H_GAP * height)) & (sums.count(below) > 0) & (sums.count(~below) > 0)
+            share_v, share_h = np.divide(v_gap, width, out=np.zeros(len(rows)), where=width > 0), np.divide(h_gap, height, out=np.zeros(len(rows)), where=height > 0)
+            across = h & (~v | (np.abs(share_v - share_h) <= TIE) | (share_h > share_v))
+            part = np.where(across, below, np.where(v, np.where(turned[rows], ~right, right), -1)).astype(np.int64)
+            return np.where((sums.count(every) > 2) & (across | v), part, -1)
+
+        band = banded(divided(page, level, DEPTH), y0, y1, tie, BAND)
+        order = np.lexsort((tie, y0, x0, band))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        back = turned if whole else np.bincount(band, own)[band] > 0
+        return band, np.where(back, -place, place)
+
+    return _by_page(d, places, ("__lean",))

@@ -1,6 +1,7 @@
 """Goldens through the public functions, and every oracle on the smallest tables."""
 
 import os
+import random
 
 import duckdb
 import pytest
@@ -31,6 +32,96 @@ def test_reading_order_of_columns(spark):
     assert order(layout.reading_order(two, F.lit(True))) == [2, 3, 0, 1]
 
 
+@pytest.mark.parametrize("rows, rtl, want", [
+    ([(0, 0, 300, 20), (0, 40, 300, 20), (0, 80, 300, 20)], False, [0, 1, 2]),
+    ([(0, 0, 100, 20), (0, 25, 100, 20), (200, 0, 100, 20), (200, 25, 100, 20)], False, [0, 1, 2, 3]),
+    ([(0, 0, 100, 20), (0, 25, 100, 20), (200, 0, 100, 20), (200, 25, 100, 20)], True, [2, 3, 0, 1]),
+    ([(0, 0, 300, 15), (0, 40, 80, 20), (0, 65, 80, 20), (220, 40, 80, 20), (220, 65, 80, 20)], False, [0, 1, 2, 3, 4]),
+    ([(0, 30, 300, 20), (0, 60, 300, 20), (0, 90, 300, 20), (110, 0, 80, 15)], False, [3, 0, 1, 2]),
+    ([(200, 0, 80, 20), (0, 0, 80, 20)], False, [1, 0]),
+    ([], False, []),
+])
+def test_reading_order_goldens(spark, rows, rtl, want):
+    lines = boxes(spark, *rows) if rows else boxes(spark, (0, 0, 1, 1)).limit(0)
+    # whole pages only: the same boxes on several pages, among others
+    every = lines.withColumn("page", F.explode(F.array(*(F.lit(p).cast("long") for p in (1, 2, 9)))))
+    for page in (1, 2, 9):
+        assert order(layout.reading_order(every, F.lit(rtl)).where(F.col("page") == page)) == want
+
+
+def test_bands_turn_by_their_own_letters(spark):
+    """With ``lean`` the page's sum says which column comes first, and each band's sum which way it is read."""
+    rows = [(0, 0, 80, 20), (100, 0, 80, 20), (0, 40, 80, 20), (100, 40, 80, 20)]
+    lean = lambda *x: F.element_at(F.array(*(F.lit(v) for v in x)), F.col("line_id").cast("int") + 1)
+    assert order(layout.reading_order(boxes(spark, *rows), lean=lean(5, 5, -1, -1))) == [1, 0, 2, 3]
+    two = [(0, 0, 100, 20), (0, 24, 100, 20), (200, 0, 100, 20), (200, 24, 100, 20)]
+    assert order(layout.reading_order(boxes(spark, *two), lean=lean(9, -1, -1, -1))) == [2, 3, 0, 1]
+    assert order(layout.reading_order(boxes(spark, *two), lean=lean(None, None, None, None))) == [0, 1, 2, 3]
+
+
+def by_recursion(rows, rtl, depth=0):
+    """The cuts as their definition says it, one page at a time."""
+    def gap(lo, hi):
+        best, cut, reach = 0, 0, None
+        for r in sorted(rows, key=lambda r: r[lo]):
+            if reach is not None and r[lo] - reach > best:
+                best, cut = r[lo] - reach, (r[lo] + reach) / 2
+            reach = r[hi] if reach is None else max(reach, r[hi])
+        return best, cut
+
+    def extent(part, lo, hi):
+        return max(r[hi] for r in part) - min(r[lo] for r in part) if part else 0
+
+    if len(rows) > 2 and depth < layout.DEPTH:
+        (vg, vc), (hg, hc) = gap(1, 3), gap(2, 4)
+        w, h = extent(rows, 1, 3), extent(rows, 2, 4)
+        sides = [[r for r in rows if ((r[1] + r[3]) / 2 >= vc) == x] for x in (False, True)]
+        ends = [[r for r in rows if ((r[2] + r[4]) / 2 >= hc) == x] for x in (False, True)]
+        v = vg >= max(6, 0.015 * w) and all(len(p) >= 2 and extent(p, 2, 4) >= 0.4 * h and extent(p, 1, 3) >= 0.2 * w for p in sides)
+        t = hg >= max(6, 0.02 * h) and all(ends)
+        if t and (not v or abs(vg / w - hg / h) <= 0.02 or hg / h > vg / w):
+            return by_recursion(ends[0], rtl, depth + 1) + by_recursion(ends[1], rtl, depth + 1)
+        if v:
+            first, second = sides[::-1] if rtl else sides
+            return by_recursion(first, rtl, depth + 1) + by_recursion(second, rtl, depth + 1)
+    bands = []
+    for r in sorted(rows, key=lambda r: (r[2], r[0])):
+        if bands and abs((r[2] + r[4]) / 2 - (bands[-1][0][2] + bands[-1][0][4]) / 2) < 0.6 * max(r[4] - r[2], bands[-1][0][4] - bands[-1][0][2]):
+            bands[-1].append(r)
+        else:
+            bands.append([r])
+    return [r[0] for b in bands for r in (sorted(b, key=lambda r: (r[1], r[2], r[0]), reverse=rtl))]
+
+
+@pytest.mark.parametrize("rtl", [False, True])
+def test_reading_order_against_recursion(spark, rtl):
+    rng = random.Random(3)
+    pages = {}
+    for p in range(150):
+        for k in range(rng.randint(1, 30)):
+            x, y = rng.choice([0, 0, 150, 320]) + rng.randint(0, 20), rng.randint(0, 40) * 12 + rng.randint(0, 5)
+            pages.setdefault(p, []).append((k, float(x), float(y), float(x + rng.randint(20, 140)), float(y + rng.choice([10, 12, 20]))))
+    rows = [(p // 3, p, *r) for p, rs in pages.items() for r in rs]
+    d = spark.createDataFrame(rows, "doc_id long, page long, line_id long, x0 double, y0 double, x1 double, y1 double").repartition(4).withColumn("band", F.lit("clash"))
+    got = layout.reading_order(d, F.lit(rtl))
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    placed = {}
+    for r in sorted(got.collect(), key=lambda r: r.read_pos):
+        placed.setdefault(r.page, []).append(r.line_id)
+    assert placed == {p: by_recursion(rs, rtl) for p, rs in pages.items()}
+
+
+def test_region_order_of_nested_columns(spark):
+    """A title, two columns of which one is stacked, a footer; boxes that overlap by less than 8; missing edges; ties by id."""
+    rows = [(0, 0, 300, 20), (0, 30, 140, 60), (160, 30, 140, 20), (160, 52, 140, 38), (0, 95, 300, 10)]
+    d = boxes(spark, *rows).withColumnRenamed("line_id", "region_id")
+    assert [r.region_id for r in layout.region_order(d).orderBy("read_pos").collect()] == [0, 1, 2, 3, 4]
+    same = boxes(spark, (0, 0, 50, 50), (0, 0, 50, 50), (5, 5, 50, 50)).withColumnRenamed("line_id", "region_id")
+    assert [r.region_id for r in layout.region_order(same).orderBy("read_pos").collect()] == [0, 1, 2]
+    empty = same.withColumn("x1", F.lit(None).cast("double"))
+    assert layout.region_order(empty).count() == 3 and layout.region_order(empty.limit(0)).count() == 0
+
+
 def test_reading_order_keeps_every_line_once(spark):
     rows = [(x, y, 80, 12) for x in (0, 150, 300) for y in range(0, 200, 20)]
     assert sorted(order(layout.reading_order(boxes(spark, *rows)))) == list(range(len(rows)))
