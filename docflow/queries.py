@@ -109,6 +109,16 @@ def _(docs):
     return text.suggest_titles(docs)
 
 
+@query("write_documents", "documents", sql=f"""
+    SELECT concat(d.doc_id, ' ', regexp_replace(t.title, '[/\\\\\\x00-\\x1F]', '_', 'g'), '.txt') AS name, octet_length(encode(coalesce(text, '')))::BIGINT AS bytes, md5(coalesce(text, '')) AS md5
+    FROM documents d JOIN ({ORACLES['suggest_titles']}) t USING (doc_id)""")
+def _(docs):
+    spark, path = docs.sparkSession, shared(docs.sparkSession, "export")
+    exports.write_documents(docs, text.suggest_titles(docs), "txt", path)
+    got = spark.read.format("binaryFile").load(f"{path}/*-*/*.txt")
+    return got.select(F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))).alias("name"), F.col("length").alias("bytes"), F.md5("content").alias("md5"))
+
+
 @query("sanitize_names", "documents", sql=r"""
     WITH c AS (SELECT doc_id, trim(trim(trim(regexp_replace(regexp_replace(text, '[\\/:*?"<>|\x00-\x1F]', ' ', 'g'), '\s+', ' ', 'g')), '.')) AS n FROM documents),
     s AS (SELECT doc_id, CASE WHEN length(n) <= 60 THEN n ELSE trim(regexp_replace(n[:60], ' [^ ]*$', '')) END AS n FROM c),

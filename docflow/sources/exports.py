@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.text import split_pages
+from .files import registered
 
 
 def page_json(page_lines: DataFrame, docs: DataFrame) -> DataFrame:
@@ -32,20 +33,30 @@ def csv_rows(table_cells: DataFrame) -> DataFrame:
     return every.sparkSession.sql("SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY table_no, row) - 1 AS BIGINT) AS line_no, line FROM {e}", e=every)
 
 
-def write_tables_csv(table_cells: DataFrame, path: str) -> None:
-    """CSV files with CRLF under ``path/doc_id=...``; the text sink keeps the quoting above."""
-    rows = csv_rows(table_cells).repartition("doc_id").sortWithinPartitions("doc_id", "line_no")
-    rows.select("doc_id", F.col("line").alias("value")).write.partitionBy("doc_id").option("lineSep", "\r\n").text(path)
+def csv_documents(table_cells: DataFrame) -> DataFrame:
+    """``(doc_id, csv)`` of documents that have a table: its rows, each ended by CRLF."""
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda s: F.concat(s["line"], F.lit("\r\n")))
+    return csv_rows(table_cells).groupBy("doc_id").agg(F.array_join(lines, "").alias("csv"))
 
 
-def write_documents(docs: DataFrame, titles: DataFrame, fmt: str, path: str, table_cells: DataFrame | None = None) -> None:
-    """Bulk export of ``docs (doc_id, text)`` under suggested names as ``txt``, ``md``, ``json`` or ``csv`` (only documents with a table)."""
-    named = docs.join(titles.select("doc_id", F.col("title").alias("name")), "doc_id")
+def _write(files: DataFrame, suffix: str, path: str, mode: str) -> None:
+    registered(files.sparkSession)
+    files.write.format("named_files").option("suffix", suffix).mode(mode).save(path)
+
+
+def write_tables_csv(table_cells: DataFrame, path: str, mode: str = "append") -> None:
+    """A CSV file with CRLF for each document that has a table, named by its id, many in a folder (``sources.files``)."""
+    _write(csv_documents(table_cells).select(F.col("doc_id").cast("string").alias("name"), F.col("csv").alias("value")), ".csv", path, mode)
+
+
+def write_documents(docs: DataFrame, titles: DataFrame, fmt: str, path: str, table_cells: DataFrame | None = None, mode: str = "append") -> None:
+    """Bulk export of ``docs (doc_id, text)`` as files ``<doc_id> <title>.<fmt>``, many in a folder: ``txt``, ``md``, ``json`` or ``csv`` (only documents with a
+    table).  Texts are written as they are; null texts are empty files, null in JSON."""
+    named = docs.select("doc_id", "text").join(titles.select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(" "), "title").alias("name")), "doc_id")
     if fmt == "csv":
-        rows = csv_rows(table_cells).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda s: s["line"]), "\r\n").alias("csv"))
-        named = named.drop("text").join(rows, "doc_id").withColumnRenamed("csv", "text")
-    out = named.select(F.concat(F.col("doc_id").cast("string"), F.lit(" "), "name").alias("name"), F.col("text").alias("value"))
-    if fmt == "json":
-        out.select("name", F.to_json(F.struct(F.col("value").alias("text"))).alias("value")).write.partitionBy("name").text(path)
+        files = named.join(csv_documents(table_cells), "doc_id").select("name", F.col("csv").alias("value"))
+    elif fmt == "json":
+        files = named.select("name", F.to_json(F.struct("text"), {"ignoreNullFields": "false"}).alias("value"))
     else:
-        out.write.partitionBy("name").option("lineSep", "\n").text(path)
+        files = named.select("name", F.col("text").alias("value"))
+    _write(files, f".{fmt}", path, mode)

@@ -2,8 +2,12 @@
 
 import glob
 import json
+import os
 import tempfile
 
+import pytest
+from pyspark.sql import Row
+
 from docflow.operators import markdown
 from docflow.sources import exports
 
@@ -11,26 +15,78 @@ MD = "| a | b,c |\n| - | - |\n| say \"x\" |  |\n\ntext\n\n| z |\n| - |\n"
 DOCS = [(1, MD), (2, "no table\nhere"), (3, "")]
 
 
+def files(path):
+    return {os.path.basename(f): open(f, newline="").read() for f in glob.glob(f"{path}/*-*/*")}
+
+
 def test_tables_csv_files(spark):
     docs = spark.createDataFrame(DOCS, "doc_id long, text string")
     path = tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/csv"
     exports.write_tables_csv(markdown.markdown_tables(docs), path)
-    files = glob.glob(f"{path}/doc_id=*/*.txt")
-    assert len(files) == 1 and open(files[0], newline="").read() == 'a,"b,c"\r\n"say ""x""",\r\n\r\nz\r\n'
+    assert files(path) == {"1.csv": 'a,"b,c"\r\n"say ""x""",\r\n\r\nz\r\n'}
 
 
 def test_documents_under_their_names(spark):
-    docs = spark.createDataFrame(DOCS, "doc_id long, text string")
-    titles = spark.createDataFrame([(1, "Table"), (2, "Plain"), (3, "Plain")], "doc_id long, title string")
+    docs = spark.createDataFrame([*DOCS, (4, None)], "doc_id long, text string")
+    titles = spark.createDataFrame([(1, "Table"), (2, "Plain"), (3, "a/b"), (4, "Plain")], "doc_id long, title string")
+
+    def written(fmt, mode="append", path=None):
+        path = path or tempfile.mkdtemp(prefix="spark-", dir="/tmp") + f"/{fmt}"
+        exports.write_documents(docs, titles, fmt, path, markdown.markdown_tables(docs), mode)
+        return files(path), path
+
+    got, path = written("md")
+    assert got == {"1 Table.md": MD, "2 Plain.md": "no table\nhere", "3 a_b.md": "", "4 Plain.md": ""}
+    assert {k: json.loads(v) for k, v in written("json")[0].items()} == {"1 Table.json": {"text": MD}, "2 Plain.json": {"text": "no table\nhere"}, "3 a_b.json": {"text": ""}, "4 Plain.json": {"text": None}}
+    assert written("csv")[0] == {"1 Table.csv": 'a,"b,c"\r\n"say ""x""",\r\n\r\nz\r\n'}
+    # a folder for each task, not for each document; an overwrite leaves only its own files
+    assert len(os.listdir(path)) <= 6 and os.path.exists(f"{path}/_SUCCESS")
+    assert set(written("txt", "overwrite", path)[0]) == {"1 Table.txt", "2 Plain.txt", "3 a_b.txt", "4 Plain.txt"}
+    assert len(written("md", "append", path)[0]) == 8
+
+
+def test_retried_tasks_leave_no_doubles(tmp_path):
+    """Two attempts of a task write; only the one whose message is committed stays.  An aborted job leaves nothing."""
+    from docflow.sources import files as sink
+
+    def attempt(writer, part, n, rows, fail=False):
+        class Context:
+            partitionId, taskAttemptId = staticmethod(lambda: part), staticmethod(lambda: n)
+
+        def given():
+            yield from (Row(name=a, value=b) for a, b in rows)
+            if fail:
+                raise RuntimeError("lost executor")
+
+        held, sink.TaskContext.get = sink.TaskContext.get, staticmethod(lambda: Context)
+        try:
+            return writer.write(given())
+        finally:
+            sink.TaskContext.get = held
+
+    w = sink.NamedFilesWriter(str(tmp_path), ".txt", False)
+    with pytest.raises(RuntimeError):
+        attempt(w, 0, 1, [("a", "half")], fail=True)
+    first, twice = attempt(w, 0, 2, [("a", "x"), ("a", "y"), ("b", None)]), attempt(w, 1, 3, [("c", "z")])
+    attempt(w, 1, 4, [("c", "speculative")])
+    w.commit([first, twice, attempt(w, 2, 5, [])])
+    assert files(tmp_path) == {"a.txt": "x", "a (2).txt": "y", "b.txt": "", "c.txt": "z"} and not glob.glob(f"{tmp_path}/_staging/*")
+    lost = sink.NamedFilesWriter(str(tmp_path), ".txt", True)
+    attempt(lost, 0, 1, [("d", "never seen")])
+    lost.abort([None])
+    assert len(files(tmp_path)) == 4 and not glob.glob(f"{tmp_path}/_staging/*")
+
 
-    def written(fmt):
-        path = tempfile.mkdtemp(prefix="spark-", dir="/tmp") + f"/{fmt}"
-        exports.write_documents(docs, titles, fmt, path, markdown.markdown_tables(docs))
-        return {r.name: r.value for r in spark.read.text(path, wholetext=True).collect()}
+def test_broken_jobs_write_nothing(spark):
+    from docflow.sources.files import registered
 
-    assert written("md") == {"1 Table": MD + "\n", "2 Plain": "no table\nhere\n", "3 Plain": "\n"}
-    assert {k: json.loads(v) for k, v in written("json").items()} == {"1 Table": {"text": MD}, "2 Plain": {"text": "no table\nhere"}, "3 Plain": {"text": ""}}
-    assert written("csv") == {"1 Table": 'a,"b,c"\r\n"say ""x""",\r\n\r\nz\n'}
+    path = tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/out"
+    rows = registered(spark).createDataFrame([("a", "x"), (None, "y")], "name string, value string")
+    with pytest.raises(Exception, match="without a name"):
+        rows.write.format("named_files").mode("append").save(path)
+    with pytest.raises(Exception, match="name and value"):
+        rows.withColumn("more", rows["name"]).write.format("named_files").mode("append").save(path)
+    assert files(path) == {} and not os.path.exists(f"{path}/_SUCCESS")
 
 
 def test_page_json(spark):
