@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.edits import Text, distance
 from ..functions.strings import WS
-from .readings import recover_spaces
+from .readings import spaces_at
 
 # Letters folded when diacritics do not count; the gap factors to compare (0 keeps the stored text).
 FOLD_FROM, FOLD_TO = "أإآٱىة", "ااااي" + "ه"
@@ -55,14 +55,8 @@ def score_accuracy(hypothesis: DataFrame, truth: DataFrame, keys: list[str], by:
 
 
 def sweep_gap_factor(chars: DataFrame, truth: DataFrame, keys: list[str], factors: tuple[float, ...] = FACTORS) -> DataFrame:
-    """``(factor, n, raw, folded)`` of space recovery at each factor; the factors are a fixed list, each a plan over the same characters."""
-    stored = chars.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda s: s["text"]), "").alias("text"))
-    k = ", ".join(keys)
-    parts = [(stored if f == 0 else recover_spaces(chars, f, k)).withColumn("factor", F.lit(f)) for f in factors]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    return score_accuracy(every, truth, keys, ["factor"])
+    """``(factor, n, raw, folded)`` of space recovery at each factor (0 keeps the stored text), from one pass over the characters."""
+    return score_accuracy(spaces_at(chars, factors, ", ".join(keys)), truth, keys, ["factor"])
 
 
 def line_recall(hypothesis: DataFrame, truth: DataFrame, least: float = 0.8, block: int = 2048) -> DataFrame:

@@ -124,17 +124,24 @@ def recover_spaces(chars: DataFrame, factor: float = 2.3, keys: str = LINE) -> D
 
     Lines of fewer than three characters, and lines without a positive step, keep their text.
     """
+    return spaces_at(chars, (factor,), keys).drop("factor")
+
+
+def spaces_at(chars: DataFrame, factors: tuple[float, ...], keys: str = LINE) -> DataFrame:
+    """``(keys, factor, text)``: the spaces recovered at each of ``factors``, in one pass over the characters; 0 keeps the stored text.
+
+    A line's characters are gathered once, with their steps and the line's pitch, so that a factor is a comparison.
+    """
     arabic = r"rlike r'^[\x{600}-\x{6FF}]+$'"
     return run_sql(
         f"""
         WITH s AS (SELECT {keys}, ord, x, text, x - lag(x) OVER w AS step, lag(text) OVER w AS before FROM {{chars}} WINDOW w AS (PARTITION BY {keys} ORDER BY x, ord)),
-        a AS (SELECT {keys}, array_sort(collect_list(CASE WHEN step > 0 THEN step END)) AS steps, count(*) AS n FROM s GROUP BY {keys}),
-        m AS (SELECT {keys}, n, size(steps) AS many, try_element_at(steps, CAST(floor(size(steps) / 2) AS INT) + 1) AS pitch FROM a),
-        p AS (SELECT * FROM s JOIN m USING ({keys})),
-        t AS (SELECT {keys}, ord, x, n, many, CASE WHEN step > pitch * {factor}D AND text {arabic} AND before {arabic} THEN concat(' ', text) ELSE text END AS part, text FROM p)
-        SELECT {keys}, CASE WHEN max(n) < 3 OR max(many) = 0 THEN array_join(transform(array_sort(collect_list(struct(ord, text))), s -> s.text), '')
-          ELSE regexp_replace(array_join(transform(array_sort(collect_list(struct(x, ord, part))), s -> s.part), ''), ' {{2,}}', ' ') END AS text
-        FROM t GROUP BY {keys}
+        g AS (SELECT {keys}, count(*) AS n, array_sort(collect_list(CASE WHEN step > 0 THEN step END)) AS steps, array_sort(collect_list(struct(ord, text))) AS stored,
+              array_sort(collect_list(struct(x, ord, text, CASE WHEN text {arabic} AND before {arabic} THEN step END AS step))) AS held FROM s GROUP BY {keys}),
+        p AS (SELECT *, try_element_at(steps, CAST(floor(size(steps) / 2) AS INT) + 1) AS pitch FROM g)
+        SELECT {keys}, factor, CASE WHEN factor = 0 OR n < 3 OR pitch IS NULL THEN array_join(transform(stored, s -> s.text), '')
+          ELSE regexp_replace(array_join(transform(held, s -> CASE WHEN s.step > pitch * factor THEN concat(' ', s.text) ELSE s.text END), ''), ' {{2,}}', ' ') END AS text
+        FROM p LATERAL VIEW explode(array({", ".join(f"{f!r}D" for f in map(float, factors))})) f AS factor
         """,
         chars=chars,
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.strings import WS, run_sql, trimmed
+from ..plans.numbering import numbered
 
 LINES = r"\r\n|\n|\r"
 
@@ -123,11 +124,14 @@ def suggest_titles(docs: DataFrame) -> DataFrame:
 
 
 def sanitize_names(names: DataFrame, extension: str = "") -> DataFrame:
-    """``names (doc_id, name)`` → ``(doc_id, name, copy_no)``: usable file names, equal ones numbered from 0 by doc_id."""
+    """``names (doc_id, name)`` → ``(doc_id, name, copy_no)``: usable file names, equal ones numbered from 0 by doc_id.
+
+    However many share a name (the fallback, say), their numbering is split over tasks (``plans.numbering``).
+    """
     ext = rf"(?i)\.{extension}$" if extension else "$^"
     clean = F.regexp_replace(F.regexp_replace(F.regexp_replace("name", ext, ""), r'[\\/:*?"<>|\x00-\x1F]', " "), r"\s+", " ")
     d = names.select("doc_id", clean.alias("n"))
     d = d.select("doc_id", F.expr("trim(trim(BOTH '.' FROM trim(n)))").alias("n"))
     short = F.when(F.length("n") <= 60, F.col("n")).otherwise(F.trim(F.regexp_replace(F.substring("n", 1, 60), " [^ ]*$", "")))
     d = d.select("doc_id", F.when(F.trim(short) == "", FALLBACK).otherwise(short).alias("name"))
-    return run_sql("SELECT doc_id, name, CAST(row_number() OVER (PARTITION BY name ORDER BY doc_id) - 1 AS BIGINT) AS copy_no FROM {d}", d=d)
+    return numbered(d, "name", "doc_id", "copy_no")

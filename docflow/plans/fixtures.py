@@ -33,7 +33,7 @@ VIEWS: dict[str, str | tuple[str, str]] = {
         FROM reads r JOIN page_lines p ON p.doc_id=r.doc_id AND p.line_id=r.line_id CROSS JOIN (SELECT * FROM (VALUES (true),(false)) AS w(flipped)) f""",
     ),
     "chars": tuple(
-        f"""SELECT doc_id, page, line_id, pack, ord, substring(text,ord+1,1) AS text, (CAST(ord AS DOUBLE)+CAST(0.5 AS DOUBLE))/CAST(length(text) AS DOUBLE) AS x,
+        f"""SELECT doc_id, page, line_id, pack, ord, substring(text,ord+1,1) AS text, (CAST(ord AS DOUBLE)+CAST(0.5 AS DOUBLE)+CAST(0.6 AS DOUBLE)*CAST(6*floor(ord/20)+(floor(ord/5)%4)*(floor(ord/5)%4+1)/2 AS DOUBLE))/CAST(2*length(text) AS DOUBLE) AS x,
         CASE WHEN pack='arabic' THEN CASE WHEN CAST(floor(ord/6) AS BIGINT)%4=0 THEN CAST(0.4 AS DOUBLE) ELSE CAST(0.97 AS DOUBLE) END
         ELSE CASE WHEN CAST(floor(ord/6) AS BIGINT)%4=0 THEN CAST(0.95 AS DOUBLE) ELSE CAST(0.3 AS DOUBLE) END END AS confidence FROM (SELECT r.*, {explode} FROM reads r{lateral} WHERE length(text) > 0) q"""
         for explode, lateral in (("explode(sequence(0, length(text) - 1)) AS ord", ""), ("unnest(range(0, length(text)))::INTEGER AS ord", ""))

