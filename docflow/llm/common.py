@@ -17,13 +17,15 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path under the folder that driver and executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (local tests) is one made.
+    The folder is the session's ``spark.checkpoint.dir``; only where that is unset in local runs (tests) is one made, on a cluster it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
         if got.isDefined():
             base = got.get()
+        elif not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         else:
             base = tempfile.mkdtemp(prefix="docflow-")
             spark.sparkContext.setCheckpointDir(base)

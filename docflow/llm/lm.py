@@ -115,7 +115,7 @@ def score(docs: DataFrame, order: int = 2, folds: int = 7, held_out: int = 2, de
     d = d.withColumn("block", (F.col("fold") + folds * F.pmod(F.xxhash64("doc_id", "text"), F.lit(many))).cast("long"))
     keys = max(1, order * total / 6)
     bits = min(32, max(6, int(np.ceil(np.log2(keys / BUCKET_KEYS)))))
-    width = min(48, max(32, int(np.ceil(np.log2(keys))) + 12))
+    width = min(64, max(32, int(np.ceil(np.log2(keys))) + 12))
 
     def send(batches):
         frugal()

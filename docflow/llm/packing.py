@@ -45,7 +45,7 @@ class Encoder:
 
     A word that ends in a full stop or comma behind an ASCII letter or digit is two (always a border of the tokenizer's own
     pre-tokens), and any other word is cut behind its leading letters where an ASCII character follows (another such
-    border); such parts, in lower case, are remembered too.  Remembered ids lie in one flat array, so that texts are put
+    border, unless the last letter's lower case is more than letters); such parts, in lower case, are remembered too.  Remembered ids lie in one flat array, so that texts are put
     together by gathering.
     """
 
@@ -79,7 +79,8 @@ class Encoder:
         n = 0
         while n < len(low) and low[n].isalpha():
             n += 1
-        return (low[:n], low[n:]) if 0 < n < len(low) and low[n].isascii() else (low,)
+        # a letter that is more than letters in lower case (U+0130) belongs to what follows it
+        return (low[:n], low[n:]) if 0 < n < len(low) and low[n].isascii() and low[n - 1].lower().isalpha() else (low,)
 
     def _keep(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Remember ids of words that follow each other; their starts."""

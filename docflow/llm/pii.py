@@ -129,6 +129,12 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _plain(x: str) -> str:
+    """SQL of the words of a string: lower case, letters and a few signs, digits with what follows them as one sign."""
+    signs = rf"regexp_replace(regexp_replace(lower({x}), r'[0-9\x01][^\x20\x09-\x0D]*', '#'), r'[^\p{{L}} :#=\x09-\x0D]', '')"
+    return rf"filter(split({signs}, r'[\x20\x09-\x0D]+'), w -> w <> '')"
+
+
 def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, hash of the text, base spans, and candidates with their patterns.
 
@@ -143,30 +149,28 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     d = d.withColumn("masked", _replaced("bare", F.col("sorted"), lambda x, at: F.repeat(F.lit("\x01"), (x["end"] - F.greatest(x["start"], at)).cast("int"))))
     kind = "array<struct<start:bigint,end:bigint,value:string,left:string,right:string>>"
     d = d.withColumn("gaps", F.when(F.col("masked").rlike(r"[0-9@\x01]"), F.expr(f"split(masked, {_q(TOKEN)}, -1)"))).withColumn("hits", F.when(F.col("gaps").isNotNull(), F.expr(f"regexp_extract_all(masked, {_q(TOKEN)}, 0)")))
+    # a context is words, wherever they stand: the last three carry over from token to token, white space and signs of any length between them
+    last = lambda x: f"array_join(slice(concat(array('^', '^', '^'), {_plain(x)}), -3, 3), ' ')"
     runs = _chunked(
         "arrays_zip(gaps, hits, slice(gaps, 2, size(gaps)), slice(hits, 2, size(gaps)))",
         {"at": "0L", "tail": "''", "out": f"cast(array() as {kind})"},
-        """(s, x) -> named_struct(
+        f"""(s, x) -> named_struct(
             'at', s.at + length(x.gaps) + coalesce(length(x.hits), 0),
-            'tail', right(concat(s.tail, x.gaps, coalesce(x.hits, '')), 160),
+            'tail', {last("concat(s.tail, x.gaps, coalesce(x.hits, ''))")},
             'out', if(x.hits is null, s.out, concat(s.out, array(named_struct('start', s.at + length(x.gaps),
-              'end', s.at + length(x.gaps) + length(x.hits), 'value', x.hits, 'left', right(concat(s.tail, x.gaps), 160),
-              'right', left(concat(x.`2`, coalesce(x.`3`, '')), 80))))))""",
+              'end', s.at + length(x.gaps) + length(x.hits), 'value', x.hits, 'left', {last("concat(s.tail, x.gaps)")},
+              'right', try_element_at({_plain("concat(x.`2`, coalesce(x.`3`, ''))")}, 1))))))""",
     )
     found = F.when(F.col("gaps").isNotNull(), F.expr(runs)).otherwise(F.expr(f"cast(array() as array<{kind}>)"))
     d = d.select("doc_id", "text_hash", "base", found.alias("found"))
 
-    def plain(c: Column) -> Column:
-        signs = F.regexp_replace(F.regexp_replace(F.lower(c), r"[0-9\x01][^\x20\x09-\x0D]*", "#"), r"[^\p{L} :#=\x09-\x0D]", "")
-        return F.filter(F.split(signs, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-
     def candidate(c: Column, base: Column) -> Column:
         seed = F.when(c["value"].startswith("\x01"), F.try_element_at(F.filter(base, lambda b: b["start"] == c["start"]), F.lit(1)))
         return F.struct(
             c["start"].alias("start"), c["end"].alias("end"),
             F.regexp_replace(F.lower(F.coalesce(seed["value"], c["value"])), r"^[^a-z0-9+@]+|[^a-z0-9]+$", "").alias("value"),
-            F.slice(F.concat(F.array(*[F.lit("^")] * 3), plain(c["left"])), -3, 3).alias("words"),
-            F.coalesce(F.try_element_at(plain(c["right"]), F.lit(1)), F.lit("$")).alias("next"),
+            F.split(c["left"], " ").alias("words"),
+            F.coalesce(c["right"], F.lit("$")).alias("next"),
             seed["kind"].alias("seed"),
         )
 
