@@ -331,7 +331,10 @@ def _(lines):
     return layout.reading_order(lines).select(*LINE_KEYS, "read_pos")
 
 
-@query("page_json", "page_lines", "documents")
+@query("page_json", "page_lines", "documents", sql="""
+    WITH l AS (SELECT doc_id, page, string_agg('{"text":' || to_json(text) || ',"confidence":' || CAST(confidence AS VARCHAR) || ',"box":[' || concat_ws(',', x0::INT, y0::INT, x1::INT, y1::INT) || ']}', ',' ORDER BY line_id) AS lines FROM page_lines GROUP BY ALL),
+    p AS (SELECT doc_id, string_agg('{"page":' || page || ',"lines":[' || lines || ']}', ',' ORDER BY page) AS pages FROM l GROUP BY doc_id)
+    SELECT doc_id, '{"text":' || coalesce(to_json(text), 'null') || ',"pages":[' || coalesce(pages, '') || ']}' AS json FROM documents LEFT JOIN p USING (doc_id)""")
 def _(lines, docs):
     return exports.page_json(lines, docs)
 
@@ -374,14 +377,32 @@ def _packs(chars: DataFrame) -> tuple[DataFrame, DataFrame]:
     return chars.where("pack = 'arabic'").drop("pack"), chars.where("pack = 'universal'").drop("pack")
 
 
-@query("merge_script_runs", "chars")
+_RUNS = r"""
+    main AS (SELECT * FROM chars WHERE pack = 'arabic'), latin AS (SELECT * FROM chars WHERE pack = 'universal'),
+    c AS (SELECT *, x - lag(x) OVER (PARTITION BY doc_id, page, line_id ORDER BY ord) AS step FROM latin WHERE trim(text) <> '' AND regexp_matches(text, '^[\x{0}-\x{58F}]*$') AND regexp_matches(text, '[\p{L}\p{Nd}]') AND confidence >= 0.4),
+    m AS (SELECT doc_id, page, line_id, count(*) AS n, list_sort(list(step) FILTER (step IS NOT NULL)) AS steps FROM c GROUP BY ALL),
+    g AS (SELECT c.*, sum(CASE WHEN step > greatest(0.035, 3 * steps[len(steps) // 2 + 1]) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page, line_id ORDER BY ord) AS run FROM c JOIN m USING (doc_id, page, line_id) WHERE n >= 2),
+    r AS (SELECT doc_id, page, line_id, run::BIGINT AS run, min(x) AS lo, max(x) AS hi, avg(confidence) AS confidence FROM g GROUP BY ALL HAVING count(*) >= 2 AND avg(confidence) >= 0.85),
+    u AS (SELECT r.*, (SELECT count(*) FROM main p WHERE p.doc_id = r.doc_id AND p.page = r.page AND p.line_id = r.line_id AND trim(p.text) <> '' AND p.x BETWEEN r.lo - 0.0175 AND r.hi + 0.0175) AS under,
+          (SELECT count(*) FROM main p WHERE p.doc_id = r.doc_id AND p.page = r.page AND p.line_id = r.line_id AND trim(p.text) <> '' AND p.x BETWEEN r.lo - 0.0175 AND r.hi + 0.0175 AND regexp_matches(p.text, '[^\x{0}-\x{58F}]') AND p.confidence >= 0.9) AS sure FROM r),
+    w AS (SELECT * FROM u WHERE under = 0 OR sure / under < 0.5),
+    o AS (SELECT w.doc_id, w.page, w.line_id, w.run, w.lo, w.hi, trim(string_agg(l.text, '' ORDER BY l.ord)) AS text, any_value(w.confidence) AS confidence
+          FROM w JOIN latin l ON w.doc_id = l.doc_id AND w.page = l.page AND w.line_id = l.line_id AND l.x BETWEEN w.lo AND w.hi GROUP BY w.doc_id, w.page, w.line_id, w.run, w.lo, w.hi)"""
+_PAD = r"CASE WHEN trim(p.text) = '' THEN 0 WHEN regexp_matches(p.text, '^[\x{0}-\x{58F}]*$') AND regexp_matches(p.text, '[\p{L}\p{Nd}]') THEN 0.035 ELSE 0.0175 END"
+
+
+@query("merge_script_runs", "chars", sql=f"WITH {_RUNS} SELECT doc_id, page, line_id, run, lo, hi, text, round(confidence + 1e-9, 6) AS confidence FROM o")
 def _(chars):
-    return readings.merge_script_runs(*_packs(chars))
+    return readings.merge_script_runs(*_packs(chars)).withColumn("confidence", F.round(F.col("confidence") + 1e-9, 6))  # means that end in a half
 
 
-@query("merge_readings", "chars")
+@query("merge_readings", "chars", sql=f"""WITH {_RUNS},
+    k AS (SELECT p.* FROM main p WHERE EXISTS (SELECT 1 FROM o WHERE o.doc_id = p.doc_id AND o.page = p.page AND o.line_id = p.line_id)
+          AND NOT EXISTS (SELECT 1 FROM o WHERE o.doc_id = p.doc_id AND o.page = p.page AND o.line_id = p.line_id AND p.x BETWEEN o.lo - {_PAD} AND o.hi + {_PAD})),
+    a AS (SELECT doc_id, page, line_id, x, 0 AS origin, ord::BIGINT AS ord, text, confidence FROM k UNION ALL SELECT doc_id, page, line_id, lo, 1, run, text, confidence FROM o)
+    SELECT doc_id, page, line_id, regexp_replace(string_agg(text, '' ORDER BY x, origin, ord, text), ' {{2,}}', ' ', 'g') AS text, round(avg(confidence) + 1e-9, 6) AS confidence, count(*) FILTER (origin = 1) AS n_runs FROM a GROUP BY ALL""")
 def _(chars):
-    return readings.merge_readings(*_packs(chars))
+    return readings.merge_readings(*_packs(chars)).withColumn("confidence", F.round(F.col("confidence") + 1e-9, 6))  # means that end in a half
 
 
 _SPACED = r"""
@@ -399,7 +420,15 @@ def _(chars):
     return readings.recover_spaces(chars.where("pack = 'arabic'"))
 
 
-@query("logical_order", "reads")
+@query("logical_order", "reads", sql=f"""
+    WITH l AS (SELECT * FROM reads WHERE pack = 'arabic'),
+    c AS (SELECT doc_id, page, line_id, length(text) - unnest(range(0, length(text))) AS pos, translate(unnest(regexp_extract_all(text, '(?s).')), '()[]{{}}<>«»', ')(][}}{{><»«') AS c FROM l WHERE regexp_matches(text, '{readings.RTL}')),
+    k AS (SELECT *, regexp_matches(c, '{readings.LTR.rstrip("]") + chr(92) + "p" + "{Nd}]"}') AS ltr FROM c),
+    j AS (SELECT *, ltr OR (regexp_matches(c, '[.,:/+ -]') AND coalesce(lag(ltr) OVER w, false) AND coalesce(lead(ltr) OVER w, false)) AS inside FROM k WINDOW w AS (PARTITION BY doc_id, page, line_id ORDER BY pos)),
+    i AS (SELECT *, sum(CASE WHEN inside THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, page, line_id ORDER BY pos) AS island FROM j),
+    e AS (SELECT *, min(pos) OVER (PARTITION BY doc_id, page, line_id, inside, island) AS lo, max(pos) OVER (PARTITION BY doc_id, page, line_id, inside, island) AS hi FROM i)
+    SELECT doc_id, page, line_id, string_agg(c, '' ORDER BY CASE WHEN inside THEN lo + hi - pos ELSE pos END) AS text FROM e GROUP BY ALL
+    UNION ALL SELECT doc_id, page, line_id, text FROM l WHERE NOT regexp_matches(text, '{readings.RTL}')""")
 def _(reads):
     return readings.logical_order(reads.where("pack = 'arabic'"))
 
