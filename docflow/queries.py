@@ -11,6 +11,7 @@ from .operators import actions, documents, evaluate, history, layout, markdown,
 from .plans.fixtures import table, with_views
 from .sources import catalogs, exports
 from .sources import history as history_files
+from .sources.files import registered
 from .plans.lineage import shared
 from .streaming import folds, streams
 from .streaming.replay import replayed
@@ -557,6 +558,17 @@ def _(items):
     return good.groupBy("owner").agg(F.count("*").alias("n"), F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms"))
 
 
+@query("read_long_history", "history", sql="SELECT owner, count(*) AS n, min(ts_ms) AS first_ms, max(ts_ms) AS last_ms, sum(length(text))::BIGINT AS chars FROM history GROUP BY owner")
+def _(items):
+    """The items as files of JSON arrays, read again in pieces between braces."""
+    spark, path = registered(items.sparkSession), shared(items.sparkSession, "arrays")
+    files = history_files.history_files(items).withColumn("name", F.concat(F.coalesce("owner", F.lit("")), F.lit("#"), F.monotonically_increasing_id().cast("string")))
+    files.select("name", "value").write.format("named_files").option("suffix", ".json").mode("append").save(path)
+    good, _faults = history_files.read_long_history(spark, f"{path}/*-*")
+    owner = F.nullif(F.regexp_replace(F.url_decode(F.replace(F.col("owner"), F.lit("+"), F.lit("%2B"))), "#[0-9]+$", ""), F.lit("")).alias("owner")
+    return good.groupBy(owner).agg(F.count("*").alias("n"), F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms"), F.sum(F.length("text")).alias("chars"))
+
+
 @query("stable_detections", "frames", sql="""
     WITH RECURSIVE g AS (SELECT camera_id, frame_id, min(t_ms) AS t_ms, list_sort(list(DISTINCT raw) FILTER (raw IS NOT NULL)) AS codes FROM frames GROUP BY camera_id, frame_id),
     o AS (SELECT camera_id, frame_id, t_ms, coalesce(codes, []) AS codes, row_number() OVER (PARTITION BY camera_id ORDER BY t_ms, frame_id) AS rn FROM g),
