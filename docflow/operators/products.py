@@ -1,36 +1,43 @@
 """Product codes: routing to sources and lookup by priority.
 
-A source is a registry row ``(source, priority, rule)``; ``rule`` names one of RULES.  More sources are more rows.
+A source is a ``Source``: its name, priority, category, and the SQL predicate on ``code`` that says which codes it may answer.  A new source is
+one more entry in the list that is passed; nothing here is edited for it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+from typing import NamedTuple
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.strings import run_sql
 
-# Which codes a source may answer, and the sources in priority order (there is no priority 4).
+
+class Source(NamedTuple):
+    source: str
+    priority: int
+    category: str
+    eligible: str
+
+
+# Which codes a category's sources may answer, and the sources in priority order (there is no priority 4).
 RULES = {
     "product": r"code rlike '^[0-9]{8,13}$'",
     "book": r"replace(code, '-', '') rlike '^([0-9]{9}[0-9Xx]|[0-9]{13})$'",
     "medicine": r"length(regexp_replace(code, '[^0-9]', '')) BETWEEN 10 AND 13",
 }
-SOURCES = (("off", 0, "product"), ("gbooks", 1, "book"), ("openlib", 2, "book"), ("fda", 3, "medicine"), ("beauty", 5, "product"), ("pet", 6, "product"))
-
-
-def registry(spark: SparkSession, rows=SOURCES) -> DataFrame:
-    return spark.createDataFrame([list(r) for r in rows], "source string, priority int, rule string")
+SOURCES = tuple(Source(name, priority, kind, RULES[kind]) for name, priority, kind in (("off", 0, "product"), ("gbooks", 1, "book"), ("openlib", 2, "book"), ("fda", 3, "medicine"), ("beauty", 5, "product"), ("pet", 6, "product")))
 
 
-def route_codes(codes: DataFrame, sources: DataFrame | None = None) -> DataFrame:
-    """``(code, source, priority)``: the sources that may answer each distinct code; the registry has a few rows and is broadcast."""
-    sources = registry(codes.sparkSession) if sources is None else sources
-    test = " OR ".join(f"(rule = '{name}' AND {rule})" for name, rule in RULES.items())
-    return run_sql(f"SELECT /*+ BROADCAST(s) */ c.code, s.source, s.priority FROM (SELECT DISTINCT code FROM {{codes}}) c JOIN {{sources}} s ON {test}", codes=codes, sources=sources)
+def route_codes(codes: DataFrame, sources: Sequence[Source] = SOURCES) -> DataFrame:
+    """``(code, source, priority)``: the sources that may answer each distinct code, each source's predicate asked once a code, without a join."""
+    able = F.array(*(F.when(F.expr(s.eligible), F.struct(F.lit(s.source).alias("source"), F.lit(s.priority).alias("priority"))) for s in sources))
+    return codes.select("code").distinct().select("code", F.inline(F.array_compact(able)))
 
 
-def lookup_products(codes: DataFrame, products: DataFrame, source_status: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+def lookup_products(codes: DataFrame, products: DataFrame, source_status: DataFrame, sources: Sequence[Source] = SOURCES) -> DataFrame:
     """``(code, status, source, name, brand)``: the first *found* source by priority; a failing one does not block those behind it.
 
     Without an eligible source ``not_found``; ``error`` if every eligible source failed; else ``not_found``.

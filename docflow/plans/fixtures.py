@@ -54,6 +54,8 @@ VIEWS: dict[str, str | tuple[str, str]] = {
         WHEN 2 THEN concat('https://h',CAST(user_id AS VARCHAR(20)),'.example.com/') WHEN 3 THEN concat('www.h',CAST(user_id AS VARCHAR(20)),'.example.com')
         WHEN 4 THEN concat('mailto:u',CAST(user_id AS VARCHAR(20)),'@example.com?subject=Hi%20there') WHEN 5 THEN concat('tel:+1555',lpad(CAST(user_id AS VARCHAR(20)),7,'0'))
         WHEN 6 THEN concat('smsto:+1555',lpad(CAST(user_id AS VARCHAR(20)),7,'0'),':hello') ELSE concat('MECARD:N:Doe,J',CAST(user_id AS VARCHAR(20)),';TEL:555;;') END AS raw FROM events""",
+    "sparse_payloads": "SELECT scan_id, ord, format, CASE scan_id%3 WHEN 0 THEN '  ' WHEN 1 THEN raw END AS raw FROM payloads",
+    "scored_regions": "SELECT doc_id, page, region_id, CASE WHEN (doc_id+region_id)%5=0 THEN 'UNHEARD_OF' ELSE label END AS label, CAST((doc_id*7+region_id*3)%10 AS DOUBLE)/CAST(10 AS DOUBLE) AS score, x0, y0, x1, y1 FROM regions",
     "codes": """SELECT p_partkey, CASE WHEN p_partkey%2=0 THEN concat('978',lpad(CAST(p_partkey AS VARCHAR(20)),10,'0')) ELSE lpad(CAST(p_partkey*13+10000000 AS VARCHAR(20)),12,'0') END AS code FROM part""",
     "sources": "SELECT * FROM (VALUES ('off',0),('gbooks',1),('openlib',2),('fda',3),('beauty',5),('pet',6)) AS v(source, priority)",
     "catalog": """SELECT s.source, s.priority, c.code, p.p_name AS name, p.p_brand AS brand FROM part p JOIN codes c ON c.p_partkey=p.p_partkey JOIN sources s ON (p.p_partkey*5+s.priority)%9 IN (0,4)""",

@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.strings import run_sql
 from .operators import actions, documents, evaluate, history, layout, markdown, ops_log, products, readings, text
 from .plans.fixtures import table, with_views
+from .plans.lineage import shared
 from .sources import catalogs, exports
 from .sources import history as history_files
 from .sources.files import registered
-from .plans.lineage import shared
 from .streaming import folds, streams
 from .streaming.replay import replayed
 
@@ -196,7 +197,7 @@ def _(payloads):
     return actions.payload_actions(payloads).select("scan_id", "kind", "key")
 
 
-@query("barcode_first", "payloads", "documents", sql=f"WITH {_ACTIONS} SELECT doc_id AS scan_id, kind, key FROM d WHERE doc_id NOT IN (SELECT scan_id FROM payloads)")
+@query("barcode_first", "sparse_payloads", "documents", sql=f"WITH {_ACTIONS} SELECT doc_id AS scan_id, kind, key FROM d WHERE doc_id NOT IN (SELECT scan_id FROM sparse_payloads WHERE trim(raw) <> '')")
 def _(payloads, docs):
     t = actions.extract_actions(docs).withColumnRenamed("doc_id", "scan_id")
     return actions.barcode_first(payloads, t).select("scan_id", "kind", "key")
@@ -244,7 +245,7 @@ def _(lines):
     return layout.page_status(lines)
 
 
-@query("keep_regions", "regions", sql="SELECT * FROM regions WHERE score >= 0.4")
+@query("keep_regions", "scored_regions", sql="SELECT * FROM scored_regions WHERE score >= 0.4 AND label <> 'UNHEARD_OF'")
 def _(regions):
     return layout.keep_regions(regions)
 
@@ -513,8 +514,8 @@ def _(lines):
     SELECT doc_id, 'translation' AS kind, l AS option FROM documents CROSS JOIN (SELECT DISTINCT lang AS l FROM documents WHERE lang IS NOT NULL) WHERE doc_id IS NOT NULL AND l IS DISTINCT FROM lang
     UNION ALL SELECT doc_id, 'summary', s FROM documents CROSS JOIN (SELECT unnest(['SHORT', 'MEDIUM', 'LONG']) AS s)""")
 def _(docs):
-    langs = docs.where("lang is not null").agg(F.collect_set("lang").alias("langs"))  # a handful of labels
-    wanted = docs.select("doc_id", F.lit(1).alias("one")).join(langs.withColumn("one", F.lit(1)), "one").select("doc_id", F.lit("translation").alias("kind"), F.explode("langs").alias("option"))
+    # a handful of labels, gathered by a scalar subquery
+    wanted = run_sql("SELECT doc_id, 'translation' AS kind, explode((SELECT collect_set(lang) FROM {docs} WHERE lang IS NOT NULL)) AS option FROM {docs}", docs=docs)
     summaries = docs.select("doc_id", F.lit("summary").alias("kind"), F.explode(F.array(*(F.lit(x) for x in ops_log.SUMMARY_LENGTHS))).alias("option"))
     return ops_log.pending_transforms(wanted.union(summaries), docs.select("doc_id", F.lit("translation").alias("kind"), F.col("lang").alias("option")))
 

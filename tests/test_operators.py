@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docflow import queries
-from docflow.operators import actions, evaluate, history, layout, markdown, readings, text
+from docflow.operators import actions, evaluate, history, layout, markdown, products, readings, text
 from docflow.plans.fixtures import BASE
 from docflow.sources.history import parse_history
 
@@ -202,6 +202,18 @@ def test_spaces_at_several_factors(spark):
     assert readings.recover_spaces(chars, 1.7).where("line_id = 1").first().text == "ابت ثج حخدxy"
 
 
+def test_a_new_source_is_one_more_row(spark):
+    """Its own predicate on the code, its own priority; nothing of the library knows it."""
+    own = products.Source("films", 4, "film", "code LIKE 'F-%' OR length(code) = 12")
+    codes = spark.createDataFrame([("F-1",), ("036000291452",), ("nonsense",), (None,), ("F-1",)], "code string")
+    got = {(r.code, r.source, r.priority) for r in products.route_codes(codes, [*products.SOURCES, own]).collect()}
+    assert got == {("F-1", "films", 4), ("036000291452", "films", 4), *(("036000291452", s.source, s.priority) for s in products.SOURCES if s.category != "book")}
+    held = spark.createDataFrame([("films", "F-1", "A film", "b"), ("pet", "036000291452", "food", "c")], "source string, code string, name string, brand string")
+    status = spark.createDataFrame([("036000291452", "films", "error")], "code string, source string, status string")
+    found = {r.code: (r.status, r.source, r.name) for r in products.lookup_products(codes, held, status, [*products.SOURCES, own]).collect()}
+    assert found["F-1"] == ("found", "films", "A film") and found["036000291452"] == ("found", "pet", "food") and found["nonsense"][0] == "not_found"
+
+
 def test_line_recall_without_loss(spark):
     hyp = spark.createDataFrame([(1, "xx the quick brown fox jumqs over yy")], "doc_id long, text string")
     truth = spark.createDataFrame([(1, 1, "quick brown fox jumps"), (1, 2, "entirely different words")], "doc_id long, line_id long, text string")
