@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 #: white space: ASCII controls 9-13 and 28-31, and Unicode separators
 WS = r"[\x{9}-\x{D}\x{1C}-\x{1F}\p{Z}]"
 
+# Letters folded when diacritics do not count.
+FOLD_FROM, FOLD_TO = "أإآٱىة", "ااااي" + "ه"
+
 
 def run_sql(text: str, **frames: DataFrame) -> DataFrame:
     """Run SQL over DataFrames: ``{name}`` stands for a frame, ``@trim(column)`` for the column without outer white space.

@@ -6,12 +6,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.edits import Text, distance
-from ..functions.strings import WS
-from .readings import spaces_at
+from ..functions.edits import Text, Truth, distance
+from ..functions.lines import of_rows, spaced
+from ..functions.strings import FOLD_FROM, FOLD_TO, WS
+from .readings import Reader, _gathered
 
-# Letters folded when diacritics do not count; the gap factors to compare (0 keeps the stored text).
-FOLD_FROM, FOLD_TO = "أإآٱىة", "ااااي" + "ه"
+# The gap factors to compare (0 keeps the stored text).
 FACTORS = (0.0, 1.7, 1.9, 2.1, 2.3, 2.5, 2.8)
 
 
@@ -56,7 +56,28 @@ def score_accuracy(hypothesis: DataFrame, truth: DataFrame, keys: list[str], by:
 
 def sweep_gap_factor(chars: DataFrame, truth: DataFrame, keys: list[str], factors: tuple[float, ...] = FACTORS) -> DataFrame:
     """``(factor, n, raw, folded)`` of space recovery at each factor (0 keeps the stored text), from one pass over the characters."""
-    return score_accuracy(spaces_at(chars, factors, ", ".join(keys)), truth, keys, ["factor"])
+    lines = _gathered(chars, ", ".join(keys), reading=F.lit(True)).join(truth.select(*keys, F.col("text").alias("truth")), keys)
+    return sweep_of_lines(lines, factors)
+
+
+def sweep_of_lines(lines: DataFrame, factors: tuple[float, ...] = FACTORS, chars: Reader = of_rows) -> DataFrame:
+    """``sweep_gap_factor`` of ``lines (reading, truth)``, a row a line: texts are recovered and measured where the line is, so that only
+    similarities leave the row.  ``chars`` makes a line's characters of a reading."""
+    factors = [float(f) for f in factors]
+
+    def run(batches):
+        for b in batches:
+            raw, folded = [], []
+            for r, t in zip(b.column("reading").to_pylist(), b.column("truth").to_pylist()):
+                told = Truth(t)
+                for h in spaced(chars(r), factors):
+                    x, y = told.similarities(h)
+                    raw.append(x)
+                    folded.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(factors * b.num_rows, pa.float64()), pa.array(raw, pa.float64()), pa.array(folded, pa.float64())], names=["factor", "raw", "folded"])
+
+    s = lines.where("reading IS NOT NULL").select("reading", "truth").mapInArrow(run, "factor double, raw double, folded double")
+    return s.groupBy("factor").agg(F.count("*").alias("n"), F.avg("raw").alias("raw"), F.avg("folded").alias("folded"))
 
 
 def line_recall(hypothesis: DataFrame, truth: DataFrame, least: float = 0.8, block: int = 2048) -> DataFrame:

@@ -7,8 +7,11 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.lines import Chars, of_text
+
 BASE = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 _ARABIC = "translate(lower(text),'abcdefghijklmnopqrstuvwxyz','ابتثجحخدذرزسشصضطظعغفقكلمنه')"
 
@@ -26,6 +29,12 @@ VIEWS: dict[str, str | tuple[str, str]] = {
         f"""SELECT doc_id, page, line_id, 'universal' AS pack, CASE WHEN doc_id%3=0 THEN regexp_replace(text, '[a-z ]', '', 'g') ELSE text END AS text, confidence FROM page_lines
         UNION ALL SELECT doc_id, page, line_id, 'arabic', {_ARABIC}, CASE WHEN doc_id%3=0 THEN CAST(0.95 AS DOUBLE) ELSE CAST(0.2 AS DOUBLE) END FROM page_lines""",
     ),
+    # both readings of a line in one row, as structs; chars_of gives their characters
+    "line_packs": (
+        f"""SELECT doc_id, page, line_id, struct('arabic' AS pack, {_ARABIC} AS text) AS primary,
+        struct('universal' AS pack, CASE WHEN doc_id%3=0 THEN regexp_replace(text, '[a-z ]', '') ELSE text END AS text) AS latin FROM page_lines WHERE text IS NOT NULL""",
+        "SELECT 1 AS unused",
+    ),
     "orientation_reads": (
         """SELECT r.doc_id, r.page, r.line_id, r.pack, f.flipped, CASE WHEN (r.doc_id%4=0)=f.flipped THEN r.text ELSE regexp_replace(r.text, '[a-m]', '') END AS text, r.confidence, p.x0, p.y0, p.x1, p.y1
         FROM reads r JOIN page_lines p ON p.doc_id=r.doc_id AND p.line_id=r.line_id LATERAL VIEW explode(array(true, false)) f AS flipped""",
@@ -86,6 +95,16 @@ VIEWS: dict[str, str | tuple[str, str]] = {
 }
 
 
+def chars_of(reading: dict) -> Chars:
+    """The rows of ``chars`` of one reading (pack, text), as arrays: the view's formulas, term by term."""
+    n = len(reading["text"])
+    at = np.arange(n)
+    step = at // 5 % 4
+    x = (at + 0.5 + 0.6 * (6 * (at // 20) + step * (step + 1) / 2)) / float(max(1, 2 * n))
+    first, other = (0.4, 0.97) if reading["pack"] == "arabic" else (0.95, 0.3)
+    return of_text(reading["text"], x, np.where(at // 6 % 4 == 0, first, other))
+
+
 def _needs(sql: str) -> list[str]:
     return [v for v in [*VIEWS, *BASE] if re.search(rf"\b(?:FROM|JOIN)\s+{v}\b", sql)]
 
