@@ -183,22 +183,15 @@ def spaces_of_lines(lines: DataFrame, factors: tuple[float, ...], chars: Reader
 
 
 def logical_order(lines: DataFrame, keys: str = LINE) -> DataFrame:
-    """``lines (keys, text)`` in visual order → logical order, over the character table of lines with a right-to-left character.
+    """``lines (keys, text)`` in visual order → logical order, of lines with a right-to-left character, each inside its row.
 
     The line is reversed with its brackets mirrored; runs of left-to-right characters and digits, which single joiners (``. , : / - +`` or a space)
     extend, are turned back.
     """
-    strong = LTR.rstrip("]") + r"\p{Nd}]"
-    return run_sql(
-        f"""
-        WITH c AS (SELECT {keys}, length(text) - pos AS pos, translate(c, '()[]{{}}<>«»', ')(][}}{{><»«') AS c FROM (SELECT {keys}, text, posexplode(split(text, '')) AS (pos, c) FROM {{lines}} WHERE text rlike r'{RTL}') WHERE c <> ''),
-        k AS (SELECT *, c rlike r'{strong}' AS ltr FROM c),
-        j AS (SELECT *, ltr OR (c rlike '[.,:/+ -]' AND coalesce(lag(ltr) OVER w, false) AND coalesce(lead(ltr) OVER w, false)) AS inside FROM k WINDOW w AS (PARTITION BY {keys} ORDER BY pos)),
-        i AS (SELECT *, sum(CASE WHEN inside THEN 0 ELSE 1 END) OVER (PARTITION BY {keys} ORDER BY pos) AS island FROM j),
-        e AS (SELECT *, min(pos) OVER (PARTITION BY {keys}, inside, island) AS lo, max(pos) OVER (PARTITION BY {keys}, inside, island) AS hi FROM i),
-        r AS (SELECT {keys}, CASE WHEN inside THEN lo + hi - pos ELSE pos END AS pos, c FROM e)
-        SELECT {keys}, array_join(transform(array_sort(collect_list(struct(pos, c))), s -> s.c), '') AS text FROM r GROUP BY {keys}
-        UNION ALL SELECT {keys}, text FROM {{lines}} WHERE NOT text rlike r'{RTL}'
-        """,
-        lines=lines,
-    )
+    strong, joiner = LTR.rstrip("]") + r"\p{Nd}]", "[.,:/+ -]"
+    # where a run begins: a strong character behind none, nor behind a joiner that follows one; where it ends, the same the other way
+    edge = rf"(?<!{strong})(?<!{strong}{joiner})(?={strong})|(?<={strong})(?!{strong})(?!{joiner}{strong})"
+    seen = F.translate(F.reverse("text"), "()[]{}<>«»", ")(][}{><»«")
+    parts = F.transform(F.split(seen, edge, -1), lambda p: F.when(p.rlike(f"^{strong}"), F.reverse(p)).otherwise(p))
+    names = [k.strip() for k in keys.split(",")]
+    return lines.where("text IS NOT NULL").select(*names, F.when(F.col("text").rlike(RTL), F.array_join(parts, "")).otherwise(F.col("text")).alias("text"))
