@@ -88,3 +88,25 @@ def test_accuracy_of_long_and_short_lines(spark):
     r = evaluate.score_accuracy(h, t, ["line_id"], ["pack"]).first()
     raw = [0.75, 1, 1, 1 - 3 / 7, 1 - 2 / 602, 0]
     assert r.n == 6 and abs(r.raw - sum(raw) / 6) < 1e-12 and abs(r.folded - (sum(raw) + 0.25) / 6) < 1e-12
+
+
+def test_lines_are_ruled_out_before_they_are_measured(monkeypatch):
+    """Lines of the same words in another order share pieces everywhere; few of them may reach the measuring of windows, and none that is near is lost."""
+    r = random.Random(11)
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 8))) for _ in range(120)]
+    said = lambda n: " ".join(r.choice(words) for _ in range(n))
+    text = said(3000)
+    asked = []
+    monkeypatch.setattr(edits, "has_window", lambda *a, real=edits.has_window: asked.append(len(a[0])) or real(*a))
+    held = edits.Text(text)
+    for _ in range(40):
+        line = said(50)
+        assert not held.near(line, len(line) // 5)
+    assert sum(asked) < 5000
+    for _ in range(20):
+        at = r.randrange(len(text) - 300)
+        line = list(text[at : at + 300])
+        for _ in range(25):
+            k = r.randrange(len(line))
+            line[k : k + 1] = r.choice([[], ["#"], [line[k], "#"]])
+        assert held.near("".join(line), len(line) // 5)
