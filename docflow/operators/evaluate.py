@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.edits import Text, Truth, distance
+from ..functions.edits import Text, Truth, distances, evened, folded
 from ..functions.lines import of_rows, spaced
 from ..functions.strings import FOLD_FROM, FOLD_TO, WS
 from .readings import Reader, _gathered
@@ -20,38 +21,41 @@ def normalized(c: Column, keep_diacritics: bool) -> Column:
     return one if keep_diacritics else F.translate(F.regexp_replace(one, r"[\x{64B}-\x{652}\x{640}]", ""), FOLD_FROM, FOLD_TO)
 
 
-def similarities(pairs: DataFrame, short: int = 4096) -> DataFrame:
-    """``pairs (..., a, b)`` with ``similarity`` in their place: 1 less the edit distance over the larger length, 1 where both are equal.
+def _similarities(a: list[str], b: list[str]) -> np.ndarray:
+    got, apart = np.ones(len(a)), [i for i, (x, y) in enumerate(zip(a, b)) if x != y]
+    if apart:
+        x, y = [a[i] for i in apart], [b[i] for i in apart]
+        got[apart] = 1 - distances(x, y) / np.array([max(len(p), len(q)) for p, q in zip(x, y)])
+    return got
 
-    Pairs whose lengths' product is above ``short`` go to the bit-parallel form, which leaves out equal ends and steps over 64 cells at a time.
-    """
-    out = [c for c in pairs.columns if c not in ("a", "b")]
-    longest = F.greatest(F.length("a"), F.length("b"))
-    far = F.length("a").cast("long") * F.length("b") > short
-    near = pairs.where(F.coalesce(~far | (F.col("a") == F.col("b")), F.lit(True)))
-    near = near.select(*out, F.when(F.col("a") == F.col("b"), 1.0).otherwise(1 - F.levenshtein("a", "b") / longest).alias("similarity"))
-
-    def run(batches):
-        for t in batches:
-            a, b = t.column("a").to_pylist(), t.column("b").to_pylist()
-            got = pa.array([1 - distance(x, y) / max(len(x), len(y)) for x, y in zip(a, b)], pa.float64())
-            yield pa.RecordBatch.from_arrays([*(t.column(c) for c in out), got], names=[*out, "similarity"])
 
-    schema = ", ".join(f"`{c}` {pairs.schema[c].dataType.simpleString()}" for c in out) + ", similarity double"
-    return near.unionByName(pairs.where(far & (F.col("a") != F.col("b"))).mapInArrow(run, schema))
+def score_accuracy(hypothesis: DataFrame, truth: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """Join ``hypothesis (keys, text, by)`` with ``truth (keys, text)`` → ``(by, n, raw, folded)``: mean similarities, 1 less the edit distance over the
+    larger length, of texts with even white space, and with letters folded.
 
+    A batch's distances are measured together (``functions.edits.distances``), each pair inside its row.
+    """
+    j = hypothesis.withColumnRenamed("text", "h").join(truth.select(*keys, F.col("text").alias("t")), keys).select(*by, "h", "t")
 
-def score_accuracy(hypothesis: DataFrame, truth: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
-    """Join ``hypothesis (keys, text, by)`` with ``truth (keys, text)`` → ``(by, n, raw, folded)``: mean similarities."""
-    j = hypothesis.withColumnRenamed("text", "h").join(truth.select(*keys, F.col("text").alias("t")), keys)
-    for side in ("h", "t"):
-        j = j.withColumn(f"{side}_raw", normalized(F.col(side), True)).withColumn(f"{side}_folded", normalized(F.col(side), False))
-    pair = {kind: F.struct(F.lit(kind).alias("kind"), F.col(f"h_{kind}").alias("a"), F.col(f"t_{kind}").alias("b")) for kind in ("raw", "folded")}
-    both = F.struct(F.lit("both").alias("kind"), F.col("h_raw").alias("a"), F.col("t_raw").alias("b"))
-    same = (F.col("h_raw") == F.col("h_folded")) & (F.col("t_raw") == F.col("t_folded"))  # nothing to fold: measure once
-    s = similarities(j.select(*by, F.inline(F.when(same, F.array(both)).otherwise(F.array(*pair.values())))))
-    of = {kind: F.when(F.col("kind").isin(kind, "both"), F.col("similarity")) for kind in pair}
-    return s.groupBy(*by).agg(F.count_if(F.col("kind") != "folded").alias("n"), F.avg(of["raw"]).alias("raw"), F.avg(of["folded"]).alias("folded"))
+    def run(batches):
+        for b in batches:
+            told = np.flatnonzero((b.column("h").is_valid().to_numpy(zero_copy_only=False)) & (b.column("t").is_valid().to_numpy(zero_copy_only=False)))
+            at = pa.array(told, pa.int64())
+            h, t = ([evened(x) for x in b.column(c).take(at).to_pylist()] for c in ("h", "t"))
+            fold_h, fold_t = [folded(x) for x in h], [folded(x) for x in t]
+            raw = _similarities(h, t)
+            more = [i for i in range(len(h)) if fold_h[i] is not h[i] or fold_t[i] is not t[i]]  # others have nothing to fold
+            fold = raw.copy()
+            fold[more] = _similarities([fold_h[i] for i in more], [fold_t[i] for i in more])
+            out = []
+            for got in (raw, fold):
+                every = np.full(b.num_rows, np.nan)
+                every[told] = got
+                out.append(pa.array(every, mask=np.isnan(every)))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in by), *out], names=[*by, "raw", "folded"])
+
+    schema = ", ".join([*(f"`{c}` {j.schema[c].dataType.simpleString()}" for c in by), "raw double", "folded double"])
+    return j.mapInArrow(run, schema).groupBy(*by).agg(F.count("*").alias("n"), F.avg("raw").alias("raw"), F.avg("folded").alias("folded"))
 
 
 def sweep_gap_factor(chars: DataFrame, truth: DataFrame, keys: list[str], factors: tuple[float, ...] = FACTORS) -> DataFrame:

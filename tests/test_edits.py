@@ -110,3 +110,29 @@ def test_lines_are_ruled_out_before_they_are_measured(monkeypatch):
             k = r.randrange(len(line))
             line[k : k + 1] = r.choice([[], ["#"], [line[k], "#"]])
         assert held.near("".join(line), len(line) // 5)
+
+
+def test_distances_of_many_pairs_are_measured_together(monkeypatch):
+    """Over borders of words, with long detours, odd characters and bounds that are too narrow at first; pairs of usual length are not measured one by one."""
+    r = random.Random(5)
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+        return row[-1]
+
+    pairs = []
+    for letters in ("ab", "abcdefgh ", "ا\U0001f600b\ud800e"):
+        for n in (0, 1, 2, 63, 64, 65, 128, 200, 260):
+            a = "".join(r.choices(letters, k=n))
+            turned = a.translate(str.maketrans("aeb", "eba"))
+            pairs += [(a, turned), (a, a), (a, a[n // 2 :] + a[: n // 2]), (a, "".join(c for c in turned if r.random() > 0.1)), (a, "".join(r.choices(letters, k=r.choice([0, 1, 64, 150])))), (a, a[:3] + a)]
+    assert edits.distances(*map(list, zip(*pairs))).tolist() == [plain(a, b) for a, b in pairs]
+    one_by_one = []
+    monkeypatch.setattr(edits, "distance", lambda *a: one_by_one.append(a) or 0)
+    lines = ["".join(r.choices("abcdefgh ", k=r.randint(100, 400))) for _ in range(300)]
+    got = edits.distances([x.translate(str.maketrans("aeh", "eha")) for x in lines], lines)
+    assert len(one_by_one) < 60 and (got > 0).sum() > 240 and len(edits.distances([], [])) == 0
