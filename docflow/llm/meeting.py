@@ -101,16 +101,25 @@ def shared_keys(rows: DataFrame, total: int, tile: int, per_bucket: int = 400_00
     return sent.groupBy("bucket").applyInArrow(meet, "cell bigint, id bigint, flag boolean, lead boolean")
 
 
+def picked(leading: DataFrame) -> DataFrame:
+    """``(id, met, cell)``: how many entries of ``leading (cell, id)`` an id has, and two of its cells (one, if it has no other): those of the
+    smallest and the largest hash, which members of a group that share their cells choose alike."""
+    mark = F.struct(F.xxhash64("cell"), "cell")
+    ends = leading.groupBy("id").agg(F.count("*").alias("met"), F.min(mark)["cell"].alias("lo"), F.max(mark)["cell"].alias("hi"))
+    return ends.select("id", "met", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("cell"))
+
+
 def parents(members: DataFrame) -> DataFrame:
     """``(a, b)``: for each id ``b`` of ``members (cell, id, lead)`` the leader ``a`` that it meets in a leading cell, if it isn't one itself.
 
     A cell's leader is the id that meets others in the most cells (the larger on ties): the original of a group of edited copies
-    shares every cell with some of them.  An id follows the best leader of its cells.
+    shares every cell with some of them.  An id follows the better leader of two of its cells, so that ids meet leaders in no more than two
+    rows each; an id that misses its leader that way is still apart, and paired with the rest.
     """
     m = members.where("lead").select("cell", "id")
     met = m.groupBy("id").agg(F.count("*").alias("met"))
     leader = m.join(met, "id").groupBy("cell").agg(F.max(F.struct("met", "id")).alias("top"))
-    best = m.join(leader, "cell").groupBy("id").agg(F.max("top").alias("top"))
+    best = picked(m).join(leader, "cell").groupBy("id").agg(F.max("top").alias("top"))
     return best.where(F.col("top.id") != F.col("id")).select(F.col("top.id").alias("a"), F.col("id").alias("b"))
 
 
