@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from .common import LOWER, frugal, returned
 from .tokens import Places
 
-_STOP = re.compile(rb"([a-z0-9])([.,])(?=[\x20\x09-\x0D])")
+# begins with the stop itself, so that the search does not halt at every letter
+_STOP = re.compile(rb"[.,](?=[\x20\x09-\x0D])(?<=[a-z0-9].)")
 TIERS = (2048, 1024, 512, 256)
 FIELDS = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, tier bigint, step_group bigint"
 
@@ -67,7 +68,7 @@ class Encoder:
         raw = (text or "").encode("utf-8", "surrogatepass")
         if b"<|" in raw:  # a special token is matched as written
             return raw.split()
-        return _STOP.sub(rb"\1 \2", raw.translate(LOWER)).split()
+        return _STOP.sub(rb" \g<0>", raw.translate(LOWER)).split()
 
     @staticmethod
     def _cut(w: str) -> tuple[str, ...]:
@@ -93,18 +94,24 @@ class Encoder:
         """Encode new words: letters, and letters before a stop, in few calls that are cut behind closing ids; others by their parts."""
         size, start = np.zeros(len(fresh), np.int64), np.zeros(len(fresh), np.int64)
         words = [w.decode("utf-8", "surrogatepass") for w in fresh]
-        plain = [(i, w, 1) if w.isalpha() else (i, f"{w[:-1]} {w[-1]}", 2) for i, w in enumerate(words) if w.isalpha() or (w[-1] in ".," and w[-2:-1].isascii() and w[:-1].isalpha())]
+        many = np.fromiter(map(str.isalpha, words), np.int64, len(words))
+        for i in np.flatnonzero(many == 0).tolist():
+            w = words[i]
+            if w[-1] in ".," and w[-2:-1].isascii() and w[:-1].isalpha():
+                words[i], many[i] = f"{w[:-1]} {w[-1]}", 2
+        plain = np.flatnonzero(many)
         done = np.zeros(len(fresh), bool)
         for s in range(0, len(plain), 20_000):
-            at, some, many = zip(*plain[s : s + 20_000])
+            at = plain[s : s + 20_000]
+            some = words if len(at) == len(words) else [words[i] for i in at.tolist()]
             ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, np.int64)
             ends = np.flatnonzero(self.closes[ids]) + 1
-            last = np.cumsum(many) - 1
+            last = np.cumsum(many[at]) - 1
             if len(ends) == last[-1] + 1:
-                at, sizes = np.array(at), np.diff(ends[last], prepend=0)
+                sizes = np.diff(ends[last], prepend=0)
                 size[at], start[at], done[at] = sizes, self._keep(ids, sizes), True
         left = np.flatnonzero(~done)
-        cut = [self._cut(words[i]) for i in left.tolist()]
+        cut = [self._cut(fresh[i].decode("utf-8", "surrogatepass")) for i in left.tolist()]
         new = list({p for ps in cut for p in ps if p not in self.parts})
         for s in range(0, len(new), 20_000):
             some = new[s : s + 20_000]
