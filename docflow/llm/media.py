@@ -9,7 +9,7 @@ of the number of descriptors, so that a descriptor meets about CHANCE unrelated
 SAMPLE descriptors, the smallest by hash; all are indexed), and there are as many tables as two images that have COMMON corners
 in common, with FLIPS of BITS bits flipped in each, need to meet MEETINGS times with probability FIND.
 
-Every image is first compared with the leader of its entries alone; of images that are then still apart, pairs that meet
+Every image is first compared with a leader of its entries alone, in several turns; of images that are then still apart, pairs that meet
 MEETINGS times are compared.  A comparison matches all descriptors of the two within DISTANCE; matches vote for the turn,
 scale and shift between the images, and images with enough votes in one bin are copies: VOTES, and one more for each doubling
 of the pairs of descriptors that could match by chance.  Crops, shifts, changes of
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, frugal, returned, stored, thinned
-from .meeting import KEY_BITS, apart, beside, dealt, parents, shared_keys, tiles
+from .meeting import KEY_BITS, apart, beside, dealt, followed, shared_keys, tiles
 from .tokens import mixed, narrow
 
 RADIUS, CORNERS, GRID, BITS, DISTANCE, VOTES = 16, 24, 64, 128, 28, 3
@@ -294,6 +294,27 @@ def agreed(reps: DataFrame, pairs: DataFrame, votes: int) -> DataFrame:
     return beside(dealt(pairs).join(reps.select(F.col("media_id").alias("id"), "place", "bits"), "id")).mapInArrow(run, "a bigint, b bigint")
 
 
+def near_leaders(own: DataFrame, members: DataFrame, votes: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Copies ``(a, b)`` among images and leaders of their entries, found in turns, and what ``apart`` then leaves of the entries.
+
+    A turn compares each image with one leader that it isn't linked with; turns end when one adds less than a fiftieth to the links.
+    So of a group of copies each image is compared a few times, and what is still apart is left to be paired.
+    """
+    spark = own.sparkSession
+    near, labels = spark.createDataFrame([], "a bigint, b bigint"), spark.createDataFrame([], "id bigint, label bigint")
+    total, turn = 0, 0
+    while True:
+        few, many = (stored(x, "media-apart") for x in apart(members, labels))
+        fresh = stored(agreed(own, stored(followed(few, many, turn, MEETINGS), "media-led"), votes), "media-near")
+        found = fresh.count()
+        if not found:
+            return near, few, many
+        near, total, turn = near.union(fresh), total + found, turn + 1
+        labels = stored(components(near).select("id", F.col("component_id").alias("label")), "media-labels")
+        if found * 50 < total:
+            return near, *(stored(x, "media-apart") for x in apart(members, labels))
+
+
 def copies(media: DataFrame, votes: int = VOTES, tile: int = 1024) -> DataFrame:
     """``(media_id, n_features, component_id, kept)`` for every row of ``media``."""
     found = stored(features(media), "media-features")
@@ -306,9 +327,7 @@ def copies(media: DataFrame, votes: int = VOTES, tile: int = 1024) -> DataFrame:
     sample = own.select(F.expr("substring(bits, 1, 16)").alias("bits")).orderBy(F.xxhash64("media_id")).limit(SAMPLE).collect()
     bits = tables(n, np.unpackbits(np.array([list(r.bits) for r in sample], np.uint8).reshape(-1, BITS // 8), axis=1))
     members = stored(shared_keys(entries(own, bits), n * len(bits), tile), "media-members")
-    near = stored(agreed(own, parents(members), votes), "media-near")
-    labels = components(near).select("id", F.col("component_id").alias("label"))
-    few, many = apart(members, labels)
+    near, few, many = near_leaders(own, members, votes)
     met = met_pairs(few, False).union(met_pairs(tiles(many, tile), True))
     far = agreed(own, stored(met.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= MEETINGS).select("a", "b"), "media-pairs"), votes)
     linked = components(thinned(near.union(far)))

@@ -123,6 +123,22 @@ def parents(members: DataFrame) -> DataFrame:
     return best.where(F.col("top.id") != F.col("id")).select(F.col("top.id").alias("a"), F.col("id").alias("b"))
 
 
+def followed(few: DataFrame, many: DataFrame, turn: int, least: int) -> DataFrame:
+    """``(a, b)``: for each id ``b`` of the cells of ``apart`` at most one id ``a`` of another label: of the cells' leaders the one that it meets most
+    often, ``least`` times at least.
+
+    A cell's leader is its id of the largest hash, another one each ``turn``; members of a group, which share many cells, so meet the same few leaders.
+    """
+
+    def led(m: DataFrame) -> DataFrame:
+        leader = m.groupBy("cell").agg(F.max(F.struct(F.xxhash64(F.lit(turn), "id").alias("mark"), "id", "label")).alias("top"))
+        return m.join(small_enough(leader), "cell").where(F.col("top.label") != F.col("label")).select("cell", "id", F.col("top.id").alias("top"))
+
+    each = led(few.select("cell", "id", "label").distinct()).union(led(many.select("cell", "id", "label").distinct()))
+    n = each.groupBy("id", "top").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return n.groupBy("id").agg(F.max(F.struct("n", "top"))["top"].alias("a")).select("a", F.col("id").alias("b"))
+
+
 def small_enough(df: DataFrame, most: int = 500_000) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``most`` (narrow) rows; else joins shuffle both sides."""
     return F.broadcast(df) if df.count() <= most else df

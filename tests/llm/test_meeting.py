@@ -2,7 +2,8 @@
 
 import numpy as np
 
-from docflow.llm import meeting
+from docflow.llm import media, meeting
+from docflow.llm.common import stored
 
 
 def test_ids_of_a_large_group_meet_their_leader_in_two_rows_at_most(spark):
@@ -16,3 +17,29 @@ def test_ids_of_a_large_group_meet_their_leader_in_two_rows_at_most(spark):
     assert leading.count() > 1800 and len(got) <= 2 * 303 and {x.id for x in got} == {x.id for x in leading.collect()}
     assert {(x.id, x.met) for x in got} == {(i, 6) for i in range(300)} | {(1000, 8), (2000, 2), (2001, 2)}
     assert {(x.a, x.b) for x in meeting.parents(members).collect()} == {(1000, i) for i in range(300)} | {(2001, 2000)}
+
+
+def test_images_of_a_large_group_are_linked_with_few_of_each_other(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    group, rest = r.standard_normal(64), r.standard_normal((20, 64))
+    rows = [(i, (group + 0.02 * r.standard_normal(64)).tolist()) for i in range(80)] + [(100 + i, v.tolist()) for i, v in enumerate(rest)]
+    compare, made = media.agreed, []
+
+    def agreed(own, pairs, votes):
+        got = stored(compare(own, pairs, votes), "links")
+        made.append((pairs.count(), got.count()))
+        return got
+
+    monkeypatch.setattr(media, "agreed", agreed)
+    got = {x.media_id: x.component_id for x in media.copies(media.rendered(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))).collect()}
+    assert sum(got[i] == 0 for i in range(80)) >= 78 and all(got[100 + i] == 100 + i for i in range(20))
+    assert sum(n for _, n in made) <= 3 * 80, made
+
+
+def test_ids_follow_one_leader_of_another_label(spark):
+    cells = [(c, i, i % 2) for c in range(6) for i in range(40)] + [(9, 100, 100), (9, 1, 1)]
+    rows = spark.createDataFrame(cells, "cell long, id long, label long")
+    for few, many in ((rows, rows.limit(0)), (rows.limit(0), rows)):
+        got = meeting.followed(few, many, 0, 2).collect()
+        assert len(got) == len({x.b for x in got}) == 20 and len({x.a for x in got}) == 1
+        assert all((x.a - x.b) % 2 for x in got)
