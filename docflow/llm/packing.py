@@ -42,7 +42,8 @@ def _tokenizer(path: str):
 
 
 class Encoder:
-    """Ids of texts.  This tokenizer drops white space, so words are encoded once and remembered, up to a bound.
+    """Ids of texts.  This tokenizer drops white space, so words are encoded once and remembered, up to a bound of words and
+    one of their bytes (16 for each word of the bound).
 
     A word that ends in a full stop or comma behind an ASCII letter or digit is two (always a border of the tokenizer's own
     pre-tokens), and any other word is cut behind its leading letters where an ASCII character follows (another such
@@ -50,7 +51,7 @@ class Encoder:
     together by gathering.
     """
 
-    def __init__(self, path: str, end: int = 1, bound: int = 400_000):
+    def __init__(self, path: str, end: int = 1, bound: int = 250_000):
         self.tokenizer, self.end, self.bound = _tokenizer(path), end, bound
         vocab = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocab.values()) + 1, bool)
@@ -61,7 +62,7 @@ class Encoder:
     def _forget(self) -> None:
         self.known = Places({b"": 0})  # place 0 is the end token; no word is empty
         self.flat, self.size, self.start = [np.array([self.end], "<u4")], [np.array([1], np.int64)], [np.array([0], np.int64)]
-        self.held = 1
+        self.held, self.letters = 1, 0
 
     @staticmethod
     def _words(text: str | None) -> list[bytes]:
@@ -132,7 +133,7 @@ class Encoder:
             del self.parts[p]
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self.known) > self.bound:
+        if len(self.known) > self.bound or self.letters > 16 * self.bound:
             self._forget()
         if len(self.parts) > self.bound:
             self.parts.clear()
@@ -143,6 +144,7 @@ class Encoder:
             at.append(0)
         fresh, self.known.fresh = self.known.fresh, []
         if fresh:
+            self.letters += sum(map(len, fresh))
             self._learn(fresh)
         for held in (self.flat, self.size, self.start):
             if len(held) > 1:

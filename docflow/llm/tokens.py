@@ -24,17 +24,17 @@ class Places(dict):
 
 
 class Hasher:
-    """Hashes of texts' lower-cased (A-Z) words; remembers words, up to a bound."""
+    """Hashes of texts' lower-cased (A-Z) words; remembers words, up to a bound of words and one of their bytes (16 for each word of the bound)."""
 
     def __init__(self, bound: int = 200_000):
         self.bound = bound
-        self.known = Places()
+        self.known, self.letters = Places(), 0
         self.table = np.zeros(0, np.uint64)
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The hashes of all words of all texts, one after the other, and the number of words of each text."""
-        if len(self.known) > self.bound:
-            self.known = Places()
+        if len(self.known) > self.bound or self.letters > 16 * self.bound:
+            self.known, self.letters = Places(), 0
             self.table = np.zeros(0, np.uint64)
         place = self.known.__getitem__
         at: list[int] = []
@@ -45,6 +45,7 @@ class Hasher:
             many.append(len(at) - before)
         fresh, self.known.fresh = self.known.fresh, []
         if fresh:
+            self.letters += sum(map(len, fresh))
             self.table = np.concatenate([self.table, np.array([xxhash.xxh3_64_intdigest(w) for w in fresh], np.uint64)])
         return self.table[np.array(at, np.int64)] if at else np.zeros(0, np.uint64), np.array(many, np.int64)
 

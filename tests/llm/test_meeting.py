@@ -1,8 +1,8 @@
-"""A large group of near copies meets its leader in few rows."""
+"""A large group of near copies meets its leader in few rows; what workers remember is bounded."""
 
 import numpy as np
 
-from docflow.llm import media, meeting
+from docflow.llm import media, meeting, packing, queries, tokens
 from docflow.llm.common import stored
 
 
@@ -43,3 +43,15 @@ def test_ids_follow_one_leader_of_another_label(spark):
         got = meeting.followed(few, many, 0, 2).collect()
         assert len(got) == len({x.b for x in got}) == 20 and len({x.a for x in got}) == 1
         assert all((x.a - x.b) % 2 for x in got)
+
+
+def test_remembered_words_are_bounded_by_words_and_bytes():
+    encode, hasher = packing.Encoder(queries.tokenizer_path()), tokens.Hasher()
+    for k in range(12):  # 1 MB of long words a call, beyond both bounds on bytes together
+        texts = [" ".join(f"{k}x{i}" + "y" * 4000 for i in range(j, j + 50)) for j in range(0, 250, 50)]
+        first, _ = encode(texts), hasher(texts)
+        assert [x.tolist() for x in packing.Encoder(queries.tokenizer_path())(texts[:1])] == [first[0].tolist()]
+        assert sum(map(len, encode.known)) < 5_500_000 and sum(map(len, hasher.known)) < 5_000_000
+    for k in range(5):
+        encode([" ".join(f"w{i}" for i in range(j, j + 10_000)) for j in range(k * 80_000, (k + 1) * 80_000, 10_000)])
+        assert len(encode.known) < 340_000
