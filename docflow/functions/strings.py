@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 #: white space: ASCII controls 9-13 and 28-31, and Unicode separators
 WS = r"[\x{9}-\x{D}\x{1C}-\x{1F}\p{Z}]"
+BLANKS = "".join(map(chr, [*range(0x9, 0xE), *range(0x1C, 0x20), 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 # Letters folded when diacritics do not count.
 FOLD_FROM, FOLD_TO = "أإآٱىة", "ااااي" + "ه"

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lines import Chars, codes, merged, of_rows, spaced, winning_runs
-from ..functions.strings import run_sql
+from ..functions.strings import BLANKS, run_sql
 
 #: makes a line's characters of what a row holds of it
 Reader = Callable[[Any], Chars]
@@ -41,7 +41,6 @@ def _marks(letters: str) -> np.ndarray:
 
 #: 1 for a right-to-left character, 2 for a left-to-right one
 _SCRIPT = (_marks(RTL) + 2 * _marks(LTR)).astype(np.uint8)
-_OUTER = "".join(map(chr, [*range(0x9, 0xE), *range(0x1C, 0x20), 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def _counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -49,7 +48,7 @@ def _counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     script = _SCRIPT[codes("".join(filter(None, texts)))]
     edge = np.concatenate([[0], np.cumsum([len(t or "") for t in texts])]).astype(np.int64)
     rtl, ltr = (np.diff(np.concatenate([[0], np.cumsum(script == k)])[edge]) for k in (1, 2))
-    return rtl, ltr, np.array([len((t or "").strip(_OUTER)) for t in texts], np.int64)
+    return rtl, ltr, np.array([len((t or "").strip(BLANKS)) for t in texts], np.int64)
 
 
 def script_profile(reads: DataFrame) -> DataFrame:

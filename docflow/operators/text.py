@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from unicodedata import category
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.strings import WS, run_sql, trimmed
+from ..functions.strings import BLANKS, WS, run_sql, trimmed
 from ..plans.numbering import numbered
 
 LINES = r"\r\n|\n|\r"
@@ -88,39 +93,74 @@ SEPARATORS = r"""[ \t,;:./\\|\-–—()\[\]{}"'؛،!?؟=+&@#*~<>]"""
 FALLBACK = "Scanned Document"
 
 
+_LINE, _PAGE = re.compile(LINES), re.compile(r"--- Page [0-9]+ ---\Z")
+_HEADING, _ITEM = re.compile(r"#{1,6}[ \t\x0b\f]+"), re.compile(r"[ \t\x0b\f]*(?:[-*+•]|[0-9]+[.)])[ \t\x0b\f]+(?:\[[ xX]\][ \t\x0b\f]+)?")
+_MARK, _BETWEEN = re.compile(r"[*_`~>|#\[\]]"), re.compile(SEPARATORS.replace("[", "[^", 1) + "+")
+_STOPS = frozenset(STOP_WORDS)
+
+
+def _keywords(line: str) -> Iterator[str]:
+    """Words of 2 to 24 characters from letter or digit to letter or digit, without function words."""
+    for w in _BETWEEN.findall(line):
+        if not w.isalnum():
+            inner = [i for i, c in enumerate(w) if category(c)[0] in "LN"]
+            w = w[inner[0] : inner[-1] + 1] if inner else ""
+        if 2 <= len(w) <= 24 and w.lower() not in _STOPS:
+            yield w
+
+
+def _title(text: str) -> str | None:
+    """A document's title; only lines and words that decide about it are looked at."""
+    lines, nth, head = [], 0, None
+    for raw in _LINE.split(text):
+        t = raw.strip(BLANKS)
+        if not t or _PAGE.match(t):
+            continue
+        nth += 1
+        if nth > 20:
+            break
+        mark = _HEADING.match(t)
+        t = t[mark.end() :] if mark else t
+        item = _ITEM.match(t)
+        t = _MARK.sub(" ", t[item.end() :] if item else t).strip(BLANKS)
+        if t:
+            if mark and head is None:
+                head = len(lines)
+            lines.append(t)
+    if head is None:
+        head = next((i for i, t in enumerate(lines) if len(t) <= 90 and any(True for _ in _keywords(t))), None)
+    if head is not None:
+        lines.insert(0, lines.pop(head))
+    found, have = {}, 0
+    for t in lines:
+        if have >= 3 or len(found) == 4:
+            break
+        for w in _keywords(t):
+            have += 1
+            found.setdefault(w.lower(), w)
+            if len(found) == 4:
+                break
+    name = " ".join(w if any(category(c) == "Lu" for c in w) else ("ẞ" if w[0] == "ß" else w[0].upper()) + w[1:] for w in found.values())
+    return (name if len(name) <= 60 else name[:60].rpartition(" ")[0].strip(" ") or name[:60]) or None
+
+
 def suggest_titles(docs: DataFrame) -> DataFrame:
     """``(doc_id, title)`` from the first twenty lines that are neither blank nor page markers.
 
     The title line is the first heading, else the first line of at most 90 characters with a keyword.  While there are fewer than
     three words, the other lines give theirs, a whole line at a time.  The first four distinct words are capitalised.
+
+    A text is read inside its row, so that only titles are exchanged.  Of rows that repeat an id the smallest title stays.
     """
-    first = run_sql(
-        r"""
-        WITH l AS (SELECT doc_id, n, @trim(raw) AS t FROM {docs} LATERAL VIEW posexplode(split(text, r'\r\n|\n|\r')) e AS n, raw),
-        k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS nth FROM l WHERE t <> '' AND NOT t rlike r'^-{3} Page [0-9]+ -{3}$'),
-        c AS (SELECT doc_id, n, t rlike r'^#{1,6}\s+' AS heading, regexp_replace(regexp_replace(regexp_replace(t, r'^#{1,6}\s+', ''), r'^\s*(?:[-*+•]|[0-9]+[.)])\s+(?:\[[ xX]\]\s+)?', ''), r'[*_`~>|#\[\]]', ' ') AS raw FROM k WHERE nth <= 20)
-        SELECT doc_id, n, heading, @trim(raw) AS t FROM c WHERE @trim(raw) <> ''
-        """,
-        docs=docs,
-    )
-    stops = F.array(*(F.lit(w) for w in STOP_WORDS))
-    words = F.transform(F.split("t", SEPARATORS), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
-    first = first.withColumn("words", F.filter(words, lambda w: F.length(w).between(2, 24) & ~F.array_contains(stops, F.lower(w))))
-    return run_sql(
-        r"""
-        WITH h AS (SELECT *, coalesce(min(CASE WHEN heading THEN n END) OVER d, min(CASE WHEN length(t) <= 90 AND size(words) > 0 THEN n END) OVER d) AS title_n FROM {first} WINDOW d AS (PARTITION BY doc_id)),
-        o AS (SELECT *, CASE WHEN n = title_n THEN -1 ELSE n END AS pos FROM h),
-        b AS (SELECT *, coalesce(sum(size(words)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS have FROM o),
-        x AS (SELECT doc_id, pos, i, word FROM b LATERAL VIEW posexplode(words) e AS i, word WHERE pos = -1 OR have < 3),
-        f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(word) ORDER BY pos, i) AS seen FROM x),
-        r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos, i) AS nth FROM f WHERE seen = 1),
-        j AS (SELECT doc_id, array_join(transform(array_sort(collect_list(struct(nth, CASE WHEN word rlike r'\p{Lu}' THEN word ELSE concat(CASE WHEN startswith(word, 'ß') THEN 'ẞ' ELSE upper(substring(word, 1, 1)) END, substring(word, 2)) END AS w))), s -> s.w), ' ') AS name
-              FROM r WHERE nth <= 4 GROUP BY doc_id)
-        SELECT d.doc_id, CASE WHEN name IS NULL OR name = '' THEN 'Scanned Document' WHEN length(name) <= 60 THEN name ELSE trim(regexp_replace(substring(name, 1, 60), ' [^ ]*$', '')) END AS title
-        FROM (SELECT DISTINCT doc_id FROM {docs}) d LEFT JOIN j ON j.doc_id = d.doc_id
-        """,
-        first=first, docs=docs,
-    )
+
+    def run(batches):
+        for b in batches:
+            title = [None if t is None else _title(t) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(title, pa.string())], names=["doc_id", "title"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    each = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, title string").groupBy("doc_id").agg(F.min("title").alias("title"))
+    return each.select("doc_id", F.when(F.col("doc_id").isNull() | F.col("title").isNull(), FALLBACK).otherwise(F.col("title")).alias("title"))
 
 
 def sanitize_names(names: DataFrame, extension: str = "") -> DataFrame:

@@ -133,6 +133,16 @@ def test_titles(spark):
     assert got == {1: "Annual Report 2024", 2: "Scanned Document", 3: "Big Invoice Acme Works"}
 
 
+def test_titles_are_read_inside_the_row(spark):
+    texts = ["of the\nof", None, "x\n- [x] ßa Ünder ΣΑΣ σας\nmore words here", "so\n" * 25 + "late words", "«Foo» foo FOO bar²! a-b-c\n## _Head_ of|it\n", "w" * 91 + " z9\nshort one"]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(None, "some words")], "doc_id long, text string")
+    titles = text.suggest_titles(docs)
+    plan = titles._jdf.queryExecution().executedPlan().toString()
+    assert {r.doc_id: r.title for r in titles.collect()} == {
+        0: "Scanned Document", 1: "Scanned Document", 2: "ẞa Ünder ΣΑΣ", 3: "Scanned Document", 4: "Head Foo Bar²", 5: "Short One Z9", None: "Scanned Document"}
+    assert "Window" not in plan and "Generate" not in plan and plan.count("Exchange hashpartitioning") == 1  # only titles are exchanged
+
+
 def test_split_pages(spark):
     docs = spark.createDataFrame([(1, "a\n\n--- Page 2 ---\n\nb\n\nc\n")], "doc_id long, text string")
     assert [(r.page, r.text) for r in text.split_pages(docs).orderBy("line_no").collect()] == [(1, "a"), (2, "b"), (2, ""), (2, "c")]
