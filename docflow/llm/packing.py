@@ -63,6 +63,26 @@ class Encoder:
         self.known = Places({b"": 0})  # place 0 is the end token; no word is empty
         self.flat, self.size, self.start = [np.array([self.end], "<u4")], [np.array([1], np.int64)], [np.array([0], np.int64)]
         self.held, self.letters = 1, 0
+        self.asked = np.zeros(1, np.int64)
+
+    def _thin(self) -> None:
+        """Forget the words that were asked for only once since they were learned or kept, or all where that leaves more than half of a bound."""
+        asked = np.zeros(len(self.known), np.int64)
+        asked[: len(self.asked)] = self.asked
+        asked[0] = 2  # the end token
+        at = np.flatnonzero(asked > 1)
+        words = list(self.known)
+        kept = [words[i] for i in at.tolist()]
+        letters = sum(map(len, kept))
+        if 2 * len(kept) > self.bound or letters > 8 * self.bound:
+            self._forget()
+            return
+        flat, size, start = (held[0] for held in (self.flat, self.size, self.start))
+        size, start = size[at], start[at]
+        ends = np.cumsum(size)
+        self.flat = [flat[np.repeat(start - ends + size, size) + np.arange(ends[-1])]]
+        self.size, self.start, self.held, self.letters = [size], [ends - size], int(ends[-1]), letters
+        self.known, self.asked = Places(dict(zip(kept, range(len(kept))))), np.zeros(len(kept), np.int64)
 
     @staticmethod
     def _words(text: str | None) -> list[bytes]:
@@ -105,7 +125,7 @@ class Encoder:
         for s in range(0, len(plain), 20_000):
             at = plain[s : s + 20_000]
             some = words if len(at) == len(words) else [words[i] for i in at.tolist()]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, np.int64)
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.int64)
             ends = np.flatnonzero(self.closes[ids]) + 1
             last = np.cumsum(many[at]) - 1
             if len(ends) == last[-1] + 1:
@@ -134,7 +154,7 @@ class Encoder:
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.known) > self.bound or self.letters > 16 * self.bound:
-            self._forget()
+            self._thin()
         if len(self.parts) > self.bound:
             self.parts.clear()
         place = self.known.__getitem__
@@ -150,6 +170,9 @@ class Encoder:
             if len(held) > 1:
                 held[:] = [np.concatenate(held)]
         at = np.array(at, np.int64)
+        asked = np.bincount(at, minlength=len(self.known))
+        asked[: len(self.asked)] += self.asked
+        self.asked = asked
         size, start = self.size[0][at], self.start[0][at]
         ends = np.cumsum(size)
         whole = self.flat[0][np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]

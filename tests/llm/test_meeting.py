@@ -55,3 +55,16 @@ def test_remembered_words_are_bounded_by_words_and_bytes():
     for k in range(5):
         encode([" ".join(f"w{i}" for i in range(j, j + 10_000)) for j in range(k * 80_000, (k + 1) * 80_000, 10_000)])
         assert len(encode.known) < 340_000
+
+
+def test_words_that_come_again_are_kept_beyond_the_bound():
+    encode = packing.Encoder(queries.tokenizer_path(), bound=3000)
+    common = [f"common{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}, x{i}" for i in range(100)]
+    for k in range(8):
+        texts = [" ".join([*common, *(f"once{k}q{i}" for i in range(1000)), *common])]
+        assert [x.tolist() for x in encode(texts)] == [x.tolist() for x in packing.Encoder(queries.tokenizer_path())(texts)]
+    learned = []
+    encode._learn, learn = lambda fresh: (learned.extend(fresh), learn(fresh)), encode._learn
+    encode([" ".join(f"more{i}" for i in range(3000))])
+    encode([" ".join(common)])
+    assert not set(" ".join(common).encode().split()) & set(learned)
