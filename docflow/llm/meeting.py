@@ -183,9 +183,12 @@ def apart(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     few = named.join(large, "cell", "left_anti").select("entry", "id", "label")
     few = few.repartition(F.expr("entry div 2")).sortWithinPartitions("entry", "id").mapInArrow(run, "cell bigint, id bigint, flag boolean, label bigint")
-    many = named.join(large, "cell").select("cell", "id", (F.col("entry") % 2 == 1).alias("flag"), F.coalesce("label", "id").alias("label")).distinct()
-    mixed = many.groupBy("cell").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("cell", "n")
-    return few, many.join(mixed, "cell")
+    # a large cell's labels are told by a row a cell, so that only entries of cells that are still apart meet it, once
+    label = F.coalesce("label", "id")
+    sizes = named.groupBy("cell").agg(F.min(label).alias("lo"), F.max(label).alias("hi"), F.count("*").alias("n"))
+    mixed = stored(sizes.join(large, "cell").where("lo <> hi").select("cell", "n"), "meeting-mixed")
+    many = named.join(small_enough(mixed), "cell").select("cell", "n", "id", (F.col("entry") % 2 == 1).alias("flag"), label.alias("label"))
+    return few, many.distinct()
 
 
 def tiles(hot: DataFrame, tile: int) -> DataFrame:

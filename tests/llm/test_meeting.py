@@ -36,6 +36,15 @@ def test_images_of_a_large_group_are_linked_with_few_of_each_other(spark, monkey
     assert sum(n for _, n in made) <= 3 * 80, made
 
 
+def test_entries_of_large_cells_meet_them_once_and_only_where_labels_differ(spark):
+    rows = [(1, i, False, False) for i in range(50)] + [(2, i, False, False) for i in range(40, 70)] + [(3, i, True, False) for i in (60, 61)] + [(c, None, False, False) for c in (1, 2)]
+    members = spark.createDataFrame(rows, "cell long, id long, flag boolean, lead boolean")
+    few, many = meeting.apart(members, spark.createDataFrame([(i, 0) for i in range(50)], "id long, label long"))
+    assert sorted((r.cell, r.n, r.id, r.flag, r.label) for r in many.collect()) == [(2, 30, i, False, 0 if i < 50 else i) for i in range(40, 70)]
+    assert sorted((r.cell, r.id) for r in few.collect()) == [(3, 60), (3, 61)]
+    assert many._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1
+
+
 def test_ids_follow_one_leader_of_another_label(spark):
     cells = [(c, i, i % 2) for c in range(6) for i in range(40)] + [(9, 100, 100), (9, 1, 1)]
     rows = spark.createDataFrame(cells, "cell long, id long, label long")
