@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cuts import Sums, banded, divided, islands, widest
 from ..functions.strings import run_sql
+from ..plans.lineage import cut
 
 # The labels of layout regions.
 LABELS = (
@@ -229,7 +230,7 @@ def grid_table(region_lines: DataFrame) -> DataFrame:
 def _escaped(c: Column) -> Column:
     """Inline marks escaped, and a leading list or heading mark."""
     inline = F.regexp_replace(c, r"([\\`*_\[\]<|])", r"\\$1")
-    return F.when(inline.rlike("^[#>+-]"), F.concat(F.lit("\\"), inline)).otherwise(inline)
+    return F.concat(F.when(c.rlike("^[#>+-]"), "\\").otherwise(""), inline)  # none of these is an inline mark
 
 
 def _pipe_table(cells: DataFrame, keys: list[str]) -> DataFrame:
@@ -252,14 +253,15 @@ def structure_markdown(page_lines: DataFrame, regions: DataFrame, cells: DataFra
     every = regions.select(*PAGE, F.col("region_id").cast("long").alias("region_id"), "label", "score", "x0", "y0", "x1", "y1").unionByName(uncovered_regions(lines, regions))
     # new regions follow the given ones where positions tie
     every = every.withColumn("region_id", F.when(F.col("region_id") < 0, F.lit(1 << 40) - F.col("region_id")).otherwise(F.col("region_id")))
-    ordered = region_order(every)
-    placed = lines.join(lines_in_regions(lines, ordered), [*PAGE, "line_id"])
+    # regions and lines are each read several times below: made once, not from the lines of all pages each time
+    ordered = cut(region_order(every))
+    placed = cut(lines.join(lines_in_regions(lines, ordered), [*PAGE, "line_id"]))
     key = [*PAGE, "region_id"]
     trimmed = F.trim(F.col("text"))
     held = F.transform(F.array_sort(F.collect_list(F.struct("line_id", trimmed.alias("t")))), lambda s: s["t"])
     texts = placed.groupBy(*key).agg(held.alias("held"))
     tables = ordered.where("label = 'TABLE'").select(*key)
-    in_table = placed.join(tables, key)
+    in_table = cut(placed.join(tables, key))
     with_cells = cells.select(*PAGE, F.col("region_id").cast("long").alias("region_id"), "cell_ord", "r", "c", "x0", "y0", "x1", "y1").join(tables, key)
     filled = lines_in_cells(in_table, with_cells)
     by_cells = filled.groupBy(*key, F.col("r").cast("long").alias("row"), F.col("c").cast("long").alias("col")).agg(F.max("text").alias("text"))
@@ -279,9 +281,11 @@ def structure_markdown(page_lines: DataFrame, regions: DataFrame, cells: DataFra
         .when(F.col("label") == "TABLE", F.coalesce("md", paragraph))
         .otherwise(paragraph)
     )
-    d = d.select(*PAGE, "read_pos", block.alias("block")).where("trim(block) <> ''")
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("read_pos", "block"))), lambda s: s["block"]), "\n\n")
-    return d.groupBy(*PAGE).agg(F.concat(F.regexp_replace(body, r"\s+$", ""), F.lit("\n")).alias("markdown"))
+    # blank blocks go behind the exchange: a filter before it would make each block twice
+    told = F.filter(F.array_sort(F.collect_list(F.struct("read_pos", block.alias("block")))), lambda s: F.trim(s["block"]) != "")
+    pages = d.groupBy(*PAGE).agg(told.alias("told")).where("size(told) > 0")
+    body = F.array_join(F.transform("told", lambda s: s["block"]), "\n\n")
+    return pages.select(*PAGE, F.concat(F.regexp_replace(body, r"\s+$", ""), F.lit("\n")).alias("markdown"))
 
 
 # The reading-order cuts.

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from docflow import queries
 from docflow.operators import layout
 
 LINES = "doc_id long, page long, line_id long, text string, confidence double, x0 double, y0 double, x1 double, y1 double"
@@ -83,3 +84,9 @@ def test_grid_takes_four_lines_two_bands_two_columns(spark):
     assert grid(*four) == [(0, 0, "a"), (0, 1, "b"), (1, 0, "c"), (1, 1, "d")]
     assert grid(*four[:3]) == [] and grid(*[(t, 0, 40 * i) for i, (t, *_) in enumerate(four)]) == [] and grid(*[(t, 100 * i, 0) for i, (t, *_) in enumerate(four)]) == []
     assert grid(*four, (" e", 2, 41)) == [(0, 0, "a"), (0, 1, "b"), (1, 0, "c e"), (1, 1, "d")]
+
+
+def test_lines_are_not_made_again_for_each_part(spark):
+    got = queries.QUERIES["structure_markdown"](spark, "/root/testdata/sf0.001")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("posexplode") <= 12 and plan.count("MapInArrow") == 0, (plan.count("posexplode"), plan.count("MapInArrow"))
