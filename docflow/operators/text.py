@@ -109,6 +109,11 @@ def _keywords(line: str) -> Iterator[str]:
             yield w
 
 
+def _capital(c: str) -> str:
+    """The one letter that is its capital, or its title letter; what would become several stays."""
+    return "ẞ" if c == "ß" else next((x for x in (c.upper(), c.title()) if len(x) == 1), c)
+
+
 def _title(text: str) -> str | None:
     """A document's title; only lines and words that decide about it are looked at."""
     lines, nth, head = [], 0, None
@@ -140,7 +145,7 @@ def _title(text: str) -> str | None:
             found.setdefault(w.lower(), w)
             if len(found) == 4:
                 break
-    name = " ".join(w if any(category(c) == "Lu" for c in w) else ("ẞ" if w[0] == "ß" else w[0].upper()) + w[1:] for w in found.values())
+    name = " ".join(w if any(category(c) == "Lu" for c in w) else _capital(w[0]) + w[1:] for w in found.values())
     return (name if len(name) <= 60 else name[:60].rpartition(" ")[0].strip(" ") or name[:60]) or None
 
 

@@ -98,3 +98,36 @@ def test_page_json(spark):
     assert [[x["text"] for x in p["lines"]] for p in got[2]["pages"]] == [["a"], ["b"]] and got[1]["pages"][1]["lines"][0]["box"] == [1, 2, 3, 4]
     empty = exports.page_json(lines, docs).where("doc_id = 3").first().json
     assert json.loads(empty) == {"text": None, "pages": []}
+
+
+def test_read_back_has_every_file_under_its_name(spark, tmp_path):
+    """Empty and null texts are empty files that are read back; a letter whose capital would be several letters stays."""
+    import duckdb
+
+    from docflow import queries
+
+    texts = ["", None, "ŉapple ﬁre ᾳx ßa", "50% off + 20%41 more", "Größe a:b=c", "{a,b} [c] \\d"]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(con.execute(f"SELECT name, bytes, md5 FROM ({queries.ORACLES['write_documents']})").fetchall())
+    assert sorted(map(tuple, queries.QUERIES["write_documents"](spark, str(tmp_path)).collect())) == want and len(want) == len(texts)
+    docs.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/none/documents.parquet")
+    assert queries.QUERIES["write_documents"](spark, f"{tmp_path}/none").count() == 0
+
+
+def test_read_back_deals_files_by_shares(spark, tmp_path, monkeypatch):
+    from docflow.sources import files as sink
+
+    path = f"file://{tmp_path}/out"
+    for part in (range(70), range(70, 100)):
+        rows = spark.createDataFrame([(f"n{i}", f"v{i}" * (i % 3)) for i in part], "name string, value string")
+        sink.registered(spark)
+        rows.coalesce(1).write.format("named_files").option("suffix", ".txt").mode("append").save(path)
+    monkeypatch.setattr(sink, "_SHARE", 20)
+    monkeypatch.setattr(sink, "_FILES", 7)
+    got = sink.read_back(spark, path, ".txt")
+    assert got.rdd.getNumPartitions() == 4 + 2  # not one for each file
+    assert sorted(map(tuple, got.collect())) == sorted((f"n{i}.txt", f"v{i}" * (i % 3)) for i in range(100))
+    assert sink.read_back(spark, path, ".csv").count() == 0
