@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.edits import Text, Truth, distances, evened, folded
+from ..functions.edits import Truth, distances, evened, folded, has_windows
 from ..functions.lines import of_rows, spaced
 from ..functions.strings import FOLD_FROM, FOLD_TO, WS
 from .readings import Reader, _gathered
 
 # The gap factors to compare (0 keeps the stored text).
 FACTORS = (0.0, 1.7, 1.9, 2.1, 2.3, 2.5, 2.8)
+# Fixed value: characters of texts whose lines are sought together.
+_TOGETHER = 1 << 21
 
 
 def normalized(c: Column, keep_diacritics: bool) -> Column:
@@ -88,20 +91,28 @@ def line_recall(hypothesis: DataFrame, truth: DataFrame, least: float = 0.8, blo
     """``hypothesis (doc_id, text)``, ``truth (doc_id, line_id, text)`` → ``(doc_id, hits, lines)``: truth lines (over three characters when
     normalised) whose best window of their length in the document has similarity of ``least`` or more.
 
-    A document's text is shuffled once, beside blocks of ``block`` of its lines (by ``line_id``, their number); inside a row, windows are sought
-    without loss (``functions.edits.Text``).  Documents without such lines have no row; a missing or null text holds no line.
+    A document's text is shuffled once, beside blocks of ``block`` of its lines (by ``line_id``, their number); windows are sought without loss, the
+    lines of some rows together (``functions.edits.has_windows``).  Documents without such lines have no row; a missing or null text holds no line.
     """
-    t = truth.select("doc_id", "line_id", normalized(F.col("text"), False).alias("t")).where("length(t) > 3")
-    rows = t.groupBy("doc_id", F.expr(f"line_id div {block}").alias("block")).agg(F.collect_list("t").alias("lines"))
-    rows = rows.join(hypothesis.select("doc_id", normalized(F.col("text"), False).alias("h")), "doc_id", "left").select("doc_id", "h", "lines")
+    t = truth.where("text IS NOT NULL").groupBy("doc_id", F.expr(f"line_id div {block}").alias("block")).agg(F.collect_list("text").alias("lines"))
+    rows = t.join(hypothesis.select("doc_id", F.col("text").alias("h")), "doc_id", "left").select("doc_id", "h", "lines")
 
     def run(batches):
         for b in batches:
-            hits = []
-            for h, lines in zip(b.column(1), b.column(2)):
-                text = Text(h.as_py() or "")
-                hits.append(sum(text.near(x, int((1 - least) * len(x) + 1e-9)) for x in lines.as_py()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hits, pa.int64()), pa.array([len(x) for x in b.column(2)], pa.int64())], names=["doc_id", "hits", "lines"])
+            size = pc.add(pc.coalesce(pc.utf8_length(b.column(1)), 0), pc.list_value_length(b.column(2))).to_numpy()
+            for part in np.split(np.arange(b.num_rows), np.flatnonzero(np.diff(np.cumsum(size) // _TOGETHER)) + 1):
+                if len(part):
+                    yield counted(b.slice(part[0], len(part)))
+
+    def counted(b: pa.RecordBatch) -> pa.RecordBatch:
+        every = [folded(evened(x)) for x in b.column(2).flatten().to_pylist()]
+        owner = np.repeat(np.arange(b.num_rows), pc.list_value_length(b.column(2)).to_numpy())
+        told = [i for i, x in enumerate(every) if len(x) > 3]
+        lines, of = [every[i] for i in told], owner[told]
+        texts = [folded(evened(x or "")) for x in b.column(1).to_pylist()]
+        near = has_windows(texts, of.tolist(), lines, [int((1 - least) * len(x) + 1e-9) for x in lines])
+        out = [np.bincount(of, weights, minlength=b.num_rows).astype(np.int64) for weights in (near, None)]
+        return pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, out)], names=["doc_id", "hits", "lines"]).filter(pa.array(out[1] > 0))
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, hits bigint, lines bigint").groupBy("doc_id").agg(F.sum("hits").alias("hits"), F.sum("lines").alias("lines"))

@@ -136,3 +136,33 @@ def test_distances_of_many_pairs_are_measured_together(monkeypatch):
     lines = ["".join(r.choices("abcdefgh ", k=r.randint(100, 400))) for _ in range(300)]
     got = edits.distances([x.translate(str.maketrans("aeh", "eha")) for x in lines], lines)
     assert len(one_by_one) < 60 and (got > 0).sum() > 240 and len(edits.distances([], [])) == 0
+
+
+def test_windows_of_many_lines_together(monkeypatch):
+    """Several lines a text, of all lengths, with few and many letters; none is lost or made up, and lines of usual length are not measured one by one."""
+    r = random.Random(17)
+    texts, of, lines = ["", "abc"], [0, 1, 1], ["abcd", "abcd", "wxyz"]
+    for letters in ("ab", "abcdefghij ", "abcdefghijklmnopqrstuvwxyzé😀 "):
+        for _ in range(3):
+            texts.append("".join(r.choices(letters, k=r.randint(90, 900))) + "\ud800")
+            for n in (4, 5, 9, 17, 63, 64, 65, 129, 300):
+                a = r.randrange(max(1, len(texts[-1]) - n))
+                line = edited(r, texts[-1][a : a + n], letters, int(r.random() * 0.45 * n))
+                of, lines = [*of, len(texts) - 1], [*lines, line + "x" * (4 - len(line))]
+    most = [len(x) // 5 for x in lines]
+    want = [near(texts[t], line, e) for t, line, e in zip(of, lines, most)]
+    assert 20 < sum(want) < len(want) - 20
+    for busy in (1 << 22, 200, 3):
+        assert edits.has_windows(texts, of, lines, most, busy).tolist() == want
+    monkeypatch.setattr(edits, "_LONG", 100)
+    assert edits.has_windows(texts, of, lines, most).tolist() == want and len(edits.has_windows([], [], [], [])) == 0
+    monkeypatch.undo()
+    words = ["".join(r.choices("abcdefgh", k=r.randint(2, 7))) for _ in range(60)]
+    text = " ".join(r.choices(words, k=1500))
+    lines = ["".join(c for c in text[a : a + 250] if r.random() > (0.2 if a % 50 else 0.08)) for a in range(0, 5000, 25)]
+    want = [edits.Text(text).near(x, len(x) // 5) for x in lines]
+    asked = []
+    for name in ("has_window", "distance"):
+        monkeypatch.setattr(edits, name, lambda *a, real=getattr(edits, name): asked.append(a) or real(*a))
+    assert edits.has_windows([text], [0] * len(lines), lines, [len(x) // 5 for x in lines]).tolist() == want and 0 < sum(want) < len(lines)
+    assert len(asked) < 40
