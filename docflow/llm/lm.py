@@ -4,8 +4,9 @@ Maximum-likelihood estimates of every order come from the counts of all training
 bucket (powers of two) are learned by expectation-maximisation on one fold of the training rows, whose counts are deleted
 from the estimates meanwhile.
 
-How it runs: rows are dealt into blocks of bounded size, each within one fold.  A first pass over the texts sends the n-grams
-of blocks with their counts, as arrays, to buckets of n-gram hashes.  A bucket adds up and tells each block, by a bit for
+How it runs: rows are dealt into blocks of bounded size, each within one fold.  Each block gathers its texts and sends its n-grams with
+their counts, as one array a bucket, to buckets of n-gram hashes (arrays of what each task holds of a block would be as many as tasks x
+blocks x buckets).  A bucket adds up and tells each block, by a bit for
 each of its n-grams, which totals differ from the block's own counts, and those totals.  A block then scores its texts
 with its own counts and the totals told.  So what moves is the distinct n-grams of blocks, nothing is broadcast, and no
 group is larger than a block or a bucket.
@@ -24,10 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold, frugal, returned, stored
-from .tokens import Hasher, counted, gaps, mixed, narrow, numbered, runs, ungapped, widened
+from .tokens import counted, gaps, hashed, mixed, narrow, numbered, runs, ungapped, widened
 
 START, END = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b" start", b" end"))  # words hold no spaces
-BUCKET_KEYS, STEPS, LEVELS, HELD_BYTES = 2_000_000, 4, 40, 40 << 20
+BUCKET_KEYS, STEPS, LEVELS = 2_000_000, 4, 40
 SCORES = "n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 FAMILIES = ("one", "more")  # single words; longer n-grams
 _SENT = "bucket bigint, block bigint, one binary, one_n binary, more binary, more_n binary"
@@ -37,9 +38,9 @@ _TOLD = "block bigint, bucket bigint, v bigint, n bigint, nd bigint, one binary,
 class Block:
     """The n-grams of texts: the distinct keys of each family, sorted, and for each order the place of every token's n-gram (unless ``placed`` is false)."""
 
-    def __init__(self, texts: list[str | None], order: int, hasher: Hasher, width: int, placed: bool = True):
+    def __init__(self, texts: list[str | None], order: int, width: int, placed: bool = True):
         self.width = {"one": 64, "more": width}
-        words, many = hasher(texts)
+        words, many = hashed(texts)
         pads = max(order - 1, 1)
         size = many + pads + 1
         start = np.cumsum(size) - size
@@ -117,33 +118,18 @@ def score(docs: DataFrame, order: int = 2, folds: int = 7, held_out: int = 2, de
     bits = min(32, max(6, int(np.ceil(np.log2(keys / BUCKET_KEYS)))))
     width = min(64, max(32, int(np.ceil(np.log2(keys))) + 12))
 
-    def send(batches):
+    def send(t: pa.Table) -> pa.Table:
         frugal()
-        hasher = Hasher()
-        held: dict[int, list[str]] = {}
-        size = 0
-
-        def out():
-            for number, texts in held.items():
-                b = Block(texts, order, hasher, width, placed=False)
-                own = {f: b.buckets(f, bits) for f in FAMILIES}
-                used = np.unique(np.concatenate(list(own.values())))
-                edge = {f: list(zip(np.searchsorted(own[f], used, "left").tolist(), np.searchsorted(own[f], used, "right").tolist())) for f in FAMILIES}
-                cut = lambda x, f, g: pa.array([g(x[i:j]) for i, j in edge[f]], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([number] * len(used), pa.int64()), cut(b.one, "one", gaps), cut(b.one_n, "one", _small), cut(b.more, "more", gaps), cut(b.more_n, "more", _small)], names=["bucket", "block", "one", "one_n", "more", "more_n"])
-
-        for batch in batches:
-            for number, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held.setdefault(number, []).append(text)
-                size += len(text)
-            if size > HELD_BYTES:
-                yield from out()
-                held.clear()
-                size = 0
-        yield from out()
-        held.clear()
-        del hasher
+        number = t.column("block")[0].as_py()
+        b = Block(t.column("text").to_pylist(), order, width, placed=False)
+        own = {f: b.buckets(f, bits) for f in FAMILIES}
+        used = np.unique(np.concatenate([x[runs(x)] for x in own.values()]))
+        edge = {f: list(zip(np.searchsorted(own[f], used, "left").tolist(), np.searchsorted(own[f], used, "right").tolist())) for f in FAMILIES}
+        cut = lambda x, f, g: pa.array([g(x[i:j]) for i, j in edge[f]], pa.binary())
+        out = pa.table({"bucket": used, "block": pa.array([number] * len(used), pa.int64()), "one": cut(b.one, "one", gaps), "one_n": cut(b.one_n, "one", _small), "more": cut(b.more, "more", gaps), "more_n": cut(b.more_n, "more", _small)})
+        del b, own
         returned()
+        return out
 
     def add(t: pa.Table) -> pa.Table:
         blocks, back = np.unique(t.column("block").to_numpy(), return_inverse=True)
@@ -172,7 +158,7 @@ def score(docs: DataFrame, order: int = 2, folds: int = 7, held_out: int = 2, de
         names = [x.split()[0] for x in _TOLD.split(", ")]
         return pa.table({n: pa.array(c, pa.int64() if i < 5 else pa.binary()) for i, (n, c) in enumerate(zip(names, cols))})
 
-    sent = d.select("block", "text").mapInArrow(send, _SENT)
+    sent = d.select("block", "text").groupBy("block").applyInArrow(send, _SENT)
     back = stored(sent.groupBy("bucket").applyInArrow(add, _TOLD), "lm-counts")
     v, n, nd = (x or 0 for x in back.where("block = -1").agg(F.sum("v"), F.sum("n"), F.sum("nd")).first())
     slices = back.where("block >= 0").drop("v", "n", "nd")
@@ -247,7 +233,7 @@ class _Counts:
     """A block with the totals of its n-grams: its own counts where nothing was told."""
 
     def __init__(self, texts: pa.Table, counts: pa.Table, order: int, folds: int, held_out: int, deleted: int, bits: int, width: int):
-        self.block = b = Block(texts.column("text").to_pylist(), order, Hasher(), width)
+        self.block = b = Block(texts.column("text").to_pylist(), order, width)
         self.order = order
         mine = texts.column("block")[0].as_py() % folds if texts.num_rows else held_out
         total, gone = {}, {}

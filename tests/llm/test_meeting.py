@@ -77,3 +77,47 @@ def test_words_that_come_again_are_kept_beyond_the_bound():
     encode([" ".join(f"more{i}" for i in range(3000))])
     encode([" ".join(common)])
     assert not set(" ".join(common).encode().split()) & set(learned)
+
+
+def test_hashes_by_sums_tell_the_same_words_apart(monkeypatch):
+    import random
+
+    import numpy as np
+
+    from docflow.llm import tokens
+
+    r = random.Random(8)
+    texts = [None, "", "  ", "A b\tc\x0bd\x1ce f", "\ud800 x", "z" * 300 + " y"] + ["".join(r.choices("aAb \n\x0cé", k=r.randint(0, 60))) for _ in range(400)]
+    words, many = tokens.Hasher()(texts)
+    for together in (1 << 20, 50):
+        monkeypatch.setattr(tokens, "_TOGETHER", together)
+        got, count = tokens.hashed(texts)
+        assert count.tolist() == many.tolist() and len(got) == len(words)
+        assert len(np.unique(got)) == len(np.unique(words)) == len(np.unique(np.stack([words, got]), axis=1).T)
+    assert [len(x) for x in tokens.hashed([])] == [0, 0]
+
+
+def test_counts_are_sent_by_whole_blocks(spark, monkeypatch):
+    """A row for each block and bucket, however many tasks hold texts of a block."""
+    from docflow.llm import lm
+
+    docs = spark.createDataFrame([(i, f"some words {i % 7} of {i % 5} and more {i}") for i in range(600)], "doc_id long, text string").repartition(8)
+    sent = []
+
+    class Seen(Exception):
+        pass
+
+    def stop(df, name):
+        sent.append(df)
+        raise Seen
+
+    monkeypatch.setattr(lm, "stored", stop)
+    held = type(docs.groupBy("text")).applyInArrow
+    monkeypatch.setattr(type(docs.groupBy("text")), "applyInArrow", lambda self, f, schema: sent.append(held(self, f, schema)) or held(self, f, schema))
+    try:
+        lm.score(docs)
+    except Seen:
+        pass
+    assert sent[0].columns == ["bucket", "block", "one", "one_n", "more", "more_n"]
+    rows = sent[0].select("block", "bucket").collect()
+    assert len(rows) == len({(x.block, x.bucket) for x in rows}) > 100
